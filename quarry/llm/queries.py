@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import linededup, sharding
+from . import linededup, mixing, quality, secrets, sharding, urls
 
 
 def queries() -> dict:
     return {
+        "op2_url_filters": urls.op2_url_filters,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_sharding": sharding.op4_sharding,
+        "op7_secret_scans": secrets.op7_secret_scans,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.ORACLE_OP3}
+    return {"op2_url_filters": urls.ORACLE_OP2, "op3_line_dedup": linededup.ORACLE_OP3, "op9_mixing": mixing.ORACLE_OP9}
