@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -39,10 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_SCRATCH[0]}"
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Scratch tables last as long as the Python process that wrote them."""
+    with contextlib.suppress(Exception):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}/{name}"
+    top = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}"
+    path = f"{top}/{name}"
+    atexit.register(_drop, spark, top)
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
