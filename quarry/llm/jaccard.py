@@ -9,9 +9,9 @@ eighth of the size band), each class counts one unit less than its shingles, for
 the prefix is extended, and is indexed by its 2-shingle combinations. Two sets meet at a
 size band both use, so combinations also bear the length bound.
 
-Nodes that share a key are linked through verified pairs. First each node is compared
-with the one list leader that it shares most keys with; after joining these up, all pairs
-of a list that are still apart are compared too. So a group of near copies takes about
+Nodes that share a key are linked through verified pairs, after a positional bound on the
+keys they share. First each node is compared with the one list leader that it shares most
+keys with; after joining these up, pairs of a list that are still apart are compared too. So a group of near copies takes about
 one comparison a member, and no link between different components is left out.
 
 Shingles and sets are held as 64-bit hashes. The table of frequent shingles (found by
@@ -194,7 +194,7 @@ def fits(x, y):
 
 
 def shared_keys(index: DataFrame) -> DataFrame:
-    """key, node, n, leader, leader_n for every entry of a list with two nodes or more.
+    """key, node, n, leader, leader_n, single for every entry of a list with two nodes or more.
 
     Lists of rare shingles are short: a window finds their leaders. Lists of combinations
     may be as long as a group of copies: leaders are pre-aggregated and joined.
@@ -204,11 +204,11 @@ def shared_keys(index: DataFrame) -> DataFrame:
     singles = index.select(F.explode("singles").alias("key"), "node", "n")
     w = Window.partitionBy("key").orderBy("node")
     of_rare = singles.select("key", "node", "n", F.first(F.struct("node", "n")).over(w).alias("lead"), F.lead("node").over(w).alias("next"))
-    of_rare = of_rare.filter("node <> lead.node or next <> node").select("key", "node", "n", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"))
+    of_rare = of_rare.filter("node <> lead.node or next <> node").select("key", "node", "n", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.lit(True).alias("single"))
     combos = index.select(F.explode("combos").alias("key"), "node", "n")
     lead = combos.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).filter("last <> lead.node")
     lead = write_table(lead.select("key", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "leaders")
-    of_often = combos.join(lead.hint("shuffle_hash"), "key").select("key", "node", "n", "leader", "leader_n")
+    of_often = combos.join(lead.hint("shuffle_hash"), "key").select("key", "node", "n", "leader", "leader_n", F.lit(False).alias("single"))
     return of_rare.unionByName(of_often)
 
 
@@ -220,14 +220,13 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     frequent = sc.broadcast(frequent_shingles(docs, words))
     index = write_table(docs.mapInArrow(_index(frequent, words), f"doc_id {kind}, node long, n long, singles array<long>, combos array<long>"), "index")
     lists = write_table(shared_keys(index), "lists")
-    wanted = sc.broadcast(bitmaps.bitmap(lists.select(F.col("node").alias("h"))))
-    sets = docs.select("text").mapInArrow(_emit_sets(wanted, words), "node long, shingles binary")
-    sets = write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    votes = lists.filter(fits(F.col("n"), F.col("leader_n")) & (F.col("node") != F.col("leader"))).groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
-    first = write_table(verified(best, sets), "first_links")
-    apart = write_table(_apart(lists, components(first)), "apart_pairs")
-    links = first.unionByName(write_table(verified(apart, sets), "later_links"))
+    info = index.groupBy("node").agg(F.max("n").alias("n"), F.max(F.size("singles")).alias("p"), F.max(F.size("combos") > 0).alias("more"))
+    info = write_table(info.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "info")
+    led = lists.filter(fits(F.col("n"), F.col("leader_n")) & (F.col("node") != F.col("leader"))).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"), F.count("*").alias("votes"))
+    best = may_link(led, info).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    first = _linked(docs, write_table(best, "leader_pairs"), words, "first_links")
+    apart = write_table(may_link(_apart(lists, components(first)), info).select("a", "b"), "apart_pairs")
+    links = first.unionByName(_linked(docs, apart, words, "later_links"))
     labels = components(links)
     rows = index.select("doc_id", "node", "n").join(labels.hint("merge"), "node", "left")
     rows = write_table(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "labelled")
@@ -236,15 +235,40 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _linked(docs: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
+    """The pairs that link. Sets are made again from the texts, for the nodes of the pairs only (a bitmap lets others pass rarely)."""
+    nodes = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmaps.bitmap(nodes))
+    sets = docs.select("text").mapInArrow(_emit_sets(wanted, words), "node long, shingles binary")
+    sets = write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return write_table(verified(pairs, sets), name)
+
+
+def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Positional bound: pairs (a, b, v: shared single keys) that can still reach the overlap they need.
+
+    A set whose prefix has single shingles only (p of them) shares with the partner these v
+    and at most its other n - p, if its prefix ends first in the order; prefixes that reach
+    the frequent shingles end later and hold all rare ones.
+    """
+    d = pairs
+    for x in "ab":
+        d = d.join(info.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "p", "more")]).hint("merge"), x)
+    left_a, left_b = F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")
+    most = F.when(F.col("more_a") & F.col("more_b"), F.least(left_a, left_b)).when(F.col("more_a"), left_b).when(F.col("more_b"), left_a).otherwise(F.greatest(left_a, left_b))
+    enough = (NUM + DEN) * (F.col("v") + most) >= NUM * (F.col("n_a") + F.col("n_b"))
+    return d.filter(enough).select(*pairs.columns)
+
+
 def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one list and fitting size whose components differ; only lists with two components or more."""
+    """Pairs (a, b) of fitting size that share a list but no component, with v, the single keys they share."""
     label = labels.withColumnRenamed("label", "own")
     d = lists.join(label.hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     d = d.join(label.select(F.col("node").alias("leader"), F.col("own").alias("led")).hint("merge"), "leader", "left").withColumn("led", F.coalesce("led", "leader"))
-    d = write_table(d.select("key", "node", "n", "own", "led").distinct(), "members")
-    odd = d.filter("own <> led").select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"))
-    met = odd.join(d.hint("merge"), "key").filter((F.col("own") != F.col("x_own")) & fits(F.col("n"), F.col("x_n")))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    d = write_table(d.select("key", "single", "node", "n", "own", "led").distinct(), "members")
+    odd = d.filter("own <> led").select("key", "single", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"))
+    met = odd.join(d.hint("merge"), ["key", "single"]).filter((F.col("own") != F.col("x_own")) & fits(F.col("n"), F.col("x_n")) & ((F.col("own") == F.col("led")) | (F.col("x") < F.col("node"))))
+    return met.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
