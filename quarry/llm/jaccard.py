@@ -40,7 +40,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 FREQUENT = 32
 MOST_FREQUENT = 1 << 20
-MASK = (1 << 64) - 1
+#: flags of shingles met, a byte each, in a task
+MET_BITS = 1 << 25
 
 
 def sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,30 +57,26 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _met_twice(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, known = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """(shingle, documents) of shingles that a task meets twice, by a bitmap of those met; a few met once may slip in."""
 
-        def fold(known):
-            u, n = np.unique(np.concatenate(parts), return_counts=True)
-            h, at = np.unique(np.concatenate([known[0], u]), return_inverse=True)
-            return h, np.bincount(at, weights=np.concatenate([known[1], n]), minlength=len(h)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, again, size = np.zeros(MET_BITS, dtype=bool), [], 0
 
-        def twice(known):
-            keep = known[1] > 1
-            return pa.RecordBatch.from_arrays([pa.array(known[0][keep].view(np.int64)), pa.array(known[1][keep])], ["h", "n"])
+        def found():
+            h, n = np.unique(np.concatenate(again) if again else np.zeros(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64) + 1)], ["h", "n"])
 
         for b in batches:
             for _, s in sets_of(b, words):
-                parts.append(s)
+                at = (s & np.uint64(MET_BITS - 1)).astype(np.int64)
+                again.append(s[seen[at]])
+                seen[at] = True
                 size += len(s)
-                if size > 2_000_000:
-                    known, parts, size = fold(known), [], 0
-                    if len(known[0]) > 8_000_000:
-                        yield twice(known)
-                        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if parts:
-            known = fold(known)
-        yield twice(known)
+            if size > MET_BITS // 4:
+                yield found()
+                seen[:] = False
+                again, size = [], 0
+        yield found()
 
     return run
 

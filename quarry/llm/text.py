@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
