@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules with QUERIES {name: function(spark, sf_dir)} and ORACLES {name: SQL}
-MODULES: list[str] = []
+MODULES = ["quarry.queries.graph", "quarry.queries.algebra", "quarry.queries.evaluation"]
 FLAGSHIP = "typed_path_3hop"
 
 
