@@ -11,7 +11,8 @@ size band both use, so combinations also bear the length bound.
 
 Nodes that share a key are linked through verified pairs, after a positional bound on the
 keys they share. First each node is compared with the one list leader that it shares most
-keys with; after joining these up, pairs of a list that are still apart are compared too. So a group of near copies takes about
+keys with; nodes of long lists then try, for some rounds, a few stand-ins of the list's
+largest component; last, all pairs of a list that are still apart are compared. So a group of near copies takes about
 one comparison a member, and no link between different components is left out.
 
 Shingles and sets are held as 64-bit hashes. The table of frequent shingles (found by
@@ -36,6 +37,8 @@ from .components import components
 from .text import mix, scan_words, shingles
 
 WORDS = 5
+#: lists of so many nodes are joined up by stand-ins before pairs are compared
+HOT_LIST, MERGE_ROUNDS, STAND_INS = 64, 4, 8
 #: Jaccard of 4 / 5
 NUM, DEN = 4, 5
 FREQUENT = 32
@@ -221,9 +224,18 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     info = write_table(info.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "info")
     led = lists.filter(fits(F.col("n"), F.col("leader_n")) & (F.col("node") != F.col("leader"))).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"), F.count("*").alias("votes"))
     best = may_link(led, info).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = _linked(docs, write_table(best, "leader_pairs"), words, "first_links")
-    apart = write_table(may_link(_apart(lists, components(first)), info).select("a", "b"), "apart_pairs")
-    links = first.unionByName(_linked(docs, apart, words, "later_links"))
+    best = write_table(best, "leader_pairs")
+    hot = write_table(lists.join(lists.groupBy("key", "single").count().filter(F.col("count") >= HOT_LIST).drop("count").hint("merge"), ["key", "single"], "left_semi"), "hot_lists")
+    sets = sets_for(docs, [best.select(F.col("a").alias("h")), best.select(F.col("b").alias("h")), hot.select(F.col("node").alias("h"))], words)
+    links = write_table(verified(best, sets), "leader_links")
+    for no in range(MERGE_ROUNDS):
+        more = write_table(verified(_to_main(hot, components(links), no), sets), "merge_links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+    apart = write_table(may_link(_apart(lists, components(links)), info).select("a", "b"), "apart_pairs")
+    sets = sets_for(docs, [apart.select(F.col("a").alias("h")), apart.select(F.col("b").alias("h"))], words)
+    links = links.unionByName(write_table(verified(apart, sets), "later_links"))
     labels = components(links)
     rows = index.select("doc_id", "node", "n").join(labels.hint("merge"), "node", "left")
     rows = write_table(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "labelled")
@@ -232,13 +244,31 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
-    """The pairs that link. Sets are made again from the texts, for the nodes of the pairs only (a bitmap lets others pass rarely)."""
-    nodes = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmaps.bitmap(nodes))
-    sets = docs.select("text").mapInArrow(_emit_sets(wanted, words), "node long, shingles binary")
-    sets = write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    return write_table(verified(pairs, sets), name)
+def sets_for(docs: DataFrame, nodes: list[DataFrame], words: int) -> DataFrame:
+    """node, shingles of the wanted nodes (columns h), made again from the texts; a bitmap lets others pass rarely."""
+    wanted = nodes[0]
+    for n in nodes[1:]:
+        wanted = wanted.unionByName(n)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmaps.bitmap(wanted))
+    sets = docs.select("text").mapInArrow(_emit_sets(bits, words), "node long, shingles binary")
+    return write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _to_main(hot: DataFrame, labels: DataFrame, no: int) -> DataFrame:
+    """Pairs (a, b) that may join up the long lists: nodes outside a list's largest component, each with the members of it that they meet most often.
+
+    Members stand in by least hash, salted by the round, so that a component sends the same few to all its lists.
+    """
+    d = hot.select("key", "node", "n").distinct().join(labels.withColumnRenamed("label", "own").hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    d = write_table(d, "hot_members")
+    main = write_table(d.groupBy("key").agg(F.mode("own", True).alias("main")), "main")
+    inside = d.join(main.hint("merge"), "key")
+    of_main = inside.filter("own = main").groupBy("key").agg(*[F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(no), F.lit(k), "node")).alias(f"m{k}") for k in range(STAND_INS)])
+    met = inside.filter("own <> main").select("key", "node", "n").join(write_table(of_main, "stand_ins").hint("merge"), "key")
+    met = met.select("node", "n", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(STAND_INS)]))).alias("m")).filter(fits(F.col("n"), F.col("m.n")))
+    met = met.groupBy("node", F.col("m.node").alias("other")).agg(F.count("*").alias("votes"))
+    top = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "other")), asc=False), 1, STAND_INS).alias("top"))
+    return top.select(F.explode("top").alias("t"), "node").select(F.least("node", "t.other").alias("a"), F.greatest("node", "t.other").alias("b")).distinct()
 
 
 def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
