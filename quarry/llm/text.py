@@ -7,6 +7,8 @@ over words. Only A-Z is lower-cased. All separators are ASCII, so UTF-8 bytes se
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +32,24 @@ ALNUM_WORD[0x30:0x3A] = True
 ALNUM_WORD[0x61:0x7B] = True
 ALNUM_WORD[0x80:] = True
 
-_powers: dict[str, np.ndarray] = {}
-
 
 def _pows(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
+    """Powers of the base and of its inverse, kept from task to task.
+
+    Task code is pickled by value, so a global of this module would be made anew by each
+    task; the table lives in a module of its own in the worker.
+    """
+    kept = sys.modules.setdefault("_quarry_powers", types.ModuleType("_quarry_powers"))
+    if getattr(kept, "n", 0) < n:
         m = max(n, CHUNK_BYTES * 2)
-        for k, b in (("up", _BASE), ("down", _INV)):
-            a = np.full(m, b, dtype=U64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
+        tables = []
+        for b in (_BASE, _INV):
+            t = np.full(m, b, dtype=U64)
+            t[0] = 1
+            np.multiply.accumulate(t, out=t)
+            tables.append(t)
+        kept.up, kept.down, kept.n = *tables, m
+    return kept.up, kept.down
 
 
 def mix(x: np.ndarray) -> np.ndarray:
