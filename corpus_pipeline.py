@@ -16,7 +16,7 @@ from quarry.session import write_table
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(docs.columns)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,16 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, min_score:
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score))
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with their own columns only.
+
+    The row number is not deterministic, so the filter isn't pushed under the projections
+    of the counts, where each of its many column references would be written out in full.
+    """
+    d = judge(docs, labels).withColumn("row_no", F.monotonically_increasing_id())
+    return d.filter(F.col("kept") & (F.col("row_no") >= 0)).select(docs.columns)
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract query: every document judged."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
