@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import write_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +31,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, name, name_en, labels, props."""
     t = lambda n: table(spark, sf_dir, n)
     none = F.lit(None).cast("string")
@@ -52,7 +54,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edge_id, src_id, rel, dst_id."""
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").withColumn("k", line_key())
@@ -77,6 +79,26 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph as tables: loaded once a session, nodes by kind and edges by relation, so that scans are pruned."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        n = derive_nodes(spark, sf_dir).withColumn("kind", F.get("labels", F.lit(0)))
+        _LOADED[key] = (write_table(n, "nodes", ["kind"]).drop("kind"), write_table(derive_edges(spark, sf_dir), "edges", ["rel"]))
+    return _LOADED[key]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)[0]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)[1]
+
+
 GRAPH_SQL = """
 WITH line AS MATERIALIZED (
   SELECT *, concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(l_shipdate AS DATE)) AS k FROM lineitem),

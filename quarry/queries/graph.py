@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import GRAPH_SQL, edges, nodes, table
+from ..fixtures import GRAPH_SQL, derive_edges, derive_nodes, edges, nodes, table
 from ..operators import hops, lookup, setops, traverse
 from . import registry
 
@@ -56,12 +56,12 @@ def path_sql(source: str, name: str, path: str, apart=traverse.TEMPLATE_APART, l
 
 @query(GRAPH_SQL + "SELECT node_id, name, name_en, array_to_string(list_sort(labels), '|') AS labels FROM nodes")
 def fixture_nodes(spark, d):
-    return nodes(spark, d).select("node_id", "name", "name_en", join_list("labels").alias("labels"))
+    return derive_nodes(spark, d).select("node_id", "name", "name_en", join_list("labels").alias("labels"))
 
 
 @query(GRAPH_SQL + "SELECT * FROM edges")
 def fixture_edges(spark, d):
-    return edges(spark, d)
+    return derive_edges(spark, d)
 
 
 @query(GRAPH_SQL + "SELECT * FROM bi")
