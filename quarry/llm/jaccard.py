@@ -38,7 +38,7 @@ from .text import mix, scan_words, shingles
 
 WORDS = 5
 #: lists of so many nodes are joined up by stand-ins before pairs are compared
-HOT_LIST, MERGE_ROUNDS, STAND_INS = 64, 4, 8
+HOT_LIST, MERGE_ROUNDS, STAND_INS = 64, 2, 8
 #: Jaccard of 4 / 5
 NUM, DEN = 4, 5
 FREQUENT = 32
