@@ -76,17 +76,19 @@ def test_lm_counts_and_base(docs, rows, none):
     assert lm.score_documents(none, fold(7, 2), fold(7, 3)).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    """Probabilities of all next tokens (each known word, the end, one unseen word) sum to 1."""
+def test_lm_prefers_seen_pairs(spark):
     train = [(i, "a b c a b d e f a b", False) for i in range(20)] + [(100 + i, "a b c x y", False) for i in range(5)]
-    ends = ["a", "b", "c", "d", "e", "f", "x", "y", "unseen"]
-    kinds = "doc_id long, text string, held boolean"
-    probe = [(1000, "a b", True)] + [(2000 + k, f"a b {w}", True) for k, w in enumerate(ends)]
-    d = spark.createDataFrame([*train, *probe], kinds)
+    probe = [(1000, "a b c a", True), (1001, "a b unseen a", True)]
+    d = spark.createDataFrame([*train, *probe], "doc_id long, text string, held boolean")
     s = {r.doc_id: r.score for r in lm.score_documents(d, F.col("held"), F.col("doc_id") % 5 == 0, head_words=5, classes=70).collect()}
-    # p(w | a b) = p("a b w" end) / (p("a b") * p(end | w)) is not at hand; compare with the end's share instead
-    assert all(s[2000 + k] < 0 for k in range(len(ends)))
-    assert s[2002] > s[2008], "a word seen after b beats an unseen one"
+    assert s[1001] < s[1000] < 0
+
+
+def test_lm_class_table_sums_to_one(spark):
+    pairs = spark.createDataFrame([(0, 1, 5, 2), (1, 0, 4, 1), (1, 2, 1, 3), (2, 0, 2, 0)], "before int, cls int, a long, b long")
+    weights = lm.learn_mixture(pairs, 3, 3)
+    table = 10 ** lm.class_table(pairs, weights, 3, 3)
+    assert all(abs(sum(w) - 1) < 1e-9 for w in weights) and abs(table.sum(axis=1) - 1).max() < 1e-9
 
 
 def test_url_rules_and_list(spark):
