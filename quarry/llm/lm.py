@@ -1,24 +1,21 @@
 """Language-model scoring by deleted interpolation.
 
-Tokens are lower-cased words and one end per text. Counts of all training tokens are
-gathered (they grow with the corpus). The most frequent HEAD words are told apart
-everywhere; the rest (the tail) is counted exactly too, but joined by shuffle. Bigrams
-are counted over classes: the most frequent words are classes of their own, other head
-words share a class per power of two of their count, and the tail, with all unseen
-words, is one class. A token's probability is
-
-    p(class | previous class) * p(word | class)
-
-where the first is a mixture of the bigram, unigram and uniform estimates. Its weights
-depend on how often the context was seen (a bucket per power of two), and are learned by
-expectation-maximisation: counts come from most of the training documents, and the
-likelihood of the pairs of the others (the deleted part) is raised. At the end all
-training counts are used. Within a class, p is the word's share of the class's count; in
-the tail, (count + 1) / (tail count + tail words + 1), so that one unseen word has a share.
-
-What is broadcast is bounded: HEAD words and a CLASSES x CLASSES table. Defined cases: a
-null text is empty (just the end); a null doc_id trains; repeated rows are scored each;
-an empty table gives no rows, no training documents a uniform model; other columns are
+Tokens are lower-cased words and one end per text. Counts of all training tokens and of all
+pairs (previous word, word) are gathered, exactly; both grow with the corpus. A token's
+probability is a mixture of the bigram, unigram and uniform estimates
+
+    p(w | v) = l2 c(v, w) / c(v) + l1 c(w) / N + l0 / (V + 1)
+
+over N training tokens of V words and one unseen word. Its weights depend on how often the
+context v was seen (a bucket per power of two), and are learned by expectation-maximisation:
+counts come from most of the training documents, and the likelihood of the pairs of the
+others (the deleted part) is raised. At the end all training counts are used; a context that
+was never seen has no bigram estimate.
+
+The most frequent HEAD words and FREQUENT pairs are broadcast, so that tasks need no join for
+them; all other words and pairs are joined by shuffle, which changes no result. Defined
+cases: a null text is empty (just the end); a null doc_id trains; repeated rows are scored
+each; an empty table gives no rows, no training documents a uniform model; other columns are
 ignored.
 """
 
@@ -34,9 +31,11 @@ from pyspark.sql import functions as F
 from ..session import write_table
 from .text import scan_words
 
-HEAD = 1 << 18
+HEAD_BITS = 18
+HEAD = 1 << HEAD_BITS
+FREQUENT = 1 << 18
 CLASSES = 2048
-BANDS = 64
+SLICE_TOKENS = 1_000_000
 END = np.uint64(0)
 EM_ROUNDS = 10
 BUCKETS = 48
@@ -52,106 +51,137 @@ def with_end(w) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _merge(h: list, n: list) -> tuple[np.ndarray, np.ndarray]:
+def _merge(h: list, c: list, a: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     u, at = np.unique(np.concatenate(h), return_inverse=True)
-    return u, np.bincount(at, weights=np.concatenate(n), minlength=len(u)).astype(np.int64)
+    return u, *(np.bincount(at, weights=np.concatenate(n), minlength=len(u)).astype(np.int64) for n in (c, a))
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hs, ns, size = [], [], 0
+    """h, c (all) and a (without the deleted part)."""
+    hs, cs, ns, size = [], [], [], 0
     for b in batches:
-        for _, _, w in scan_words(b.column("text")):
-            u, n = np.unique(with_end(w)[0], return_counts=True)
+        deleted = b.column("deleted").to_numpy(zero_copy_only=False).astype(bool)
+        for i, j, w in scan_words(b.column("text")):
+            t, ends = with_end(w)
+            u, at = np.unique(t, return_inverse=True)
             hs.append(u)
-            ns.append(n)
+            cs.append(np.bincount(at, minlength=len(u)))
+            ns.append(np.bincount(at[~np.repeat(deleted[i:j], lengths(ends))], minlength=len(u)))
             size += len(u)
             if size > 4_000_000:
-                u, n = _merge(hs, ns)
+                u, c, n = _merge(hs, cs, ns)
                 if len(u) > 2_000_000:
-                    yield _counted(u, n)
-                    hs, ns, size = [], [], 0
+                    yield _counted(u, c, n)
+                    hs, cs, ns, size = [], [], [], 0
                 else:
-                    hs, ns, size = [u], [n], len(u)
+                    hs, cs, ns, size = [u], [c], [n], len(u)
     if hs:
-        yield _counted(*_merge(hs, ns))
+        yield _counted(*_merge(hs, cs, ns))
 
 
-def _counted(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "c"])
+def lengths(ends: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[-1], ends]))
 
 
-class Head:
-    """The frequent words: sorted hashes, counts and classes; tail is the class of all others."""
+def _counted(u: np.ndarray, c: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(a.astype(np.int64))], ["h", "c", "a"])
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, classes: int):
-        """h, c: by falling count."""
-        own = classes - BANDS - 1
-        cls = np.where(np.arange(len(h)) < own, np.arange(len(h)), own + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64))
-        self.tail, self.classes = classes - 1, classes
-        order = np.argsort(h)
-        self.h, self.c, self.cls = h[order], c[order], cls[order].astype(np.int64)
 
-    def parts(self) -> tuple:
-        """What tasks need, as plain arrays."""
-        return self.h, self.cls, self.classes
+def code_of(h):
+    """The code of a word that isn't in the head: its hash, out of the range of head numbers."""
+    return F.when((h >= 0) & (h < HEAD), h + HEAD).otherwise(h)
 
 
-def find(head: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index in the head or -1, class) of token hashes."""
-    head_h, head_cls, classes = head
-    if not len(head_h):
-        return np.full(len(h), -1), np.full(len(h), classes - 1)
+def codes(head: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, index into them per token, hashes of the distinct): a head word's code is its number in the head."""
     u, back = np.unique(h, return_inverse=True)
-    at = np.minimum(np.searchsorted(head_h, u), len(head_h) - 1)
-    hit = head_h[at] == u
-    return np.where(hit, at, -1)[back], np.where(hit, head_cls[at], classes - 1)[back]
+    code = np.where(u < HEAD, u + np.uint64(HEAD), u).view(np.int64)
+    head_h = head[0]
+    if len(head_h):
+        at = np.minimum(np.searchsorted(head_h, u), len(head_h) - 1)
+        code = np.where(head_h[at] == u, at, code)
+    return code, back, u
+
+
+def _before(back: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each token the one before it; a document's first comes after an end."""
+    out = np.concatenate([back[:1], back[:-1]])
+    out[np.concatenate([[0], ends[:-1] + 1])] = back[ends]
+    return out
 
 
 def _pairs(head):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = head.value[2]
-        dense = np.zeros((2, k * k), dtype=np.int32)
-        waiting: list[list] = [[], []]
+    """v, w, a, b: counts in the training documents without and in the deleted part; pairs of held-out documents alone have zeros."""
 
-        def flush(p: int) -> None:
-            if waiting[p]:
-                u, n = np.unique(np.concatenate(waiting[p]), return_counts=True)
-                dense[p][u] += n.astype(np.int32)
-                waiting[p].clear()
+    def counted(waiting: list) -> pa.RecordBatch:
+        t, v, part = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        code, back, _ = codes(head.value, np.concatenate([v, t]))
+        k, at = np.unique(back[: len(v)] * len(code) + back[len(v) :], return_inverse=True)
+        a, b = (np.bincount(at[part == p], minlength=len(k)).astype(np.int64) for p in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(code[k // len(code)]), pa.array(code[k % len(code)]), pa.array(a), pa.array(b)], ["v", "w", "a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for b in batches:
-            deleted = b.column("deleted").to_numpy(zero_copy_only=False)
+            held, deleted = (b.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("held_out", "deleted"))
+            part = np.where(held, 2, deleted.astype(np.int8))
             for i, j, w in scan_words(b.column("text")):
                 t, ends = with_end(w)
-                _, cls = find(head.value, t)
-                end_cls = cls[ends[0]]
-                before = np.concatenate([[end_cls], cls[:-1]])
-                code = before * k + cls
-                part = np.repeat(deleted[i:j], np.diff(np.concatenate([[-1], ends])))
-                for p in (0, 1):
-                    waiting[p].append(code[part == p])
-                    if sum(map(len, waiting[p])) > 1_000_000:
-                        flush(p)
-        for p in (0, 1):
-            flush(p)
-        at = np.flatnonzero(dense.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at // k, pa.int32()), pa.array(at % k, pa.int32()), pa.array(dense[0][at].astype(np.int64)), pa.array(dense[1][at].astype(np.int64))], ["before", "cls", "a", "b"])
+                waiting.append((t, _before(t, ends), np.repeat(part[i:j], lengths(ends))))
+                size += len(t)
+                if size > SLICE_TOKENS:
+                    yield counted(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield counted(waiting)
+
+    return run
+
+
+def _with_head_counts(head):
+    """Adds cv, av, cw, aw (all training tokens and those outside the deleted part, of both words); null for words outside the head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, c, a = head.value
+        for b in batches:
+            cols = list(b.columns)
+            for x in ("v", "w"):
+                code = b.column(x).to_numpy()
+                known = (code >= 0) & (code < len(c))
+                at = np.where(known, code, 0)
+                for n in (c, a):
+                    cols.append(pa.array(n[at] if len(n) else np.zeros(len(at), np.int64), mask=~known))
+            yield pa.RecordBatch.from_arrays(cols, ["v", "w", "a", "b", "cv", "av", "cw", "aw"])
 
     return run
 
 
+def with_counts(pairs: DataFrame, tail: DataFrame) -> DataFrame:
+    """The counts of tail words (code, c, a) filled in by shuffle joins; a word that was never trained on has 0."""
+    for x in ("v", "w"):
+        c, a = f"c{x}", f"a{x}"
+        known = pairs.filter(F.col(c).isNotNull())
+        rare = pairs.filter(F.col(c).isNull()).drop(c, a).join(tail.select(F.col("code").alias(x), F.col("c").alias(c), F.col("a").alias(a)).hint("merge"), x, "left")
+        pairs = known.unionByName(rare.withColumns({c: F.coalesce(c, F.lit(0)), a: F.coalesce(a, F.lit(0))}))
+    return pairs
+
+
 def learn_mixture(pairs: DataFrame, classes: int, live: int, rounds: int = EM_ROUNDS) -> list[list[float]]:
-    """Weights (bigram, unigram, uniform) per context-frequency bucket, by EM on the deleted counts b."""
+    """Weights (bigram, unigram, uniform) per context-frequency bucket, by EM on the deleted counts b; of a small vocabulary."""
     before = pairs.groupBy("before").agg(F.sum("a").alias("ca"))
     after = pairs.groupBy("cls").agg(F.sum("a").alias("wa"))
     n = pairs.agg(F.sum("a").alias("n")).first()["n"] or 0
+    # both tables have at most `classes` rows
+    return mixture_weights(pairs.filter("b > 0").join(F.broadcast(before), "before").join(F.broadcast(after), "cls"), n, live, rounds)
+
+
+def mixture_weights(d: DataFrame, n: int, live: int, rounds: int = EM_ROUNDS) -> list[list[float]]:
+    """As learn_mixture, of deleted pairs with their counts: a of the pair, ca of the context, wa of the word, b in the deleted part; n: sum of wa over all words."""
     weights = [[1 / 3, 1 / 3, 1 / 3] for _ in range(BUCKETS)]
     if not n:
         return [[0.0, 0.0, 1.0] for _ in range(BUCKETS)]
-    # both tables have at most `classes` rows
-    d = pairs.filter("b > 0").join(F.broadcast(before), "before").join(F.broadcast(after), "cls")
     p2 = F.when(F.col("ca") > 0, F.col("a") / F.col("ca")).otherwise(F.lit(0.0))
-    d = write_table(d.select(bucket_of(F.col("ca")).alias("bucket"), p2.alias("p2"), (F.col("wa") / F.lit(float(n))).alias("p1"), "b"), "held_out_pairs")
+    d = write_table(d.select(bucket_of(F.col("ca")).alias("bucket"), p2.alias("p2"), (F.col("wa") / F.lit(float(n))).alias("p1"), "b").groupBy("bucket", "p2", "p1").agg(F.sum("b").alias("b")), "held_out_pairs")
     for _ in range(rounds):
         parts = [F.get(F.array(*[F.lit(w[k]) for w in weights]), "bucket") * p for k, p in enumerate((F.col("p2"), F.col("p1"), F.lit(1.0 / live)))]
         total = parts[0] + parts[1] + parts[2]
@@ -171,7 +201,7 @@ def bucket_of(count):
 
 
 def class_table(pairs: DataFrame, weights: list[list[float]], classes: int, live: int) -> np.ndarray:
-    """log10 p(class | previous class), from all training counts; at most classes x classes numbers."""
+    """log10 p(w | v) of a whole small vocabulary, from all training counts; classes x classes numbers in memory. score_documents gives the same by joins."""
     got = pairs.select("before", "cls", (F.col("a") + F.col("b")).alias("n")).toArrow()
     c = np.zeros((classes, classes))
     c[got.column("before").to_numpy(), got.column("cls").to_numpy()] = got.column("n").to_numpy()
@@ -184,11 +214,37 @@ def class_table(pairs: DataFrame, weights: list[list[float]], classes: int, live
     return np.log10(c)
 
 
-def _score(head, table, inside):
+def log_p(weights: list[list[float]], n: int, live: int):
+    """log10 p(w | v) as a column of c (the pair), cv and cw."""
+    seen = F.col("cv") > 0
+    lam = [F.get(F.array(*[F.lit(w[k]) for w in weights]), bucket_of(F.col("cv"))) for k in range(3)]
+    if n == 0:
+        return F.lit(-float(np.log10(live)))
+    never = F.lit(0.5) * F.col("cw") / F.lit(float(n)) + F.lit(0.5 / live)
+    return F.log10(F.when(seen, lam[0] * F.col("c") / F.col("cv") + lam[1] * F.col("cw") / F.lit(float(n)) + lam[2] / F.lit(float(live))).otherwise(never))
+
+
+def _doc_pairs(head, frequent, w, ends, t) -> tuple[np.ndarray, ...]:
+    """Of a slice: (document, v, w, count) of the distinct pairs of each document, where each is in the frequent pairs, and whether it is."""
+    code, back, _ = codes(head, t)
+    u = len(code)
+    doc = np.repeat(np.arange(len(ends)), lengths(ends))
+    k, n = np.unique((doc * u + _before(back, ends)) * u + back, return_counts=True)
+    doc, v, w = k // (u * u), code[k // u % u], code[k % u]
+    keys = frequent[0]
+    if not len(keys):
+        return doc, v, w, n, np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+    own = (v >= 0) & (v < HEAD) & (w >= 0) & (w < HEAD)
+    key = np.where(own, (v << HEAD_BITS) | w, -1)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return doc, v, w, n, at, keys[at] == key
+
+
+def _score(head, frequent):
+    """Token numbers, and the part of both scores that the broadcast tables give."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hd, k = head.value, head.value[2]
-        within, log_c = inside.value
-        flat = table.value.ravel()
+        log_c = np.log10(head.value[1] + 1.0)
         for b in batches:
             rows = b.num_rows
             out = {x: np.zeros(rows) for x in ("score", "base")}
@@ -196,31 +252,43 @@ def _score(head, table, inside):
             tails = []
             for i, j, w in scan_words(b.column("text")):
                 t, ends = with_end(w)
-                at, cls = find(hd, t)
+                code, back, _ = codes(head.value, t)
                 first = np.concatenate([[0], ends[:-1] + 1])
-                before = np.concatenate([[0], cls[:-1]])
-                before[first] = cls[ends]
-                known = at >= 0
-                lp = flat[before * k + cls]
-                lp[known] += within[at[known]]
+                at = code[back]
+                known = (at >= 0) & (at < HEAD)
                 base = np.zeros(len(t))
                 base[known] = log_c[at[known]]
-                out["score"][i:j] = np.add.reduceat(lp, first)
+                doc, _, _, n, where, hit = _doc_pairs(head.value, frequent.value, w, ends, t)
+                out["score"][i:j] = np.bincount(doc[hit], weights=n[hit] * frequent.value[1][where[hit]], minlength=j - i)
                 out["base"][i:j] = np.add.reduceat(base, first)
-                n_tokens[i:j] = np.diff(np.concatenate([[-1], ends]))
+                n_tokens[i:j] = lengths(ends)
                 n_head[i:j] = np.add.reduceat(known.astype(np.int64), first)
                 n_tail[i:j] = n_tokens[i:j] - n_head[i:j]
                 tails.append(t[~known].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum(n_tail)]).astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), b.column("held_out"), pa.array(n_tokens), pa.array(n_head), pa.array(n_tail), pa.array(out["base"]), pa.array(out["score"]), tail],
-                ["doc_id", "th", "held_out", "n_tokens", "n_head", "n_tail", "base", "score", "tail"],
+                [b.column("doc_id"), b.column("th"), b.column("held_out"), pa.array(n_tokens), pa.array(n_head), pa.array(out["base"]), pa.array(out["score"]), tail],
+                ["doc_id", "th", "held_out", "n_tokens", "n_head", "base", "score", "tail"],
             )
 
     return run
 
 
+def _other_pairs(head, frequent):
+    """The pairs of each document that aren't frequent: doc_id, th, v, w, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, w in scan_words(b.column("text")):
+                t, ends = with_end(w)
+                doc, v, x, n, _, hit = _doc_pairs(head.value, frequent.value, w, ends, t)
+                rows = pa.array(doc[~hit] + i)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), pa.array(v[~hit]), pa.array(x[~hit]), pa.array(n[~hit].astype(np.int64))], ["doc_id", "th", "v", "w", "n"])
+
+    return run
+
+
 def head_of(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent words, at most `most`: all words above a count that a histogram of counts gives, so nothing is sorted in one task."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 64)
@@ -232,44 +300,56 @@ def head_of(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.lit(False)) if least is None else counts.filter(step >= least)
 
 
-def score_documents(docs: DataFrame, held_out, deleted, head_words: int = HEAD, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows that aren't held_out, those of them that are deleted serve EM. Both are boolean columns."""
+def score_documents(docs: DataFrame, held_out, deleted, head_words: int = HEAD, classes: int = CLASSES, frequent_pairs: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows that aren't held_out, those of them that are deleted serve EM. Both are boolean columns.
+
+    head_words (at most HEAD) and frequent_pairs bound what is broadcast and change no result; classes has no effect any more.
+    """
     sc = docs.sparkSession.sparkContext
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), held_out.alias("held_out"), deleted.alias("deleted"), "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(deleted, F.lit(False)).alias("deleted"), "text")
     train = texts.filter(~F.col("held_out"))
-    counts = write_table(train.select("text").mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "unigrams")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    counts = write_table(train.select("deleted", "text").mapInArrow(_unigrams, "h long, c long, a long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "unigrams")
+    total = counts.agg(F.sum("c").alias("n"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    top = head_of(counts, head_words).toArrow()
-    top_h, top_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.lexsort((top_h, -top_c))
-    hd = Head(top_h[order], top_c[order], classes)
-    tail_c, tail_v = n - int(hd.c.sum()), v - len(hd.h)
-    head = sc.broadcast(hd.parts())
-    pairs = write_table(train.select("deleted", "text").mapInArrow(_pairs(head), "before int, cls int, a long, b long").groupBy("before", "cls").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "pairs")
-    live = len(np.union1d(hd.cls, [hd.tail]))
-    table = sc.broadcast(class_table(pairs, learn_mixture(pairs, classes, live), classes, live))
-    of_class = np.bincount(hd.cls, weights=hd.c, minlength=classes)
-    within = np.log10(hd.c / of_class[hd.cls]) if len(hd.h) else np.zeros(0)
-    inside = sc.broadcast((within, np.log10(hd.c + 1.0)))
+    live = v + 1
+    top = head_of(counts, min(head_words, HEAD)).toArrow()
+    h, c, a = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), top.column("a").to_numpy()
+    order = np.argsort(h)
+    head = sc.broadcast((h[order], c[order], a[order]))
+    tail = counts if not len(c) else counts.filter(F.col("c") < F.lit(int(c.min())))
+    tail = tail.select(code_of(F.col("h")).alias("code"), "c", "a")
+    grouped = texts.select("held_out", "deleted", "text").mapInArrow(_pairs(head), "v long, w long, a long, b long").groupBy("v", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    pairs = write_table(grouped.mapInArrow(_with_head_counts(head), "v long, w long, a long, b long, cv long, av long, cw long, aw long"), "pairs")
+    weights = mixture_weights(with_counts(pairs.filter("b > 0"), tail).select("a", F.col("av").alias("ca"), F.col("aw").alias("wa"), "b"), total["a"] or 0, live)
+    pairs = pairs.withColumn("c", F.col("a") + F.col("b"))
+    # head words have their counts already, so that this needs no join
+    often = pairs.filter((F.col("c") > 0) & F.col("v").between(0, HEAD - 1) & F.col("w").between(0, HEAD - 1))
+    often = head_of(often, frequent_pairs).select(F.shiftleft("v", HEAD_BITS).bitwiseOR(F.col("w")).alias("key"), log_p(weights, n, live).alias("lp")).toArrow()
+    key, lp = often.column("key").to_numpy(), often.column("lp").to_numpy()
+    order = np.argsort(key)
+    frequent = sc.broadcast((key[order], lp[order]))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th long, held_out boolean, n_tokens long, n_head long, n_tail long, base double, score double, tail array<long>"
-    scored = write_table(texts.drop("deleted").mapInArrow(_score(head, table, inside), schema), "scored")
-    tail = scored.select("doc_id", "th", F.explode("tail").alias("h")).join(counts.hint("merge"), "h")
-    tail = tail.groupBy("doc_id", "th").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"), F.count("*").alias("tail_known"))
-    flat = ["held_out", "n_tokens", "n_head", "n_tail", "base", "score"]
-    rows = scored.select("doc_id", "th", *flat, F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("tail_log"), F.lit(0).cast("long").alias("tail_known"))
-    rows = rows.unionByName(tail.withColumn("n", F.lit(0).cast("long")), allowMissingColumns=True)
-    g = rows.groupBy("doc_id", "th").agg(*[F.max(c).alias(c) for c in flat], F.sum("n").alias("n"), F.sum("tail_log").alias("tail_log"), F.sum("tail_known").alias("tail_known"))
-    tail_log = F.col("tail_log") / F.col("n")
+    schema = f"doc_id {kind}, th long, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<long>"
+    texts = texts.drop("deleted")
+    scored = write_table(texts.mapInArrow(_score(head, frequent), schema), "scored")
+    known = scored.select("doc_id", "th", F.explode("tail").alias("h")).join(counts.hint("merge"), "h")
+    known = known.groupBy("doc_id", "th").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"), F.count("*").alias("tail_known"))
+    other = texts.mapInArrow(_other_pairs(head, frequent), f"doc_id {kind}, th long, v long, w long, n long")
+    other = other.join(with_counts(pairs, tail).select("v", "w", log_p(weights, n, live).alias("lp")).hint("merge"), ["v", "w"])
+    other = other.groupBy("doc_id", "th").agg(F.sum(F.col("n") * F.col("lp")).alias("pair_log"))
+    flat = ["held_out", "n_tokens", "n_head", "base", "score"]
+    sums = ["tail_log", "tail_known", "pair_log"]
+    rows = scored.select("doc_id", "th", *flat, F.lit(1).cast("long").alias("n"))
+    rows = rows.unionByName(known, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+    g = rows.groupBy("doc_id", "th").agg(*[F.max(x).alias(x) for x in flat], F.sum("n").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums])
     return g.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_head") + F.col("tail_known") / F.col("n")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + tail_log - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        (F.col("score") + tail_log - F.col("n_tail") * F.log10(F.lit(float(tail_c + tail_v + 1)))).alias("score"),
+        (F.col("base") + F.col("tail_log") / F.col("n") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+        (F.col("score") + F.col("pair_log") / F.col("n")).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("each"),
     ).drop("each")
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -91,6 +92,28 @@ def test_lm_class_table_sums_to_one(spark):
     assert all(abs(sum(w) - 1) < 1e-9 for w in weights) and abs(table.sum(axis=1) - 1).max() < 1e-9
 
 
+@pytest.mark.parametrize("head, frequent", [(0, 0), (4, 0), (1000, 3), (1000, 1000)])
+def test_lm_bigrams_are_exact(spark, head, frequent):
+    """Mid-frequency pairs count one by one: a text of seen pairs beats its reordering, and all scores equal those of a table of the whole vocabulary."""
+    word = [f"w{i:02}" for i in range(40)]
+    train = [(i, " ".join(word[(i + j) % 40] for j in range(6)), i % 4 == 0, False) for i in range(80)] + [(None, "alone x", False, False), (None, "alone y", True, False)]
+    probe = [(900, "w10 w11 w12 w13", False, True), (901, "w10 w12 w11 w13", False, True), (902, "never w10 never2", False, True), (902, "never w10 never2", False, True), (903, None, False, True)]
+    d = spark.createDataFrame([*train, *probe], "doc_id long, text string, deleted boolean, held boolean")
+    got = lm.score_documents(d, F.col("held"), F.col("deleted"), head_words=head, classes=66, frequent_pairs=frequent).collect()
+    text = {r.doc_id: r.score for r in got}
+    assert len(got) == len(train) + len(probe) and text[900] > text[901] + 1
+    toks = lambda t: ["\n", *words(t), "\n"]
+    ids = {w: i for i, w in enumerate(sorted({w for r in train for w in toks(r[1])}))}
+    size = len(ids) + 1
+    a, b = collections.Counter(), collections.Counter()
+    for _, t, gone, _ in train:
+        (b if gone else a).update(itertools.pairwise(ids[w] for w in toks(t)))
+    pairs = spark.createDataFrame([(*k, a[k], b[k]) for k in a.keys() | b.keys()], "before int, cls int, a long, b long")
+    table = lm.class_table(pairs, lm.learn_mixture(pairs, size, size), size, size)
+    want = [(str(i), round(sum(table[x, y] for x, y in itertools.pairwise(ids.get(w, size - 1) for w in toks(t))), 6)) for i, t, _, _ in [*train, *probe]]
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(want)
+
+
 def test_url_rules_and_list(spark):
     url = ["http://a.NET/x", "https://m.example.net/en/1?q", "http://www.example.com/de/2#f", "http://x.org/fr/3", "http://free.io/a/index.html", "https://www.free.io/a?z=1", "http://free.io/b", None, "nothing", "http://a.net?x", "http://example.net/english"]
     d = spark.createDataFrame([(i, u) for i, u in enumerate(url)] + [(5, url[5])], "page_id long, url string")
