@@ -20,14 +20,14 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays (once, if its row is repeated)."""
-    stay = jaccard.link_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    d = docs.dropDuplicates(["doc_id"]) if _repeated(docs) else docs
-    return d.join(stay.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("stay")), "left_semi").select(docs.columns)
-
-
-def _repeated(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """Of each component of linked documents one stays: the smallest doc_id (null last), of those the smallest text hash. Documents without shingles stay. A row with the doc_id and text of another stays once."""
+    d = docs.withColumn("own_th", F.xxhash64("text"))
+    rows = jaccard.labelled_rows(d.select("doc_id", F.col("own_th").alias("th"), "text"), ["doc_id", "th"])
+    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
+    stay = first.select("first.doc_id", "first.th").unionByName(rows.filter("label is null").select("doc_id", "th").distinct()).withColumnRenamed("doc_id", "stay")
+    if not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        d = d.dropDuplicates(["doc_id", "own_th"])
+    return d.join(stay.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("stay")) & (d["own_th"] == F.col("th")), "left_semi").select(docs.columns)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

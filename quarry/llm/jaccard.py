@@ -131,7 +131,7 @@ def prefix_keys(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple
     return rare, np.concatenate(combos) if combos else np.zeros(0, np.uint64)
 
 
-def _index(frequent, words: int):
+def _index(frequent, words: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
@@ -148,7 +148,7 @@ def _index(frequent, words: int):
                         lists[k].append(keys)
                         lens[k, i] = len(keys)
             arrays = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens[k])]).astype(np.int32)), pa.array(np.concatenate(lists[k]).view(np.int64) if lists[k] else np.zeros(0, np.int64))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), pa.array(size), *arrays], ["doc_id", "node", "n", "singles", "combos"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node), pa.array(size), *arrays], [*keep, "node", "n", "singles", "combos"])
 
     return run
 
@@ -214,11 +214,19 @@ def shared_keys(index: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    rows = labelled_rows(docs, ["doc_id"], words)
+    names = write_table(rows.groupBy("label").agg(F.min("doc_id").alias("least")), "names")
+    out = rows.join(names.hint("merge"), "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def labelled_rows(docs: DataFrame, keep: list[str], words: int = WORDS) -> DataFrame:
+    """The kept columns, n (shingles) and label (of the component; null without shingles) of every row of docs (also: text); written."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(*keep, "text")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     frequent = sc.broadcast(frequent_shingles(docs, words))
-    index = write_table(docs.mapInArrow(_index(frequent, words), f"doc_id {kind}, node long, n long, singles array<long>, combos array<long>"), "index")
+    index = write_table(docs.mapInArrow(_index(frequent, words, keep), f"{kinds}, node long, n long, singles array<long>, combos array<long>"), "index")
     lists = write_table(shared_keys(index), "lists")
     info = index.groupBy("node").agg(F.max("n").alias("n"), F.max(F.size("singles")).alias("p"), F.max(F.size("combos") > 0).alias("more"))
     info = write_table(info.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "info")
@@ -237,11 +245,8 @@ def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sets = sets_for(docs, [apart.select(F.col("a").alias("h")), apart.select(F.col("b").alias("h"))], words)
     links = links.unionByName(write_table(verified(apart, sets), "later_links"))
     labels = components(links)
-    rows = index.select("doc_id", "node", "n").join(labels.hint("merge"), "node", "left")
-    rows = write_table(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "labelled")
-    names = write_table(rows.groupBy("label").agg(F.min("doc_id").alias("least")), "names")
-    out = rows.join(names.hint("merge"), "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    rows = index.select(*keep, "node", "n").join(labels.hint("merge"), "node", "left")
+    return write_table(rows.select(*keep, "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "labelled")
 
 
 def sets_for(docs: DataFrame, nodes: list[DataFrame], words: int) -> DataFrame:

@@ -36,6 +36,15 @@ def test_stages_keep_columns_and_follow_each_other(spark):
     assert sorted(got.doc_id) == sorted(kept["mixture"].doc_id) and set(got["shard"]) <= set(range(8))
 
 
+def test_near_duplicates_tell_texts_apart_under_one_doc_id(spark):
+    t = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdefg"]
+    rows = [(3, t[1]), (5, t[0]), (5, t[1]), (5, t[1]), (None, t[2]), (None, t[3]), (None, t[4]), (None, t[4]), (None, t[0]), (9, t[5]), (None, t[5] + " tail"), (7, None), (7, ""), (7, ""), (None, ""), (8, t[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, DIR)
+    want = [(3, t[1]), (5, t[0]), (None, t[2]), (None, t[3]), (None, t[4]), (9, t[5]), (7, None), (7, ""), (None, ""), (8, t[6])]
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_queries_have_no_gaps():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
