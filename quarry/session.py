@@ -59,7 +59,15 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = top
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of write_table once their last reader is done."""
+    for t in tables:
+        _drop(t.sparkSession, t._scratch)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
