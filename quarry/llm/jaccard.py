@@ -9,17 +9,24 @@ eighth of the size band), each class counts one unit less than its shingles, for
 the prefix is extended, and is indexed by its 2-shingle combinations. Two sets meet at a
 size band both use, so combinations also bear the length bound.
 
-Nodes that share a key are linked through verified pairs, after a positional bound on the
-keys they share. First each node is compared with the one list leader that it shares most
-keys with; nodes of long lists then try, for some rounds, a few stand-ins of the list's
-largest component; last, all pairs of a list that are still apart are compared. So a group of near copies takes about
-one comparison a member, and no link between different components is left out.
+Nodes that share a key are linked through verified pairs. First each node is compared with
+the one list leader that it shares most keys with, after a positional bound. Nodes that are
+then still outside a list's largest component are compared with the members of the other
+components, and nothing else: in lists of up to HOT_LIST nodes by a join, in longer ones
+block by block inside tasks, which give rows for near pairs only. What decides that a pair
+is near is a parity sketch of each set: its bits differ in at most as many places as the sets
+do, so a pair with more differences than 0.8 allows is out for certain; the rest are verified
+on the whole sets. In the first round over long lists each node brings forward its nearest
+NEAREST of each block, which joins up groups of near copies; the second round brings
+forward all that are still apart, so no link between components is left out.
 
 Shingles and sets are held as 64-bit hashes. The table of frequent shingles (found by
 tasks that meet them twice) is bounded and just sets the order, which any order would do
-right. Defined cases: texts without words have empty sets and are their own component;
-repeated rows are equal sets; a null doc_id never names a component unless it is alone
-(then null); an empty table gives no rows; other columns are ignored.
+right; lists of any length are led by a pre-aggregated minimum and split by block. Defined
+cases: texts without words have empty sets and are their own component; very long texts
+are scanned whole, as one slice; repeated rows and ties are equal sets, one node; a null
+doc_id never names a component unless it is alone (then null); an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_table
+from ..session import drop_table, write_table
 from . import bits as bitmaps
 from .components import components
 from .text import mix, scan_words, shingles
 
 WORDS = 5
-#: lists of so many nodes are joined up by stand-ins before pairs are compared
-HOT_LIST, MERGE_ROUNDS, STAND_INS = 64, 2, 8
+#: lists of more nodes are compared block by block; partners a node brings forward in the first round; bytes of sketches in a block
+HOT_LIST, NEAREST, BLOCK_BYTES = 64, 2, 1 << 17
 #: Jaccard of 4 / 5
 NUM, DEN = 4, 5
 FREQUENT = 32
@@ -54,6 +61,21 @@ def sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray
             yield i + d, np.unique(shingles(w.hashes[w.first[d] : w.first[d + 1]], words))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity sketch: a bit for each residue of the shingle hashes, 4 to 8 times as many bits as shingles; set where an odd number fall."""
+    bits = 1 << max(8, (len(s) - 1).bit_length() + 2)
+    at = ((s >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) folded to a smaller width: still parities of the same set."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
 def node_of(s: np.ndarray) -> int:
     """64-bit name of a set."""
     return int(mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0
@@ -139,16 +161,18 @@ def _index(frequent, words: int, keep: list[str]):
             node, size = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             lists: list[list[np.ndarray]] = [[], []]
             lens = np.zeros((2, rows), np.int64)
+            sketches: list[bytes | None] = [None] * rows
             for i, s in sets_of(b, words):
                 node[i], size[i] = node_of(s), len(s)
                 if len(s) > NUM - 1 and node[i] not in met:
                     if len(met) < 1_000_000:
                         met.add(int(node[i]))
+                    sketches[i] = sketch(s)
                     for k, keys in enumerate(prefix_keys(s, frequent.value)):
                         lists[k].append(keys)
                         lens[k, i] = len(keys)
             arrays = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens[k])]).astype(np.int32)), pa.array(np.concatenate(lists[k]).view(np.int64) if lists[k] else np.zeros(0, np.int64))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node), pa.array(size), *arrays], [*keep, "node", "n", "singles", "combos"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node), pa.array(size), *arrays, pa.array(sketches, pa.binary())], [*keep, "node", "n", "singles", "combos", "sketch"])
 
     return run
 
@@ -193,23 +217,17 @@ def fits(x, y):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def shared_keys(index: DataFrame) -> DataFrame:
-    """key, node, n, leader, leader_n, single for every entry of a list with two nodes or more.
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """key, single, node, n, leader, leader_n, size for every entry of a list with two nodes or more.
 
-    Lists of rare shingles are short: a window finds their leaders. Lists of combinations
-    may be as long as a group of copies: leaders are pre-aggregated and joined.
+    A list may be as long as a group of copies: leaders are pre-aggregated and joined.
     """
-    from pyspark.sql import Window
-
-    singles = index.select(F.explode("singles").alias("key"), "node", "n")
-    w = Window.partitionBy("key").orderBy("node")
-    of_rare = singles.select("key", "node", "n", F.first(F.struct("node", "n")).over(w).alias("lead"), F.lead("node").over(w).alias("next"))
-    of_rare = of_rare.filter("node <> lead.node or next <> node").select("key", "node", "n", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.lit(True).alias("single"))
-    combos = index.select(F.explode("combos").alias("key"), "node", "n")
-    lead = combos.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).filter("last <> lead.node")
-    lead = write_table(lead.select("key", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "leaders")
-    of_often = combos.join(lead.hint("shuffle_hash"), "key").select("key", "node", "n", "leader", "leader_n", F.lit(False).alias("single"))
-    return of_rare.unionByName(of_often)
+    entries = nodes.select(F.explode("singles").alias("key"), "node", "n", F.lit(True).alias("single")).unionByName(nodes.select(F.explode("combos").alias("key"), "node", "n", F.lit(False).alias("single")))
+    lead = entries.groupBy("key", "single").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    lead = write_table(lead.select("key", "single", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), "size"), "leaders")
+    lists = write_table(entries.join(lead.hint("merge"), ["key", "single"]), "lists")
+    drop_table(lead)
+    return lists
 
 
 def link_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -226,27 +244,37 @@ def labelled_rows(docs: DataFrame, keep: list[str], words: int = WORDS) -> DataF
     docs = docs.select(*keep, "text")
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     frequent = sc.broadcast(frequent_shingles(docs, words))
-    index = write_table(docs.mapInArrow(_index(frequent, words, keep), f"{kinds}, node long, n long, singles array<long>, combos array<long>"), "index")
-    lists = write_table(shared_keys(index), "lists")
-    info = index.groupBy("node").agg(F.max("n").alias("n"), F.max(F.size("singles")).alias("p"), F.max(F.size("combos") > 0).alias("more"))
+    index = write_table(docs.mapInArrow(_index(frequent, words, keep), f"{kinds}, node long, n long, singles array<long>, combos array<long>, sketch binary"), "index")
+    nodes = write_table(index.filter("sketch is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "singles", "combos", "sketch")]), "nodes")
+    lists = shared_keys(nodes)
+    info = nodes.select("node", "n", F.size("singles").alias("p"), (F.size("combos") > 0).alias("more"), "sketch")
     info = write_table(info.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "info")
+    drop_table(nodes)
     led = lists.filter(fits(F.col("n"), F.col("leader_n")) & (F.col("node") != F.col("leader"))).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"), F.count("*").alias("votes"))
     best = may_link(led, info).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     best = write_table(best, "leader_pairs")
-    hot = write_table(lists.join(lists.groupBy("key", "single").count().filter(F.col("count") >= HOT_LIST).drop("count").hint("merge"), ["key", "single"], "left_semi"), "hot_lists")
+    hot = write_table(lists.filter(F.col("size") > HOT_LIST).select("key", "single", "node").join(info.select("node", "n", "sketch").hint("merge"), "node"), "hot_lists")
     sets = sets_for(docs, [best.select(F.col("a").alias("h")), best.select(F.col("b").alias("h")), hot.select(F.col("node").alias("h"))], words)
     links = write_table(verified(best, sets), "leader_links")
-    for no in range(MERGE_ROUNDS):
-        more = write_table(verified(_to_main(hot, components(links), no), sets), "merge_links")
-        if more.isEmpty():
-            break
+    labels = components(links)
+    nearest = write_table(near_in_blocks(hot, labels, NEAREST), "nearest_pairs")
+    more = write_table(verified(nearest, sets), "nearest_links")
+    drop_table(sets)
+    if not more.isEmpty():
         links = links.unionByName(more)
-    apart = write_table(may_link(_apart(lists, components(links)), info).select("a", "b"), "apart_pairs")
+        labels = components(links)
+    apart = near_in_blocks(hot, labels, 0).unionByName(near(_apart(lists.filter(F.col("size") <= HOT_LIST), labels), info)).distinct()
+    apart = write_table(apart, "apart_pairs")
+    drop_table(hot, lists)
     sets = sets_for(docs, [apart.select(F.col("a").alias("h")), apart.select(F.col("b").alias("h"))], words)
-    links = links.unionByName(write_table(verified(apart, sets), "later_links"))
-    labels = components(links)
+    last = write_table(verified(apart, sets), "later_links")
+    drop_table(sets)
+    if not last.isEmpty():
+        labels = components(links.unionByName(last))
     rows = index.select(*keep, "node", "n").join(labels.hint("merge"), "node", "left")
-    return write_table(rows.select(*keep, "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "labelled")
+    out = write_table(rows.select(*keep, "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "labelled")
+    drop_table(index, info)
+    return out
 
 
 def sets_for(docs: DataFrame, nodes: list[DataFrame], words: int) -> DataFrame:
@@ -259,21 +287,92 @@ def sets_for(docs: DataFrame, nodes: list[DataFrame], words: int) -> DataFrame:
     return write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _to_main(hot: DataFrame, labels: DataFrame, no: int) -> DataFrame:
-    """Pairs (a, b) that may join up the long lists: nodes outside a list's largest component, each with the members of it that they meet most often.
+def allowed(n_a, n_b):
+    """Most elements in which two linked sets of these sizes differ."""
+    return (DEN - NUM) * (n_a + n_b) // (DEN + NUM)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        most = allowed(b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
+        keep = np.zeros(b.num_rows, bool)
+        for i, (x, y) in enumerate(zip(b.column("sk_a"), b.column("sk_b"), strict=True)):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            w = min(len(p), len(q))
+            keep[i] = np.bitwise_count(folded(p, w) ^ folded(q, w)).sum() <= most[i]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+
+def near(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches allow a link."""
+    for x in "ab":
+        pairs = pairs.join(info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sk_{x}")).hint("merge"), x)
+    return pairs.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(_near, "a long, b long")
+
+
+def _by_width(side: pa.StructArray) -> list[tuple[np.ndarray, ...]]:
+    """node, n, own and sketches of a block's members, by the width of their sketches."""
+    node, n, own = (side.field(c).to_numpy() for c in ("node", "n", "own"))
+    raw = side.field("sketch").to_pylist()
+    width = np.array([len(x) for x in raw])
+    out = []
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        out.append((node[at], n[at], own[at], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)))
+    return out
+
+
+def _close(nearest: int):
+    """Near pairs of each pair of blocks that are in different components: for each of the first block the nearest so many, or all (0)."""
+
+    def compared(x, y) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        w = min(x[3].shape[1], y[3].shape[1])
+        mx, my = folded(x[3], w), folded(y[3], w)
+        step = max(1, (1 << 20) // my.size)
+        for i in range(0, len(mx), step):
+            n_x, n_y = x[1][i : i + step, None], y[1][None]
+            apart = np.bitwise_count(mx[i : i + step, None] ^ my[None]).sum(axis=2, dtype=np.int64)
+            ok = (apart <= allowed(n_x, n_y)) & (DEN * np.minimum(n_x, n_y) >= NUM * np.maximum(n_x, n_y)) & (x[2][i : i + step, None] != y[2][None])
+            if nearest and ok.any():
+                apart[~ok] = np.iinfo(np.int64).max
+                first = np.argsort(apart, axis=1, kind="stable")[:, :nearest]
+                best = np.zeros_like(ok)
+                np.put_along_axis(best, first, True, axis=1)
+                ok &= best
+            r, c = np.nonzero(ok)
+            yield x[0][i + r], y[0][c]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for odd, others in zip(b.column("odd"), b.column("others"), strict=True):
+                found = [p for x in _by_width(odd.values) for y in _by_width(others.values) for p in compared(x, y) if len(p[0])]
+                if found:
+                    p, q = (np.concatenate(z) for z in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    return run
+
+
+def near_in_blocks(hot: DataFrame, labels: DataFrame, nearest: int) -> DataFrame:
+    """Near pairs (a, b) of long lists: members outside a list's largest component against the members of other components.
 
-    Members stand in by least hash, salted by the round, so that a component sends the same few to all its lists.
+    hot: key, single, node, n, sketch. Members are dealt into blocks of about BLOCK_BYTES by
+    hash; each pair of blocks is one row, and these rows spread over the tasks.
     """
-    d = hot.select("key", "node", "n").distinct().join(labels.withColumnRenamed("label", "own").hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    d = hot.join(labels.select("node", F.col("label").alias("own")).hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     d = write_table(d, "hot_members")
-    main = write_table(d.groupBy("key").agg(F.mode("own", True).alias("main")), "main")
-    inside = d.join(main.hint("merge"), "key")
-    of_main = inside.filter("own = main").groupBy("key").agg(*[F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(no), F.lit(k), "node")).alias(f"m{k}") for k in range(STAND_INS)])
-    met = inside.filter("own <> main").select("key", "node", "n").join(write_table(of_main, "stand_ins").hint("merge"), "key")
-    met = met.select("node", "n", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(STAND_INS)]))).alias("m")).filter(fits(F.col("n"), F.col("m.n")))
-    met = met.groupBy("node", F.col("m.node").alias("other")).agg(F.count("*").alias("votes"))
-    top = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "other")), asc=False), 1, STAND_INS).alias("top"))
-    return top.select(F.explode("top").alias("t"), "node").select(F.least("node", "t.other").alias("a"), F.greatest("node", "t.other").alias("b")).distinct()
+    parts = d.groupBy("key", "single", "own").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("c"))
+    of_list = parts.groupBy("key", "single").agg(F.max(F.struct("c", "own")).alias("main"), F.max_by("bytes", F.struct("c", "own")).alias("in_main"), F.sum("bytes").alias("bytes"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda size: F.ceil(size / F.lit(BLOCK_BYTES)).cast("int")
+    of_list = write_table(of_list.select("key", "single", F.col("main.own").alias("main"), blocks(F.col("bytes") - F.col("in_main")).alias("odd_blocks"), blocks(F.col("bytes")).alias("blocks")), "open_lists")
+    d = d.join(of_list.hint("merge"), ["key", "single"])
+    member = F.struct("node", "n", "own", "sketch")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    odd = d.filter("own <> main").groupBy("key", "single", at("odd_blocks").alias("ob"), "blocks").agg(F.collect_list(member).alias("odd"))
+    odd = odd.select("key", "single", "ob", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("xb"), "odd")
+    others = d.groupBy("key", "single", at("blocks").alias("xb"), "odd_blocks").agg(F.collect_list(member).alias("others"))
+    others = others.select("key", "single", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("ob"), "xb", "others")
+    return odd.join(others.hint("merge"), ["key", "single", "ob", "xb"]).select("odd", "others").mapInArrow(_close(nearest), "a long, b long").distinct()
 
 
 def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -293,14 +392,14 @@ def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fitting size that share a list but no component, with v, the single keys they share."""
+    """Pairs (a, b) of fitting size that share one of these lists but no component."""
     label = labels.withColumnRenamed("label", "own")
     d = lists.join(label.hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     d = d.join(label.select(F.col("node").alias("leader"), F.col("own").alias("led")).hint("merge"), "leader", "left").withColumn("led", F.coalesce("led", "leader"))
-    d = write_table(d.select("key", "single", "node", "n", "own", "led").distinct(), "members")
+    d = write_table(d.select("key", "single", "node", "n", "own", "led"), "members")
     odd = d.filter("own <> led").select("key", "single", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"))
     met = odd.join(d.hint("merge"), ["key", "single"]).filter((F.col("own") != F.col("x_own")) & fits(F.col("n"), F.col("x_n")) & ((F.col("own") == F.col("led")) | (F.col("x") < F.col("node"))))
-    return met.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"))
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
