@@ -2,7 +2,14 @@
 
 Every stage is a function of (spark, docs, sf_dir); run() writes each result as Parquet
 in the shared folder and reads it again for the next. All but the last return the
-columns of documents.
+columns of documents, unchanged whatever their names.
+
+Defined cases, of all stages: a null, empty or blank text has no words, so the first stage
+rejects it, and the others, where they meet it, keep it (mixture: where its leaf's prefix
+reaches it); very long texts are taken whole; repeated rows are judged alike, and
+near_duplicates leaves one; a null doc_id is an id like others for all but the choice of a
+survivor, where it comes last; ties go by doc_id, then by the hash of the text; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, mixing, quality, sharding
-from quarry.session import write_table
+from quarry.llm.rows import packed, unpacked
+from quarry.session import drop_table, write_table
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,26 +29,26 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents one stays: the smallest doc_id (null last), of those the smallest text hash. Documents without shingles stay. A row with the doc_id and text of another stays once."""
-    d = docs.withColumn("own_th", F.xxhash64("text"))
-    rows = jaccard.labelled_rows(d.select("doc_id", F.col("own_th").alias("th"), "text"), ["doc_id", "th"])
+    d = packed(docs, "doc_id", own_th=F.xxhash64("text"))
+    rows = jaccard.labelled_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"])
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
     stay = first.select("first.doc_id", "first.th").unionByName(rows.filter("label is null").select("doc_id", "th").distinct()).withColumnRenamed("doc_id", "stay")
     if not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         d = d.dropDuplicates(["doc_id", "own_th"])
-    return d.join(stay.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("stay")) & (d["own_th"] == F.col("th")), "left_semi").select(docs.columns)
+    return d.join(stay.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("stay")) & (d["own_th"] == F.col("th")), "left_semi").transform(unpacked, docs.columns)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
     hit = write_table(hit.select(F.col("doc_id").alias("hit_id"), "th").distinct(), "contaminated")
-    d = docs.withColumn("own_th", F.xxhash64("text"))
-    return d.join(hit.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("hit_id")) & (d["own_th"] == F.col("th")), "left_anti").select(docs.columns)
+    d = packed(docs, "doc_id", own_th=F.xxhash64("text"))
+    return d.join(hit.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("hit_id")) & (d["own_th"] == F.col("th")), "left_anti").transform(unpacked, docs.columns)
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them; here at most once."""
-    return mixing.mix(docs, max_epochs=1).filter("copies > 0").select(docs.columns)
+    return unpacked(mixing.mix(packed(docs, "doc_id", "lang", "source", "text"), max_epochs=1).filter("copies > 0"), docs.columns)
 
 
 def shards(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for no, (name, stage) in enumerate(STAGES[:-1]):
         docs = write_table(stage(spark, docs, sf_dir), name)
+        if no:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
