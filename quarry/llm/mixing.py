@@ -4,7 +4,7 @@ Leaves are (domain, lang, source). A budget of tokens goes down the tree by inte
 weights. A node never gets more than its subtree can give (tokens x `max_epochs`); what
 one child can't take is dealt to its siblings by their weights, and only what a whole
 subtree can't take goes to the siblings of its parent. Each leaf then takes whole seeded
-epochs and the token-prefix of one more: an epoch orders the leaf's documents by
+epochs and, below `max_epochs`, the token-prefix of one more: an epoch orders the leaf's documents by
 md5(seed:epoch:doc_id), and documents are taken while the running total fits.
 
 Running totals are kept per (leaf, 12 bits of the order key) first, so that only the
@@ -14,8 +14,9 @@ it is joined by shuffle. Integer arithmetic throughout, so results are the same
 
 Defined cases: null lang or source are leaves of their own (''); null or blank texts have
 0 tokens and are taken as soon as the prefix reaches them; a null doc_id orders as '';
-rows with equal doc_ids in a leaf are taken or left together; an empty table gives no
-rows; other columns stay. DataFrame functions only.
+rows with equal doc_ids in a leaf are ties, taken or left together; an empty table gives
+no rows; very long texts count all their words; other columns come back unchanged, one
+that bears the name of a result as own_<name>. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 from .quality import WORD_BREAK
+from .rows import packed, unpacked
 
 SEED = 17
 SHARE_PERCENT = 60
@@ -93,7 +95,7 @@ def plan(docs: DataFrame, seed: int, share_percent: int, max_epochs: int, weight
     d = with_leaf(docs).select(F.col("leaf_domain").alias("domain"), F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), n_tokens(F.col("text")).alias("tokens"))
     d = write_table(d, "tokens")
     leaves = d.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"))
-    budgets = write_table(leaf_budgets(leaves, share_percent, max_epochs, weight).withColumns({"full": F.expr("if(tokens = 0, 0, budget div tokens)"), "part": F.expr("if(tokens = 0, 0, budget % tokens)")}), "budgets")
+    budgets = write_table(leaf_budgets(leaves, share_percent, max_epochs, weight).withColumns({"full": F.expr("if(tokens = 0, 0, budget div tokens)"), "part": F.expr(f"case when tokens = 0 then 0 when budget div tokens < {max_epochs} then budget % tokens else -1 end")}), "budgets")
     keyed = d.join(small(budgets.select(*LEAF, "full", "part")), LEAF).withColumn("key", order_key(seed, F.col("full"), F.col("name"))).withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.groupBy(*LEAF, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.first("part").alias("part"))
     ahead = F.sum("in_bucket").over(Window.partitionBy(*LEAF).orderBy("bucket")) - F.col("in_bucket")
@@ -118,13 +120,13 @@ def small(leaves: DataFrame, most: int = MAX_BROADCAST_LEAVES) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, weight=default_weight) -> DataFrame:
-    """docs with domain, copies (times taken; 0: not taken), leaf_budget."""
+    """docs with mix_domain, copies (times taken, at most max_epochs; 0: not taken), leaf_budget."""
     p = plan(docs, seed, share_percent, max_epochs, weight)
     p = p.select(F.col("domain").alias("leaf_domain"), F.col("lang").alias("leaf_lang"), F.col("source").alias("leaf_source"), F.col("budget").alias("leaf_budget"), "full", "last_key")
-    d = with_leaf(docs).join(small(p), ["leaf_domain", "leaf_lang", "leaf_source"])
+    d = with_leaf(packed(docs, "doc_id", "lang", "source")).join(small(p), ["leaf_domain", "leaf_lang", "leaf_source"])
     key = order_key(seed, F.col("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     copies = F.col("full") + F.when(F.coalesce(key <= F.col("last_key"), F.lit(False)), 1).otherwise(0)
-    return d.withColumn("copies", copies.cast("long")).withColumnRenamed("leaf_domain", "mix_domain").drop("leaf_lang", "leaf_source", "full", "last_key")
+    return unpacked(d.withColumn("copies", copies.cast("long")).withColumnRenamed("leaf_domain", "mix_domain"), docs.columns, "mix_domain", "leaf_budget", "copies")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -163,7 +165,7 @@ leaf AS (SELECT domain, l, s, sum(n_tokens) AS tokens, sum(n_tokens) * {max_epoc
         + level("src", "SELECT leaf.domain, leaf.l, s, leaf.cap, leaf.tokens, 1 AS weight, own AS budget FROM leaf JOIN lng ON leaf.domain = lng.domain AND leaf.l = lng.l", "domain, l", "s")
         + f""",
 k AS (
-  SELECT d.*, own AS leaf_budget, CASE WHEN tokens = 0 THEN 0 ELSE own // tokens END AS f, CASE WHEN tokens = 0 THEN 0 ELSE own % tokens END AS part
+  SELECT d.*, own AS leaf_budget, CASE WHEN tokens = 0 THEN 0 ELSE own // tokens END AS f, CASE WHEN tokens = 0 THEN 0 WHEN own // tokens < {max_epochs} THEN own % tokens ELSE -1 END AS part
   FROM d JOIN src ON d.domain = src.domain AND d.l = src.l AND d.s = src.s),
 o AS (SELECT *, md5('{seed}:' || CAST(f AS BIGINT) || ':' || name) || ':' || name AS key FROM k)
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, leaf_budget,
