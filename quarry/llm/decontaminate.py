@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..session import write_table
 from . import bits as bitmaps
@@ -117,11 +118,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     start = F.col("pos") - F.col("offset")
     met = cands.join(prefix.hint("merge"), "h").filter((start >= 0) & (start + F.col("size") <= F.col("n_words")))
     met = met.filter(F.array_join(F.slice(F.split("ctx", " "), start - F.col("ctx_at") + 1, F.col("size")), " ") == F.col("win"))
-    hits = met.select("doc_id", "th", "win", start.alias("start"), "size").distinct().join(windows.select("win", "item_id").hint("merge"), "win")
+    of_window = windows.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    hits = met.select("doc_id", "th", "win", start.alias("start"), "size").distinct().join(of_window.hint("merge"), "win")
     span = F.struct("start", "size")
-    rows = scanned.select("doc_id", "th", "n_words", F.lit(1).alias("n"), F.lit(None).cast("struct<start:int,size:int>").alias("span"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item"))
-    rows = rows.unionByName(hits.select("doc_id", "th", F.lit(None).cast("long").alias("n_words"), F.lit(0).alias("n"), span.alias("span"), F.col("item_id").alias("item")))
-    g = rows.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.sum("n").alias("n"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("item_ids"))
+    rows = scanned.select("doc_id", "th", "n_words", F.lit(1).alias("n"), F.lit(None).cast("struct<start:int,size:int>").alias("span"), F.lit(None).cast(ArrayType(items.schema["item_id"].dataType)).alias("items"))
+    rows = rows.unionByName(hits.select("doc_id", "th", F.lit(None).cast("long").alias("n_words"), F.lit(0).alias("n"), span.alias("span"), "items"))
+    g = rows.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.sum("n").alias("n"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))))
     return g.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("doc_id", "th", "n_words", n_hit.cast("long").alias("n_hit"), "item_ids")
 

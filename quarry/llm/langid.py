@@ -27,8 +27,7 @@ from .text import buffers
 
 FEATURES = 1 << 15
 PENALTY = 8.0
-EM_ROUNDS = 8
-MAX_SET = 4
+EM_ROUNDS, EM_CHANGE = 64, 1e-4
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -68,28 +67,28 @@ def _has_letter(data: np.ndarray) -> bool:
 
 
 def mixture(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """EM for proportions. p: languages x features likelihoods, n: counts; returns (proportions, log likelihood)."""
+    """EM for proportions, until they change by less than EM_CHANGE. p: languages x features likelihoods, n: counts; returns (proportions, log likelihood)."""
     pi = np.full(len(p), 1 / len(p))
     total = n.sum()
     mixed = pi @ p
     if len(p) > 1:
         for _ in range(rounds):
-            pi = pi * (p @ (n / mixed)) / total
+            was, pi = pi, pi * (p @ (n / mixed)) / total
             mixed = pi @ p
+            if np.abs(pi - was).max() < EM_CHANGE:
+                break
     return pi, float(n @ np.log(mixed))
 
 
 def infer(p: np.ndarray, n: np.ndarray, penalty: float) -> tuple[int, float]:
-    """(language number, its proportion) after choosing the set of languages."""
-    pi, full = mixture(p, n, EM_ROUNDS)
+    """(language number, its proportion) after choosing the set of languages, which grows as long as the penalised likelihood falls."""
+    pi, _ = mixture(p, n, EM_ROUNDS)
     order = np.argsort(-pi, kind="stable")
     single = n @ np.log(p).T
     best = int(np.argmax(single))
     step = penalty * np.log(max(2.0, n.sum()))
     cost, chosen = -2 * single[best] + step, (best, 1.0)
-    for size in range(2, min(MAX_SET, len(p)) + 1):
-        if -2 * full + step * size >= cost:
-            break
+    for size in range(2, len(p) + 1):
         part = order[:size]
         own, ll = mixture(p[part], n, EM_ROUNDS)
         if -2 * ll + step * size >= cost:

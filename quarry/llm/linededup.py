@@ -9,18 +9,22 @@ as a run of its own. When a level has `fan_out` runs they are compacted into one
 next level. At the end the runs' totals say which keys repeat; their lines go, but for
 those in the largest doc_id.
 
-Key hashes have 128 bits. Defined cases: a null or empty text is one empty line; every
-row counts as a document, so repeated rows count each; a null doc_id is smaller than all
-others, and equal largest doc_ids all keep their lines; an empty table gives no rows;
-other columns are ignored. DataFrame functions only.
+Key hashes have 128 bits. Defined cases: a null or empty text is one empty line; rows of
+one doc_id are one document when documents are counted, and all keep their lines when it
+is the largest; null doc_ids are one document, smaller than all others; doc_ids of any
+ordered type do; very long texts are split whole; an empty table gives no rows; other
+columns come back unchanged, one that bears the name of a result as own_<name>.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..session import write_table
+from .rows import packed, unpacked
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,10 +94,23 @@ class LineRuns:
         return self._merged(self._union(self.runs()))
 
 
+def batch_cuts(lines: DataFrame, batches: int) -> list:
+    """doc_ids that part the batches, falling. Any cuts give the same result, so other than numbers are cut by a few hundred of them."""
+    if batches < 2:
+        return []
+    if isinstance(lines.schema["doc_id"].dataType, NumericType):
+        return lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)], 1000).alias("c")).first()["c"] or []
+    ids = lines.select("doc_id").filter("doc_id is not null").distinct()
+    few = sorted(r[0] for r in ids.orderBy(F.xxhash64("doc_id")).limit(500).collect())
+    return sorted({few[len(few) * i // batches] for i in range(1, batches)}, reverse=True) if few else []
+
+
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fan_out: int = 2) -> DataFrame:
     """docs with kept (the text without repeated lines), n_lines and n_dropped instead of text."""
     lines = write_table(line_hashes(docs, min_chars), "lines")
-    cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)], 1000).alias("c")).first()["c"] or []
+    cuts = batch_cuts(lines, batches)
+    # rows of one doc_id count once; where no doc_id is repeated, every row does
+    repeats = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     store = LineRuns(min_docs, fan_out)
     no = F.col("doc_id")
     for i in range(len(cuts) + 1):
@@ -102,7 +119,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
             part = (no < cuts[i - 1]) if i < len(cuts) else ((no < cuts[i - 1]) | no.isNull())
         if i < len(cuts):
             part = part & (no >= cuts[i])
-        batch = lines.filter(part & F.col("first")).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
+        own = lines.filter(part & F.col("first")).select("h1", "h2", "doc_id")
+        batch = (own.distinct() if repeats else own).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
         store.add(batch)
     repeated = write_table(store.totals().filter(F.col("docs") >= min_docs).select("h1", "h2", "keeper"), "repeated")
     drops = (
@@ -111,12 +129,13 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
         .groupBy(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th"))
         .agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
     )
-    d = docs.withColumn("th", F.xxhash64("text"))
+    d = packed(docs, "doc_id", "text", th=F.xxhash64("text"))
     d = d.join(drops.hint("shuffle_hash"), d["doc_id"].eqNullSafe(drops["of_doc"]) & (d["th"] == drops["of_th"]), "left")
     d = d.withColumn("lines", _lines(F.col("text")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda p: F.get(F.col("lines"), p)), "\n"))
-    return d.withColumns({"kept": kept, "n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")}).drop("text", "lines", "drop", "th", "of_doc", "of_th")
+    d = d.withColumns({"kept": kept, "n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")})
+    return unpacked(d, [c for c in docs.columns if c != "text"], "kept", "n_lines", "n_dropped")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

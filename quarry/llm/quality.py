@@ -10,8 +10,9 @@ Trusted documents are at most `max_trusted` of those labelled 1 and never 0, the
 by hash of doc_id; everything else covers all rows. Defined cases: null, empty or blank
 texts have no words and fail the base rules; without trusted labels every score is 0;
 a null doc_id is never trusted; repeated rows are judged each; an empty table gives no
-rows; other columns stay. DataFrame functions only; what goes through the driver are
-`buckets` weights.
+rows; very long texts are judged whole, and ties at min_score are kept. Other columns
+come back unchanged; one that bears the name of a result comes back as own_<name>.
+DataFrame functions only; what goes through the driver are `buckets` weights.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import packed, unpacked
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 15
 MAX_TRUSTED = 20_000
 #: mean log ratio per feature below which a document is rejected
 MIN_SCORE = -0.08
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 
 
 def words_of(text):
@@ -104,9 +108,9 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, min_score:
     weights = learn_weights(docs, labels, buckets, max_trusted)
     table = f"cast(split('{','.join(f'{w:.9g}' for w in weights)}', ',') as array<double>)"
     score = F.expr(f"aggregate(transform({features('words', buckets)}, b -> get({table}, b)), 0D, (s, x) -> s + x) / (2 * size(words) - 1)")
-    d = base_counts(docs)
+    d = base_counts(packed(docs, "text"))
     d = d.withColumn("score", F.when(F.col("n_words") > 0, score).otherwise(0.0)).drop("words")
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score))
+    return unpacked(d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)), docs.columns, *RESULTS)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,8 +119,8 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The row number is not deterministic, so the filter isn't pushed under the projections
     of the counts, where each of its many column references would be written out in full.
     """
-    d = judge(docs, labels).withColumn("row_no", F.monotonically_increasing_id())
-    return d.filter(F.col("kept") & (F.col("row_no") >= 0)).select(docs.columns)
+    d = judge(packed(docs, "doc_id", "text"), labels).withColumn("row_no", F.monotonically_increasing_id())
+    return unpacked(d.filter(F.col("kept") & (F.col("row_no") >= 0)), docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Sharding by fixed virtual slots.
 
-Every record is hashed by its doc_id into one of `slots` virtual slots (thousands, fixed
+Every record is hashed by its doc_id (a null one: by its text) into one of `slots` virtual slots (thousands, fixed
 for the life of the data set). Records never move between slots; a small versioned map
 says which shard holds which slot, and rebalancing edits that map. The bytes of a slot
 are aggregated; version 1 deals the slots in turn, each later version moves just the
-slots beyond a shard's fair share of bytes to the emptiest shards.
+slots beyond a shard's fair share of bytes to the emptiest shards. A map in a folder of
+its own (`store`) outlives the job: the next run edits its newest version.
 
 Law: `bytes` (shard sizes near equal). Defined cases: a null text counts as empty
-(size 1, crc 0); null doc_ids share one slot; repeated rows land in the same slot, each
-with a place of its own; an empty table gives no rows; other columns are ignored.
+(size 1, crc 0); null doc_ids are dealt by their texts; repeated rows land in the same
+slot, each with a place of its own; equal texts, however many, are dealt by their
+doc_ids like all others, so a large group of copies weighs on no single shard; very long
+texts count all their bytes; ties of slots go by number; an empty table gives no rows;
+other columns are ignored.
 All on DataFrame functions; what is collected into one row are `slots` sums, a constant.
 """
 
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import write_table
 
 SLOTS = 4096
+PARTS = 16
 
 
 def record_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -29,7 +34,7 @@ def record_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -70,20 +75,46 @@ def place(records: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFram
     newest = slot_map.join(F.broadcast(slot_map.agg(F.max("version").alias("version"))), "version", "left_semi")
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("rows")
     offsets = newest.join(F.broadcast(sizes), "virtual_slot").select("virtual_slot", "shard", before.alias("before"))
-    at = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    # a slot is numbered in parts, so that many rows of one doc_id are no single task
+    parts = records.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
+    counts = parts.groupBy("virtual_slot", "part").agg(F.count("*").alias("in_part"))
+    counts = counts.withColumn("ahead", F.sum("in_part").over(Window.partitionBy("virtual_slot").orderBy("part")) - F.col("in_part")).select("virtual_slot", "part", "ahead")
+    at = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size"))
     return (
-        records.withColumn("at", at)
+        # at most slots x PARTS offsets
+        parts.withColumn("at", at)
+        .join(F.broadcast(counts), ["virtual_slot", "part"])
         .join(F.broadcast(offsets), "virtual_slot")
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot"), "virtual_slot")
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("ahead") + F.col("at") - 1).cast("long").alias("slot"), "virtual_slot")
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (place in the shard), virtual_slot; the map's versions are kept as a table."""
+def load_map(spark, store: str) -> DataFrame:
+    """All versions of a stored map: version, virtual_slot, shard."""
+    return spark.read.schema("virtual_slot int, shard int, version int").parquet(store).select("version", "virtual_slot", "shard")
+
+
+def save_map(slot_map: DataFrame, store: str) -> None:
+    """Add versions to a stored map, each in a folder of its own; a version that is there already is written again."""
+    slot_map.write.partitionBy("version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(store)
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, store: str | None = None, stored: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (place in the shard), virtual_slot.
+
+    store: folder of the versioned map; stored: it holds a map already, whose newest version is edited.
+    """
     records = write_table(record_slots(docs, slots), "records")
     sizes = write_table(slot_sizes(records), "slot_sizes")
-    v1 = first_map(sizes, shards)
-    slot_map = write_table(v1.unionByName(edit_map(v1, sizes, shards)), "slot_map")
+    was = first_map(sizes, shards)
+    if stored:
+        every = load_map(docs.sparkSession, store)
+        known = every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version", "left_semi")
+        fresh = was.join(F.broadcast(known.select("virtual_slot")), "virtual_slot", "left_anti").crossJoin(F.broadcast(known.agg(F.max("version").alias("of")))).select(F.col("of").alias("version"), "virtual_slot", "shard")
+        was = known.unionByName(fresh)
+    slot_map = write_table(was.unionByName(edit_map(was, sizes, shards)), "slot_map")
+    if store:
+        save_map(slot_map, store)
     return place(records, slot_map, sizes)
 
 

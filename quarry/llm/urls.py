@@ -87,7 +87,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     asks = F.concat(F.array(F.concat(F.lit("U"), canonical(F.col("host"), F.col("path")))), F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("R"), s, p)))))
     hits = may_hold(d.filter("host > ''").select("page_id", "uh", F.explode(asks).alias("key")), bloom, blocks)
-    exact = hits.join(entries.hint("merge"), "key").select("page_id", "uh", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("n"), F.when(F.col("rule").isNotNull(), F.struct(F.char_length("rule").alias("len"), "rule", "verdict")).alias("best"), F.col("rule").isNull().alias("listed"))
+    # rules are a short list, and keys of theirs are the most common ones
+    of_rules = hits.filter(F.col("key").startswith("R")).join(F.broadcast(entries.filter("rule is not null")), "key")
+    of_list = hits.filter(F.col("key").startswith("U")).join(entries.filter("rule is null").hint("merge"), "key")
+    exact = of_rules.unionByName(of_list).select("page_id", "uh", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("n"), F.when(F.col("rule").isNotNull(), F.struct(F.char_length("rule").alias("len"), "rule", "verdict")).alias("best"), F.col("rule").isNull().alias("listed"))
     base = d.select("page_id", "uh", "host", "path", F.lit(1).alias("n"), F.lit(None).cast("struct<len:int,rule:string,verdict:string>").alias("best"), F.lit(False).alias("listed"))
     g = base.unionByName(exact).groupBy("page_id", "uh").agg(F.max("host").alias("host"), F.max("path").alias("path"), F.sum("n").alias("n"), F.max("best").alias("best"), F.max("listed").alias("listed"))
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))

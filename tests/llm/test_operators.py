@@ -14,7 +14,9 @@ from quarry.llm import decontaminate, jaccard, langid, linededup, lm, mixing, qu
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 BLANK = r"[^\x20\x09-\x0D]+"
-KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, n string, kept string, h long, tier int"
+#: names that the operators use inside or for results; as extra columns of the caller they come back unchanged
+INSIDE = "words bits windows full_lines row row_no n_words full last_key leaf_budget leaf_lang leaf_domain leaf_source copies mix_domain drop lines th own_th stay hit_id of_doc of_th label node first key part at".split()
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, n string, kept string, h long, tier int, " + ", ".join(f"{c} int" for c in INSIDE)
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 LINE = "This line is long enough to count as one"
@@ -41,8 +43,16 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def rows():
-    out = [(i, t, "en" if i % 2 else "de", None if i == 3 else f"src{i % 4}", 1, 0.5, "x", "y", 7, 1) for i, t in enumerate(TEXTS)]
-    return out + [out[7], out[7], (None, "no id", None, "src0", 1, 0.5, "x", "y", 7, 1)]
+    out = [(i, t, "en" if i % 2 else "de", None if i == 3 else f"src{i % 4}", 1, 0.5, "x", "y", 7, 1, *range(len(INSIDE))) for i, t in enumerate(TEXTS)]
+    return out + [out[7], out[7], (None, "no id", None, "src0", 1, 0.5, "x", "y", 7, 1, *range(len(INSIDE)))]
+
+
+def unchanged(got, docs, without=()):
+    """The caller's columns as they were, results' names under own_."""
+    mine = [c for c in docs.columns if c not in without]
+    back = [f"own_{c}" if f"own_{c}" in got.columns and c not in ("th",) else c for c in mine]
+    norm = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
+    assert norm(got.select(*back).collect()) == norm(docs.select(*mine).collect())
 
 
 @pytest.fixture(scope="module")
@@ -136,6 +146,7 @@ def test_line_dedup(docs, rows, none, batches):
         for k in {key(x) for x in (r[1] or "").split("\n")}:
             if len(k) >= 20:
                 holders[k].append(-1 if r[0] is None else r[0])
+    holders = collections.defaultdict(list, {k: sorted(set(v)) for k, v in holders.items()})
     want = []
     for r in rows:
         me, lines = -1 if r[0] is None else r[0], (r[1] or "").split("\n")
@@ -143,6 +154,16 @@ def test_line_dedup(docs, rows, none, batches):
         want.append((str(r[0]), len(lines), len(lines) - len(stay), "\n".join(stay)))
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept) for r in got) == sorted(want)
     assert any(r.n_dropped for r in got) and linededup.drop_repeated_lines(none, batches=batches).count() == 0
+    unchanged(linededup.drop_repeated_lines(docs, batches=batches), docs, ("text",))
+
+
+def test_line_dedup_counts_documents_of_any_id(spark):
+    """Doc 1 twice and doc 2 once are two documents; text ids are ordered as text."""
+    line = "a line that is long enough to count"
+    d = spark.createDataFrame([("1", line), ("1", line), ("2", line)], "doc_id string, text string")
+    assert all(r.n_dropped == 0 for r in linededup.drop_repeated_lines(d).collect())
+    more = d.unionByName(spark.createDataFrame([("10", f"x\n{line}")], d.schema))
+    assert sorted((r.doc_id, r.kept) for r in linededup.drop_repeated_lines(more).collect()) == [("1", ""), ("1", ""), ("10", "x"), ("2", line)]
 
 
 def test_sharding(docs, rows, none):
@@ -154,6 +175,25 @@ def test_sharding(docs, rows, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_hot_groups_and_stored_map(spark, tmp_path):
+    """A third of the rows has no id, a third one text: sizes stay near equal; a stored map is edited, not made anew."""
+    rows = [(None, f"text {i} " + "x" * 200) for i in range(3000)] + [(i, "y" * 208) for i in range(3000)] + [(10000 + i, f"other {i} " + "z" * 200) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    load = lambda got: {s: sum(r["size"] for r in got if r.shard == s) for s in {r.shard for r in got}}
+    one = sharding.shard_documents(d, store=f"{tmp_path}/map").collect()
+    loads = load(one)
+    assert len(loads) == 8 and max(loads.values()) < 1.02 * min(loads.values())
+    for s in range(8):
+        assert sorted(r.slot for r in one if r.shard == s) == list(range(sum(r.shard == s for r in one)))
+    two = sharding.shard_documents(d, store=f"{tmp_path}/map", stored=True).collect()
+    spots = lambda got: collections.Counter((str(r.doc_id), r.text_crc32, r.shard) for r in got)
+    assert sum((spots(one) - spots(two)).values()) < len(rows) / 50
+    nine = sharding.shard_documents(d, shards=9, store=f"{tmp_path}/map", stored=True).collect()
+    assert len(load(nine)) == 9 and {r.version for r in sharding.load_map(spark, f"{tmp_path}/map").collect()} == {1, 2, 3, 4}
+    where = {(str(r.doc_id), r.text_crc32): r.shard for r in one}
+    assert sum(where[str(r.doc_id), r.text_crc32] != r.shard for r in nine) < len(rows) / 5
+
+
 def test_slot_map_edits_balance(spark):
     sizes = spark.createDataFrame([(s, 1000 + (s * 7919) % 500, 1) for s in range(512)], "virtual_slot int, bytes long, rows long")
     v1 = sharding.first_map(sizes, 8)
@@ -178,6 +218,15 @@ def test_language_id(spark, docs, rows, none):
     assert langid.predict_languages(none, fold(3, 1)).count() == 0
 
 
+def test_language_sets_have_no_bound(spark):
+    """Six languages of their own letters each: an even mixture of all six is found as six."""
+    word = ["abab abba", "cdcd dccd", "efef feef", "ghgh hggh", "ijij jiij", "klkl lkkl"]
+    rows = [(i, (word[i % 6] + " ") * 20, f"l{i % 6}", False) for i in range(24)] + [(99, " ".join((w + " ") * 20 for w in word), None, True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, held boolean")
+    got = {r.doc_id: r for r in langid.predict_languages(d, F.col("held")).collect()}
+    assert abs(got[99].score - 1 / 6) < 0.05 and all(got[i].lang_pred == f"l{i % 6}" and got[i].score == 1 for i in range(24))
+
+
 def brute_components(pairs_of):
     sets = {k: s for k, s in pairs_of.items()}
     up = {k: k for k in sets}
@@ -235,6 +284,47 @@ def test_jaccard_random(spark, monkeypatch, least):
     assert got == brute_components({i: shingle_set(t) for i, t in enumerate(texts)})
 
 
+@pytest.mark.parametrize("copies, n_words, changes", [(90, 150, [0, 1, 2, 3, 4]), (160, 40, [1, 2])])
+def test_jaccard_long_lists(spark, monkeypatch, copies, n_words, changes):
+    """A group of near copies of which most pairs don't link, through blocks."""
+    import random
+
+    rnd = random.Random(copies)
+    base = [f"v{i}" for i in range(n_words)]
+    texts = []
+    for i in range(copies):
+        t = list(base)
+        for _ in range(rnd.choice(changes)):
+            t[rnd.randrange(n_words)] = f"own{i}x{rnd.randrange(1000)}" if rnd.random() < 0.5 else rnd.choice(base)
+        texts.append(" ".join(t))
+    monkeypatch.setattr(jaccard, "HOT_LIST", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1 << 12)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.link_components(d).collect()}
+    want = brute_components({i: shingle_set(t) for i, t in enumerate(texts)})
+    assert got == want and len(set(want.values())) > 5
+
+
+def test_sketches_bound_differences():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for n, m in [(4, 5), (60, 70), (500, 520), (2000, 2500)]:
+        a = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rnd.integers(0, 1 << 63, m - n // 2).astype(np.uint64)])
+        p, q = (np.frombuffer(jaccard.sketch(np.unique(x)), np.uint64) for x in (a, b))
+        w = min(len(p), len(q))
+        assert np.bitwise_count(jaccard.folded(p, w) ^ jaccard.folded(q, w)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_components_of_long_chains(spark):
+    from quarry.llm.components import components
+
+    links = [(i, i + 1) for i in range(0, 900)] + [(2000 - i, 1999 - i) for i in range(300)] + [(5000, 5001)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert {got[i] for i in range(901)} == {0} and {got[i] for i in range(1700, 2001)} == {1700} and got[5001] == 5000
+
+
 def test_secrets(docs, rows, none):
     rx = [re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")]
     got = secrets.scan_secrets(docs, secrets.BASE_RULES).collect()
@@ -263,9 +353,35 @@ def test_quality(spark, docs, rows, none):
         lines = [x for x in (r.text or "").split("\n") if re.search(BLANK, x)]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(hit))
         assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
+    unchanged(quality.judge(docs, labels), docs)
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(str(tuple(r)) for r in kept.collect()) == sorted(str(tuple(r)) for r in docs.filter(F.col("doc_id").isin([r.doc_id for r in got if r.kept])).collect())
     assert quality.judge(none, labels).count() == 0 and all(r.score == 0 for r in quality.judge(docs, labels.limit(0)).collect())
 
 
+def test_quality_scores(spark):
+    """score and kept by brute force: mean log ratio of hashed words and word pairs."""
+    rows = [(i, " ".join(f"{'good' if i < 6 else 'raw'}{(i * 7 + j) % 31}" for j in range(60))) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6), 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    size = 64
+    hashed = spark.createDataFrame([(w,) for w in sorted({w for _, t in rows for w in t.split()})], "w string").withColumn("b", F.pmod(F.xxhash64("w"), F.lit(size)))
+    one = {r.w: r.b for r in hashed.collect()}
+    pairs = sorted({p for _, t in rows for p in itertools.pairwise(t.split())})
+    two = {(r.a, r.c): r.b for r in spark.createDataFrame(pairs, "a string, c string").withColumn("b", F.pmod(F.xxhash64("a", "c"), F.lit(size))).collect()}
+    feats = {i: [one[w] for w in t.split()] + [two[p] for p in itertools.pairwise(t.split())] for i, t in rows}
+    raw = collections.Counter(b for f in feats.values() for b in f)
+    target = collections.Counter(b for i, f in feats.items() if i < 6 for b in f)
+    nr, nt = sum(raw.values()), sum(target.values())
+    p_raw = {b: (raw[b] + 1) / (nr + size) for b in range(size)}
+    weight = {b: math.log((target[b] + size * p_raw[b]) / (nt + size)) - math.log(p_raw[b]) for b in range(size)}
+    got = {r.doc_id: r for r in quality.judge(d, labels, buckets=size, min_score=0.0).collect()}
+    for i, f in feats.items():
+        want = sum(weight[b] for b in f) / len(f)
+        assert abs(got[i].score - want) < 1e-6 and got[i].kept == (want >= 0 and not got[i].base_failed)
+
+
 def test_mixing_budgets(docs, rows, none):
     got = mixing.mix(docs, share_percent=50, max_epochs=2).collect()
     assert len(got) == len(rows) and mixing.mix(none).count() == 0
@@ -279,6 +395,31 @@ def test_mixing_budgets(docs, rows, none):
     assert sum(x[2] for x in leaves.values()) <= sum(x[0] for x in leaves.values()) // 2
 
 
+@pytest.mark.parametrize("share, epochs", [(60, 2), (100, 1), (150, 2), (300, 2), (37, 3)])
+def test_mixing_takes_seeded_epochs(spark, share, epochs):
+    """Copies of every row recomputed from the leaf budgets: whole epochs, then the prefix of one more, at most max_epochs."""
+    rows = [(i % 40 if i % 9 else None, "w " * (i % 13), "en" if i % 3 else None, f"src{i % 5}") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(d, share_percent=share, max_epochs=epochs).collect()
+    leaves = collections.defaultdict(list)
+    for r in got:
+        leaves[r.mix_domain, r.lang, r.source].append(r)
+    for own in leaves.values():
+        tokens, budget = sum(len(words(r.text)) for r in own), own[0].leaf_budget
+        full = budget // tokens if tokens else 0
+        part = budget - full * tokens if full < epochs else -1
+        name = lambda r: "" if r.doc_id is None else str(r.doc_id)
+        key = lambda r: hashlib.md5(f"{mixing.SEED}:{full}:{name(r)}".encode()).hexdigest() + ":" + name(r)  # noqa: E731, B023
+        for r in own:
+            ahead = sum(len(words(x.text)) for x in own if key(x) <= key(r))
+            assert r.copies == full + (ahead <= part) <= epochs
+    unchanged(mixing.mix(d), d)
+
+
+def test_mixing_keeps_columns(docs):
+    unchanged(mixing.mix(docs), docs)
+
+
 def test_fill_deals_shortages_to_siblings(spark):
     d = spark.createDataFrame([(0, "a", 10, 1, 100), (0, "b", 1000, 1, 100), (0, "c", 1000, 2, 100)], "root int, name string, cap long, weight long, budget long")
     assert {r.name: r.budget for r in mixing.fill(d, ["root"], "name").collect()} == {"a": 10, "b": 30, "c": 60}

@@ -1,12 +1,14 @@
 """The pipeline against a brute-force version on the smallest tables."""
 
+import collections
 import re
 
 import pandas as pd
+import pytest
 
 import corpus_pipeline
 from quarry.llm import queries
-from tests.llm.test_operators import LOW, brute_components, shingle_set
+from tests.llm.test_operators import LOW, brute_components, docs, none, rows, shingle_set  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,6 +47,27 @@ def test_near_duplicates_tell_texts_apart_under_one_doc_id(spark):
     assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_on_odd_rows(spark, docs, rows, none, stage):
+    """Nulls, empty and very long texts, ties, repeated rows, an empty table, columns with the operators' names."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, docs, DIR)
+    assert got.columns == docs.columns
+    have = collections.Counter(map(str, map(tuple, docs.collect())))
+    kept = collections.Counter(map(str, map(tuple, got.collect())))
+    assert kept and not kept - have
+    if stage == "near_duplicates":
+        assert max(kept.values()) == 1 and sum(kept.values()) == len(set(map(str, rows))) - 3
+    if stage == "decontamination":
+        assert kept == have
+    assert run(spark, none, DIR).count() == 0
+
+
+def test_shards_on_odd_rows(spark, docs, rows, none):
+    got = corpus_pipeline.shards(spark, docs, DIR).collect()
+    assert len(got) == len(rows) and corpus_pipeline.shards(spark, none, DIR).count() == 0
+
+
 def test_queries_have_no_gaps():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
