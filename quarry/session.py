@@ -51,18 +51,23 @@ def _drop(spark: SparkSession, path: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, gone when the Python process ends."""
+    top = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}"
+    atexit.register(_drop, spark, top)
+    return f"{top}/{name}"
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    top = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}"
-    path = f"{top}/{name}"
-    atexit.register(_drop, spark, top)
+    path = scratch_path(spark, name)
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = top
+    out._scratch = path
     return out
 
 
