@@ -334,57 +334,3 @@ def run_programs(spark, d):
 @query()
 def infer_deps(spark, d):
     return A.infer_deps(batch(kbs.load(spark, d))).select("program_id", "step_no", "fn", F.array_join(F.transform("deps", lambda x: x.cast("string")), ",").alias("deps"))
-
-
-# property-store forms: by name, all matching ids, first value
-
-
-def by_name(kb) -> DataFrame:
-    """query_id (case-folded name), id: all entities of a name."""
-    return kb.entities.select(F.lower("name").alias("query_id"), "entity_id")
-
-
-def fuzzy_key(key):
-    """Key without case, blanks, _ and -."""
-    return F.regexp_replace(F.lower(key), "[ _-]", "")
-
-
-@query(KB_SQL + "SELECT lower(name) AS query_id, arg_min(CAST(CAST(a.num AS BIGINT) AS VARCHAR) || ' cm', (a.entity_id, a.fact_no)) AS answer FROM entities e JOIN attrs a ON a.entity_id = e.entity_id AND a.key = 'size' GROUP BY 1")
-def prop_query_attr(spark, d):
-    """First value of a fuzzily named key (`Si-ze`) for each name."""
-    kb = kbs.load(spark, d)
-    a = kb.attrs.filter(fuzzy_key(F.col("key")) == fuzzy_key(F.lit("Si-ze")))
-    met = by_name(kb).join(a, "entity_id").groupBy("query_id").agg(F.min_by("v", F.struct("entity_id", "fact_no")).alias("v"))
-    return met.select("query_id", text_of(F.col("v")).alias("answer"))
-
-
-@query(KB_SQL + "SELECT DISTINCT e.name FROM entities e JOIN attrs a ON a.entity_id = e.entity_id AND a.key = 'size' AND a.num < 5")
-def prop_filter_by_attr(spark, d):
-    kb = kbs.load(spark, d)
-    ok = kb.attrs.filter("key = 'size'").filter(compare(F.col("v"), parse_value(F.lit("5 cm"), "quantity"), "<"))
-    return kb.entities.join(ok.select("entity_id"), "entity_id", "left_semi").select("name").distinct()
-
-
-@query(KB_SQL + "SELECT lower(e.name) AS query_id, arg_min(CAST(q.d AS VARCHAR), (a.entity_id, a.fact_no)) AS answer FROM entities e JOIN attrs a ON a.entity_id = e.entity_id AND a.key = 'order total' JOIN attr_quals q ON q.entity_id = a.entity_id AND q.fact_no = a.fact_no AND q.qkey = 'point in time' GROUP BY 1")
-def prop_attr_qualifier(spark, d):
-    kb = kbs.load(spark, d)
-    q = kb.attr_quals.filter("qkey = 'point in time'").select("entity_id", "fact_no", F.col("v").alias("qv"))
-    met = by_name(kb).join(kb.attrs.filter("key = 'order total'"), "entity_id").join(q, ["entity_id", "fact_no"])
-    return met.groupBy("query_id").agg(F.min_by("qv", F.struct("entity_id", "fact_no")).alias("v")).select("query_id", text_of(F.col("v")).alias("answer"))
-
-
-@query(KB_SQL + "SELECT e.entity_id, a.key, CASE WHEN length(t) > 50 THEN substr(t, 1, 47) || '...' ELSE t END AS preview, a.vtype FROM entities e JOIN (SELECT *, CASE vtype WHEN 'string' THEN s WHEN 'year' THEN CAST(y AS VARCHAR) ELSE CAST(d AS VARCHAR) END AS t FROM attrs WHERE vtype <> 'quantity') a ON a.entity_id = e.entity_id")
-def kb_available_properties(spark, d):
-    """First value of each key as a short preview (quantities left out, whose text form differs between engines)."""
-    kb = kbs.load(spark, d)
-    g = kb.attrs.filter("v.vtype <> 'quantity'").groupBy("entity_id", "key").agg(F.min_by("v", "fact_no").alias("v"))
-    t = text_of(F.col("v"))
-    return g.join(kb.entities.select("entity_id"), "entity_id").select("entity_id", "key", F.when(F.char_length(t) > 50, F.concat(F.substring(t, 1, 47), F.lit("..."))).otherwise(t).alias("preview"), F.col("v.vtype").alias("vtype"))
-
-
-@query(KB_SQL + "SELECT lower(name) AS name, min(entity_id) AS first_id, count(*) AS n FROM entities GROUP BY 1 UNION ALL SELECT lower(name), min(concept_id), count(*) FROM concepts WHERE lower(name) NOT IN (SELECT lower(name) FROM entities) GROUP BY 1")
-def name_index(spark, d):
-    kb = kbs.load(spark, d)
-    e = kb.entities.groupBy(F.lower("name").alias("name")).agg(F.min("entity_id").alias("first_id"), F.count("*").alias("n"))
-    c = kb.concepts.groupBy(F.lower("name").alias("name")).agg(F.min("concept_id").alias("first_id"), F.count("*").alias("n"))
-    return e.unionByName(c.join(e, "name", "left_anti"))
