@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed values: words that say nothing
-STOP_WORDS = ["a", "an", "and", "are", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "was", "what", "when", "where", "which", "who", "with"]
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for",
+    "from", "has", "have", "how", "i", "in", "is", "it", "its", "many",
+    "of", "on", "or", "that", "the", "this", "to", "was", "were", "what",
+    "when", "where", "which", "who", "whom", "whose", "why", "will",
+    "with", "you", "your",
+]
+#: fixed value: a word, with inner hyphens and apostrophes
+WORD = "[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
+#: fixed values: how sentences begin that lead in to quoted answers
+LEAD_INS = ["based on", "the answer", "therefore", "from the", "the evidence", "there is no", "note:"]
 
 
 def relation_phrase(rel: Column) -> Column:
@@ -21,10 +32,17 @@ def path_text(types: Column, rels: Column) -> Column:
     return F.concat(F.get(types, F.lit(0)), F.array_join(F.zip_with(rels, F.slice(types, 2, F.greatest(F.size(types) - 1, F.lit(0))), lambda r, t: F.concat(F.lit(" -["), r, F.lit("]-> "), t)), ""))
 
 
+def relation_phrases(rels: DataFrame, curated: DataFrame) -> DataFrame:
+    """rels: rel; curated: rel, noun, verb. rel, noun, verb: the curated forms, else the readable form for both."""
+    auto = relation_phrase(F.col("rel"))
+    d = rels.select("rel").distinct().join(curated, "rel", "left")
+    return d.select("rel", F.coalesce("noun", auto).alias("noun"), F.coalesce("verb", auto).alias("verb"))
+
+
 def content_tokens(text: Column) -> Column:
     """Distinct lower-case words of two letters or more that aren't stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) > 1) & ~w.isin(STOP_WORDS)))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: (F.char_length(w) > 1) & ~w.isin(STOP_WORDS)))
 
 
 def normalise_key(key: Column) -> Column:
@@ -55,26 +73,104 @@ def compare_text(a: Column, b: Column) -> Column:
     return F.when(na.isNotNull() & nb.isNotNull(), sign(na, nb)).when(da.isNotNull() & db.isNotNull(), sign(da, db)).otherwise(sign(a, b))
 
 
-def answers_from_text(responses: DataFrame) -> DataFrame:
-    """responses: query_id, text. query_id, name: `{a, b}` groups, else lines and commas, bullets and numbering removed."""
-    groups = F.regexp_extract_all("text", F.lit(r"\{([^}]*)\}"), F.lit(1))
-    lines = F.transform(F.split("text", r"[\n,]"), lambda x: F.regexp_replace(x, r"^\s*([-*]|[0-9]+[.)])\s*", ""))
-    names = F.when(F.size(groups) > 0, F.flatten(F.transform(groups, lambda g: F.split(g, ",")))).otherwise(lines)
-    return responses.select("query_id", F.explode(names).alias("name")).select("query_id", F.trim("name").alias("name")).filter("name <> ''").distinct()
-
-
-def scores_from_text(responses: DataFrame) -> DataFrame:
-    """query_id, name, score from `name (Score: x)`."""
-    rx = F.lit(r"([A-Za-z0-9_ ]+?) *\(Score: *([0-9.]+)\)")
+def answers_from_text(responses: DataFrame, anchors: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """responses: query_id, text. query_id, name.
+
+    `{a, b}` groups if there are any (with anchors: but for yes and no); else, with known
+    (query_id, name), the known names that the text holds; else lines, without bullets and
+    numbering: the quoted names of lead-in sentences, the parts of lines of three or more,
+    whole lines. anchors: query_id, anchor: never an answer.
+    """
+    bare = lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")
+    groups = F.regexp_extract_all("text", F.lit(r"\{([^}]+)\}"), F.lit(1))
+    braced = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), bare)))
+    if anchors is not None:
+        braced = F.filter(braced, lambda x: ~F.lower(x).rlike("^(yes|no)"))
+    line = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^[-*\u2022]\s*", ""), r"^[0-9]+[.)]\s*", "")
+    leads = "^(" + "|".join(LEAD_INS) + ")"
+
+    def names(x):
+        inner = F.regexp_extract_all(x, F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
+        parts = F.split(bare(x), ", ")
+        return F.when(F.lower(x).rlike(leads), inner).when(F.lower(x).contains("entities mentioned"), F.array().cast("array<string>")).when(F.size(parts) > 2, F.transform(parts, bare)).otherwise(F.array(bare(x)))
+
+    lines = F.flatten(F.transform(F.transform(F.split("text", "\n"), line), names))
+    d = responses.select("query_id", "text", F.size(groups).alias("n_groups"), braced.alias("braced"), lines.alias("lines"))
+    out = lambda df, c: df.select("query_id", F.explode(c).alias("name")).filter("name <> ''")
+    tiers = [out(d.filter("n_groups > 0"), "braced")]
+    rest = d.filter("n_groups = 0")
+    if known is not None:
+        met = rest.join(known, "query_id").filter(F.expr("contains(text, name)"))
+        if anchors is not None:
+            met = met.join(anchors.select("query_id", F.col("anchor").alias("name")), ["query_id", "name"], "left_anti")
+        met = met.select("query_id", "name").distinct()
+        tiers += [met, out(rest.join(met.select("query_id").distinct(), "query_id", "left_anti"), "lines")]
+    else:
+        tiers.append(out(rest, "lines"))
+    got = tiers[0]
+    for t in tiers[1:]:
+        got = got.unionByName(t)
+    got = got.distinct()
+    return got if anchors is None else got.join(anchors.select("query_id", F.col("anchor").alias("name")), ["query_id", "name"], "left_anti")
+
+
+def scores_from_text(responses: DataFrame, allowed: DataFrame) -> DataFrame:
+    """responses: query_id, text; allowed: query_id, name. query_id, name, score from `{name (Score: x)}` of allowed names; without any, the allowed names that the text holds, with 0."""
+    rx = F.lit(r"\{([^(}]+?)\s*\(Score:\s*([0-9.]+)\)\}")
     z = F.arrays_zip(F.regexp_extract_all("text", rx, F.lit(1)).alias("name"), F.regexp_extract_all("text", rx, F.lit(2)).alias("score"))
-    return responses.select("query_id", F.explode(z).alias("z")).select("query_id", F.trim("z.name").alias("name"), F.col("z.score").cast("double").alias("score"))
+    said = responses.select("query_id", F.explode(z).alias("z")).select("query_id", F.trim("z.name").alias("name"), F.expr("try_cast(z.score as double)").alias("score"))
+    said = said.join(allowed.select("query_id", "name").distinct(), ["query_id", "name"], "left_semi")
+    rest = responses.join(said.select("query_id").distinct(), "query_id", "left_anti")
+    held = rest.join(allowed, "query_id").filter(F.expr("contains(text, name)")).select("query_id", "name", F.lit(0.0).alias("score"))
+    return said.unionByName(held.distinct())
+
+
+def list_scores_from_text(responses: DataFrame, entities: DataFrame) -> DataFrame:
+    """responses: query_id, text; entities: query_id, names (array). query_id, name, score: a list of numbers is paired with the names if there are as many; else names that the text holds score 0.5, and if there are none all score 0."""
+    found = F.regexp_extract("text", r"([0-9.]+(?:\s*,\s*[0-9.]+)+)", 1)
+    numbers = F.transform(F.split(found, ","), lambda x: F.trim(x).try_cast("double"))
+    d = responses.join(entities, "query_id").select("query_id", "text", "names", numbers.alias("numbers"))
+    fits = (F.size("numbers") == F.size("names")) & (F.size("names") > 1) & ~F.exists("numbers", lambda x: x.isNull())
+    held = F.filter("names", lambda n: F.col("text").contains(n))
+    score = F.when(fits, F.arrays_zip(F.col("names").alias("name"), F.col("numbers").alias("score"))).when(F.size(held) > 0, F.transform(held, lambda n: F.struct(n.alias("name"), F.lit(0.5).alias("score")))).otherwise(F.transform("names", lambda n: F.struct(n.alias("name"), F.lit(0.0).alias("score"))))
+    return d.select("query_id", F.explode(score).alias("z")).select("query_id", "z.name", "z.score")
+
+
+def relations_from_text(responses: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """responses: query_id, text; vocabulary: rel. query_id, rel: the first [a, b] list, else parts between commas and line ends without numbering, if they are in the vocabulary."""
+    bare = lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")
+    inner = F.regexp_extract("text", r"\[([^\]]+)\]", 1)
+    parts = F.transform(F.split("text", "[,\n]"), lambda x: F.trim(F.regexp_replace(bare(x), r"^[0-9]+[.)]\s*", "")))
+    d = responses.select("query_id", F.explode(F.when(inner != "", F.transform(F.split(inner, ","), bare)).otherwise(parts)).alias("rel"))
+    return d.distinct().join(vocabulary.select("rel").distinct(), "rel", "left_semi").select("query_id", "rel")
+
+
+def mentioned_entities(questions: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """questions: query_id, text; names: name. query_id, name, rank: names that share a content token with the question and occur in it, longest first."""
+    q = questions.select("query_id", "text", F.explode(content_tokens(F.col("text"))).alias("token"))
+    t = names.select("name").distinct().select("name", F.explode(content_tokens(F.col("name"))).alias("token"))
+    # one token of a name is enough to meet: its first, so that common words don't multiply rows
+    t = t.groupBy("name").agg(F.max(F.struct(F.char_length("token").alias("len"), "token")).alias("best")).select("name", "best.token")
+    met = q.join(t.hint("merge"), "token").filter(F.expr("contains(lower(text), lower(name))")).select("query_id", "name").distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.char_length("name")), "name")
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def retrieve_hints(questions: DataFrame, entities: DataFrame, concepts: DataFrame, attributes: DataFrame, predicates: DataFrame, n: int = 10) -> DataFrame:
+    """query_id, entities, concepts, attr_keys, predicates (arrays by rank): entities that are mentioned, concepts (n), keys and predicates (2n) by the share of their tokens."""
+    kinds = {"entities": mentioned_entities(questions, entities, n).drop("share"), **{k: token_overlap_rank(questions, d, m).drop("share") for k, d, m in (("concepts", concepts, n), ("attr_keys", attributes, 2 * n), ("predicates", predicates, 2 * n))}}
+    out = questions.select("query_id").distinct()
+    for k, d in kinds.items():
+        lists = d.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias(k))
+        out = out.join(lists.hint("merge"), "query_id", "left").withColumn(k, F.coalesce(k, F.array().cast("array<string>")))
+    return out
 
 
 def token_overlap_rank(questions: DataFrame, names: DataFrame, n: int) -> DataFrame:
     """Names by the share of their tokens that the question holds, through an equi-join on tokens. questions: query_id, text; names: name."""
     q = questions.select("query_id", F.explode(content_tokens(F.col("text"))).alias("token"))
     t = names.select("name", content_tokens(F.col("name")).alias("tokens")).distinct().select("name", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    s = q.join(t, "token").groupBy("query_id", "name").agg((F.count("*") / F.first("size")).alias("share"))
+    s = q.join(t.hint("merge"), "token").groupBy("query_id", "name").agg((F.count("*") / F.first("size")).alias("share"))
     w = Window.partitionBy("query_id").orderBy(F.desc("share"), "name")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -94,12 +190,22 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    """id, r, p, f by longest common subsequence of case-folded tokens; a row of the table is one aggregate step."""
+    """id, r, p, f by longest common subsequence of case-folded tokens of whole texts; a row of the table of lengths is one array step inside the tasks."""
+
+    def lengths(batches):
+        for b in batches:
+            out = []
+            for g, p in zip(b["g"], b["p"], strict=True):
+                ids = {w: i for i, w in enumerate({*g, *p})}
+                p = np.array([ids[w] for w in p], dtype=np.int64)
+                row = np.zeros(len(p) + 1, dtype=np.int64)
+                for w in g:
+                    row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (p == ids[w])))
+                out.append(int(row[-1]))
+            yield b[["id"]].assign(lcs=np.array(out, dtype=np.int64), ng=b["g"].map(len).astype("int64"), np=b["p"].map(len).astype("int64"))
+
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
-    d = pairs.select("id", words("gold").alias("g"), words("pred").alias("p"))
-    row = """aggregate(g, transform(p, x -> 0), (prev, t) ->
-        aggregate(sequence(1, greatest(size(p), 1)), cast(array() as array<int>), (acc, j) -> array_append(acc,
-          if(get(p, j - 1) = t, coalesce(if(j > 1, get(prev, j - 2), 0), 0) + 1, greatest(coalesce(get(prev, j - 1), 0), coalesce(if(j > 1, get(acc, j - 2), 0), 0))))))"""
-    d = d.withColumn("lcs", F.when((F.size("g") > 0) & (F.size("p") > 0), F.element_at(F.expr(row), -1)).otherwise(0))
-    r, p = F.col("lcs") / F.greatest(F.size("g"), F.lit(1)), F.col("lcs") / F.greatest(F.size("p"), F.lit(1))
+    kind = pairs.schema["id"].dataType.simpleString()
+    d = pairs.select("id", words("gold").alias("g"), words("pred").alias("p")).mapInPandas(lengths, f"id {kind}, lcs long, ng long, np long")
+    r, p = F.col("lcs") / F.greatest(F.col("ng"), F.lit(1)), F.col("lcs") / F.greatest(F.col("np"), F.lit(1))
     return d.select("id", r.alias("r"), p.alias("p"), F.when(F.col("lcs") > 0, 2 * r * p / (r + p)).otherwise(F.lit(0.0)).alias("f"))

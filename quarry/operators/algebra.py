@@ -37,17 +37,24 @@ def find(args: DataFrame, kb: KB) -> DataFrame:
     return _plain(args.join(named, F.col("a1") == F.col("name")))
 
 
-def concept_closure(kb: KB, most_rounds: int = 50) -> DataFrame:
-    """child, parent: every ancestor of everything; ends on cycles, as only new pairs go on."""
-    step = kb.instance_of.select(F.col("child").alias("via"), F.col("parent").alias("up"))
-    front = seen = write_table(kb.instance_of.select("child", "parent").distinct(), "ancestors")
-    for _ in range(most_rounds):
-        more = front.join(step, F.col("parent") == F.col("via")).select("child", F.col("up").alias("parent")).distinct()
-        front = write_table(more.join(seen, ["child", "parent"], "left_anti"), "ancestors")
-        if front.isEmpty():
+def concept_closure(kb: KB) -> DataFrame:
+    """child, parent: every ancestor of everything; ends on cycles, as only new pairs go on.
+
+    Concepts are few next to what is an instance of them: their closure is made first, by
+    joining paths with paths (each round doubles their length), and met once by the rest.
+    """
+    links = kb.instance_of.select("child", "parent").distinct()
+    inner = links.join(links.select(F.col("parent").alias("child")).distinct().hint("merge"), "child", "left_semi")
+    known = write_table(inner, "ancestors")
+    n = known.count()
+    while True:
+        longer = known.join(known.select(F.col("child").alias("parent"), F.col("parent").alias("up")).hint("merge"), "parent").select("child", F.col("up").alias("parent"))
+        known = write_table(known.unionByName(longer).distinct(), "ancestors")
+        was, n = n, known.count()
+        if n == was:
             break
-        seen = seen.unionByName(front)
-    return seen
+    above = links.join(known.select(F.col("child").alias("parent"), F.col("parent").alias("up")).hint("merge"), "parent").select("child", F.col("up").alias("parent"))
+    return links.unionByName(above).distinct()
 
 
 def filter_concept(sets: DataFrame, args: DataFrame, kb: KB, closure: DataFrame | None = None) -> DataFrame:

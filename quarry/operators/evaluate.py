@@ -105,14 +105,18 @@ def comparison_table(metrics: DataFrame, datasets: list[str], value: str = "accu
 
 
 def legacy_summary(evals: DataFrame, by: list[str], wall_ms: float) -> DataFrame:
-    """Averages over rows without error only, success rate, and parallel efficiency avg x n / wall time."""
+    """Averages over rows without error only (0 without any), success rate, and parallel efficiency: their mean time x all rows / wall time."""
+    mean = lambda c: F.coalesce(F.avg(F.when(ok, F.col(c).cast("double"))), F.lit(0.0))
     ok = F.col("error").isNull()
     return evals.groupBy(*by).agg(
         F.count_if(ok).alias("n_ok"),
         (F.count_if(ok) / F.count("*")).alias("success_rate"),
-        F.avg(F.when(ok, F.col("recall"))).alias("avg_recall"),
-        F.avg(F.when(ok, F.col("precision"))).alias("avg_precision"),
-        (F.avg(F.when(ok, F.col("latency_ms"))) * F.count_if(ok) / wall_ms).alias("efficiency"),
+        mean("accuracy").alias("full_hit_rate"),
+        mean("recall").alias("avg_recall"),
+        mean("precision").alias("avg_precision"),
+        mean("f1").alias("avg_f1"),
+        mean("latency_ms").alias("avg_time_ms"),
+        (mean("latency_ms") * F.count("*") / wall_ms).alias("efficiency"),
     )
 
 
@@ -145,3 +149,17 @@ def mean_set_accuracy(outputs: DataFrame) -> DataFrame:
 def predicted_relations(paths: DataFrame) -> DataFrame:
     """paths: query_id, rank, rels. Relations of the first path of each query."""
     return paths.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("_r = 1").select("query_id", "rels")
+
+
+def aggregate_nl(evals: DataFrame, by: list[str]) -> DataFrame:
+    """evals: rouge_l_r, rouge_l_p, rouge_l_f, similarity, latency_ms, error. Means in percent over all rows."""
+    pct = lambda c, n: (F.avg(c) * 100).alias(n)
+    return evals.groupBy(*by).agg(F.count("*").alias("total"), F.count("error").alias("errors"), pct("rouge_l_r", "rouge_l_recall"), pct("rouge_l_p", "rouge_l_precision"), pct("rouge_l_f", "rouge_l_f1"), pct("similarity", "embedding_similarity"), F.avg("latency_ms").alias("avg_latency_ms"))
+
+
+def convert_stats(converted: DataFrame, rejects: DataFrame) -> DataFrame:
+    """converted: type; rejects: reason. kind (converted, type or skipped), what, n."""
+    total = converted.agg(F.count("*").alias("n")).select(F.lit("converted").alias("kind"), F.lit("all").alias("what"), "n")
+    types = converted.groupBy(F.col("type").alias("what")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "what", "n")
+    reasons = rejects.groupBy(F.col("reason").alias("what")).agg(F.count("*").alias("n")).select(F.lit("skipped").alias("kind"), "what", "n")
+    return total.unionByName(types).unionByName(reasons)

@@ -94,7 +94,7 @@ def resolve_three_tier(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def type_by_priority(anchors: DataFrame, nodes: DataFrame, priority: DataFrame) -> DataFrame:
     """priority: label, prio. The best label over all nodes of the name; labels without priority come last."""
-    got = anchor_nodes(anchors, nodes, "exact").join(nodes.select("node_id", F.explode("labels").alias("label")), "node_id").join(F.broadcast(priority), "label", "left")
+    got = anchor_nodes(anchors, nodes, "exact").join(nodes.select("node_id", F.explode("labels").alias("label")), "node_id").join(priority.hint("merge"), "label", "left")
     return got.groupBy("query_id").agg(F.min(F.struct(F.coalesce("prio", F.lit(1 << 30)).alias("p"), "label")).alias("best")).select("query_id", F.col("best.label").alias("type"))
 
 
@@ -181,10 +181,14 @@ def anchor_probe(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, most: i
 
 
 def probe_text(anchors: DataFrame, probes: DataFrame) -> DataFrame:
-    """query_id, text: probe rows as lines; `no edges` where there are none."""
-    line = F.format_string("%s (%s) %s: %d", "rel", "dir", "label", "n")
-    t = probes.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
-    return anchors.select("query_id").distinct().join(t, "query_id", "left").withColumn("text", F.coalesce("text", F.lit("no edges")))
+    """query_id, text: a header and the probe rows, most frequent first; one sentence where there are none."""
+    line = F.concat(F.lit("  -["), "rel", F.when(F.col("dir") == "out", "]->(").otherwise("]<-("), "label", F.lit(")  ["), F.col("n").cast("string"), F.lit(" edges]"))
+    order = F.struct((-F.col("n")).alias("minus"), "rel", "dir", "label", line.alias("line"))
+    t = probes.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n").alias("lines"))
+    name = F.concat(F.lit("Anchor '"), "anchor", F.lit("'"))
+    d = anchors.select("query_id", "anchor").distinct().join(t.hint("merge"), "query_id", "left")
+    some, none = F.concat(name, F.lit(" actually has these edges in the KG:\n"), "lines"), F.concat(name, F.lit(" has NO edges in the KG (entity may not exist under this name or is isolated)."))
+    return d.select("query_id", F.when(F.col("lines").isNull(), none).otherwise(some).alias("text"))
 
 
 def real_edge_gate(paths: DataFrame, probes: DataFrame) -> DataFrame:

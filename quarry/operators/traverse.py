@@ -118,6 +118,9 @@ def reachable(anchors: DataFrame, rels: list[str], nodes: DataFrame, edges: Data
     f = start(anchor_nodes(anchors, nodes, "exact"))
     for r in rels:
         f = named(hop(f, links, r, unique_edges=False), nodes).filter("name <> anchor")
+        if distinct:
+            # how a node was reached doesn't matter: paths count as nodes
+            f = f.select("query_id", "anchor", "at", "name").distinct().withColumns({"ids": F.array("at"), "eids": F.array().cast("array<string>")})
         last, f = f, f.drop("name")
     out = last.select("query_id", "name")
     return out.distinct() if distinct else out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ def both_ways(schema: DataFrame) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
-def type_distances(schema: DataFrame, most: int = 64) -> DataFrame:
+def type_distances(schema: DataFrame) -> DataFrame:
     """a, b, dist over the undirected type graph; -1 where b can't be reached."""
     step = write_table(both_ways(schema).select("a", "b").distinct(), "type_steps")
     types = step.select(F.col("a").alias("t")).unionByName(step.select(F.col("b").alias("t"))).distinct()
     seen = front = write_table(types.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(0).alias("dist")), "type_dist")
-    for n in range(1, most):
+    for n in itertools.count(1):
         more = front.select("a", F.col("b").alias("via")).join(step.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
         front = write_table(more.withColumn("dist", F.lit(n)), "type_dist")
         if front.isEmpty():
@@ -70,12 +72,20 @@ def verify_swap(pairs: DataFrame, schema: DataFrame) -> DataFrame:
     return d.select("id", F.when(swap, F.col("tgt")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("tgt")).alias("tgt"), swap.alias("swapped"))
 
 
-def plan_score(plans: DataFrame, schema: DataFrame) -> DataFrame:
-    """plans: plan_id, hops (array of struct src, tgt), answer_type. 0.5 x share of valid type pairs + 0.3 x share of threaded hops + 0.2 x (1 if the last type is the answer's, else 0.5); 0 without hops."""
+def plan_score(plans: DataFrame, schema: DataFrame, plain: bool = False) -> DataFrame:
+    """plans: plan_id, hops (array of struct src, tgt), answer_type. 0.5 x share of valid type pairs + 0.3 x share of threaded hops + 0.2 x (0.5 if the last type isn't the answer's, else 1); 0 without a pair.
+
+    Hops without both types are no pairs. The answer's type counts if it is one of the
+    schema's and not `entity`. plain: the share of valid pairs alone.
+    """
+    known = schema.select(F.col("src_type").alias("answer_type")).unionByName(schema.select(F.col("tgt_type").alias("answer_type"))).distinct().filter("answer_type <> 'entity'").withColumn("in_schema", F.lit(True))
     ok = both_ways(schema).select(F.col("a").alias("src"), F.col("b").alias("tgt")).distinct().withColumn("valid", F.lit(1))
-    h = plans.select("plan_id", "answer_type", F.posexplode("hops").alias("pos", "h"), "hops").select("plan_id", "answer_type", "pos", F.col("h.src").alias("src"), F.col("h.tgt").alias("tgt"), F.when(F.col("pos") > 0, (F.get(F.col("hops"), F.col("pos") - 1)["tgt"] == F.col("h.src")).cast("int")).alias("threaded"))
-    g = h.join(ok, ["src", "tgt"], "left").groupBy("plan_id").agg(F.avg(F.coalesce("valid", F.lit(0))).alias("valid"), F.coalesce(F.avg("threaded"), F.lit(1.0)).alias("threaded"), F.max_by("tgt", "pos").alias("last"), F.first("answer_type").alias("answer_type"))
-    score = 0.5 * F.col("valid") + 0.3 * F.col("threaded") + 0.2 * F.when(F.col("last") == F.col("answer_type"), 1.0).otherwise(0.5)
+    h = plans.select("plan_id", "answer_type", F.posexplode("hops").alias("pos", "h"), "hops").select("plan_id", "answer_type", "pos", F.col("h.src").alias("src"), F.col("h.tgt").alias("tgt"), F.when(F.col("pos") > 0, F.coalesce(F.get(F.col("hops"), F.col("pos") - 1)["tgt"] == F.col("h.src"), F.lit(False)).cast("int")).alias("threaded"))
+    pair = F.when((F.col("src") != "") & (F.col("tgt") != ""), F.coalesce("valid", F.lit(0)))
+    h = h.join(ok.hint("merge"), ["src", "tgt"], "left").join(known.hint("merge"), "answer_type", "left")
+    g = h.groupBy("plan_id").agg(F.avg(pair).alias("valid"), F.coalesce(F.avg("threaded"), F.lit(1.0)).alias("threaded"), F.max_by(F.struct("tgt"), "pos").alias("last"), F.max("answer_type").alias("answer_type"), F.max("in_schema").alias("in_schema"))
+    off = F.col("in_schema") & (F.col("last.tgt") != "") & (F.col("last.tgt") != F.col("answer_type"))
+    score = F.col("valid") if plain else 0.5 * F.col("valid") + 0.3 * F.col("threaded") + 0.2 * F.when(off, 0.5).otherwise(1.0)
     return plans.select("plan_id").join(g.select("plan_id", score.alias("score")), "plan_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -108,12 +108,12 @@ def typed_path_undirected_nocheck(spark, d):
 
 @query(
     GRAPH_SQL
-    + """SELECT DISTINCT q.anchor AS query_id, n2.name FROM (SELECT DISTINCT n_name AS anchor FROM nation) q JOIN nodes n0 ON n0.name = q.anchor
-JOIN bi e0 ON e0.a_id = n0.node_id AND e0.rel = 'IN_REGION' JOIN nodes n1 ON n1.node_id = e0.b_id AND n1.name <> q.anchor
+    + """SELECT DISTINCT q.anchor AS query_id, n2.name FROM (SELECT DISTINCT c_name AS anchor FROM customer) q JOIN nodes n0 ON n0.name = q.anchor
+JOIN bi e0 ON e0.a_id = n0.node_id AND e0.rel = 'LIVES_IN' JOIN nodes n1 ON n1.node_id = e0.b_id AND n1.name <> q.anchor
 JOIN bi e1 ON e1.a_id = n1.node_id AND e1.rel = 'IN_REGION' JOIN nodes n2 ON n2.node_id = e1.b_id AND n2.name <> q.anchor"""
 )
 def reachable(spark, d):
-    return traverse.reachable(anchors(table(spark, d, "nation"), "n_name"), ["IN_REGION", "IN_REGION"], nodes(spark, d), edges(spark, d))
+    return traverse.reachable(anchors(table(spark, d, "customer"), "c_name"), ["LIVES_IN", "IN_REGION"], nodes(spark, d), edges(spark, d))
 
 
 @query(
@@ -412,9 +412,12 @@ def anchor_probe(spark, d):
     return _probe(spark, d)
 
 
-@query(PROBE_SQL + "SELECT query_id, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT query_id, rel || ' (' || dir || ') ' || label || ': ' || n AS line FROM probe) GROUP BY query_id")
+@query(PROBE_SQL + """SELECT query_id, 'Anchor ' || chr(39) || query_id || chr(39) || ' actually has these edges in the KG:' || chr(10) || string_agg('  -[' || rel || CASE dir WHEN 'out' THEN ']->(' ELSE ']<-(' END || label || ')  [' || n || ' edges]', chr(10) ORDER BY n DESC, rel, dir, label) AS text FROM probe GROUP BY query_id
+UNION ALL SELECT 'no such part', 'Anchor ' || chr(39) || 'no such part' || chr(39) || ' has NO edges in the KG (entity may not exist under this name or is isolated).'""")
 def anchor_probe_text(spark, d):
-    return lookup.probe_text(anchors(table(spark, d, "part"), "p_name"), _probe(spark, d))
+    a = anchors(table(spark, d, "part"), "p_name")
+    lost = a.limit(1).select(F.lit("no such part").alias("query_id"), F.lit("no such part").alias("anchor"), "plan")
+    return lookup.probe_text(a.unionByName(lost), _probe(spark, d))
 
 
 @query(PROBE_SQL + ", c AS (SELECT DISTINCT p_name AS query_id, * FROM part, (SELECT 'nations_of_part_buyers' AS path_id, 'CONTAINS' AS rel, 'Order' AS label UNION ALL SELECT 'brand_mates', 'SAME_BRAND', 'Part' UNION ALL SELECT 'nation_of_customer', 'LIVES_IN', 'Nation')), k AS (SELECT DISTINCT c.query_id, c.path_id, p.rel IS NOT NULL AS ok FROM c LEFT JOIN probe p ON p.query_id = c.query_id AND p.rel = c.rel AND p.label = c.label) SELECT DISTINCT query_id, path_id FROM k WHERE ok OR NOT EXISTS (SELECT 1 FROM k j WHERE j.query_id = k.query_id AND j.ok)")

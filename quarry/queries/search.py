@@ -44,9 +44,9 @@ def shortest_directed_type_paths(spark, d):
     return H.type_paths(schema(spark, d), 3, shortest=True).select("src", "dst", joined("types"), joined("rels"), "hops")
 
 
-@query(TWO_WAY + "SELECT a AS src, b AS dst, a || '|' || b AS types, rel AS rels, 1 AS hops FROM bw UNION ALL SELECT x.a, y.b, concat_ws('|', x.a, x.b, y.b), x.rel || '|' || y.rel, 2 FROM bw x JOIN bw y ON y.a = x.b WHERE x.a <> x.b AND y.b <> x.b")
+@query(TWO_WAY + "SELECT a AS src, b AS dst, a || '|' || b AS types, rel AS rels, 1 AS hops FROM bw UNION ALL SELECT x.a, y.b, concat_ws('|', x.a, x.b, y.b), x.rel || '|' || y.rel, 2 FROM bw x JOIN bw y ON y.a = x.b WHERE x.a <> x.b AND y.b <> x.b UNION ALL SELECT x.a, z.b, concat_ws('|', x.a, x.b, y.b, z.b), concat_ws('|', x.rel, y.rel, z.rel), 3 FROM bw x JOIN bw y ON y.a = x.b JOIN bw z ON z.a = y.b WHERE x.a <> x.b AND x.a <> y.b AND y.b <> x.b AND z.b NOT IN (x.b, y.b)")
 def undirected_type_paths(spark, d):
-    return H.type_paths(schema(spark, d), 2, directed=False).select("src", "dst", joined("types"), joined("rels"), "hops")
+    return H.type_paths(schema(spark, d), 3, directed=False).select("src", "dst", joined("types"), joined("rels"), "hops")
 
 
 SEQ = [("buyers", ["Part", "Order", "Customer", "Nation"]), ("sellers", ["Part", "Supplier", "Nation", "Region"]), ("none", ["Region", "Part"])]
@@ -65,11 +65,11 @@ def verify_swap(spark, d):
     return H.verify_swap(pairs, s)
 
 
-@query(SCHEMA_SQL + ", st AS (SELECT DISTINCT src_type AS a, tgt_type AS b FROM sch), v AS (SELECT a, b FROM st UNION SELECT b, a FROM st), p AS (SELECT x.a AS s1, x.b AS t1, y.a AS s2, y.b AS t2 FROM st x, st y) SELECT s1 || '>' || t1 || ',' || t2 || '>' || s2 AS plan_id, round(0.5 * (1 + EXISTS (SELECT 1 FROM v WHERE v.a = p.t2 AND v.b = p.s2)::INT) / 2 + 0.3 * (t1 = t2)::INT + 0.2 * CASE WHEN s2 = 'Nation' THEN 1 ELSE 0.5 END, 6) AS score FROM p")
+@query(SCHEMA_SQL + ", st AS (SELECT DISTINCT src_type AS a, tgt_type AS b FROM sch), v AS (SELECT a, b FROM st UNION SELECT b, a FROM st), p AS (SELECT x.a AS s1, x.b AS t1, y.a AS s2, y.b AS t2 FROM st x, st y) SELECT s1 || '>' || t1 || ',' || t2 || '>' || s2 AS plan_id, round(0.5 * (1 + EXISTS (SELECT 1 FROM v WHERE v.a = p.t2 AND v.b = p.s2)::INT) / 2 + 0.3 * (t1 = t2)::INT + 0.2 * CASE WHEN s1 < t1 OR s2 = 'Nation' THEN 1 ELSE 0.5 END, 6) AS score FROM p")
 def plan_score(spark, d):
     st = schema(spark, d).select(F.col("src_type").alias("s1"), F.col("tgt_type").alias("t1")).distinct()
     p = st.crossJoin(st.select(F.col("s1").alias("s2"), F.col("t1").alias("t2")))
-    plans = p.select(F.concat("s1", F.lit(">"), "t1", F.lit(","), "t2", F.lit(">"), "s2").alias("plan_id"), F.array(F.struct(F.col("s1").alias("src"), F.col("t1").alias("tgt")), F.struct(F.col("t2").alias("src"), F.col("s2").alias("tgt"))).alias("hops"), F.lit("Nation").alias("answer_type"))
+    plans = p.select(F.concat("s1", F.lit(">"), "t1", F.lit(","), "t2", F.lit(">"), "s2").alias("plan_id"), F.array(F.struct(F.col("s1").alias("src"), F.col("t1").alias("tgt")), F.struct(F.col("t2").alias("src"), F.col("s2").alias("tgt"))).alias("hops"), F.when(F.col("s1") < F.col("t1"), "entity").otherwise("Nation").alias("answer_type"))
     return H.plan_score(plans, schema(spark, d)).select("plan_id", F.round("score", 6).alias("score"))
 
 
@@ -82,40 +82,43 @@ def vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("name"), F.col("embedding").alias("vec"), "label")
 
 
-def label_means(spark, d) -> DataFrame:
-    """A query for each label: the vector of its smallest name."""
-    g = vectors(spark, d).groupBy("label").agg(F.min_by("vec", "name").alias("qvec"), F.min("name").alias("qname"))
-    return g.select(F.col("label").alias("query_id"), "qname", "qvec")
+def query_vectors(spark, d) -> DataFrame:
+    """The query set: every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("qname"), F.col("embedding").alias("qvec"))
 
 
-VEC = "WITH v AS MATERIALIZED (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS MATERIALIZED (SELECT label AS query_id, min(name) AS qname, arg_min(vec, name) AS qvec FROM v GROUP BY label), d AS MATERIALIZED (SELECT query_id, qname, name, list_distance(qvec, vec) AS dist, list_dot_product(qvec, vec) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(vec, vec)) + 1e-12) AS cos FROM q, v)\n"
+VEC = "WITH v AS MATERIALIZED (SELECT vec_id, 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS MATERIALIZED (SELECT vec_id AS query_id, name AS qname, vec AS qvec FROM v WHERE vec_id % 20 = 0), d AS MATERIALIZED (SELECT query_id, qname, name, list_distance(qvec, vec) AS dist, list_dot_product(qvec, vec) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(vec, vec)) + 1e-12) AS cos FROM q, v)\n"
 
 
 @query(VEC + "SELECT query_id, name, round(dist, 6) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, name) AS rank FROM d QUALIFY rank <= 10")
 def nearest_l2(spark, d):
-    return V.nearest_l2(label_means(spark, d), vectors(spark, d), 10).select("query_id", "name", F.round("dist", 6).alias("dist"), "rank")
+    return V.nearest_l2(query_vectors(spark, d), vectors(spark, d), 10).select("query_id", "name", F.round("dist", 6).alias("dist"), "rank")
 
 
-@query(VEC + "SELECT query_id, name, round(dist, 6) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY name <> qname, dist, name) AS rank FROM d QUALIFY rank <= 10")
+@query(VEC + ", n AS (SELECT query_id, name, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, name) AS r FROM d QUALIFY r <= 10) SELECT query_id, name, round(dist, 6) AS dist, r AS rank FROM n WHERE query_id % 40 = 0 UNION ALL SELECT query_id, name, round(dist, 6), r + 1 FROM n WHERE query_id % 40 <> 0 AND r < 10 UNION ALL SELECT query_id, 'no ' || qname, 0.0, 1 FROM q WHERE query_id % 40 <> 0")
 def nearest_exact_first(spark, d):
-    return V.nearest_exact_first(label_means(spark, d), vectors(spark, d), 10).select("query_id", "name", F.round("dist", 6).alias("dist"), "rank")
+    """Half of the names have no vector: they come first."""
+    q = query_vectors(spark, d).withColumn("qname", F.when(F.col("query_id") % 40 == 0, F.col("qname")).otherwise(F.concat(F.lit("no "), "qname")))
+    return V.nearest_exact_first(q, vectors(spark, d), 10).select("query_id", "name", F.round("dist", 6).alias("dist"), "rank")
 
 
 @query(VEC + "SELECT query_id || '/' || name AS id, round(greatest(0, cos), 6) AS similarity FROM d")
 def similar_text_pairs(spark, d):
-    p = V.pairs(label_means(spark, d), vectors(spark, d)).select(F.concat_ws("/", F.col("query_id").cast("string"), "name").alias("id"), F.col("qvec").alias("gold_vec"), F.col("vec").alias("pred_vec"))
+    p = V.pairs(query_vectors(spark, d), vectors(spark, d)).select(F.concat_ws("/", F.col("query_id").cast("string"), "name").alias("id"), F.col("qvec").alias("gold_vec"), F.col("vec").alias("pred_vec"))
     return V.similar_pairs(p).select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(VEC + ", o AS (SELECT query_id, name, CASE WHEN query_id % 2 = 0 AND name = upper(qname) THEN 2 ELSE cos END AS s FROM d) SELECT query_id, name AS rel, round(s, 6) AS score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, name) <= 5")
+@query(VEC + "SELECT query_id, name AS rel, round(cos, 6) AS score FROM d WHERE query_id % 40 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, name) <= 5 UNION ALL SELECT query_id, qname, 1.0 FROM q WHERE query_id % 40 = 0")
 def prune_by_hint(spark, d):
-    o = V.pairs(label_means(spark, d), vectors(spark, d)).select("query_id", F.col("name").alias("rel"), F.lit("none").alias("hint"), F.col("vec").alias("rvec"), F.col("qvec").alias("hvec"))
+    """Half of the hints are a relation's name in capitals."""
+    hint = F.when(F.col("query_id") % 40 == 0, F.upper("qname")).otherwise("none")
+    o = V.pairs(query_vectors(spark, d), vectors(spark, d)).select("query_id", F.col("name").alias("rel"), hint.alias("hint"), F.col("vec").alias("rvec"), F.col("qvec").alias("hvec"))
     return V.prune_by_hint(o, 5).select("query_id", "rel", F.round("score", 6).alias("score"))
 
 
 @query(VEC + ", r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.3 * cos DESC, name) AS k FROM d), c1 AS (SELECT query_id, name, 0.3 * cos AS score FROM r1 WHERE k = 1), n2 AS (SELECT d.query_id, d.name, 0.3 * d.cos - 0.7 * list_dot_product(v.vec, w.vec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(w.vec, w.vec)) + 1e-12) AS score FROM d JOIN c1 ON c1.query_id = d.query_id AND c1.name <> d.name JOIN v ON v.name = d.name JOIN v w ON w.name = c1.name) SELECT query_id, 1 AS rank, name, round(score, 6) AS score FROM c1 UNION ALL SELECT query_id, 2, name, round(score, 6) FROM n2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) = 1")
 def mmr_select(spark, d):
-    return V.mmr_select(label_means(spark, d).drop("qname"), vectors(spark, d).drop("label"), 2).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
+    return V.mmr_select(query_vectors(spark, d).drop("qname"), vectors(spark, d).drop("label"), 2).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
 
 
 TRIPLES = SCHEMA_SQL + ", t AS MATERIALIZED (SELECT e.edge_id, s.name AS source, s.labels[1] AS source_type, e.rel AS relation, t.name AS target, t.labels[1] AS target_type FROM edges e JOIN nodes s ON s.node_id = e.src_id JOIN nodes t ON t.node_id = e.dst_id) "
@@ -171,13 +174,12 @@ def upsert_vectors(spark, d):
     return build.upsert_vectors(old, new).select("name", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("x"), "version")
 
 
-PAIRS = r"WITH c AS (SELECT conv_id, turn, role, list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), 1, 40) AS w FROM conversations), p AS (SELECT a.conv_id || '-' || a.turn AS id, a.w AS g, b.w AS p FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant') "
+PAIRS = r"WITH c AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations), p AS (SELECT a.conv_id || '-' || a.turn AS id, a.w AS g, b.w AS p FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant') "
 
 
 def text_pairs(spark, d) -> DataFrame:
-    """Each user turn with the assistant's turn after it, 40 tokens each."""
-    cut = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), 1, 40), " ")
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", cut.alias("t"))
+    """Each user turn with the assistant's turn after it, whole."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"))
     b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("pred"))
     return c.filter("role = 'user'").join(b, ["conv_id", "turn"]).select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("t").alias("gold"), "pred")
 
@@ -206,13 +208,18 @@ def path_phrases(spark, d):
     return s.select("rel", T.relation_phrase(F.col("rel")).alias("phrase"), T.path_text(F.array("src_type", "tgt_type"), F.array("rel")).alias("path"))
 
 
-STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-TOKENS = f"list_distinct([x FOR x IN regexp_extract_all(lower({{t}}), '[a-z0-9]+') IF length(x) > 1 AND NOT list_contains([{STOP}], x)])"
+#: the stop words again, so that the SQL stands for itself
+STOP = "a an and are as at be by do does for from has have how i in is it its many of on or that the this to was were what when where which who whom whose why will with you your"
+TOKENS = f"list_distinct([lower(x) FOR x IN regexp_extract_all({{t}}, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*') IF length(x) > 1 AND NOT list_contains(string_split('{STOP}', ' '), lower(x))])"
 
 
-@query("SELECT doc_id, len(" + TOKENS.format(t="text") + ") AS n_tokens FROM documents")
+MARKED = "text || ' How does it do well-known things, don''t they?'"
+
+
+@query("SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS tokens FROM (SELECT doc_id, " + TOKENS.format(t=MARKED) + " AS t FROM documents)")
 def content_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.content_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    t = T.content_tokens(F.concat("text", F.lit(" How does it do well-known things, don't they?")))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort(t), " ").cast("binary")).alias("tokens"))
 
 
 @query("WITH q AS (SELECT item_id AS query_id, unnest(" + TOKENS.format(t="text") + ") AS token FROM benchmark), n AS (SELECT DISTINCT p_brand || ' ' || p_name AS name FROM part UNION SELECT array_to_string(string_split(text, ' ')[1:3], ' ') FROM benchmark), t AS (SELECT name, len(" + TOKENS.format(t="name") + ") AS size, unnest(" + TOKENS.format(t="name") + ") AS token FROM n), s AS (SELECT query_id, name, count(*) / any_value(size) AS share FROM q JOIN t ON t.token = q.token GROUP BY ALL) SELECT query_id, name, round(share, 6) AS share, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, name) AS rank FROM s QUALIFY rank <= 5")
@@ -222,14 +229,78 @@ def token_overlap_rank(spark, d):
     return T.token_overlap_rank(b.select(F.col("item_id").alias("query_id"), "text"), names, 5).select("query_id", "name", F.round("share", 6).alias("share"), "rank")
 
 
-@query("SELECT n_nationkey AS query_id, unnest([n_name, r_name]) AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT DISTINCT p_partkey AS query_id, unnest(CASE p_partkey % 5 WHEN 0 THEN [p_name, p_brand] WHEN 1 THEN [p_name, p_brand] WHEN 2 THEN [p_name] WHEN 3 THEN [p_name, p_brand, p_type] ELSE [p_name] END) AS name FROM part")
 def answers_from_text(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    braces, lines = F.concat(F.lit("{"), "n_name", F.lit(", "), "r_name", F.lit("}")), F.concat(F.lit("1. "), "n_name", F.lit("\n- "), "r_name")
-    return T.answers_from_text(n.select(F.col("n_nationkey").alias("query_id"), F.when(F.col("n_nationkey") % 2 == 0, braces).otherwise(lines).alias("text")))
+    """Braces, bullets and numbers, a lead-in sentence with a quoted name, a comma list, and braces that hold the anchor and `yes`."""
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 5
+    forms = [
+        F.concat(F.lit("I think {"), "p_name", F.lit(", '"), "p_brand", F.lit("'}")),
+        F.concat(F.lit("1. "), "p_name", F.lit("\n- "), "p_brand", F.lit("\n\n")),
+        F.concat(F.lit('The answer is "'), "p_name", F.lit('".')),
+        F.concat("p_name", F.lit(", "), "p_brand", F.lit(", "), "p_type"),
+        F.concat(F.lit("{yes, anchor, "), "p_name", F.lit("}")),
+    ]
+    r = p.select(F.col("p_partkey").alias("query_id"), F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)]).alias("text"))
+    return T.answers_from_text(r, r.select("query_id", F.lit("anchor").alias("anchor")))
+
+
+@query("SELECT DISTINCT o_orderkey AS query_id, o_orderpriority AS name FROM orders")
+def known_answers_in_text(spark, d):
+    """No braces: the known names that a text holds, but for the anchor."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("it was "), "o_orderpriority", F.lit(" from Order#"), "o_orderkey").alias("text"), "o_orderpriority")
+    known = o.select("query_id", F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"), F.lit("3-MEDIUM"), F.lit("4-NOT SPECIFIED"), F.lit("5-LOW"), F.lit("Order"))).alias("name"))
+    return T.answers_from_text(o.drop("o_orderpriority"), o.select("query_id", F.lit("Order").alias("anchor")), known)
+
+
+@query("SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 2 THEN p_brand ELSE 'made/by-' || p_brand || '.of' END AS name, CASE p_partkey % 3 WHEN 2 THEN 0.0 ELSE round(p_size / 10, 6) END AS score FROM part")
+def scores_from_text(spark, d):
+    """Relation names with dots, slashes and hyphens; relations that aren't allowed; texts without scores."""
+    rel = F.concat(F.lit("made/by-"), "p_brand", F.lit(".of"))
+    scored = F.concat(F.lit("1. {"), rel, F.lit(" (Score: "), (F.col("p_size") / 10).cast("string"), F.lit(")}: good; {other.rel (Score: 0.9)}"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("perhaps "), "p_brand")).otherwise(scored).alias("text"), rel.alias("rel"), "p_brand")
+    allowed = p.select("query_id", F.explode(F.array("rel", "p_brand")).alias("name"))
+    d2 = T.scores_from_text(p.select("query_id", "text"), allowed)
+    return d2.select("query_id", "name", F.round("score", 6).alias("score"))
 
 
-@query("SELECT n_nationkey AS query_id, n_name AS name, round(n_nationkey / 10, 6) AS score FROM nation")
-def scores_from_text(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("{"), "n_name", F.lit(" (Score: "), (F.col("n_nationkey") / 10).cast("string"), F.lit(")}")).alias("text"))
-    return T.scores_from_text(n).select("query_id", "name", F.round("score", 6).alias("score"))
+@query("SELECT p_partkey AS query_id, unnest([p_brand, p_type]) AS name, round(unnest(CASE p_partkey % 3 WHEN 0 THEN [p_size / 100, 0.5] WHEN 1 THEN [0.5, 0.0] ELSE [0.0, 0.0] END), 6) AS score FROM part WHERE p_partkey % 3 <> 1 UNION ALL SELECT p_partkey, p_brand, 0.5 FROM part WHERE p_partkey % 3 = 1")
+def list_scores_from_text(spark, d):
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("Scores: "), (F.col("p_size") / 100).cast("string"), F.lit(" , 0.5"))).when(k == 1, F.concat(F.lit("maybe "), "p_brand", F.lit(" 0.1"))).otherwise("nothing")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), text.alias("text"), F.array("p_brand", "p_type").alias("names"))
+    return T.list_scores_from_text(p.select("query_id", "text"), p.select("query_id", "names")).select("query_id", "name", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey AS query_id, unnest(CASE WHEN p_partkey % 2 = 0 THEN [p_brand, p_type] ELSE [p_brand] END) AS rel FROM part")
+def relations_from_text(spark, d):
+    """A bracketed list, or numbered lines of which one isn't in the vocabulary."""
+    p = table(spark, d, "part")
+    lists = F.concat(F.lit('use ["'), "p_brand", F.lit("\", '"), "p_type", F.lit("', none]"))
+    lines = F.concat(F.lit("1. "), "p_brand", F.lit("\n2. nothing"))
+    r = p.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, lists).otherwise(lines).alias("text"))
+    return T.relations_from_text(r, p.select(F.explode(F.array("p_brand", "p_type")).alias("rel")))
+
+
+HINT_NAMES = "n AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[3:5], ' ') AS name FROM benchmark)"
+
+
+@query("WITH " + HINT_NAMES + ", q AS (SELECT item_id AS query_id, text FROM benchmark), qt AS (SELECT query_id, text, unnest(" + TOKENS.format(t="text") + ") AS token FROM q), nt AS (SELECT name, unnest(" + TOKENS.format(t="name") + ") AS token FROM n) SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) AS rank FROM (SELECT DISTINCT query_id, name FROM qt JOIN nt ON qt.token = nt.token WHERE contains(lower(text), lower(name))) QUALIFY rank <= 10")
+def mentioned_entities(spark, d):
+    b = table(spark, d, "benchmark")
+    names = b.select(F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("name"))
+    return T.mentioned_entities(b.select(F.col("item_id").alias("query_id"), "text"), names, 10)
+
+
+@query("WITH q AS (SELECT item_id AS query_id, text FROM benchmark), qt AS (SELECT query_id, unnest(" + TOKENS.format(t="text") + ") AS token FROM q), n AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS name FROM benchmark), nt AS (SELECT name, len(" + TOKENS.format(t="name") + ") AS size, unnest(" + TOKENS.format(t="name") + ") AS token FROM n), r AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY count(*) / any_value(size) DESC, name) AS rank FROM qt JOIN nt ON qt.token = nt.token GROUP BY query_id, name) SELECT q.query_id, coalesce(string_agg(name, '|' ORDER BY rank) FILTER (rank <= 3), '') AS concepts, coalesce(string_agg(name, '|' ORDER BY rank) FILTER (rank <= 6), '') AS attr_keys, coalesce(string_agg(name, '|' ORDER BY rank) FILTER (rank <= 6), '') AS predicates FROM q LEFT JOIN r ON r.query_id = q.query_id GROUP BY q.query_id")
+def retrieve_hints(spark, d):
+    b = table(spark, d, "benchmark")
+    n = b.select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name")).distinct()
+    got = T.retrieve_hints(b.select(F.col("item_id").alias("query_id"), "text"), n, n, n, n, 3)
+    return got.select("query_id", joined("concepts"), joined("attr_keys"), joined("predicates"))
+
+
+@query(SCHEMA_SQL + "SELECT DISTINCT rel, CASE WHEN rel = 'LIVES_IN' THEN 'home' ELSE replace(rel, '_', ' ') END AS noun, CASE WHEN rel = 'LIVES_IN' THEN 'lives in' ELSE replace(rel, '_', ' ') END AS verb FROM sch UNION ALL SELECT 'org.madeBy-' || p_partkey, 'made By ' || p_partkey, 'made By ' || p_partkey FROM part")
+def relation_phrases(spark, d):
+    """Curated forms first; dots, CamelCase and hyphens in the others."""
+    rels = schema(spark, d).select("rel").unionByName(table(spark, d, "part").select(F.concat(F.lit("org.madeBy-"), "p_partkey").alias("rel")))
+    return T.relation_phrases(rels, spark.createDataFrame([("LIVES_IN", "home", "lives in")], "rel string, noun string, verb string"))
