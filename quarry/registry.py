@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules with QUERIES {name: function(spark, sf_dir)} and ORACLES {name: SQL}
-MODULES = ["quarry.queries.graph", "quarry.queries.algebra", "quarry.queries.evaluation", "quarry.queries.search", "quarry.queries.sources", "quarry.queries.store"]
+MODULES = ["quarry.queries.graph", "quarry.queries.algebra", "quarry.queries.evaluation", "quarry.queries.search", "quarry.queries.sources", "quarry.queries.store", "quarry.queries.candidates", "quarry.queries.explore", "quarry.queries.ranking"]
 FLAGSHIP = "typed_path_3hop"
 
 
