@@ -83,16 +83,18 @@ _LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph as tables: loaded once a session, nodes by kind and edges by relation, so that scans are pruned."""
+    """The graph as tables: loaded once a session, nodes by kind (their labels, joined by +) and edges by relation, so that scans are pruned."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOADED:
-        n = derive_nodes(spark, sf_dir).withColumn("kind", F.get("labels", F.lit(0)))
-        _LOADED[key] = (write_table(n, "nodes", ["kind"]).drop("kind"), write_table(derive_edges(spark, sf_dir), "edges", ["rel"]))
+        n = derive_nodes(spark, sf_dir).withColumn("kind", F.array_join("labels", "+"))
+        _LOADED[key] = (write_table(n, "nodes", ["kind"]), write_table(derive_edges(spark, sf_dir), "edges", ["rel"]))
     return _LOADED[key]
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[0]
+def nodes(spark: SparkSession, sf_dir: str, kind: bool = False) -> DataFrame:
+    """node_id, name, name_en, labels, props; with kind, by which traversal leaves out whole folders."""
+    n = _graph(spark, sf_dir)[0]
+    return n if kind else n.drop("kind")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,13 @@ def query_relation_qualifier(left: DataFrame, right: DataFrame, args: DataFrame,
 
 
 TYPE_OF = {"Str": "string", "Num": "quantity", "Year": "year", "Date": "date"}
+#: fixed values: the functions of the algebra
+FUNCTIONS = [
+    "FindAll", "Find", "FilterConcept", "FilterStr", "FilterNum", "FilterYear", "FilterDate",
+    "QFilterStr", "QFilterNum", "QFilterYear", "QFilterDate", "Relate", "And", "Or", "What", "Count",
+    "SelectBetween", "SelectAmong", "QueryAttr", "QueryAttrUnderCondition", "VerifyStr", "VerifyNum",
+    "VerifyYear", "VerifyDate", "QueryRelation", "QueryAttrQualifier", "QueryRelationQualifier",
+]
 TWO_SETS = ("And", "Or", "SelectBetween", "QueryRelation", "QueryRelationQualifier")
 
 
@@ -215,7 +222,8 @@ def run_programs(programs: DataFrame, kb: KB) -> DataFrame:
 
     Runs the whole batch step number by step number, each function once per step for all
     programs that use it there. Returns program_id, status, answer (text; a set's names
-    joined by |). A program whose last step gives nothing has status `empty`.
+    joined by |). status is `unknown_function` or `bad_value` (a number or time that isn't
+    one) where a step can't be run, else `empty` where the last step gives nothing, else `ok`.
     """
     at = F.col("inputs")
     p = write_table(programs.select("program_id", "step_no", "fn", "deps", *[F.get(at, F.lit(i)).alias(f"a{i + 1}") for i in range(3)]), "programs")
@@ -292,4 +300,17 @@ def run_programs(programs: DataFrame, kb: KB) -> DataFrame:
     for f in parts[1:]:
         got = got.unionByName(f)
     out = last.join(got, ["program_id", "step_no"], "left")
-    return out.select("program_id", F.when(F.col("answer").isNull(), "empty").otherwise("ok").alias("status"), "answer")
+    out = out.join(program_errors(p).hint("merge"), "program_id", "left")
+    status = F.coalesce("error", F.when(F.col("answer").isNull(), "empty").otherwise("ok"))
+    return out.select("program_id", status.alias("status"), F.when(F.col("error").isNull(), F.col("answer")).alias("answer"))
+
+
+def program_errors(steps: DataFrame) -> DataFrame:
+    """steps: program_id, step_no, fn, a1, a2. program_id, error: of the first step that can't be run."""
+    typed = F.col("fn").rlike("^(Filter|QFilter|Verify)(Num|Year|Date)$")
+    text = F.when(F.col("fn").startswith("Verify"), F.col("a1")).otherwise(F.col("a2"))
+    kind = F.when(F.col("fn").endswith("Num"), "quantity").when(F.col("fn").endswith("Year"), "year").otherwise("date")
+    v = parse_value(text, kind)
+    bad = typed & F.coalesce(v["num"], v["y"].cast("double"), F.year(v["d"]).cast("double")).isNull()
+    e = F.when(~F.col("fn").isin(FUNCTIONS), "unknown_function").when(bad, "bad_value")
+    return steps.withColumn("error", e).filter("error is not null").groupBy("program_id").agg(F.min_by("error", "step_no").alias("error"))

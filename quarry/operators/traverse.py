@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixtures import union
 from .hops import apart, edges_bi, first_tier, hop, labelled, named, start, top_k
 
 #: fixed values: positions that must differ, by number of hops
@@ -34,10 +35,23 @@ def planned(anchors: DataFrame, paths: DataFrame) -> DataFrame:
     return anchors.join(paths, [c for c in ("query_id", "plan") if c in paths.columns and c in anchors.columns])
 
 
-def plan_words(paths: DataFrame, column: str, most: int = 1000) -> list[str] | None:
-    """Distinct relation or type names of the paths, if few; they let Spark leave out whole edge and node sources."""
-    got = [r[0] for r in paths.select(F.explode(column).alias("w")).distinct().limit(most + 1).collect()]
-    return got if len(got) <= most else None
+def plan_words(paths: DataFrame, most: int = 1000) -> tuple[list[int] | None, list[str] | None, list[str] | None]:
+    """(lengths, relation names, type names) of a plan table of few distinct paths; they let Spark leave out whole edge and node sources, and hops that no path has."""
+    got = paths.select("rels", "types" if "types" in paths.columns else F.lit(None).alias("types")).distinct().limit(most + 1).collect()
+    if len(got) > most:
+        return None, None, None
+    words = lambda c: sorted({w for r in got for w in r[c] or []})
+    return sorted({len(r["rels"]) for r in got}), words("rels"), words("types")
+
+
+def of_types(nodes: DataFrame, types: list[str] | None) -> DataFrame:
+    """Nodes that bear one of the types; by kind, where nodes are stored by it."""
+    if not types:
+        return nodes
+    wanted = F.array(*map(F.lit, types))
+    if "kind" in nodes.columns:
+        return nodes.filter(F.arrays_overlap(F.split("kind", r"\+"), wanted)).drop("kind")
+    return nodes.filter(F.arrays_overlap("labels", wanted))
 
 
 def follow(
@@ -54,34 +68,33 @@ def follow(
     check: Callable | None = None,
 ) -> DataFrame:
     """Frontier rows at the ends of all paths of up to most_hops hops; longer paths give nothing."""
-    rels, types = plan_words(paths, "rels"), plan_words(paths, "types") if labels else None
+    lengths, rels, types = plan_words(paths)
+    lengths = [n for n in (lengths if lengths is not None else range(1, most_hops + 1)) if 0 < n <= most_hops]
     links = edges_bi(edges.filter(F.col("rel").isin(rels)) if rels else edges)
-    if types:
-        nodes = nodes.filter(F.arrays_overlap("labels", F.array(*map(F.lit, types))))
+    nodes = of_types(nodes, types if labels else None)
     f = start(planned(anchor_nodes(anchors, nodes, match), paths))
     f = f.filter(F.size("rels") <= most_hops)
     if labels:
         f = labelled(f, nodes, F.get("types", F.lit(0)))
     done = []
-    for i in range(most_hops):
+    for i in range(max(lengths, default=1)):
         f = hop(f, links, F.get("rels", F.lit(i)), F.get("dirs", F.lit(i)) if directed else None, unique_edges)
         if labels:
             f = labelled(f, nodes, F.get("types", F.lit(i + 1)))
         if check is not None:
             f = check(f, i)
-        here = f.filter(F.size("rels") == i + 1)
-        done.append(here.filter(apart(inequalities[i + 1])) if inequalities else here)
-        f = f.filter(F.size("rels") > i + 1)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        if i + 1 in lengths or not lengths:
+            here = f.filter(F.size("rels") == i + 1)
+            done.append(here.filter(apart(inequalities[i + 1])) if inequalities else here)
+            f = f.filter(F.size("rels") > i + 1)
+    return union(done)
 
 
 def typed_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     """query_id, path_id, name: distinct names that the typed paths reach, in either edge direction."""
     how.setdefault("inequalities", TEMPLATE_APART)
-    return named(follow(anchors, paths, nodes, edges, **how), nodes).select("query_id", "path_id", "name").distinct()
+    ends = of_types(nodes, plan_words(paths)[2] if how.get("labels", True) else None)
+    return named(follow(anchors, paths, nodes, edges, **how), ends).select("query_id", "path_id", "name").distinct()
 
 
 def limited(answers: DataFrame, n: int, by: tuple[str, ...] = ("query_id", "path_id")) -> DataFrame:

@@ -307,7 +307,7 @@ def alg_query_relation_qualifier(spark, d):
 
 
 def batch(kb) -> DataFrame:
-    """Four programs for every customer: their country, how many large orders, whether the last was large, and those of their country in their segment."""
+    """Six programs for every customer: their country, how many large orders, whether the last was large, how many are open; one with a number that is none and one with a function that is none."""
     n = kb.entities.filter(F.col("entity_id").startswith("C")).select("name")
     lit = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x]).cast("array<string>")
     step = lambda no, fn, *x: F.struct(F.lit(no).alias("step_no"), F.lit(fn).alias("fn"), lit(*x).alias("inputs"))
@@ -315,6 +315,8 @@ def batch(kb) -> DataFrame:
         "country": [step(0, "Find", F.col("name")), step(1, "Relate", "country", "forward"), step(2, "What")],
         "large": [step(0, "Find", F.col("name")), step(1, "FilterNum", "order total", "1000 usd", ">"), step(2, "Count")],
         "last": [step(0, "Find", F.col("name")), step(1, "QueryAttr", "order total"), step(2, "VerifyNum", "1000 usd", ">")],
+        "wrong": [step(0, "Find", F.col("name")), step(1, "FilterNum", "order total", "many", ">"), step(2, "Count")],
+        "other": [step(0, "Find", F.col("name")), step(1, "Guess", "x")],
         "open": [step(0, "Find", F.col("name")), step(1, "FilterNum", "order total", "0 usd", ">"), step(2, "QFilterStr", "status", "O"), step(3, "Count")],
     }
     parts = F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k, s in progs.items() for x in s])
@@ -323,6 +325,7 @@ def batch(kb) -> DataFrame:
 
 @query(KB_SQL + """, c AS (SELECT * FROM entities WHERE entity_id LIKE 'C%'), t AS (SELECT * FROM attrs WHERE key = 'order total')
 SELECT 'country:' || c.name AS program_id, 'ok' AS status, n.name AS answer FROM c JOIN rels r ON r.entity_id = c.entity_id AND r.direction = 'forward' JOIN entities n ON n.entity_id = r.object
+UNION ALL SELECT 'wrong:' || name, 'bad_value', NULL FROM c UNION ALL SELECT 'other:' || name, 'unknown_function', NULL FROM c
 UNION ALL SELECT 'large:' || c.name, 'ok', CAST(count(t.key) AS VARCHAR) FROM c LEFT JOIN t ON t.entity_id = c.entity_id AND t.num > 1000 GROUP BY c.name
 UNION ALL SELECT 'last:' || c.name, CASE WHEN count(t.key) = 0 THEN 'empty' ELSE 'ok' END, CASE WHEN count(t.key) = 0 THEN NULL WHEN arg_max(t.num, t.fact_no) > 1000 THEN 'yes' ELSE 'no' END FROM c LEFT JOIN t ON t.entity_id = c.entity_id GROUP BY c.name
 UNION ALL SELECT 'open:' || c.name, 'ok', CAST(count(q.qkey) AS VARCHAR) FROM c LEFT JOIN t ON t.entity_id = c.entity_id AND t.num > 0 LEFT JOIN attr_quals q ON q.entity_id = t.entity_id AND q.fact_no = t.fact_no AND q.qkey = 'status' AND q.s = 'O' GROUP BY c.name""")

@@ -71,18 +71,18 @@ def edges_bi(spark, d):
 
 @query(GRAPH_SQL + "SELECT * FROM " + path_sql("customer", "c_name", "nation_of_customer"))
 def typed_path_1hop(spark, d):
-    return traverse.typed_paths(anchors(table(spark, d, "customer"), "c_name"), paths(spark, "nation_of_customer"), nodes(spark, d), edges(spark, d))
+    return traverse.typed_paths(anchors(table(spark, d, "customer"), "c_name"), paths(spark, "nation_of_customer"), nodes(spark, d, kind=True), edges(spark, d))
 
 
 @query(GRAPH_SQL + "SELECT * FROM " + path_sql("region", "r_name", "customers_of_region") + " UNION ALL SELECT * FROM " + path_sql("region", "r_name", "suppliers_of_region"))
 def typed_path_2hop(spark, d):
-    return traverse.typed_paths(anchors(table(spark, d, "region"), "r_name"), paths(spark, "customers_of_region", "suppliers_of_region"), nodes(spark, d), edges(spark, d))
+    return traverse.typed_paths(anchors(table(spark, d, "region"), "r_name"), paths(spark, "customers_of_region", "suppliers_of_region"), nodes(spark, d, kind=True), edges(spark, d))
 
 
 @query(GRAPH_SQL + "SELECT * FROM " + path_sql("part", "p_name", "nations_of_part_buyers"))
 def typed_path_3hop(spark, d):
     """In which nations live customers whose orders contain a part of the name?"""
-    return traverse.typed_paths(anchors(table(spark, d, "part"), "p_name"), paths(spark, "nations_of_part_buyers"), nodes(spark, d), edges(spark, d))
+    return traverse.typed_paths(anchors(table(spark, d, "part"), "p_name"), paths(spark, "nations_of_part_buyers"), nodes(spark, d, kind=True), edges(spark, d))
 
 
 @query(GRAPH_SQL + f"SELECT * FROM (SELECT * FROM {path_sql('part', 'p_name', 'nations_of_part_suppliers', labels=False)} UNION ALL SELECT * FROM {path_sql('part', 'p_name', 'brand_mates', labels=False)}) QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 200")
@@ -92,7 +92,7 @@ def relaxed_path(spark, d):
 
 @query(GRAPH_SQL + "SELECT * FROM " + path_sql("part", "p_name", "nations_of_part_buyers", traverse.BOUND_APART, match="exact"))
 def typed_path_bound(spark, d):
-    return traverse.bound_paths(anchors(table(spark, d, "part"), "p_name"), paths(spark, "nations_of_part_buyers"), nodes(spark, d), edges(spark, d))
+    return traverse.bound_paths(anchors(table(spark, d, "part"), "p_name"), paths(spark, "nations_of_part_buyers"), nodes(spark, d, kind=True), edges(spark, d))
 
 
 @query(GRAPH_SQL + f"SELECT * FROM (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region', None, match='exact', directed=True, unique=False)} UNION ALL SELECT * FROM {path_sql('customer', 'c_name', 'regions_of_customer', None, match='exact', directed=True, unique=False)}) QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 50")
