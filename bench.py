@@ -8,7 +8,7 @@ import time
 from quarry import registry
 from quarry.session import build_session
 
-HEADLINE = ["typed_path_3hop", "typed_path_2hop", "relation_sequences", "anchor_probe", "run_programs", "concept_closure", "all_schema_edges", "alg_qfilter_num", "aggregate_metrics"]
+HEADLINE = ["typed_path_3hop", "typed_path_2hop", "relation_sequences", "anchor_probe", "run_programs", "concept_closure", "all_schema_edges", "alg_qfilter_num", "aggregate_metrics", "nearest_l2", "ranked_subgraph_match"]
 
 
 def main() -> None:

@@ -85,7 +85,7 @@ def beam_explore(spark, d):
     return X.beam_explore(a, nodes(spark, d), edges(spark, d), scores, None, enough).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT p_brand AS query_id, 'P' || arg_max(p_partkey, (p_size, -p_partkey)) AS path_id FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand, p_type UNION ALL SELECT p_brand, 'P' || p_partkey FROM part WHERE p_brand NOT LIKE '%1' QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, 'P' || p_partkey) <= 3")
+@query("SELECT p_brand AS query_id, 'P' || arg_max(p_partkey, (p_size, -p_partkey)) AS path_id FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand, p_type UNION ALL SELECT p_brand, 'P' || p_partkey FROM part WHERE p_brand NOT LIKE '%1' QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3")
 def path_per_source_type(spark, d):
     """Brands as queries, their parts as paths by size; brands that end in 1 need one of each type."""
     p = table(spark, d, "part").select(F.col("p_brand").alias("query_id"), F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("path_id"), F.array("p_type").alias("types"), F.col("p_size").cast("double").alias("score"))

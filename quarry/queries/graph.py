@@ -339,9 +339,20 @@ def resolve_entity_fuzzy(spark, d):
     return lookup.resolve_fuzzy(part_of_names(spark, d), nodes(spark, d))
 
 
-@query(GRAPH_SQL + "SELECT f.*, n.labels[1] AS type FROM (" + FUZZY.format(tier="CASE WHEN n.name = q.anchor THEN 1 WHEN lower(n.name) = q.anchor THEN 2 ELSE 3 END") + ") f JOIN nodes n ON n.node_id = f.node_id")
+THREE_TIER = """, q AS MATERIALIZED (SELECT DISTINCT n_name AS anchor FROM nation UNION SELECT lower(n_name) FROM nation UNION SELECT lower(substr(n_name, 1, 4)) FROM nation),
+nm AS MATERIALIZED (SELECT node_id, name, lower(name) AS low, labels[1] AS type FROM nodes WHERE name IS NOT NULL),
+t1 AS MATERIALIZED (SELECT anchor, node_id, name, type, 1 AS tier FROM q JOIN nm ON name = anchor),
+t2 AS MATERIALIZED (SELECT anchor, node_id, name, type, 2 AS tier FROM q JOIN nm ON low = lower(anchor) WHERE anchor NOT IN (SELECT anchor FROM t1)),
+r AS MATERIALIZED (SELECT anchor FROM q WHERE anchor NOT IN (SELECT anchor FROM t1 UNION SELECT anchor FROM t2)),
+t3 AS MATERIALIZED (SELECT anchor, node_id, name, type, 3 AS tier FROM r JOIN nm ON contains(low, lower(anchor)))
+SELECT anchor AS query_id, node_id, name, tier, type FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3) QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY length(name), name, node_id) = 1"""
+
+
+@query(GRAPH_SQL + THREE_TIER)
 def resolve_entity_three_tier(spark, d):
-    return lookup.resolve_three_tier(part_of_names(spark, d), nodes(spark, d))
+    """Nation names as they are, in small letters, and their first four letters."""
+    exact = anchors(table(spark, d, "nation"), "n_name")
+    return lookup.resolve_three_tier(part_of_names(spark, d).unionByName(exact).distinct(), nodes(spark, d))
 
 
 @query(GRAPH_SQL + "SELECT name AS query_id, CASE WHEN bool_or(list_contains(labels, 'Party')) THEN 'Party' ELSE min(labels[1]) END AS type FROM nodes WHERE NOT list_contains(labels, 'CVT') GROUP BY name")

@@ -39,7 +39,7 @@ def detect_sample_format(samples: DataFrame) -> DataFrame:
 
 def read_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Example pools, each a JSON list or {examples: [..]}, with defaults filled in; a pool is a file, or a line."""
-    d = spark.read.option("wholetext", not lines).text(path)
+    d = spark.read.text(path, wholetext=not lines)
     pool = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{EXAMPLE}>")).otherwise(F.from_json("value", f"struct<examples:array<{EXAMPLE}>>")["examples"])
     e = d.select(F.explode(pool).alias("e")).select("e.*")
     fill = {"final_operation": "relate", "entity_name": "", "entity_type": "", "target_type": "", "hop_count": 1, "operation_type": "relate", "notes": ""}
