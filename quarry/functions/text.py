@@ -149,8 +149,6 @@ def mentioned_entities(questions: DataFrame, names: DataFrame, n: int) -> DataFr
     """questions: query_id, text; names: name. query_id, name, rank: names that share a content token with the question and occur in it, longest first."""
     q = questions.select("query_id", "text", F.explode(content_tokens(F.col("text"))).alias("token"))
     t = names.select("name").distinct().select("name", F.explode(content_tokens(F.col("name"))).alias("token"))
-    # one token of a name is enough to meet: its first, so that common words don't multiply rows
-    t = t.groupBy("name").agg(F.max(F.struct(F.char_length("token").alias("len"), "token")).alias("best")).select("name", "best.token")
     met = q.join(t.hint("merge"), "token").filter(F.expr("contains(lower(text), lower(name))")).select("query_id", "name").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc(F.char_length("name")), "name")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
