@@ -12,8 +12,13 @@ counts come from most of the training documents, and the likelihood of the pairs
 others (the deleted part) is raised. At the end all training counts are used; a context that
 was never seen has no bigram estimate.
 
-The most frequent HEAD words and FREQUENT pairs are broadcast, so that tasks need no join for
-them; all other words and pairs are joined by shuffle, which changes no result. Defined
+The most frequent HEAD words are broadcast. Pairs are counted in buckets of about BUCKET_TOKENS
+tokens, whose number grows with the corpus: a task packs the pairs of a slice of documents by
+bucket, and one group of packed pairs holds all that is known of its pairs and of their rare
+word. Pairs that slices hold often (at most FREQUENT) are counted within tasks and broadcast,
+so no pair left to the buckets makes up more than about 1/FREQUENT of the tokens. Only pairs of
+two rare words need a join. None of these sizes changes a result. Identity is by 64-bit hashes
+of words and pairs, and of doc_id and text together by two of them. Defined
 cases: a null text is empty (just the end); a null doc_id trains; repeated rows are scored
 each; an empty table gives no rows, no training documents a uniform model; other columns are
 ignored.
@@ -29,13 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from .text import scan_words
+from .text import mix, scan_words
 
 HEAD_BITS = 18
 HEAD = 1 << HEAD_BITS
 FREQUENT = 1 << 18
 CLASSES = 2048
 SLICE_TOKENS = 1_000_000
+OFTEN = 4
+BUCKET_TOKENS = 1 << 21
+MOST_PARTITIONS = 20_000
+RECORDS, COUNTS = 0, 1
+BLOBS = "bucket int, kind int, blob binary"
 END = np.uint64(0)
 EM_ROUNDS = 10
 BUCKETS = 48
@@ -110,24 +120,58 @@ def _before(back: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(head):
-    """v, w, a, b: counts in the training documents without and in the deleted part; pairs of held-out documents alone have zeros."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 1, 4 or 8 bytes an entry as compressed byte planes."""
+    sizes = np.array([len(arrays), *[x for a in arrays for x in (len(a), a.itemsize)]], dtype=np.int64)
+    raw = sizes.tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    k = int.from_bytes(raw[:8], "little")
+    at, out = 8 + 16 * k, []
+    for n, width in np.frombuffer(raw, np.int64, 2 * k, 8).reshape(k, 2).tolist():
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view({1: np.uint8, 4: np.uint32, 8: np.int64}[width]).reshape(n))
+        at += n * width
+    return out
+
+
+def in_head(code: np.ndarray) -> np.ndarray:
+    return (code >= 0) & (code < HEAD)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for two head words; -1 where one of them isn't in the head."""
+    return np.where(in_head(v) & in_head(w), (v << HEAD_BITS) | w, -1)
+
+
+def found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys, and whether each is there."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
+
+
+def _often(head):
+    """key, n: pairs of head words that a slice of SLICE_TOKENS tokens holds OFTEN times or more."""
 
     def counted(waiting: list) -> pa.RecordBatch:
-        t, v, part = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        code, back, _ = codes(head.value, np.concatenate([v, t]))
-        k, at = np.unique(back[: len(v)] * len(code) + back[len(v) :], return_inverse=True)
-        a, b = (np.bincount(at[part == p], minlength=len(k)).astype(np.int64) for p in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(code[k // len(code)]), pa.array(code[k % len(code)]), pa.array(a), pa.array(b)], ["v", "w", "a", "b"])
+        t, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        code, back, u = codes(head.value, t)
+        before = code[np.searchsorted(u, v)]
+        key, n = np.unique(pair_keys(before, code[back]), return_counts=True)
+        keep = (key >= 0) & (n >= OFTEN)
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(n[keep].astype(np.int64))], ["key", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for b in batches:
-            held, deleted = (b.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("held_out", "deleted"))
-            part = np.where(held, 2, deleted.astype(np.int8))
-            for i, j, w in scan_words(b.column("text")):
+            for _, _, w in scan_words(b.column("text")):
                 t, ends = with_end(w)
-                waiting.append((t, _before(t, ends), np.repeat(part[i:j], lengths(ends))))
+                waiting.append((t, _before(t, ends)))
                 size += len(t)
                 if size > SLICE_TOKENS:
                     yield counted(waiting)
@@ -138,32 +182,178 @@ def _pairs(head):
     return run
 
 
-def _with_head_counts(head):
-    """Adds cv, av, cw, aw (all training tokens and those outside the deleted part, of both words); null for words outside the head."""
+def bucket_numbers(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a pair is counted: at its rare word (the first, if both are), else at the hash of both."""
+    at = np.where(~in_head(v), v, np.where(~in_head(w), w, (v << HEAD_BITS) | w))
+    return (mix(at.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _blobs(bucket: list, kind: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+
+
+def _groups(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct number with the rows that have it, in their order."""
+    order = np.argsort(numbers, kind="stable")
+    edges = np.flatnonzero(np.diff(numbers[order])) + 1
+    for rows in np.split(order, edges) if len(order) else []:
+        yield int(numbers[rows[0]]), rows
+
+
+def _pairs(head, often, buckets: int):
+    """Pairs by bucket, as blobs of kind RECORDS: v, w, document, times, and the documents' dh, th and part (0 counted, 1 deleted, 2 held out). Pairs that are often met come last, as counts of the whole task in negative buckets."""
+
+    def packed(waiting: list, seen: np.ndarray) -> pa.RecordBatch:
+        t, tokens, part, dh, th = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        code, back, _ = codes(head.value, t)
+        k, pair = np.unique(_before(back, np.cumsum(tokens) - 1) * len(code) + back, return_inverse=True)
+        v, w = code[k // len(code)], code[k % len(code)]
+        at, hit = found(often.value, pair_keys(v, w))
+        doc = np.repeat(np.arange(len(part)), tokens)
+        for p in (0, 1):
+            seen[p][at[hit]] += np.bincount(pair[part[doc] == p], minlength=len(k))[hit]
+        other = ~hit[pair]
+        k, times = np.unique(pair[other] * len(part) + doc[other], return_counts=True)
+        pair, doc = k // len(part), k % len(part)
+        out = []
+        for bucket, rows in _groups(bucket_numbers(v, w, buckets)[pair]):
+            own, local = np.unique(doc[rows], return_inverse=True)
+            out.append((bucket, RECORDS, pack(v[pair[rows]], w[pair[rows]], local.astype(np.uint32), times[rows].astype(np.uint32), dh[own], th[own], part[own])))
+        return _blobs(*([x[i] for x in out] for i in range(3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, c, a = head.value
+        seen = np.zeros((2, len(often.value)), np.int64)
+        waiting, size = [], 0
         for b in batches:
-            cols = list(b.columns)
-            for x in ("v", "w"):
-                code = b.column(x).to_numpy()
-                known = (code >= 0) & (code < len(c))
-                at = np.where(known, code, 0)
-                for n in (c, a):
-                    cols.append(pa.array(n[at] if len(n) else np.zeros(len(at), np.int64), mask=~known))
-            yield pa.RecordBatch.from_arrays(cols, ["v", "w", "a", "b", "cv", "av", "cw", "aw"])
+            held, deleted = (b.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("held_out", "deleted"))
+            part = np.where(held, 2, deleted).astype(np.uint8)
+            dh, th = (b.column(x).to_numpy() for x in ("dh", "th"))
+            for i, j, w in scan_words(b.column("text")):
+                t, ends = with_end(w)
+                waiting.append((t, lengths(ends), part[i:j], dh[i:j], th[i:j]))
+                size += len(t)
+                if size > SLICE_TOKENS:
+                    yield packed(waiting, seen)
+                    waiting, size = [], 0
+        if waiting:
+            yield packed(waiting, seen)
+        met = np.flatnonzero(seen.any(axis=0))
+        out = [(-1 - c, RECORDS, pack(met[rows], seen[0][met[rows]], seen[1][met[rows]])) for c, rows in _groups(met % max(1, buckets // 8))]
+        yield _blobs(*([x[i] for x in out] for i in range(3)))
 
     return run
 
 
-def with_counts(pairs: DataFrame, tail: DataFrame) -> DataFrame:
-    """The counts of tail words (code, c, a) filled in by shuffle joins; a word that was never trained on has 0."""
-    for x in ("v", "w"):
-        c, a = f"c{x}", f"a{x}"
-        known = pairs.filter(F.col(c).isNotNull())
-        rare = pairs.filter(F.col(c).isNull()).drop(c, a).join(tail.select(F.col("code").alias(x), F.col("c").alias(c), F.col("a").alias(a)).hint("merge"), x, "left")
-        pairs = known.unionByName(rare.withColumns({c: F.coalesce(c, F.lit(0)), a: F.coalesce(a, F.lit(0))}))
-    return pairs
+def _rare_counts(buckets: int):
+    """Counts of words outside the head, as blobs of kind COUNTS in the bucket of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, c, a = (b.column(x).to_numpy() for x in ("code", "c", "a"))
+            out = [(k, COUNTS, pack(code[rows], c[rows], a[rows])) for k, rows in _groups(bucket_numbers(code, code, buckets))]
+            yield _blobs(*([x[i] for x in out] for i in range(3)))
+
+    return run
+
+
+FOUND = "pairs binary, em binary, key long, dh long, th long, n long, w long, c long, cv long, a long, av long, b long"
+FOUND_TYPES = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in FOUND.split(", ")])
+
+
+def _found(**columns) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in FOUND_TYPES], schema=FOUND_TYPES)
+
+
+def _count(head, often):
+    """Counts the pairs of one bucket over the whole corpus.
+
+    pairs: c, cv, cw, whether w is rare, and the documents each pair is in; em: a, av, aw, b
+    of the pairs met in the deleted part. A pair of two rare words has its w counted in
+    another bucket, so that it comes as rows of their own, one a document, to be joined
+    (b only in the first). Often met pairs: key, a, b.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        _, head_c, head_a = head.value
+        blobs = {k: [unpack(x.as_py()) for x, kind in zip(group.column("blob"), group.column("kind").to_pylist(), strict=True) if kind == k] for k in (RECORDS, COUNTS)}
+        if group.column("bucket")[0].as_py() < 0:
+            at, a, b = (np.concatenate(x) for x in zip(*blobs[RECORDS], strict=True))
+            at, back = np.unique(at, return_inverse=True)
+            a, b = (np.bincount(back, weights=x).astype(np.int64) for x in (a, b))
+            key, e = often.value[at], b > 0
+            em = pack(a[e], head_a[key[e] >> HEAD_BITS], head_a[key[e] & (HEAD - 1)], b[e])
+            return pa.concat_tables([_found(em=[em]), _found(key=key, a=a, b=b)])
+        if not blobs[RECORDS]:
+            return _found(key=[])
+        v, w, doc, times, dh, th, part = zip(*blobs[RECORDS], strict=True)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in dh])])
+        doc = np.concatenate([x.astype(np.int64) + s for x, s in zip(doc, starts, strict=False)])
+        v, w, times, dh, th, part = (np.concatenate(x) for x in (v, w, times, dh, th, part))
+        rare, rare_c, rare_a = (np.concatenate(x) for x in zip(*blobs[COUNTS], strict=True)) if blobs[COUNTS] else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(rare)
+        rare, rare_c, rare_a = rare[order], rare_c[order], rare_a[order]
+        _, first, pair = np.unique(mix(v.view(np.uint64)) * np.uint64(3) + w.view(np.uint64), return_index=True, return_inverse=True)
+        a, b = (np.bincount(pair, weights=times * (part[doc] == p), minlength=len(first)).astype(np.int64) for p in (0, 1))
+        v, w = v[first], w[first]
+
+        def counts(code: np.ndarray, of_head: np.ndarray, of_rare: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(code), np.int64)
+            known = in_head(code)
+            out[known] = of_head[code[known]]
+            at, hit = found(rare, code)
+            hit &= ~known
+            out[hit] = of_rare[at[hit]]
+            return out
+
+        cv, av, cw, aw = (counts(x, *n) for x in (v, w) for n in ((head_c, rare_c), (head_a, rare_a)))
+        apart = ~in_head(v) & ~in_head(w)
+        far = np.flatnonzero(apart[pair])
+        p, once = pair[far], np.zeros(len(pair), np.int64)
+        once[first] = b
+        rows = _found(dh=dh[doc[far]], th=th[doc[far]], n=times[far].astype(np.int64), w=w[p], c=(a + b)[p], cv=cv[p], a=a[p], av=av[p], b=once[far])
+        e = (b > 0) & ~apart
+        here = np.flatnonzero(~apart[pair])
+        here = here[np.argsort(pair[here], kind="stable")]
+        number = np.cumsum(~apart) - 1
+        near = ~apart
+        step = np.diff(number[pair[here]], prepend=0)
+        own, local = np.unique(doc[here], return_inverse=True)
+        pairs = pack((a + b)[near], cv[near], cw[near], (~in_head(w[near])).astype(np.uint8), step.astype(np.uint32), local.astype(np.uint32), times[here].astype(np.uint32), dh[own], th[own])
+        return pa.concat_tables([_found(pairs=[pairs], em=[pack(a[e], av[e], aw[e], b[e])]), rows])
+
+    return run
+
+
+def _deleted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column("em"):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(x.as_py())], ["a", "ca", "wa", "b"])
+
+
+def log_p_of(weights: list[list[float]], n: int, live: int, c: np.ndarray, cv: np.ndarray, cw: np.ndarray) -> np.ndarray:
+    """log_p of whole arrays."""
+    if n == 0:
+        return np.full(len(c), -np.log10(live))
+    lam = np.array(weights)[np.minimum(BUCKETS - 1, np.floor(np.log2(cv + 1.0)).astype(np.int64))]
+    seen = lam[:, 0] * c / np.maximum(cv, 1) + lam[:, 1] * cw / n + lam[:, 2] / live
+    return np.log10(np.where(cv > 0, seen, 0.5 * cw / n + 0.5 / live))
+
+
+def _pair_logs(weights: list[list[float]], n: int, live: int):
+    """Sums of a bucket's pairs for each document: the score, and of rare words the logarithms of base and how many were trained on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("pairs"):
+                c, cv, cw, rare, step, doc, times, dh, th = unpack(x.as_py())
+                pair = np.cumsum(step.astype(np.int64))
+                known = (rare > 0) & (cw > 0)
+                sums = [log_p_of(weights, n, live, c, cv, cw), np.where(known, np.log10(cw + 1.0), 0.0), known.astype(float)]
+                out = [np.bincount(doc, weights=s[pair] * times, minlength=len(dh)) for s in sums]
+                yield pa.RecordBatch.from_arrays([pa.array(dh), pa.array(th), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int64))], ["dh", "th", "pair_log", "tail_log", "tail_known"])
+
+    return run
 
 
 def learn_mixture(pairs: DataFrame, classes: int, live: int, rounds: int = EM_ROUNDS) -> list[list[float]]:
@@ -197,7 +387,7 @@ def mixture_weights(d: DataFrame, n: int, live: int, rounds: int = EM_ROUNDS) ->
 
 
 def bucket_of(count):
-    return F.least(F.lit(BUCKETS - 1), F.floor(F.log2(count.cast("double") + 1)).cast("int"))
+    return F.least(F.lit(BUCKETS - 1), F.length(F.bin(count.cast("long") + 1)) - 1)
 
 
 def class_table(pairs: DataFrame, weights: list[list[float]], classes: int, live: int) -> np.ndarray:
@@ -224,71 +414,36 @@ def log_p(weights: list[list[float]], n: int, live: int):
     return F.log10(F.when(seen, lam[0] * F.col("c") / F.col("cv") + lam[1] * F.col("cw") / F.lit(float(n)) + lam[2] / F.lit(float(live))).otherwise(never))
 
 
-def _doc_pairs(head, frequent, w, ends, t) -> tuple[np.ndarray, ...]:
-    """Of a slice: (document, v, w, count) of the distinct pairs of each document, where each is in the frequent pairs, and whether it is."""
-    code, back, _ = codes(head, t)
-    u = len(code)
-    doc = np.repeat(np.arange(len(ends)), lengths(ends))
-    k, n = np.unique((doc * u + _before(back, ends)) * u + back, return_counts=True)
-    doc, v, w = k // (u * u), code[k // u % u], code[k % u]
-    keys = frequent[0]
-    if not len(keys):
-        return doc, v, w, n, np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-    own = (v >= 0) & (v < HEAD) & (w >= 0) & (w < HEAD)
-    key = np.where(own, (v << HEAD_BITS) | w, -1)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return doc, v, w, n, at, keys[at] == key
-
-
-def _score(head, frequent):
+def _score(head, often):
     """Token numbers, and the part of both scores that the broadcast tables give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_c = np.log10(head.value[1] + 1.0)
+        keys, lp = often.value
         for b in batches:
-            rows = b.num_rows
-            out = {x: np.zeros(rows) for x in ("score", "base")}
-            n_tokens, n_head, n_tail = (np.zeros(rows, dtype=np.int64) for _ in range(3))
-            tails = []
+            score, base = np.zeros(b.num_rows), np.zeros(b.num_rows)
+            n_tokens, n_head = (np.zeros(b.num_rows, dtype=np.int64) for _ in range(2))
             for i, j, w in scan_words(b.column("text")):
                 t, ends = with_end(w)
                 code, back, _ = codes(head.value, t)
                 first = np.concatenate([[0], ends[:-1] + 1])
                 at = code[back]
-                known = (at >= 0) & (at < HEAD)
-                base = np.zeros(len(t))
-                base[known] = log_c[at[known]]
-                doc, _, _, n, where, hit = _doc_pairs(head.value, frequent.value, w, ends, t)
-                out["score"][i:j] = np.bincount(doc[hit], weights=n[hit] * frequent.value[1][where[hit]], minlength=j - i)
-                out["base"][i:j] = np.add.reduceat(base, first)
+                known = in_head(at)
+                logs = np.zeros(len(t))
+                logs[known] = log_c[at[known]]
+                where, hit = found(keys, pair_keys(_before(at, ends), at))
+                score[i:j] = np.add.reduceat(np.where(hit, lp[where], 0.0) if len(lp) else np.zeros(len(t)), first)
+                base[i:j] = np.add.reduceat(logs, first)
                 n_tokens[i:j] = lengths(ends)
                 n_head[i:j] = np.add.reduceat(known.astype(np.int64), first)
-                n_tail[i:j] = n_tokens[i:j] - n_head[i:j]
-                tails.append(t[~known].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum(n_tail)]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), b.column("held_out"), pa.array(n_tokens), pa.array(n_head), pa.array(out["base"]), pa.array(out["score"]), tail],
-                ["doc_id", "th", "held_out", "n_tokens", "n_head", "base", "score", "tail"],
+                [b.column("doc_id"), b.column("dh"), b.column("th"), b.column("held_out"), pa.array(n_tokens), pa.array(n_head), pa.array(base), pa.array(score)],
+                ["doc_id", "dh", "th", "held_out", "n_tokens", "n_head", "base", "score"],
             )
 
     return run
 
 
-def _other_pairs(head, frequent):
-    """The pairs of each document that aren't frequent: doc_id, th, v, w, n."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, _, w in scan_words(b.column("text")):
-                t, ends = with_end(w)
-                doc, v, x, n, _, hit = _doc_pairs(head.value, frequent.value, w, ends, t)
-                rows = pa.array(doc[~hit] + i)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), pa.array(v[~hit]), pa.array(x[~hit]), pa.array(n[~hit].astype(np.int64))], ["doc_id", "th", "v", "w", "n"])
-
-    return run
-
-
 def head_of(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent words, at most `most`: all words above a count that a histogram of counts gives, so nothing is sorted in one task."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 64)
@@ -306,7 +461,7 @@ def score_documents(docs: DataFrame, held_out, deleted, head_words: int = HEAD,
     head_words (at most HEAD) and frequent_pairs bound what is broadcast and change no result; classes has no effect any more.
     """
     sc = docs.sparkSession.sparkContext
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(deleted, F.lit(False)).alias("deleted"), "text")
+    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("dh"), F.xxhash64("text").alias("th"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.coalesce(deleted, F.lit(False)).alias("deleted"), "text")
     train = texts.filter(~F.col("held_out"))
     counts = write_table(train.select("deleted", "text").mapInArrow(_unigrams, "h long, c long, a long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "unigrams")
     total = counts.agg(F.sum("c").alias("n"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
@@ -315,33 +470,36 @@ def score_documents(docs: DataFrame, held_out, deleted, head_words: int = HEAD,
     top = head_of(counts, min(head_words, HEAD)).toArrow()
     h, c, a = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), top.column("a").to_numpy()
     order = np.argsort(h)
-    head = sc.broadcast((h[order], c[order], a[order]))
+    h, c, a = h[order], c[order], a[order]
+    head = sc.broadcast((h, c, a))
     tail = counts if not len(c) else counts.filter(F.col("c") < F.lit(int(c.min())))
     tail = tail.select(code_of(F.col("h")).alias("code"), "c", "a")
-    grouped = texts.select("held_out", "deleted", "text").mapInArrow(_pairs(head), "v long, w long, a long, b long").groupBy("v", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    pairs = write_table(grouped.mapInArrow(_with_head_counts(head), "v long, w long, a long, b long, cv long, av long, cw long, aw long"), "pairs")
-    weights = mixture_weights(with_counts(pairs.filter("b > 0"), tail).select("a", F.col("av").alias("ca"), F.col("aw").alias("wa"), "b"), total["a"] or 0, live)
-    pairs = pairs.withColumn("c", F.col("a") + F.col("b"))
-    # head words have their counts already, so that this needs no join
-    often = pairs.filter((F.col("c") > 0) & F.col("v").between(0, HEAD - 1) & F.col("w").between(0, HEAD - 1))
-    often = head_of(often, frequent_pairs).select(F.shiftleft("v", HEAD_BITS).bitwiseOR(F.col("w")).alias("key"), log_p(weights, n, live).alias("lp")).toArrow()
-    key, lp = often.column("key").to_numpy(), often.column("lp").to_numpy()
-    order = np.argsort(key)
-    frequent = sc.broadcast((key[order], lp[order]))
+    met = write_table(texts.select("text").mapInArrow(_often(head), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "often")
+    keys = np.sort(head_of(met, frequent_pairs).select("key").toArrow().column("key").to_numpy())
+    often = sc.broadcast(keys)
+    buckets = 1 + n // BUCKET_TOKENS
+    blobs = texts.select("held_out", "deleted", "dh", "th", "text").mapInArrow(_pairs(head, often, buckets), BLOBS)
+    # the estimated size of blobs says nothing; there are as many partitions as buckets, up to a number that Spark handles well
+    blobs = blobs.unionByName(tail.mapInArrow(_rare_counts(buckets), BLOBS)).repartition(min(buckets + buckets // 8 + 1, MOST_PARTITIONS), "bucket")
+    got = write_table(blobs.groupBy("bucket").applyInArrow(_count(head, often), FOUND), "pairs")
+    apart = got.filter("w is not null").join(tail.select(F.col("code").alias("w"), F.col("c").alias("cw"), F.col("a").alias("aw")).hint("merge"), "w", "left")
+    apart = write_table(apart.select("dh", "th", "n", "c", "cv", F.coalesce("cw", F.lit(0)).alias("cw"), "a", "av", F.coalesce("aw", F.lit(0)).alias("aw"), "b"), "rare_pairs")
+    learn = got.filter("em is not null").select("em").mapInArrow(_deleted_pairs, "a long, ca long, wa long, b long")
+    weights = mixture_weights(learn.unionByName(apart.filter("b > 0").select("a", F.col("av").alias("ca"), F.col("aw").alias("wa"), "b")), total["a"] or 0, live)
+    own = got.filter("key is not null").select("key", (F.col("a") + F.col("b")).alias("c")).toArrow()
+    pair = np.zeros(len(keys), np.int64)
+    pair[np.searchsorted(keys, own.column("key").to_numpy())] = own.column("c").to_numpy()
+    lp = log_p_of(weights, n, live, pair, c[keys >> HEAD_BITS], c[keys & (HEAD - 1)])
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th long, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<long>"
-    texts = texts.drop("deleted")
-    scored = write_table(texts.mapInArrow(_score(head, frequent), schema), "scored")
-    known = scored.select("doc_id", "th", F.explode("tail").alias("h")).join(counts.hint("merge"), "h")
-    known = known.groupBy("doc_id", "th").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"), F.count("*").alias("tail_known"))
-    other = texts.mapInArrow(_other_pairs(head, frequent), f"doc_id {kind}, th long, v long, w long, n long")
-    other = other.join(with_counts(pairs, tail).select("v", "w", log_p(weights, n, live).alias("lp")).hint("merge"), ["v", "w"])
-    other = other.groupBy("doc_id", "th").agg(F.sum(F.col("n") * F.col("lp")).alias("pair_log"))
-    flat = ["held_out", "n_tokens", "n_head", "base", "score"]
+    schema = f"doc_id {kind}, dh long, th long, held_out boolean, n_tokens long, n_head long, base double, score double"
+    rows = texts.drop("deleted").mapInArrow(_score(head, sc.broadcast((keys, lp))), schema).withColumn("n", F.lit(1).cast("long"))
+    near = got.filter("pairs is not null").select("pairs").mapInArrow(_pair_logs(weights, n, live), "dh long, th long, pair_log double, tail_log double, tail_known long")
+    known = F.col("cw") > 0
+    far = apart.select("dh", "th", (F.col("n") * log_p(weights, n, live)).alias("pair_log"), F.when(known, F.col("n") * F.log10(F.col("cw") + 1.0)).alias("tail_log"), F.when(known, F.col("n")).alias("tail_known"))
+    flat = ["doc_id", "held_out", "n_tokens", "n_head", "base", "score"]
     sums = ["tail_log", "tail_known", "pair_log"]
-    rows = scored.select("doc_id", "th", *flat, F.lit(1).cast("long").alias("n"))
-    rows = rows.unionByName(known, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
-    g = rows.groupBy("doc_id", "th").agg(*[F.max(x).alias(x) for x in flat], F.sum("n").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums])
+    rows = rows.unionByName(near, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)
+    g = rows.groupBy("dh", "th").agg(*[F.max(x).alias(x) for x in flat], F.sum("n").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums])
     return g.select(
         "doc_id",
         "held_out",
