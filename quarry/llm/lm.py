@@ -18,7 +18,8 @@ bucket, and one group of packed pairs holds all that is known of its pairs and o
 word. Pairs that slices hold often (at most FREQUENT) are counted within tasks and broadcast,
 so no pair left to the buckets makes up more than about 1/FREQUENT of the tokens. Only pairs of
 two rare words need a join. None of these sizes changes a result. Identity is by 64-bit hashes
-of words and pairs, and of doc_id and text together by two of them. Defined
+of words and pairs, and of doc_id and text together by two of them. Slices are numbered by
+task, so docs should be a table that reads alike when a task is run again, as files do. Defined
 cases: a null text is empty (just the end); a null doc_id trains; repeated rows are scored
 each; an empty table gives no rows, no training documents a uniform model; other columns are
 ignored.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,11 @@ FREQUENT = 1 << 18
 CLASSES = 2048
 SLICE_TOKENS = 1_000_000
 OFTEN = 4
+SLICE_BITS = 32
 BUCKET_TOKENS = 1 << 21
 MOST_PARTITIONS = 20_000
-RECORDS, COUNTS = 0, 1
-BLOBS = "bucket int, kind int, blob binary"
+RECORDS, COUNTS, PAIRS, DOCUMENTS = range(4)
+BLOBS = "bucket int, kind int, slice long, blob binary"
 END = np.uint64(0)
 EM_ROUNDS = 10
 BUCKETS = 48
@@ -188,8 +191,9 @@ def bucket_numbers(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(at.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _blobs(bucket: list, kind: list, blob: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "slice", "blob"])
 
 
 def _groups(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -201,28 +205,48 @@ def _groups(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _pairs(head, often, buckets: int):
-    """Pairs by bucket, as blobs of kind RECORDS: v, w, document, times, and the documents' dh, th and part (0 counted, 1 deleted, 2 held out). Pairs that are often met come last, as counts of the whole task in negative buckets."""
+    """Pairs by bucket, in blobs.
 
-    def packed(waiting: list, seen: np.ndarray) -> pa.RecordBatch:
+    PAIRS: v, w, and how often in the counted and the deleted part, of a slice of documents;
+    their answers come back in this order. DOCUMENTS: the same slice's dh and th, and by
+    bucket, in that order, the documents of each pair. RECORDS: pairs of two rare words, with
+    their documents: v, w, document, times, dh, th, part. Pairs that are often met come last,
+    as counts of the whole task in negative buckets.
+    """
+
+    def packed(waiting: list, seen: np.ndarray, no: int) -> pa.RecordBatch:
         t, tokens, part, dh, th = (np.concatenate(x) for x in zip(*waiting, strict=True))
         code, back, _ = codes(head.value, t)
         k, pair = np.unique(_before(back, np.cumsum(tokens) - 1) * len(code) + back, return_inverse=True)
         v, w = code[k // len(code)], code[k % len(code)]
         at, hit = found(often.value, pair_keys(v, w))
         doc = np.repeat(np.arange(len(part)), tokens)
+        ab = [np.bincount(pair[part[doc] == p], minlength=len(k)) for p in (0, 1)]
         for p in (0, 1):
-            seen[p][at[hit]] += np.bincount(pair[part[doc] == p], minlength=len(k))[hit]
-        other = ~hit[pair]
-        k, times = np.unique(pair[other] * len(part) + doc[other], return_counts=True)
+            seen[p][at[hit]] += ab[p][hit]
+        apart = ~in_head(v) & ~in_head(w)
+        bucket = bucket_numbers(v, w, buckets)
+        near = np.flatnonzero(~hit & ~apart)
+        near = near[np.argsort(bucket[near], kind="stable")]
+        out = [(b, PAIRS, no, pack(v[near[rows]], w[near[rows]], *(x[near[rows]].astype(np.uint32) for x in ab))) for b, rows in _groups(bucket[near])]
+        rank = np.full(len(k), -1)
+        rank[near] = np.arange(len(near))
+        rank = rank[pair]
+        r, times = np.unique(rank[rank >= 0] * len(part) + doc[rank >= 0], return_counts=True)
+        met, size = np.unique(bucket[near], return_counts=True)
+        step = np.diff(r // len(part), prepend=0).astype(np.uint32)
+        out.append((int(mix(np.array([no], np.uint64))[0] % np.uint64(buckets)), DOCUMENTS, no, pack(met, size, step, (r % len(part)).astype(np.uint32), times.astype(np.uint32), dh, th)))
+        far = apart[pair]
+        k, times = np.unique(pair[far] * len(part) + doc[far], return_counts=True)
         pair, doc = k // len(part), k % len(part)
-        out = []
-        for bucket, rows in _groups(bucket_numbers(v, w, buckets)[pair]):
+        for b, rows in _groups(bucket[pair]):
             own, local = np.unique(doc[rows], return_inverse=True)
-            out.append((bucket, RECORDS, pack(v[pair[rows]], w[pair[rows]], local.astype(np.uint32), times[rows].astype(np.uint32), dh[own], th[own], part[own])))
-        return _blobs(*([x[i] for x in out] for i in range(3)))
+            out.append((b, RECORDS, no, pack(v[pair[rows]], w[pair[rows]], local.astype(np.uint32), times[rows].astype(np.uint32), dh[own], th[own], part[own])))
+        return _blobs(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, len(often.value)), np.int64)
+        no = TaskContext.get().partitionId() << SLICE_BITS
         waiting, size = [], 0
         for b in batches:
             held, deleted = (b.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("held_out", "deleted"))
@@ -233,13 +257,13 @@ def _pairs(head, often, buckets: int):
                 waiting.append((t, lengths(ends), part[i:j], dh[i:j], th[i:j]))
                 size += len(t)
                 if size > SLICE_TOKENS:
-                    yield packed(waiting, seen)
-                    waiting, size = [], 0
+                    yield packed(waiting, seen, no)
+                    waiting, size, no = [], 0, no + 1
         if waiting:
-            yield packed(waiting, seen)
+            yield packed(waiting, seen, no)
         met = np.flatnonzero(seen.any(axis=0))
-        out = [(-1 - c, RECORDS, pack(met[rows], seen[0][met[rows]], seen[1][met[rows]])) for c, rows in _groups(met % max(1, buckets // 8))]
-        yield _blobs(*([x[i] for x in out] for i in range(3)))
+        out = [(-1 - c, RECORDS, None, pack(met[rows], seen[0][met[rows]], seen[1][met[rows]])) for c, rows in _groups(met % max(1, buckets // 8))]
+        yield _blobs(out)
 
     return run
 
@@ -250,13 +274,12 @@ def _rare_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code, c, a = (b.column(x).to_numpy() for x in ("code", "c", "a"))
-            out = [(k, COUNTS, pack(code[rows], c[rows], a[rows])) for k, rows in _groups(bucket_numbers(code, code, buckets))]
-            yield _blobs(*([x[i] for x in out] for i in range(3)))
+            yield _blobs([(k, COUNTS, None, pack(code[rows], c[rows], a[rows])) for k, rows in _groups(bucket_numbers(code, code, buckets))])
 
     return run
 
 
-FOUND = "pairs binary, em binary, key long, dh long, th long, n long, w long, c long, cv long, a long, av long, b long"
+FOUND = "slice long, bucket long, pairs binary, documents binary, em binary, key long, dh long, th long, n long, w long, c long, cv long, a long, av long, b long"
 FOUND_TYPES = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in FOUND.split(", ")])
 
 
@@ -268,15 +291,15 @@ def _found(**columns) -> pa.Table:
 def _count(head, often):
     """Counts the pairs of one bucket over the whole corpus.
 
-    pairs: c, cv, cw, whether w is rare, and the documents each pair is in; em: a, av, aw, b
-    of the pairs met in the deleted part. A pair of two rare words has its w counted in
-    another bucket, so that it comes as rows of their own, one a document, to be joined
-    (b only in the first). Often met pairs: key, a, b.
+    pairs: of each slice c, cv, cw and whether w is rare, in the slice's order; documents: as
+    they came; em: a, av, aw, b of the pairs met in the deleted part. A pair of two rare words
+    has its w counted in another bucket, so that it comes as rows of their own, one a
+    document, to be joined (b only in the first). Often met pairs: key, a, b.
     """
 
     def run(group: pa.Table) -> pa.Table:
         _, head_c, head_a = head.value
-        blobs = {k: [unpack(x.as_py()) for x, kind in zip(group.column("blob"), group.column("kind").to_pylist(), strict=True) if kind == k] for k in (RECORDS, COUNTS)}
+        blobs = {k: [unpack(x.as_py()) for x, kind in zip(group.column("blob"), group.column("kind").to_pylist(), strict=True) if kind == k] for k in (RECORDS, COUNTS, PAIRS)}
         if group.column("bucket")[0].as_py() < 0:
             at, a, b = (np.concatenate(x) for x in zip(*blobs[RECORDS], strict=True))
             at, back = np.unique(at, return_inverse=True)
@@ -284,18 +307,9 @@ def _count(head, often):
             key, e = often.value[at], b > 0
             em = pack(a[e], head_a[key[e] >> HEAD_BITS], head_a[key[e] & (HEAD - 1)], b[e])
             return pa.concat_tables([_found(em=[em]), _found(key=key, a=a, b=b)])
-        if not blobs[RECORDS]:
-            return _found(key=[])
-        v, w, doc, times, dh, th, part = zip(*blobs[RECORDS], strict=True)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in dh])])
-        doc = np.concatenate([x.astype(np.int64) + s for x, s in zip(doc, starts, strict=False)])
-        v, w, times, dh, th, part = (np.concatenate(x) for x in (v, w, times, dh, th, part))
         rare, rare_c, rare_a = (np.concatenate(x) for x in zip(*blobs[COUNTS], strict=True)) if blobs[COUNTS] else (np.zeros(0, np.int64),) * 3
         order = np.argsort(rare)
         rare, rare_c, rare_a = rare[order], rare_c[order], rare_a[order]
-        _, first, pair = np.unique(mix(v.view(np.uint64)) * np.uint64(3) + w.view(np.uint64), return_index=True, return_inverse=True)
-        a, b = (np.bincount(pair, weights=times * (part[doc] == p), minlength=len(first)).astype(np.int64) for p in (0, 1))
-        v, w = v[first], w[first]
 
         def counts(code: np.ndarray, of_head: np.ndarray, of_rare: np.ndarray) -> np.ndarray:
             out = np.zeros(len(code), np.int64)
@@ -306,25 +320,42 @@ def _count(head, often):
             out[hit] = of_rare[at[hit]]
             return out
 
-        cv, av, cw, aw = (counts(x, *n) for x in (v, w) for n in ((head_c, rare_c), (head_a, rare_a)))
-        apart = ~in_head(v) & ~in_head(w)
-        far = np.flatnonzero(apart[pair])
-        p, once = pair[far], np.zeros(len(pair), np.int64)
-        once[first] = b
-        rows = _found(dh=dh[doc[far]], th=th[doc[far]], n=times[far].astype(np.int64), w=w[p], c=(a + b)[p], cv=cv[p], a=a[p], av=av[p], b=once[far])
-        e = (b > 0) & ~apart
-        here = np.flatnonzero(~apart[pair])
-        here = here[np.argsort(pair[here], kind="stable")]
-        number = np.cumsum(~apart) - 1
-        near = ~apart
-        step = np.diff(number[pair[here]], prepend=0)
-        own, local = np.unique(doc[here], return_inverse=True)
-        pairs = pack((a + b)[near], cv[near], cw[near], (~in_head(w[near])).astype(np.uint8), step.astype(np.uint32), local.astype(np.uint32), times[here].astype(np.uint32), dh[own], th[own])
-        return pa.concat_tables([_found(pairs=[pairs], em=[pack(a[e], av[e], aw[e], b[e])]), rows])
+        kinds, slices = (group.column(x).to_pylist() for x in ("kind", "slice"))
+        through = [i for i, x in enumerate(kinds) if x == DOCUMENTS]
+        out = [_found(slice=[slices[i] for i in through], documents=[group.column("blob")[i].as_py() for i in through])]
+        if blobs[PAIRS]:
+            edges = np.cumsum([len(x[0]) for x in blobs[PAIRS]])[:-1]
+            v, w, a, b = (np.concatenate(x) for x in zip(*blobs[PAIRS], strict=True))
+            first, pair = distinct_pairs(v, w)
+            a, b = (np.bincount(pair, weights=x, minlength=len(first)).astype(np.int64) for x in (a, b))
+            v, w = v[first], w[first]
+            cv, av, cw, aw = (counts(x, *n) for x in (v, w) for n in ((head_c, rare_c), (head_a, rare_a)))
+            e, tail = b > 0, (~in_head(w)).astype(np.uint8)
+            answers = [pack((a + b)[p], cv[p], cw[p], tail[p]) for p in np.split(pair, edges)]
+            bucket = group.column("bucket")[0].as_py()
+            out.append(_found(slice=[n for n, x in zip(slices, kinds, strict=True) if x == PAIRS], bucket=[bucket] * len(answers), pairs=answers))
+            out.append(_found(em=[pack(a[e], av[e], aw[e], b[e])]))
+        if blobs[RECORDS]:
+            v, w, doc, times, dh, th, part = zip(*blobs[RECORDS], strict=True)
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in dh])])
+            doc = np.concatenate([x.astype(np.int64) + n for x, n in zip(doc, starts, strict=False)])
+            v, w, times, dh, th, part = (np.concatenate(x) for x in (v, w, times, dh, th, part))
+            first, pair = distinct_pairs(v, w)
+            a, b = (np.bincount(pair, weights=times * (part[doc] == p), minlength=len(first)).astype(np.int64) for p in (0, 1))
+            cv, av = (counts(v[first], *n) for n in ((head_c, rare_c), (head_a, rare_a)))
+            once = np.zeros(len(pair), np.int64)
+            once[first] = b
+            out.append(_found(dh=dh[doc], th=th[doc], n=times.astype(np.int64), w=w, c=(a + b)[pair], cv=cv[pair], a=a[pair], av=av[pair], b=once))
+        return pa.concat_tables(out)
 
     return run
 
 
+def distinct_pairs(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair is first met, and the number of each row's pair."""
+    return np.unique(mix(v.view(np.uint64)) * np.uint64(3) + w.view(np.uint64), return_index=True, return_inverse=True)[1:]
+
+
 def _deleted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column("em"):
@@ -341,17 +372,19 @@ def log_p_of(weights: list[list[float]], n: int, live: int, c: np.ndarray, cv: n
 
 
 def _pair_logs(weights: list[list[float]], n: int, live: int):
-    """Sums of a bucket's pairs for each document: the score, and of rare words the logarithms of base and how many were trained on."""
+    """Sums of a slice's pairs for each of its documents: the score, and of rare words the logarithms of base and how many were trained on."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("pairs"):
-                c, cv, cw, rare, step, doc, times, dh, th = unpack(x.as_py())
-                pair = np.cumsum(step.astype(np.int64))
-                known = (rare > 0) & (cw > 0)
-                sums = [log_p_of(weights, n, live, c, cv, cw), np.where(known, np.log10(cw + 1.0), 0.0), known.astype(float)]
-                out = [np.bincount(doc, weights=s[pair] * times, minlength=len(dh)) for s in sums]
-                yield pa.RecordBatch.from_arrays([pa.array(dh), pa.array(th), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int64))], ["dh", "th", "pair_log", "tail_log", "tail_known"])
+    def run(group: pa.Table) -> pa.Table:
+        answers = {b: x for b, x in zip(group.column("bucket").to_pylist(), group.column("pairs"), strict=True) if x.is_valid}
+        met, size, step, doc, times, dh, th = unpack(next(x for x in group.column("documents") if x.is_valid).as_py())
+        parts = [unpack(answers[b].as_py()) for b in met.tolist()] or [[np.zeros(0, np.int64)] * 4]
+        c, cv, cw, rare = (np.concatenate(x) for x in zip(*parts, strict=True))
+        assert len(c) == size.sum()
+        pair = np.cumsum(step.astype(np.int64))
+        known = (rare > 0) & (cw > 0)
+        sums = [log_p_of(weights, n, live, c, cv, cw), np.where(known, np.log10(cw + 1.0), 0.0), known.astype(float)]
+        out = [np.bincount(doc, weights=x[pair] * times, minlength=len(dh)) for x in sums]
+        return pa.table([pa.array(dh), pa.array(th), *(pa.array(x.astype(t)) for x, t in zip(out, (float, float, np.int64), strict=True))], ["dh", "th", "pair_log", "tail_log", "tail_known"])
 
     return run
 
@@ -493,7 +526,8 @@ def score_documents(docs: DataFrame, held_out, deleted, head_words: int = HEAD,
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, dh long, th long, held_out boolean, n_tokens long, n_head long, base double, score double"
     rows = texts.drop("deleted").mapInArrow(_score(head, sc.broadcast((keys, lp))), schema).withColumn("n", F.lit(1).cast("long"))
-    near = got.filter("pairs is not null").select("pairs").mapInArrow(_pair_logs(weights, n, live), "dh long, th long, pair_log double, tail_log double, tail_known long")
+    near = got.filter("slice is not null").select("slice", "bucket", "pairs", "documents").repartition(min(buckets + 1, MOST_PARTITIONS), "slice")
+    near = near.groupBy("slice").applyInArrow(_pair_logs(weights, n, live), "dh long, th long, pair_log double, tail_log double, tail_known long")
     known = F.col("cw") > 0
     far = apart.select("dh", "th", (F.col("n") * log_p(weights, n, live)).alias("pair_log"), F.when(known, F.col("n") * F.log10(F.col("cw") + 1.0)).alias("tail_log"), F.when(known, F.col("n")).alias("tail_known"))
     flat = ["doc_id", "held_out", "n_tokens", "n_head", "base", "score"]
