@@ -49,10 +49,17 @@ def normalise_key(key: Column) -> Column:
     return F.regexp_replace(F.lower(key), "[ _-]", "")
 
 
+def percent_decoded(text: Column) -> Column:
+    """%XX as the UTF-8 bytes they stand for; a plus sign, and a percent sign without two hex digits, stay."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
+
+
 def clean_name(name: Column) -> Column:
-    """Without brackets, angle brackets and URL prefix, percent signs decoded."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"[\[\]<>]", ""), r"^https?://[^ ]*/", "")
-    return F.trim(F.coalesce(F.try_url_decode(bare), bare))
+    """Without brackets at either end; of a URL (also in angle brackets) the last part, decoded; without angle brackets at either end."""
+    bare = F.regexp_replace(name, r"^[\[\]]+|[\[\]]+$", "")
+    tail = F.regexp_replace(F.regexp_extract(bare, r"^<?https?://[^ ]*/(.*)$", 1), ">+$", "")
+    whole = F.when(bare.rlike(r"^<?https?://[^ ]*/"), percent_decoded(tail)).otherwise(bare)
+    return F.regexp_replace(whole, "^[<>]+|[<>]+$", "")
 
 
 def bracket_entity(question: Column, given: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import percent_decoded
 from .explore import pattern_answers, pattern_queries
 from .lookup import find_seed
 
@@ -19,10 +20,6 @@ KNOWN_RELATIONS = [
 ]
 
 
-def _decoded(x):
-    return F.coalesce(F.try_url_decode(x), x)
-
-
 def convert_triples(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """records: idx, question, answers (array), triples (array of [source, relation, target]), type.
 
@@ -30,11 +27,14 @@ def convert_triples(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers, relations (in order; one is left out if its lower-cased name is there already),
     type; rejects have idx and reason (no_question, no_answer, relation_answer).
     """
-    answers = F.filter(F.transform(F.filter("answers", lambda a: a.isNotNull()), lambda a: F.trim(F.regexp_replace(_decoded(a), ">+$", ""))), lambda a: a != "")
-    bare = lambda x: F.regexp_replace(x, r"^[\[\]]+|[\[\]]+$", "")
-    tail = lambda x: F.regexp_replace(F.element_at(F.split(x, "/(node|vocab)/"), -1), r"^[<>]+|[<>]+$", "")
-    anchor = _decoded(tail(bare(F.get(F.get("triples", F.lit(0)), F.lit(0)))))
-    rel = F.transform("triples", lambda t: F.trim(_decoded(tail(F.regexp_replace(F.get(t, F.lit(1)), r"^[\[\]<>]+|[\[\]<>]+$", "")))))
+    answers = F.filter(F.transform(F.filter("answers", lambda a: a.isNotNull()), lambda a: F.trim(F.regexp_replace(percent_decoded(a), ">+$", ""))), lambda a: a != "")
+    first = F.regexp_replace(F.get(F.get("triples", F.lit(0)), F.lit(0)), r"^[\[\]]+|[\[\]]+$", "")
+    tail = lambda x, at: F.element_at(F.split(x, at), -1)
+    closed = lambda x: F.regexp_replace(x, ">+$", "")
+    # a name under node/ stays as it is, one under vocab/ is decoded
+    anchor = F.when(first.contains("/vocab/"), percent_decoded(closed(tail(first, "/vocab/")))).when(first.contains("/node/"), closed(tail(first, "/node/"))).otherwise(first)
+    anchor = F.regexp_replace(anchor, "^[<>]+|[<>]+$", "")
+    rel = F.transform("triples", lambda t: F.trim(percent_decoded(tail(F.regexp_replace(F.get(t, F.lit(1)), r"^[\[\]<>]+|[\[\]<>]+$", ""), "/vocab/"))))
     d = records.select("idx", F.trim(F.coalesce("question", F.lit(""))).alias("q"), answers.alias("answers"), anchor.alias("anchor"), rel.alias("rels"), "type")
     reason = F.when(F.col("q") == "", "no_question").when(F.coalesce(F.size("answers"), F.lit(0)) <= 0, "no_answer").when(F.exists("answers", lambda a: F.lower(a).isin(KNOWN_RELATIONS)), "relation_answer")
     d = d.withColumn("reason", reason)

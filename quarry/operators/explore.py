@@ -10,7 +10,7 @@ from ..functions.text import has_cjk
 from ..session import write_table
 from .hops import edges_bi, first_tier, hop, named, start, top_k
 from .lookup import find_compound, find_compound_via_hub
-from .traverse import anchor_nodes, follow, limited, reachable, relation_sequences
+from .traverse import anchor_nodes, follow, limited, relation_sequences
 
 #: fixed values: pattern, first labels, seed match, then relations and directions from the seed to the answer, last labels, and a property of the answer
 PATTERNS = [
@@ -128,19 +128,22 @@ def relaxed_sequences(anchors: DataFrame, types: list[str], generic: str, nodes:
 
 
 def best_path_answers(anchors: DataFrame, ranked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """anchors: query_id, anchor; ranked: query_id, path_id, rels, rank. query_id, name: what the first path reaches."""
-    first = top_k(ranked, ["query_id"], ["rank", "path_id"], 1).select("query_id", "path_id", "rels")
-    plans = [r["rels"] for r in first.select("rels").distinct().limit(1001).collect()]
-    if len(plans) <= 1000:
-        # few distinct sequences: one walk each, for all queries that share it
-        got = [reachable(anchors.join(first.filter(F.col("rels") == F.array(*map(F.lit, p))).select("query_id"), "query_id", "left_semi"), p, nodes, edges) for p in plans]
-        return union(got) if got else anchors.select("query_id", F.col("anchor").alias("name")).limit(0)
-    f = start(anchor_nodes(anchors, nodes, "exact").join(first, "query_id"))
-    links, done = edges_bi(edges), []
-    for i in range(_longest(first)):
-        f = named(hop(f, links, F.get("rels", F.lit(i)), unique_edges=False), nodes).filter("name <> anchor")
-        done.append(f.filter(F.size("rels") == i + 1).select("query_id", "name"))
-        f = f.filter(F.size("rels") > i + 1).drop("name")
+    """anchors: query_id, anchor; ranked: query_id, path_id, rels, rank. query_id, name: what the first path reaches, one clause a hop; of an empty one the anchor itself."""
+    first = write_table(top_k(ranked, ["query_id"], ["rank", "path_id"], 1).select("query_id", "rels"), "first_paths")
+    a = anchors.join(first.hint("merge"), "query_id")
+    done = [a.filter(F.size("rels") == 0).select("query_id", F.col("anchor").alias("name"))]
+    longest = _longest(first)
+    if longest > 0:
+        used = first.select(F.explode("rels").alias("rel")).distinct()
+        step = edges_bi(edges.join(used.hint("merge"), "rel", "left_semi")).select("a_id", F.col("rel").alias("step_rel"), "b_id")
+        name = nodes.select(F.col("node_id").alias("b_id"), "name").filter("name <> ''")
+        f = anchor_nodes(a.filter(F.size("rels") > 0), nodes, "exact").select("query_id", "anchor", "rels", F.col("node_id").alias("at")).distinct()
+        for i in range(longest):
+            # how a node was reached doesn't matter: paths count as nodes
+            f = f.join(step.hint("merge"), (F.col("at") == F.col("a_id")) & (F.get("rels", F.lit(i)) == F.col("step_rel"))).select("query_id", "anchor", "rels", "b_id").distinct()
+            f = f.join(name.hint("merge"), "b_id").filter("name <> anchor")
+            done.append(f.filter(F.size("rels") == i + 1).select("query_id", "name"))
+            f = f.filter(F.size("rels") > i + 1).select("query_id", "anchor", "rels", F.col("b_id").alias("at"))
     return union(done).distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import compare_text
 from .hops import top_k
 
 
@@ -35,11 +36,11 @@ def lenient_intersection(answers: DataFrame, most: int = 50) -> DataFrame:
 
 
 def property_filter(answers: DataFrame, filters: DataFrame, nodes: DataFrame) -> DataFrame:
-    """filters: query_id, prop, op, value (all must hold; values compare as text). Skipped for a query that it would empty."""
+    """filters: query_id, prop, op, value (all must hold; values compare as numbers, else as dates, else as text). Skipped for a query that it would empty."""
     props = nodes.select(F.lower("name").alias("low"), "props")
     met = answers.withColumn("low", F.lower("name")).join(props, "low").join(filters, "query_id").withColumn("v", F.try_element_at("props", "prop"))
-    v, t = F.col("v"), F.col("value")
-    ok = F.when(F.col("op") == "=", v == t).when(F.col("op") == "!=", v != t).when(F.col("op") == "<", v < t).when(F.col("op") == ">", v > t).when(F.col("op") == "<=", v <= t).when(F.col("op") == ">=", v >= t)
+    side = F.when(F.col("v").isNotNull(), compare_text(F.col("v"), F.col("value")))
+    ok = F.when(F.col("op") == "=", side == 0).when(F.col("op") == "!=", side != 0).when(F.col("op") == "<", side < 0).when(F.col("op") == ">", side > 0).when(F.col("op") == "<=", side <= 0).when(F.col("op") == ">=", side >= 0)
     per = met.groupBy("query_id", "name", "prop", "op", "value").agg(F.bool_or(F.coalesce(ok, F.lit(False))).alias("ok")).groupBy("query_id", "name").agg(F.bool_and("ok").alias("ok"))
     d = answers.join(per, ["query_id", "name"], "left").join(filters.select("query_id").distinct().withColumn("asked", F.lit(True)), "query_id", "left")
     d = d.withColumn("stay", F.coalesce("ok", F.col("asked").isNull())).withColumn("any", F.bool_or("stay").over(Window.partitionBy("query_id")))

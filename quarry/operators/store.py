@@ -16,7 +16,7 @@ from .hops import first_tier, top_k
 from .traverse import relation_between
 
 #: fixed values: words for the greater and the lesser of a selection
-GREATER = ["greater", "larger", "more", "later", "latest", "longest", "higher", "largest"]
+GREATER = ["greater", "larger", "more", "later", "latest", "longest", "higher"]
 LESS = ["less", "smaller", "fewer", "earlier", "earliest", "shortest", "smallest", "lower"]
 
 
@@ -134,24 +134,29 @@ def answer_verify(asks: DataFrame, kb: KB) -> DataFrame:
     return _answered(asks, d.select("query_id", F.when(ok, "yes").otherwise("no").alias("answer")), "no")
 
 
+def _mode() -> Column:
+    """The mode in lower case; without one, greater."""
+    return F.lower(F.when(F.col("mode") != "", F.col("mode")).otherwise("greater"))
+
+
 def select_between(asks: DataFrame, kb: KB) -> DataFrame:
-    """asks: query_id, a, b, key, mode. The greater (or lesser) of two; a tie goes to the first. '' without comparable values."""
+    """asks: query_id, a, b, key, mode. The greater of two for a mode of GREATER, the lesser for any other; a tie goes to the first. '' without comparable values."""
     d = asks
     for x in "ab":
         d = d.join(query_attr(asks.select("query_id", F.col(x).alias("name"), "key"), kb).select("query_id", F.col("v").alias(f"v{x}")).hint("merge"), "query_id")
     va, vb = F.col("va"), F.col("vb")
     x, y = order_of(va), order_of(vb)
-    first = F.when(F.lower("mode").isin(GREATER), x >= y).otherwise(x <= y)
+    first = F.when(_mode().isin(GREATER), x >= y).otherwise(x <= y)
     return _answered(asks, d.filter(comparable(va, vb)).select("query_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("answer")))
 
 
 def select_among(asks: DataFrame, kb: KB) -> DataFrame:
-    """asks: query_id, pos, name, key, mode. The best of a set, the first of ties; those not comparable with the first that has the key don't count."""
+    """asks: query_id, pos, name, key, mode. The best of a set, the first of ties; those not comparable with the first that has the key don't count. A mode of neither list takes the first."""
     one = asks.select(F.struct("query_id", "pos").alias("query_id"), "name", "key")
     d = asks.select("query_id", "pos", "name", "mode").join(query_attr(one, kb).select("query_id.query_id", "query_id.pos", "v").hint("merge"), ["query_id", "pos"])
     lead = d.groupBy("query_id").agg(F.min_by("v", "pos").alias("first"))
     d = d.join(lead.hint("merge"), "query_id").filter(comparable(F.col("v"), F.col("first")))
-    low = F.lower("mode")
+    low = _mode()
     by = F.when(low.isin(GREATER), -order_of(F.col("v"))).when(low.isin(LESS), order_of(F.col("v"))).otherwise(F.lit(0.0))
     return _answered(asks, d.groupBy("query_id").agg(F.min_by("name", F.struct(by.alias("by"), "pos")).alias("answer")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..fixtures import union
 from ..operators.hops import first_tier, top_k
 from ..session import write_table
-from .schema_paths import both_ways, type_paths
+from .schema_paths import both_ways, first_ways, type_paths
 
 STRINGS = "array<string>"
 
@@ -51,12 +51,10 @@ def intersection_candidates(transitions: DataFrame, schema: DataFrame, most: int
 
 
 def detours(schema: DataFrame) -> DataFrame:
-    """src, dst, types: the first shortest way between two types, by name; of a type to itself a way over another one."""
-    step = both_ways(schema).select("a", "rel", "b").distinct()
-    ways = type_paths(schema, 3, directed=False, shortest=True).filter("src <> dst").select("src", "dst", "types", "rels")
-    back = step.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("mid"), F.col("rel").alias("r1")).join(step.select(F.col("a").alias("mid"), F.col("b").alias("dst"), F.col("rel").alias("r2")), "mid").filter("src = dst")
-    ways = ways.unionByName(back.select("src", "dst", F.array("src", "mid", "dst").alias("types"), F.array("r1", "r2").alias("rels")))
-    return ways.groupBy("src", "dst").agg(F.min(F.struct(F.array_join("types", "|").alias("key"), "types")).alias("w")).select("src", "dst", "w.types")
+    """src, dst, types: the first shortest way between two types, of any length, by name; of a type to itself a way over another one."""
+    step = both_ways(schema).filter("a <> b").select("a", "b").distinct()
+    back = step.groupBy(F.col("a").alias("src")).agg(F.min("b").alias("mid")).select("src", F.col("src").alias("dst"), F.array("src", "mid", "src").alias("types"))
+    return first_ways(schema).unionByName(back)
 
 
 def expand_type_path(paths: DataFrame, schema: DataFrame) -> DataFrame:

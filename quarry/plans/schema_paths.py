@@ -49,6 +49,45 @@ def type_paths(schema: DataFrame, most_hops: int, directed: bool = True, shortes
     return out.select("src", "dst", "types", "rels", "hops")
 
 
+def shortest_type_paths(schema: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """src, dst, types, rels, hops: all shortest ways between two types, of any length, against edge direction too; of a type to itself its relations to itself. pairs: src, dst (else all).
+
+    Types are layered by their distance to the end; only steps into the next layer are taken,
+    so nothing longer than a result is made.
+    """
+    step = write_table(both_ways(schema).select("a", "rel", "b").distinct(), "type_steps")
+    dist = write_table(type_distances(schema).filter("dist >= 0"), "type_distances")
+    loop = step.filter("a = b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct().withColumn("togo", F.lit(1))
+    ends = dist.filter("dist > 0").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("dist").alias("togo")).unionByName(loop)
+    if pairs is not None:
+        ends = ends.join(pairs.select("src", "dst").distinct().hint("merge"), ["src", "dst"], "left_semi")
+    none = F.array().cast("array<string>")
+    front = write_table(ends.select("src", "dst", "togo", F.array("src").alias("types"), none.alias("rels"), F.col("src").alias("a")), "type_front")
+    done = []
+    while not front.isEmpty():
+        go = front.join(step.hint("merge"), "a").join(dist.select(F.col("a").alias("b"), F.col("b").alias("dst"), "dist").hint("merge"), ["b", "dst"]).filter("dist = togo - 1")
+        front = write_table(go.select("src", "dst", F.col("dist").alias("togo"), F.array_append("types", F.col("b")).alias("types"), F.array_append("rels", F.col("rel")).alias("rels"), F.col("b").alias("a")), "type_front")
+        done.append(front.filter("togo = 0"))
+        front = front.filter("togo > 0")
+    out = done[0] if done else front
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.select("src", "dst", "types", "rels", F.size("rels").alias("hops"))
+
+
+def first_ways(schema: DataFrame) -> DataFrame:
+    """src, dst, types: of each two types the first shortest way by name, of any length. A way is a step and the first way from there, so one way a pair is kept."""
+    step = write_table(both_ways(schema).filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("via")).distinct(), "type_steps")
+    ways = front = write_table(step.select("src", F.col("via").alias("dst"), F.array("src", "via").alias("types")), "type_ways")
+    while True:
+        on = front.withColumnRenamed("src", "via")
+        more = step.join(on.hint("merge"), "via").filter("src <> dst").select("src", "dst", F.concat(F.array("src"), "types").alias("types")).join(ways.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
+        front = write_table(more.groupBy("src", "dst").agg(F.min_by("types", F.array_join("types", "|")).alias("types")), "type_ways")
+        if front.isEmpty():
+            return ways
+        ways = ways.unionByName(front)
+
+
 def relation_paths(sequences: DataFrame, schema: DataFrame, most: int = 100) -> DataFrame:
     """sequences: seq_id, types. All choices of a relation for each neighbouring pair of types, first `most` by name; none if a pair has none."""
     step = both_ways(schema).select("a", "b", "rel").distinct()
@@ -94,3 +133,14 @@ def transition_map(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     from ..operators.lookup import schema_edges
 
     return schema_edges(edges, nodes).groupBy("rel", "src_type").agg(F.array_sort(F.collect_set("tgt_type")).alias("targets"))
+
+
+def pair_relations(transitions: DataFrame) -> DataFrame:
+    """src_type, tgt_type, rels: the relations from one type to another, of a transition map."""
+    return transitions.select("src_type", F.explode("targets").alias("tgt_type"), "rel").groupBy("src_type", "tgt_type").agg(F.array_sort(F.collect_set("rel")).alias("rels"))
+
+
+def outgoing_edges(transitions: DataFrame) -> DataFrame:
+    """src_type, edges (array of struct rel, tgt_type): what leaves a type, of a transition map."""
+    edge = F.transform("targets", lambda t: F.struct(F.col("rel").alias("rel"), t.alias("tgt_type")))
+    return transitions.groupBy("src_type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(edge)))).alias("edges"))

@@ -9,7 +9,7 @@ from ..plans import candidates as C
 from ..plans import schema_paths as H
 from . import registry
 from .graph import SCHEMA_SQL
-from .search import DIRECTED, TWO_WAY, joined, schema
+from .search import DIRECTED, TWO_WAY, WALKS, joined, schema
 
 QUERIES, ORACLES, query = registry()
 
@@ -49,10 +49,10 @@ def intersection_candidates(spark, d):
     return C.intersection_candidates(t.withColumn("hint", F.lit("hint")), schema(spark, d))
 
 
-EXPAND_SQL = PAIR_SQL + """, h2 AS (SELECT x.a AS s, y.b AS t, concat_ws('|', x.a, x.b, y.b) AS types, 2 AS n FROM w1 x JOIN w1 y ON y.a = x.b WHERE x.a <> x.b AND y.b <> x.b),
-h3 AS (SELECT x.a AS s, z.b AS t, concat_ws('|', x.a, x.b, y.b, z.b) AS types, 3 AS n FROM w1 x JOIN w1 y ON y.a = x.b JOIN w1 z ON z.a = y.b WHERE x.a <> x.b AND x.a <> y.b AND y.b <> x.b AND z.b NOT IN (x.b, y.b)),
-way AS MATERIALIZED (SELECT s, t, arg_min(types, (n, types)) AS types FROM (SELECT * FROM h2 UNION ALL SELECT * FROM h3 WHERE s <> t) GROUP BY s, t),
-ex AS MATERIALIZED (SELECT p.s, p.t, CASE WHEN w.a IS NOT NULL THEN p.s || '|' || p.t ELSE coalesce(y.types, p.s || '|' || p.t) END AS types FROM pr p LEFT JOIN w1 w ON w.a = p.s AND w.b = p.t LEFT JOIN way y ON y.s = p.s AND y.t = p.t)
+EXPAND_SQL = PAIR_SQL.replace(", w1 AS", ", direct AS").replace(" w1 ", " direct ").rstrip() + ", " + WALKS + """,
+way AS MATERIALIZED (SELECT s, t, arg_min(types, (n, types)) AS types FROM (
+  SELECT src AS s, dst AS t, types, n FROM walks WHERE src <> dst UNION ALL SELECT x.a, x.a, concat_ws('|', x.a, x.b, x.a), 2 FROM direct x WHERE x.a <> x.b) GROUP BY s, t),
+ex AS MATERIALIZED (SELECT p.s, p.t, CASE WHEN w.a IS NOT NULL THEN p.s || '|' || p.t ELSE coalesce(y.types, p.s || '|' || p.t) END AS types FROM pr p LEFT JOIN direct w ON w.a = p.s AND w.b = p.t LEFT JOIN way y ON y.s = p.s AND y.t = p.t)
 """
 
 

@@ -191,11 +191,18 @@ def lenient_intersection(spark, d):
     return setops.lenient_intersection(brand_answers(spark, d))
 
 
-@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')}), f AS (SELECT a.query_id, a.name, max(n.segment = 'BUILDING') AS ok FROM a JOIN nodes n ON lower(n.name) = lower(a.name) GROUP BY ALL) SELECT query_id, name FROM f WHERE ok OR NOT EXISTS (SELECT 1 FROM f g WHERE g.query_id = f.query_id AND g.ok)")
+@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')}), v AS (SELECT c_name, c_mktsegment, c_acctbal, DATE '1990-01-01' + CAST(c_custkey % 400 AS INT) AS day FROM customer), f AS (SELECT a.query_id, a.name, max(CASE a.query_id WHEN 'AFRICA' THEN c_acctbal >= 900 WHEN 'AMERICA' THEN day < DATE '1990-10-02' WHEN 'ASIA' THEN c_mktsegment <> 'BUILDING' AND c_acctbal < 5000 WHEN 'EUROPE' THEN c_mktsegment = 'none' ELSE c_mktsegment = 'BUILDING' END) AS ok FROM a JOIN v ON lower(c_name) = lower(a.name) GROUP BY ALL) SELECT query_id, name FROM f WHERE ok OR NOT EXISTS (SELECT 1 FROM f g WHERE g.query_id = f.query_id AND g.ok)")
 def property_filter(spark, d):
+    """Numbers, dates and text by several operators; one query's filter would empty it, and is left out."""
     a = traverse.typed_paths(anchors(table(spark, d, "region"), "r_name"), paths(spark, "customers_of_region"), nodes(spark, d), edges(spark, d)).select("query_id", "name")
-    f = table(spark, d, "region").select(F.col("r_name").alias("query_id"), F.lit("segment").alias("prop"), F.lit("=").alias("op"), F.lit("BUILDING").alias("value"))
-    return setops.property_filter(a, f, nodes(spark, d))
+    c = table(spark, d, "customer")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 400).cast("int"))
+    pair = lambda k, v: (F.lit(k), v.cast("string"))
+    props = F.create_map(*pair("segment", F.col("c_mktsegment")), *pair("balance", F.col("c_acctbal")), *pair("since", day))
+    who = c.select(F.col("c_name").alias("name"), props.alias("props"))
+    asked = {"AFRICA": [("balance", ">=", "900")], "AMERICA": [("since", "<", "1990-10-2")], "ASIA": [("segment", "!=", "BUILDING"), ("balance", "<", "5000")], "EUROPE": [("segment", "=", "none")], "MIDDLE EAST": [("segment", "=", "BUILDING")]}
+    f = spark.createDataFrame([(q, *x) for q, xs in asked.items() for x in xs], "query_id string, prop string, op string, value string")
+    return setops.property_filter(a, f, who)
 
 
 @query(GRAPH_SQL + f"SELECT query_id, path_id, array_to_string(ids, '|') AS ids, array_to_string(eids, '|') AS eids FROM (SELECT * FROM {path_sql('nation', 'n_name', 'nation_of_customer', labels=False, match='exact', select='anchor AS query_id, ' + chr(39) + 'nation_of_customer' + chr(39) + ' AS path_id, [i0, i1] AS ids, [e1] AS eids')}) QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY array_to_string(eids, '|')) <= 200")

@@ -123,14 +123,16 @@ RECORD_SQL = "WITH r AS (SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 11 = 0
 
 
 def records(spark, d):
+    """Questions with plus signs, codes of them, and broken codes in answers, anchors and relations."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     question = F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit("Who placed [Order "), k, F.lit("]<https://x.org/node/1>? ")))
-    answers = F.when(k % 7 == 0, F.array(F.lit(None).cast("string"), F.lit(">"))).when(k % 5 == 0, F.array(F.lit("Off%20label%20use>"))).otherwise(F.array(F.concat(F.lit("Customer%20"), "o_custkey", F.lit(">"))))
-    t = lambda rel: F.array(F.concat(F.lit("[<https://x.org/node/Order"), k, F.lit(">]")), F.lit(rel), F.lit("x"))
-    return o.select(k.alias("idx"), question.alias("question"), answers.alias("answers"), F.array(t("<https://x.org/vocab/placed%20by>"), t("[Placed By]"), t("placed by")).alias("triples"), F.col("o_orderpriority").alias("type"))
+    answers = F.when(k % 7 == 0, F.array(F.lit(None).cast("string"), F.lit(">"))).when(k % 5 == 0, F.array(F.lit("Off%20label%20use>"))).otherwise(F.array(F.concat(F.lit("Customer%20+"), "o_custkey", F.lit("%2B%z>"))))
+    anchor = F.when(k % 2 == 0, F.concat(F.lit("[<https://x.org/node/Order+%20"), k, F.lit(">]"))).otherwise(F.concat(F.lit("[<https://x.org/vocab/Order+%20"), k, F.lit(">]")))
+    t = lambda rel: F.array(anchor, F.lit(rel), F.lit("x"))
+    return o.select(k.alias("idx"), question.alias("question"), answers.alias("answers"), F.array(t("<https://x.org/vocab/placed%20by+>"), t("[Placed By+]"), t("placed by+")).alias("triples"), F.col("o_orderpriority").alias("type"))
 
 
-@query(RECORD_SQL + "SELECT idx, 'Who placed Order ' || idx || '?' AS question, 'Order' || idx AS anchor, 'Customer ' || o_custkey AS answers, 'placed by' AS relations, type FROM r WHERE reason IS NULL")
+@query(RECORD_SQL + "SELECT idx, 'Who placed Order ' || idx || '?' AS question, CASE WHEN idx % 2 = 0 THEN 'Order+%20' || idx ELSE 'Order+ ' || idx END AS anchor, 'Customer +' || o_custkey || '+%z' AS answers, 'placed by+' AS relations, type FROM r WHERE reason IS NULL")
 def convert_triples_benchmark(spark, d):
     got = B.convert_triples(records(spark, d))[0]
     return got.select("idx", "question", "anchor", F.array_join("answers", "|").alias("answers"), F.array_join("relations", "|").alias("relations"), "type")

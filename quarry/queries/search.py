@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..operators import build, lookup
 from ..operators import vectors as V
 from ..plans import schema_paths as H
+from ..session import scratch_path
+from ..streaming.ingest import TripleStore, ingest
 from . import registry
 from .graph import SCHEMA_SQL
 
@@ -18,6 +20,14 @@ QUERIES, ORACLES, query = registry()
 TWO_WAY = SCHEMA_SQL + ", bw AS MATERIALIZED (SELECT DISTINCT src_type AS a, rel, tgt_type AS b FROM sch UNION SELECT DISTINCT tgt_type, rel, src_type FROM sch)\n"
 
 
+def _walk(k: int) -> str:
+    return f"w{k} AS MATERIALIZED (SELECT w.src, s.b AS dst, w.types || '|' || s.b AS types, w.rels || '|' || s.rel AS rels, {k} AS n FROM w{k - 1} w JOIN bw s ON s.a = w.dst WHERE w.src <> w.dst AND NOT list_contains(string_split(w.types, '|'), s.b))"
+
+
+#: ways of up to six steps that meet no type twice, and single steps from a type to itself; no two types are further apart
+WALKS = "w1 AS MATERIALIZED (SELECT a AS src, b AS dst, a || '|' || b AS types, rel AS rels, 1 AS n FROM bw), " + ", ".join(map(_walk, range(2, 7))) + ", walks AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, 7)) + ")"
+
+
 def schema(spark, d) -> DataFrame:
     return lookup.schema_edges(edges(spark, d), nodes(spark, d))
 
@@ -78,6 +88,23 @@ def transition_map(spark, d):
     return H.transition_map(edges(spark, d), nodes(spark, d)).select("rel", "src_type", joined("targets"))
 
 
+@query(SCHEMA_SQL + "SELECT src_type, tgt_type, string_agg(DISTINCT rel, '|' ORDER BY rel) AS rels FROM sch GROUP BY ALL")
+def transition_map_relations(spark, d):
+    return H.pair_relations(H.transition_map(edges(spark, d), nodes(spark, d))).select("src_type", "tgt_type", joined("rels"))
+
+
+@query(SCHEMA_SQL + "SELECT src_type, string_agg(e, '|' ORDER BY e) AS edges FROM (SELECT DISTINCT src_type, rel || '>' || tgt_type AS e FROM sch) GROUP BY ALL")
+def transition_map_outgoing(spark, d):
+    got = H.outgoing_edges(H.transition_map(edges(spark, d), nodes(spark, d)))
+    return got.select("src_type", F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws(">", e["rel"], e["tgt_type"]))), "|").alias("edges"))
+
+
+@query(TWO_WAY + ", " + WALKS + " SELECT src, dst, types, rels, n AS hops FROM walks w WHERE (src = dst AND n = 1) OR (src <> dst AND n = (SELECT min(n) FROM walks v WHERE v.src = w.src AND v.dst = w.dst))")
+def shortest_type_paths(spark, d):
+    """Between all types, of any length; types with relations to themselves have these."""
+    return H.shortest_type_paths(schema(spark, d)).select("src", "dst", joined("types"), joined("rels"), "hops")
+
+
 def vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("name"), F.col("embedding").alias("vec"), "label")
 
@@ -121,38 +148,71 @@ def mmr_select(spark, d):
     return V.mmr_select(query_vectors(spark, d).drop("qname"), vectors(spark, d).drop("label"), 2).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
 
 
-TRIPLES = SCHEMA_SQL + ", t AS MATERIALIZED (SELECT e.edge_id, s.name AS source, s.labels[1] AS source_type, e.rel AS relation, t.name AS target, t.labels[1] AS target_type FROM edges e JOIN nodes s ON s.node_id = e.src_id JOIN nodes t ON t.node_id = e.dst_id) "
+#: triples with the labels of both ends; the number of the relation by name
+TRIPLES = SCHEMA_SQL + ", t AS MATERIALIZED (SELECT e.edge_id, s.name AS source, s.labels AS source_type, e.rel AS relation, t.name AS target, t.labels AS target_type, dense_rank() OVER (ORDER BY e.rel) AS ord FROM edges e JOIN nodes s ON s.node_id = e.src_id JOIN nodes t ON t.node_id = e.dst_id) "
 
 
 def triples(spark, d) -> DataFrame:
-    n = nodes(spark, d).select("node_id", "name", F.get("labels", F.lit(0)).alias("type"))
+    n = nodes(spark, d).select("node_id", "name", F.col("labels").alias("type"))
     e = edges(spark, d).join(n.select(F.col("node_id").alias("src_id"), F.col("name").alias("source"), F.col("type").alias("source_type")), "src_id")
     return e.join(n.select(F.col("node_id").alias("dst_id"), F.col("name").alias("target"), F.col("type").alias("target_type")), "dst_id").select("edge_id", "source", "source_type", F.col("rel").alias("relation"), "target", "target_type")
 
 
 def numbered(spark, d) -> DataFrame:
-    """Triples in a fixed order: by the hash of nothing but their relation's name, then all."""
-    return triples(spark, d).withColumn("ord", F.when(F.col("relation") == "LINE_PART", 1).otherwise(0).cast("long"))
+    """Triples in the order of their relations; each end also has the relation as a type, so that the first one seen shows."""
+    t = triples(spark, d)
+    more = lambda c: F.array_append(c, F.col("relation"))
+    return t.withColumns({"ord": F.col("relation"), "source_type": more("source_type"), "target_type": more("target_type")})
+
+
+FIRST_SEEN = TRIPLES + ", ends AS (SELECT source AS name, list_append(source_type, relation) AS types, relation AS rel, 0 AS side FROM t UNION SELECT target, list_append(target_type, relation), relation, 1 FROM t)"
 
 
-@query(TRIPLES + "SELECT DISTINCT name, type FROM (SELECT source AS name, source_type AS type FROM t UNION SELECT target, target_type FROM t)")
+@query(FIRST_SEEN + " SELECT name, array_to_string(arg_min(types, (rel, side)), '|') AS types FROM ends GROUP BY name")
 def collect_entities(spark, d):
-    return build.collect_entities(numbered(spark, d))
+    return build.collect_entities(numbered(spark, d)).select("name", F.array_join("types", "|").alias("types"))
 
 
-@query(TRIPLES + ", o AS (SELECT source AS name, source_type AS ty FROM t WHERE relation <> 'LIVES_IN' UNION SELECT target, target_type FROM t WHERE relation <> 'LIVES_IN'), b AS (SELECT source AS name, 'New' || source_type AS ty FROM t WHERE relation = 'LIVES_IN' UNION SELECT target, 'New' || target_type FROM t WHERE relation = 'LIVES_IN') SELECT name, string_agg(ty, '|' ORDER BY ty) AS types FROM (SELECT * FROM o UNION SELECT * FROM b) GROUP BY name")
+@query(FIRST_SEEN + ", o AS (SELECT name, unnest(arg_min(types, (rel, side))) AS ty FROM ends WHERE rel <> 'LIVES_IN' GROUP BY name), b AS (SELECT DISTINCT name, unnest(types) AS ty FROM ends WHERE rel = 'LIVES_IN') SELECT name, string_agg(ty, '|' ORDER BY ty) AS types FROM (SELECT * FROM o UNION SELECT * FROM b) GROUP BY name")
 def upsert_entities(spark, d):
     t = numbered(spark, d)
-    old = build.collect_entities(t.filter("relation <> 'LIVES_IN'")).select("name", F.array("type").alias("types"))
-    new = build.collect_entities(t.filter("relation = 'LIVES_IN'")).withColumn("type", F.concat(F.lit("New"), "type"))
+    old, new = (build.collect_entities(t.filter(x)) for x in ("relation <> 'LIVES_IN'", "relation = 'LIVES_IN'"))
     return build.upsert_entities(old, new).select("name", joined("types"))
 
 
-@query(TRIPLES + "SELECT DISTINCT source, source_type, relation, target, target_type FROM t")
+@query(TRIPLES + "SELECT DISTINCT source, CASE WHEN relation IN ('CONTAINS', 'SUPPLIES') THEN 'Old' ELSE array_to_string(source_type, '|') END AS source_type, relation, target, array_to_string(target_type, '|') AS target_type FROM t")
 def upsert_relations(spark, d):
-    t = numbered(spark, d).drop("edge_id")
-    part = t.filter("relation in ('CONTAINS', 'SUPPLIES')").drop("ord").distinct()
-    return build.upsert_relations(part, t)
+    """Stored rows have a source type of their own, which stays."""
+    t = triples(spark, d).drop("edge_id").withColumn("ord", F.lit(0))
+    old = t.filter("relation in ('CONTAINS', 'SUPPLIES')").drop("ord").withColumn("source_type", F.array(F.lit("Old"))).distinct()
+    return build.upsert_relations(old, t).select("source", F.array_join("source_type", "|").alias("source_type"), "relation", "target", F.array_join("target_type", "|").alias("target_type"))
+
+
+#: relations of the first files; the rest come later, and with them the first ones again as another type
+EARLY = ["BASED_IN", "CONTAINS", "LIVES_IN"]
+
+
+def ingested(spark, d) -> TripleStore:
+    """A store after two runs over JSON files of triples, a few files a batch, with small buckets' runs compacted."""
+    at = scratch_path(spark, "ingest")
+    one = lambda c: F.when(F.size(c) == 1, F.to_json(F.struct(F.get(c, F.lit(0)).alias("x")))).otherwise(F.to_json(F.struct(F.col(c).alias("x"))))
+    body = lambda c: F.regexp_extract(one(c), '^\\{"x":(.*)\\}$', 1)
+    line = F.concat(F.lit('{"source":"'), "source", F.lit('","source_type":'), body("source_type"), F.lit(',"relation":"'), "relation", F.lit('","target":"'), "target", F.lit('","target_type":'), body("target_type"), F.lit("}"))
+    t = triples(spark, d)
+    store = TripleStore(spark, f"{at}/store", 4, 2)
+    early = F.col("relation").isin(EARLY)
+    t.filter(early).repartition(2, "edge_id").select(line.alias("value")).write.text(f"{at}/source/one")
+    ingest(spark, f"{at}/source/*", store, f"{at}/checkpoint")
+    again = t.filter(early).withColumns({"source_type": F.array(F.lit("Late")), "target_type": F.array(F.lit("Late"))})
+    t.filter(~early).unionByName(again).repartition(2, "edge_id").select(line.alias("value")).write.text(f"{at}/source/two")
+    ingest(spark, f"{at}/source/*", store, f"{at}/checkpoint")
+    return store
+
+
+@query(TRIPLES + "SELECT DISTINCT source, array_to_string(source_type, '|') AS source_type, relation, target, array_to_string(target_type, '|') AS target_type FROM t")
+def incremental_ingest(spark, d):
+    """Relations of the store; those of the first run keep the types they had then."""
+    return ingested(spark, d).relations().select("source", F.array_join("source_type", "|").alias("source_type"), "relation", "target", F.array_join("target_type", "|").alias("target_type"))
 
 
 @query(TRIPLES + "SELECT DISTINCT relation AS rel FROM t")

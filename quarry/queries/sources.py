@@ -19,13 +19,17 @@ from .search import TRIPLES, triples, vectors
 QUERIES, ORACLES, query = registry()
 
 
-@query(TRIPLES + "SELECT source, source_type, relation, target, target_type FROM t")
+@query(TRIPLES + "SELECT source, array_to_string(source_type, '|') AS source_type, relation, target, array_to_string(target_type, '|') AS target_type FROM t")
 def read_triples_jsonl(spark, d):
+    """Types as a string where there is one, else as an array."""
     at = scratch_path(spark, "triples")
-    line = F.to_json(F.struct("source", "source_type", "relation", "target", "target_type"))
+    names = lambda c: F.get(c, F.lit(0)).alias(c)
+    forms = [F.to_json(F.struct("source", s, "relation", "target", t)) for s in (names("source_type"), F.col("source_type")) for t in (names("target_type"), F.col("target_type"))]
+    one, two = F.size("source_type") == 1, F.size("target_type") == 1
+    line = F.when(one & two, forms[0]).when(one, forms[1]).when(two, forms[2]).otherwise(forms[3])
     # a blank line and a broken one here and there
     triples(spark, d).select(F.explode(F.when(F.col("relation") == "LIVES_IN", F.array(line, F.lit(""), F.lit("{broken"))).otherwise(F.array(line))).alias("value")).write.text(at)
-    return G.read_triples_jsonl(spark, at)
+    return G.read_triples_jsonl(spark, at).withColumns({c: F.array_join(c, "|") for c in ("source_type", "target_type")})
 
 
 def _graph_csv(spark, d):

@@ -121,13 +121,15 @@ def answer_select_between(spark, d):
     return S.select_between(a, kbs.load(spark, d))
 
 
-@query("SELECT o_custkey AS query_id, 'Order#' || CASE o_custkey % 2 WHEN 0 THEN arg_max(o_orderkey, (o_totalprice, -o_orderkey)) ELSE arg_min(o_orderkey, (CAST(o_orderdate AS DATE), o_orderkey)) END AS answer FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey AS query_id, 'Order#' || CASE o_custkey % 4 WHEN 0 THEN arg_max(o_orderkey, (o_totalprice, -o_orderkey)) WHEN 2 THEN min(o_orderkey) WHEN 1 THEN arg_min(o_orderkey, (CAST(o_orderdate AS DATE), o_orderkey)) ELSE arg_max(o_orderkey, (CAST(o_orderdate AS DATE), -o_orderkey)) END AS answer FROM orders GROUP BY o_custkey")
 def answer_select_among(spark, d):
-    """Each customer's largest or earliest order."""
+    """Each customer's order of the greatest total, the earliest, or without a mode the latest; a mode that no list has takes the first."""
     from ..fixtures import table
 
-    even = F.col("o_custkey") % 2 == 0
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("Order#"), "o_orderkey").alias("name"), F.when(even, "total").otherwise("order date").alias("key"), F.when(even, "largest").otherwise("earliest").alias("mode"))
+    k = F.col("o_custkey") % 4
+    even = k % 2 == 0
+    mode = F.when(k == 0, "Greater").when(k == 2, "largest").when(k == 1, "earliest")
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("Order#"), "o_orderkey").alias("name"), F.when(even, "total").otherwise("order date").alias("key"), mode.alias("mode"))
     return S.select_among(a, kbs.load(spark, d))
 
 
@@ -185,14 +187,29 @@ def concept_reverse_relations(spark, d):
     return build.concept_reverse_relations(kb.rels.unionByName(p), kb.concepts).select("entity_id", "predicate", "direction", "object")
 
 
-@query("SELECT page_id, lower(regexp_replace(url, '[ _-]', '', 'g')) AS key, CASE WHEN contains(url, '/') THEN regexp_replace(replace(url, '%20', ' '), '^https?://[^ ]*/', '') ELSE url END AS n, page_id % 2 = 0 AS cjk FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '[%+<>]|\\[|\\]')")
+NAME_SQL = r"""
+WITH p AS (SELECT page_id, url, page_id % 4 AS k, 'CD4+ [T] cell ' || page_id || '%' AS plain, regexp_replace(regexp_replace(url, '^https?://[^ ]*/', ''), '[\\[\\]<>]+$', '') AS tail FROM pages WHERE url IS NOT NULL)
+SELECT page_id, lower(regexp_replace(url, '[ _-]', '', 'g')) AS key, page_id % 2 = 0 AS cjk,
+       CASE k WHEN 0 THEN plain WHEN 1 THEN CASE WHEN regexp_matches(url, '^https?://[^ ]*/') THEN tail ELSE url END
+              WHEN 2 THEN 'IL-2 (α)+%zz [x] ' || page_id ELSE 'a+b c' || page_id END AS n
+FROM p
+"""
+
+
+@query(NAME_SQL)
 def name_functions(spark, d):
-    """normalise_key, clean_name and has_cjk over page URLs."""
+    """normalise_key, clean_name and has_cjk over all page URLs; names with plus signs, percent codes and inner brackets made from them."""
     from ..fixtures import table
 
-    p = table(spark, d, "pages").filter("url is not null").filter(~F.col("url").rlike(r"[%+<>\[\]]"))
+    p, k, i = table(spark, d, "pages").filter("url is not null"), F.col("page_id") % 4, F.col("page_id").cast("string")
     marked = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("癌"))).otherwise(F.col("url"))
-    return p.select("page_id", T.normalise_key(F.col("url")).alias("key"), T.clean_name(F.concat(F.lit("["), "url", F.lit("]"))).alias("n"), T.has_cjk(marked).alias("cjk"))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("[CD4+ [T] cell "), i, F.lit("%]")))
+        .when(k == 1, F.concat(F.lit("["), F.regexp_replace("url", "%", "%25"), F.lit("]")))
+        .when(k == 2, F.concat(F.lit("<https://x.org/vocab/IL-2%20(%CE%B1)%2B%zz%20[x]%20"), i, F.lit(">")))
+        .otherwise(F.concat(F.lit("[http://x.org/y/a+b%20c"), i, F.lit("]")))
+    )
+    return p.select("page_id", T.normalise_key(F.col("url")).alias("key"), T.clean_name(raw).alias("n"), T.has_cjk(marked).alias("cjk"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'Order#' || o_orderkey ELSE o_orderpriority END AS entity, CAST(sign(o_totalprice - 20000) AS INT) AS by_number, CAST(CASE WHEN CAST(o_orderdate AS DATE) < DATE '1996-03-01' THEN -1 WHEN CAST(o_orderdate AS DATE) > DATE '1996-03-01' THEN 1 ELSE 0 END AS INT) AS by_date, CASE WHEN o_orderpriority < '3' THEN -1 WHEN o_orderpriority > '3' THEN 1 ELSE 0 END AS by_text FROM orders")
