@@ -252,6 +252,8 @@ def _blocks(search, block: int):
             for i, x, row, t in dense(b, s):
                 own = listed[t]
                 row, t = row[own], t[own]
+                if not len(t):
+                    continue
                 order = np.argsort(t, kind="stable")
                 row, t = row[order], t[order]
                 lists, first = np.unique(t, return_index=True)

@@ -171,23 +171,34 @@ class Manifest:
     leaves: DataFrame
 
 
+def trees(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", order: str = "doc_id", arity: int = 3, changed: Column | None = None) -> tuple[DataFrame, Forest, DataFrame, Forest]:
+    """Leaves of docs, the groups' trees, the groups' roots as leaves, and the tree over them."""
+    changed = F.lit(None).cast("binary") if changed is None else changed
+    leaves = docs.select(F.col(order).alias("doc_id"), tree_name(F.col(group)).alias("tree"), leaf_of(*[F.col(f) for f in fields]).alias("h"), changed.alias("changed"), F.monotonically_increasing_id().alias("no"))
+    leaves = write_table(leaves, "leaves")
+    nodes = numbered(leaves, ["doc_id", "h", "no"]).drop("no")
+    drop_table(leaves)
+    below = grown(nodes, arity)
+    tops = numbered(below.roots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "h"), ["of"])
+    return nodes, below, tops, grown(tops, arity)
+
+
+def root_of(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", order: str = "doc_id", arity: int = 3) -> str | None:
+    """The root alone, as hex."""
+    root = trees(docs, fields, group, order, arity)[3].roots.first()
+    return root and root["h"].hex()
+
+
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", order: str = "doc_id", arity: int = 3, later: dict[str, Column] | None = None) -> Manifest:
     """Tree of docs. `later`: for fields that may have changed since, their value then; null where unchanged."""
     later = later or {}
-    changed = F.lit(None).cast("binary")
+    changed = None
     if later:
         some = F.lit(False)
         for c in later.values():
             some = some | c.isNotNull()
         changed = F.when(some, leaf_of(*[F.coalesce(later[f], F.col(f)) if f in later else F.col(f) for f in fields]))
-    leaves = docs.select(F.col(order).alias("doc_id"), tree_name(F.col(group)).alias("tree"), leaf_of(*[F.col(f) for f in fields]).alias("h"), changed.alias("changed"), F.monotonically_increasing_id().alias("no"))
-    leaves = write_table(leaves, "leaves")
-    order_by = ["doc_id", "h", "no"]
-    nodes = numbered(leaves, order_by).drop("no")
-    drop_table(leaves)
-    below = grown(nodes, arity)
-    tops = numbered(below.roots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "h"), ["of"])
-    above = grown(tops, arity)
+    nodes, below, tops, above = trees(docs, fields, group, order, arity, changed)
     root = above.roots.first()
     if root is None:
         return Manifest(None, nodes.select("doc_id", "tree", F.col("h").alias("leaf"), "changed", F.col("h").alias("subroot"), F.array().cast("array<struct<left:binary,right:binary>>").alias("path")))
