@@ -10,6 +10,7 @@ from ..functions.text import has_cjk
 from ..session import write_table
 from .hops import edges_bi, first_tier, hop, named, start, top_k
 from .lookup import find_compound, find_compound_via_hub
+from .names import containing
 from .traverse import anchor_nodes, follow, limited, relation_sequences
 
 #: fixed values: pattern, first labels, seed match, then relations and directions from the seed to the answer, last labels, and a property of the answer
@@ -60,11 +61,11 @@ def pattern_queries(asks: DataFrame, patterns: DataFrame, nodes: DataFrame, edge
     A null label fits all nodes; yes_prop: a property of the answer that must be YES.
     """
     p = asks.select("query_id", "pattern", F.lower(F.trim("seed")).alias("seed")).join(patterns.withColumnRenamed("labels", "stops").hint("merge"), "pattern")
-    n = nodes.select("node_id", "labels", F.lower("name").alias("_low"))
+    n = nodes.select("node_id", "labels", F.lower("name").alias("low_name"))
     fits = lambda label: F.coalesce(F.array_contains("labels", label), F.lit(True))
-    equal = p.filter("match = 'ci'").join(n, F.col("seed") == F.col("_low"))
-    within = p.filter("match <> 'ci'").join(n, F.col("_low").contains(F.col("seed")))
-    f = start(equal.unionByName(within).filter(fits(F.col("seed_label"))).drop("labels", "_low"))
+    equal = p.filter("match = 'ci'").join(n, F.col("seed") == F.col("low_name"))
+    within = containing(p.filter("match <> 'ci'"), n, "seed", "low_name").select(*equal.columns)
+    f = start(equal.unionByName(within).filter(fits(F.col("seed_label"))).drop("labels", "low_name"))
     links, done = edges_bi(edges), []
     for i in range(patterns.select(F.max(F.size("rels"))).first()[0] or 0):
         f = hop(f, links, F.get("rels", F.lit(i)), F.get("dirs", F.lit(i))).join(nodes.select(F.col("node_id").alias("at"), "labels", "props"), "at")

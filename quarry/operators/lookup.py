@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hops import edges_bi, first_tier, hop, named, start, top_k
+from .names import NameIndex, containing
 from .traverse import anchor_nodes
 
 
@@ -68,27 +69,22 @@ def resolve_exact_then_en(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     return _tiers(anchors, [one, two], ["node_id"])
 
 
-def substring_matches(anchors: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
-    """Anchors with the names that contain them, case-folded; a nested loop over names, so anchors should be what other tiers left over."""
-    return anchors.join(names, F.lower(F.col(column)).contains(F.lower("anchor")))
-
-
-def resolve_fuzzy(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Case-folded name, else the shortest name that contains it. Only anchors without an equal name take the substring join."""
+def resolve_fuzzy(anchors: DataFrame, nodes: DataFrame, index: NameIndex | None = None) -> DataFrame:
+    """Case-folded name, else the shortest name that contains it. Only anchors without an equal name are looked up in the trigram index (of nodes' names, if given)."""
     n = nodes.select("node_id", "name")
     same = anchors.join(n, F.lower("anchor") == F.lower("name"))
     rest = anchors.join(n.select(F.lower("name").alias("low")), F.lower("anchor") == F.col("low"), "left_anti")
-    return _tiers(anchors, [same, substring_matches(rest, n)], [F.char_length("name"), "name", "node_id"])
+    return _tiers(anchors, [same, containing(rest, n, index=index)], [F.char_length("name"), "name", "node_id"])
 
 
-def resolve_three_tier(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
+def resolve_three_tier(anchors: DataFrame, nodes: DataFrame, index: NameIndex | None = None) -> DataFrame:
     """Exact, else case-folded, else shortest containing name; with the first label that isn't _Entity."""
     n = nodes.select("node_id", "name")
     exact = anchors.join(n, F.col("anchor") == F.col("name"))
     rest = anchors.join(n.select(F.col("name").alias("anchor")), "anchor", "left_anti")
     same = rest.join(n, F.lower("anchor") == F.lower("name"))
     left = rest.join(n.select(F.lower("name").alias("low")), F.lower("anchor") == F.col("low"), "left_anti")
-    got = _tiers(anchors, [exact, same, substring_matches(left, n)], [F.char_length("name"), "name", "node_id"])
+    got = _tiers(anchors, [exact, same, containing(left, n, index=index)], [F.char_length("name"), "name", "node_id"])
     return got.join(nodes.select("node_id", F.get(F.filter("labels", lambda x: x != "_Entity"), F.lit(0)).alias("type")), "node_id").select("query_id", "node_id", "name", "tier", "type")
 
 
@@ -98,31 +94,36 @@ def type_by_priority(anchors: DataFrame, nodes: DataFrame, priority: DataFrame)
     return got.groupBy("query_id").agg(F.min(F.struct(F.coalesce("prio", F.lit(1 << 30)).alias("p"), "label")).alias("best")).select("query_id", F.col("best.label").alias("type"))
 
 
-def find_seed(anchors: DataFrame, nodes: DataFrame, suffixes: list[str], words: str) -> DataFrame:
+def find_seed(anchors: DataFrame, nodes: DataFrame, suffixes: list[str], words: str, index: NameIndex | None = None) -> DataFrame:
     """Exact (case-folded), else with a suffix unless a word is present already, else the shortest containing name."""
     n = nodes.select("node_id", "name")
     same = anchors.join(n, F.lower("anchor") == F.lower("name"))
     longer = anchors.filter(~F.lower("anchor").rlike(words)).select("*", F.explode(F.array(*map(F.lit, suffixes))).alias("suffix"))
-    more = longer.join(n, F.lower(F.concat("anchor", "suffix")) == F.lower("name")).drop("suffix")
+    more = longer.join(n.hint("merge"), F.lower(F.concat("anchor", "suffix")) == F.lower("name")).drop("suffix")
     rest = anchors.join(n.select(F.lower("name").alias("low")), F.lower("anchor") == F.col("low"), "left_anti")
-    return _tiers(anchors, [same, more, substring_matches(rest, n)], [F.char_length("name"), "name", "node_id"])
+    return _tiers(anchors, [same, more, containing(rest, n, index=index)], [F.char_length("name"), "name", "node_id"])
 
 
 def find_compound(terms: DataFrame, nodes: DataFrame, label: str | None = None, most: int = 10) -> DataFrame:
-    """terms: query_id, term. Nodes whose name or name_en contains every term (relational division); at most `most`."""
+    """terms: query_id, term. Nodes whose name or name_en contains every term (relational division, over a trigram index of both names); at most `most`."""
     n = nodes.filter(F.array_contains("labels", label)) if label else nodes
-    n = n.select("node_id", "name", F.lower(F.concat_ws("\n", "name", "name_en")).alias("_both"))
+    n = n.select("node_id", "name", F.concat_ws("\n", "name", "name_en").alias("_both"))
     wanted = terms.groupBy("query_id").agg(F.countDistinct("term").alias("n_terms"))
-    got = terms.join(n, F.col("_both").contains(F.lower("term"))).groupBy("query_id", "node_id", "name").agg(F.countDistinct("term").alias("met"))
+    got = containing(terms, n, "term", "_both").groupBy("query_id", "node_id", "name").agg(F.countDistinct("term").alias("met"))
     return top_k(got.join(wanted, "query_id").filter("met = n_terms").select("query_id", "node_id", "name"), ["query_id"], ["name", "node_id"], most)
 
 
 def find_compound_via_hub(pairs: DataFrame, rel: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs: query_id, first, second. Hub nodes containing `second` that a node containing `first` links to by rel."""
-    n = nodes.select("node_id", "name")
+    """pairs: query_id, first, second. Hub nodes containing `second` that a node containing `first` links to by rel; both ends are looked up in a trigram index and meet on the edge."""
     e = edges.filter(F.col("rel") == rel).select("src_id", "dst_id")
-    e = e.join(n.select(F.col("node_id").alias("src_id"), F.lower("name").alias("s")), "src_id").join(n.select(F.col("node_id").alias("dst_id"), "name"), "dst_id")
-    return pairs.join(e, F.col("s").contains(F.lower("first")) & F.lower("name").contains(F.lower("second"))).select("query_id", "name").distinct()
+    index = NameIndex(nodes)
+    n = nodes.select("node_id", "name")
+    ends = n.join(e.select(F.col("src_id").alias("node_id")).distinct().hint("merge"), "node_id", "left_semi")
+    hubs = n.join(e.select(F.col("dst_id").alias("node_id")).distinct().hint("merge"), "node_id", "left_semi")
+    a = containing(pairs.select("query_id", "first"), ends, "first", "name", index).select("query_id", F.col("node_id").alias("src_id"))
+    b = containing(pairs.select("query_id", "second"), hubs, "second", "name", index).select("query_id", F.col("node_id").alias("dst_id"), "name")
+    reached = a.join(e.hint("merge"), "src_id").select("query_id", "dst_id").distinct()
+    return reached.join(b.hint("merge"), ["query_id", "dst_id"]).select("query_id", "name").distinct()
 
 
 def local_schema_edges(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:

@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..fixtures import union
 from .hops import apart, edges_bi, first_tier, hop, labelled, named, start, top_k
+from .names import containing
 
 #: fixed values: positions that must differ, by number of hops
 TEMPLATE_APART = {1: [(0, 1)], 2: [(0, 1), (1, 2), (0, 2)], 3: [(0, 1), (1, 2), (2, 3), (0, 3)]}
@@ -27,7 +29,12 @@ def anchor_nodes(anchors: DataFrame, nodes: DataFrame, match: str = "ci") -> Dat
         return anchors.join(n, F.col("anchor") == F.col("_name")).drop("_name")
     if match == "ci":
         return anchors.join(n, F.lower("anchor") == F.lower("_name")).drop("_name")
-    return anchors.join(n, F.lower("_name").contains(F.lower("anchor"))).drop("_name")
+    return containing(anchors, n, "anchor", "_name").drop("_name")
+
+
+def listed_anchors(anchors: DataFrame) -> DataFrame:
+    """anchors with an array of names instead of one (compound names): a row for each name, for matches on any of them."""
+    return anchors.withColumn("anchor", F.explode(F.array_distinct("anchor")))
 
 
 def planned(anchors: DataFrame, paths: DataFrame) -> DataFrame:
@@ -112,9 +119,11 @@ def bound_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: D
     return typed_paths(anchors, paths, nodes, edges, match="exact", inequalities=BOUND_APART)
 
 
-def directed_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """Paths whose steps have directions; no node inequalities."""
-    got = follow(anchors, paths, nodes, edges, match="exact", directed=True, unique_edges=False)
+def directed_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 50, match: str = "exact") -> DataFrame:
+    """Paths whose steps have directions; no node inequalities. The anchor is a name, an array of names (any of them), or with match contains what names must contain."""
+    if isinstance(anchors.schema["anchor"].dataType, ArrayType):
+        anchors = listed_anchors(anchors)
+    got = follow(anchors, paths, nodes, edges, match=match, directed=True, unique_edges=False)
     return limited(named(got, nodes).select("query_id", "path_id", "name").distinct(), most)
 
 

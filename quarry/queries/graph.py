@@ -42,7 +42,7 @@ def path_sql(source: str, name: str, path: str, apart=traverse.TEMPLATE_APART, l
     """SELECT for one path over the CTEs of GRAPH_SQL; source is a table with the anchor names in column `name`."""
     types, rels, dirs = PATHS[path]
     n = len(rels)
-    on = "lower(n.name) = lower(q.anchor)" if match == "ci" else "n.name = q.anchor"
+    on = {"ci": "lower(n.name) = lower(q.anchor)", "exact": "n.name = q.anchor", "contains": "contains(lower(n.name), lower(q.anchor))"}[match]
     has = lambda i: f" AND list_contains(n.labels, '{types[i]}')" if labels else ""
     steps = [f"h0 AS MATERIALIZED (SELECT q.anchor, n.node_id AS i0, n.name AS s0 FROM (SELECT DISTINCT {name} AS anchor FROM {source}) q JOIN nodes n ON {on}{has(0)})"]
     for i in range(1, n + 1):
@@ -101,6 +101,25 @@ def typed_path_directed(spark, d):
     return traverse.directed_paths(a, paths(spark, "customers_of_region", "regions_of_customer"), nodes(spark, d), edges(spark, d))
 
 
+PARTS_OF_NAMES = "(SELECT substr(lower(r_name), 2, 4) AS x FROM region UNION ALL SELECT substr(r_name, 1, 2) FROM region)"
+
+
+@query(GRAPH_SQL + f"SELECT * FROM {path_sql(PARTS_OF_NAMES, 'x', 'customers_of_region', None, match='contains', directed=True, unique=False)} QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 50")
+def typed_path_directed_contains(spark, d):
+    """Anchors are parts of region names; those of two letters have no trigram."""
+    r = table(spark, d, "region")
+    a = anchors(r.select(F.substring(F.lower("r_name"), 2, 4).alias("a")).unionByName(r.select(F.substring("r_name", 1, 2).alias("a"))), "a")
+    return traverse.directed_paths(a, paths(spark, "customers_of_region"), nodes(spark, d), edges(spark, d), match="contains")
+
+
+@query("SELECT DISTINCT n_name AS query_id, 'regions_of_customer' AS path_id, r_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def typed_path_directed_list(spark, d):
+    """Each nation asks for all its customers at once."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    a = c.groupBy(F.col("n_name").alias("query_id")).agg(F.collect_list("c_name").alias("anchor")).withColumn("plan", F.lit("all"))
+    return traverse.directed_paths(a, paths(spark, "regions_of_customer"), nodes(spark, d), edges(spark, d))
+
+
 @query(GRAPH_SQL + f"SELECT * FROM (SELECT * FROM {path_sql('part', 'p_name', 'nations_of_part_suppliers', None, match='exact')} UNION ALL SELECT * FROM {path_sql('part', 'p_name', 'brand_mates', None, match='exact')}) QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 50")
 def typed_path_undirected_nocheck(spark, d):
     return traverse.unchecked_paths(anchors(table(spark, d, "part"), "p_name"), paths(spark, "nations_of_part_suppliers", "brand_mates"), nodes(spark, d), edges(spark, d))
@@ -368,10 +387,19 @@ def entity_type_by_priority(spark, d):
     return lookup.type_by_priority(a, nodes(spark, d), spark.createDataFrame([("Party", 1), ("Customer", 2)], "label string, prio int"))
 
 
-@query(GRAPH_SQL + "SELECT q.anchor AS query_id, n.node_id, n.name, CASE WHEN lower(n.name) = q.anchor THEN 1 WHEN lower(n.name) = q.anchor || 'a' THEN 2 ELSE 3 END AS tier FROM (SELECT DISTINCT lower(substr(n_name, 1, 5)) AS anchor FROM nation) q JOIN nodes n ON contains(lower(n.name), q.anchor) QUALIFY row_number() OVER (PARTITION BY q.anchor ORDER BY CASE WHEN lower(n.name) = q.anchor THEN 1 WHEN lower(n.name) = q.anchor || 'a' THEN 2 ELSE 3 END, length(n.name), n.name, n.node_id) = 1")
+SEED_SQL = """, q AS (SELECT CASE c_custkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' zzz' WHEN 2 THEN substr(c_name, 4) ELSE substr(c_name, 1, length(c_name) - 1) END AS anchor FROM customer),
+m AS (SELECT DISTINCT q.anchor, n.node_id, n.name, 1 AS tier FROM q JOIN nodes n ON lower(n.name) = lower(q.anchor)
+      UNION SELECT DISTINCT q.anchor, n.node_id, n.name, 2 FROM q JOIN nodes n ON lower(n.name) IN (lower(q.anchor) || '3', lower(q.anchor) || '8') WHERE NOT contains(q.anchor, 'zzz')
+      UNION SELECT DISTINCT q.anchor, n.node_id, n.name, 3 FROM q JOIN nodes n ON contains(lower(n.name), lower(q.anchor)))
+"""
+
+
+@query(GRAPH_SQL + SEED_SQL + "SELECT anchor AS query_id, node_id, name, tier FROM m QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY tier, length(name), name, node_id) = 1")
 def find_seed(spark, d):
-    a = anchors(table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 5)).alias("a")), "a")
-    return lookup.find_seed(a, nodes(spark, d), ["a"], "zzz")
+    """Customer names in capitals, ends of them, and names that lack the last digit, of which two are suffixes; a word that bars suffixes."""
+    c, k, n = table(spark, d, "customer"), F.col("c_custkey") % 5, F.col("c_name")
+    a = F.when(k == 0, F.upper(n)).when(k == 1, F.concat(n, F.lit(" zzz"))).when(k == 2, F.expr("substring(c_name, 4)")).otherwise(F.expr("substring(c_name, 1, char_length(c_name) - 1)"))
+    return lookup.find_seed(anchors(c.select(a.alias("a")), "a"), nodes(spark, d), ["3", "8"], "zzz")
 
 
 def brand_terms(spark, d) -> DataFrame:
