@@ -38,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, write_table
+from ..session import drop_table, scratch_path, write_table
 
 MIN_BYTES = 1000
 FILE_BYTES = 32 << 20
+#: answers on duplicates, of some 200 bytes each, that are broadcast
+FEW_ANSWERS = 100_000
 #: fixed values of the two formats
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,7 +72,7 @@ def _packed(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 def _write(records: DataFrame, path: str, end: str) -> None:
     """One file a task, bytes as they are."""
-    records.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    records.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").text(path)
 
 
 def _read(spark, path: str) -> DataFrame:
@@ -324,9 +326,13 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def convert_arc(spark, arc_path: str, warc_path: str, min_bytes: int = MIN_BYTES) -> None:
     """All ARC files of a folder as gzipped WARC files in another."""
     arcs = _read(spark, arc_path)
-    repeated = write_table(repeated_payloads(arcs, min_bytes), "repeated").withColumnRenamed("path", "of")
-    both = arcs.join(repeated.hint("shuffle_hash"), F.col("path") == F.col("of"), "left").select("path", "content", "repeated")
+    written = write_table(repeated_payloads(arcs, min_bytes), "repeated")
+    # the answers go to the files; only where there are too many to broadcast do files and answers meet by shuffle
+    entries = written.agg(F.sum(F.size("repeated"))).first()[0] or 0
+    repeated = written.withColumnRenamed("path", "of").hint("broadcast" if entries <= FEW_ANSWERS else "shuffle_hash")
+    both = arcs.join(repeated, F.col("path") == F.col("of"), "left").select("path", "content", "repeated")
     _write(both.mapInArrow(_to_warc, "value binary"), warc_path, WARC_END)
+    drop_table(written)
 
 
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
