@@ -36,9 +36,10 @@ LEAF = ["domain", "lang", "source"]
 
 
 def domain_of(source):
-    """Domain of a source: its trailing number modulo 3, else 0."""
-    n = F.coalesce(F.try_to_number(F.substring(F.regexp_extract(source, "([0-9]+)$", 1), -9, 9), F.lit("999999999")).cast("long"), F.lit(0))
-    return F.concat(F.lit("domain"), F.pmod(n, F.lit(3)).cast("string"))
+    """Domain of a source: its trailing number, of any length, modulo 3, else 0. A number has the remainder of its digits' sum."""
+    digits = F.regexp_extract(source, "([0-9]+)$", 1)
+    ones, twos = F.char_length(F.translate(digits, "0235689", "")), F.char_length(F.translate(digits, "0134679", ""))
+    return F.concat(F.lit("domain"), ((ones + 2 * twos) % 3).cast("string"))
 
 
 def default_weight(level: str, name):
@@ -101,7 +102,8 @@ def plan(docs: DataFrame, seed: int, share_percent: int, max_epochs: int, weight
     ahead = F.sum("in_bucket").over(Window.partitionBy(*LEAF).orderBy("bucket")) - F.col("in_bucket")
     sums = write_table(sums.withColumn("ahead", ahead), "buckets")
     cut = sums.filter((F.col("ahead") <= F.col("part")) & (F.col("ahead") + F.col("in_bucket") > F.col("part"))).select(*LEAF, "bucket", "ahead")
-    inside = keyed.join(cut.hint("merge"), [*LEAF, "bucket"])
+    # rows of one doc_id share a key and are taken together
+    inside = keyed.groupBy(*LEAF, "bucket", "key").agg(F.sum("tokens").alias("tokens"), F.first("part").alias("part")).join(cut.hint("merge"), [*LEAF, "bucket"])
     run = F.col("ahead") + F.sum("tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("key"))
     last = inside.withColumn("run", run).filter(F.col("run") <= F.col("part")).groupBy(*LEAF).agg(F.max("key").alias("last_in"))
     whole = sums.filter(F.col("ahead") + F.col("in_bucket") <= F.col("part")).groupBy(*LEAF).agg(F.max("bucket").alias("last_bucket"))
@@ -154,7 +156,7 @@ def oracle(seed: int = SEED, share_percent: int = SHARE_PERCENT, max_epochs: int
         f"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
-         'domain' || (coalesce(try_cast(right(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), 9) AS BIGINT), 0) % 3) AS domain,
+         'domain' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS HUGEINT), 0) % 3) AS domain,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), '') AS name
   FROM documents),
 leaf AS (SELECT domain, l, s, sum(n_tokens) AS tokens, sum(n_tokens) * {max_epochs} AS cap FROM d GROUP BY ALL),"""
