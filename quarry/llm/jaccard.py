@@ -13,7 +13,10 @@ Nodes that share a key are linked through verified pairs. First each node is com
 the one list leader that it shares most keys with, after a positional bound. Nodes that are
 then still outside a list's largest component are compared with the members of the other
 components, and nothing else: in lists of up to HOT_LIST nodes by a join, in longer ones
-block by block inside tasks, which give rows for near pairs only. What decides that a pair
+block by block inside tasks, which give rows for near pairs only. A long list of combinations
+leaves out members that can only link through a rare shingle, as they meet in that shingle's
+list: with the same template and different fillings nothing is left. Blocks keep to a size
+band, and only blocks of bands that can link are compared. What decides that a pair
 is near is a parity sketch of each set: its bits differ in at most as many places as the sets
 do, so a pair with more differences than 0.8 allows is out for certain; the rest are verified
 on the whole sets. In the first round over long lists each node brings forward its nearest
@@ -50,6 +53,8 @@ HOT_LIST, NEAREST, BLOCK_BYTES = 64, 2, 1 << 17
 NUM, DEN = 4, 5
 FREQUENT = 32
 MOST_FREQUENT = 1 << 20
+#: step of the size bands that blocks keep to, and how many bands apart linked sizes can be
+BLOCK_BAND, BANDS_APART = 1.05, 5
 #: flags of shingles met, a byte each, in a task
 MET_BITS = 1 << 25
 
@@ -253,7 +258,7 @@ def labelled_rows(docs: DataFrame, keep: list[str], words: int = WORDS) -> DataF
     led = lists.filter(fits(F.col("n"), F.col("leader_n")) & (F.col("node") != F.col("leader"))).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"), F.count("*").alias("votes"))
     best = may_link(led, info).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     best = write_table(best, "leader_pairs")
-    hot = write_table(lists.filter(F.col("size") > HOT_LIST).select("key", "single", "node").join(info.select("node", "n", "sketch").hint("merge"), "node"), "hot_lists")
+    hot = write_table(lists.filter(F.col("size") > HOT_LIST).select("key", "single", "node").join(info.select("node", "n", "p", "sketch").hint("merge"), "node"), "hot_lists")
     sets = sets_for(docs, [best.select(F.col("a").alias("h")), best.select(F.col("b").alias("h")), hot.select(F.col("node").alias("h"))], words)
     links = write_table(verified(best, sets), "leader_links")
     labels = components(links)
@@ -311,14 +316,14 @@ def near(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _by_width(side: pa.StructArray) -> list[tuple[np.ndarray, ...]]:
-    """node, n, own and sketches of a block's members, by the width of their sketches."""
-    node, n, own = (side.field(c).to_numpy() for c in ("node", "n", "own"))
+    """node, n, own, sketches and most (what a member can share here with a partner) of a block's members, by the width of their sketches."""
+    node, n, own, most = (side.field(c).to_numpy() for c in ("node", "n", "own", "most"))
     raw = side.field("sketch").to_pylist()
     width = np.array([len(x) for x in raw])
     out = []
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        out.append((node[at], n[at], own[at], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)))
+        out.append((node[at], n[at], own[at], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1), most[at]))
     return out
 
 
@@ -333,6 +338,7 @@ def _close(nearest: int):
             n_x, n_y = x[1][i : i + step, None], y[1][None]
             apart = np.bitwise_count(mx[i : i + step, None] ^ my[None]).sum(axis=2, dtype=np.int64)
             ok = (apart <= allowed(n_x, n_y)) & (DEN * np.minimum(n_x, n_y) >= NUM * np.maximum(n_x, n_y)) & (x[2][i : i + step, None] != y[2][None])
+            ok &= (NUM + DEN) * np.minimum(x[4][i : i + step, None], y[4][None]) >= NUM * (n_x + n_y)
             if nearest and ok.any():
                 apart[~ok] = np.iinfo(np.int64).max
                 first = np.argsort(apart, axis=1, kind="stable")[:, :nearest]
@@ -353,26 +359,53 @@ def _close(nearest: int):
     return run
 
 
+def can_meet_here(n, p, single, least):
+    """Whether a member of a list can link there: in a list of combinations a partner that shares none of its p rare shingles, at least 0.8 as large and no smaller than the list's least."""
+    partner = F.greatest(-F.floor(-F.lit(NUM) * n / DEN), least)
+    return single | ((NUM + DEN) * (n - p) >= NUM * (n + partner))
+
+
 def near_in_blocks(hot: DataFrame, labels: DataFrame, nearest: int) -> DataFrame:
     """Near pairs (a, b) of long lists: members outside a list's largest component against the members of other components.
 
-    hot: key, single, node, n, sketch. Members are dealt into blocks of about BLOCK_BYTES by
-    hash; each pair of blocks is one row, and these rows spread over the tasks.
+    hot: key, single, node, n, p (rare shingles), sketch. Members are dealt into blocks of about
+    BLOCK_BYTES by size band and hash; each pair of blocks of bands that can link is one row,
+    and these rows spread over the tasks.
     """
-    d = hot.join(labels.select("node", F.col("label").alias("own")).hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    odd, others = blocks_to_compare(hot, labels)
+    return odd.join(others.hint("merge"), ["key", "single", "ob", "obb", "xb", "xbb"]).select("odd", "others").mapInArrow(_close(nearest), "a long, b long").distinct()
+
+
+def blocks_to_compare(hot: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(odd, others): blocks by key, single, ob and obb, xb and xbb (number and band of either), a row for each partner."""
+    key = ["key", "single"]
+    least = hot.groupBy(*key).agg(F.min("n").alias("least"))
+    d = hot.join(least.hint("merge"), key).filter(can_meet_here(F.col("n"), F.col("p"), F.col("single"), F.col("least"))).drop("least")
+    d = d.withColumns({"most": F.when(F.col("single"), F.col("n")).otherwise(F.col("n") - F.col("p")), "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK_BAND))).cast("int")}).drop("p")
+    d = d.join(labels.select("node", F.col("label").alias("own")).hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     d = write_table(d, "hot_members")
-    parts = d.groupBy("key", "single", "own").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("c"))
-    of_list = parts.groupBy("key", "single").agg(F.max(F.struct("c", "own")).alias("main"), F.max_by("bytes", F.struct("c", "own")).alias("in_main"), F.sum("bytes").alias("bytes"), F.count("*").alias("k")).filter("k > 1")
+    parts = write_table(d.groupBy(*key, "own", "band").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("c"), F.max("most").alias("most"), F.min("n").alias("n")), "hot_parts")
+    whole = parts.groupBy(*key, "own").agg(F.sum("c").alias("c"))
+    main = whole.groupBy(*key).agg(F.max(F.struct("c", "own")).alias("main"), F.count("*").alias("k")).filter("k > 1").select(*key, F.col("main.own").alias("main"))
     blocks = lambda size: F.ceil(size / F.lit(BLOCK_BYTES)).cast("int")
-    of_list = write_table(of_list.select("key", "single", F.col("main.own").alias("main"), blocks(F.col("bytes") - F.col("in_main")).alias("odd_blocks"), blocks(F.col("bytes")).alias("blocks")), "open_lists")
-    d = d.join(of_list.hint("merge"), ["key", "single"])
-    member = F.struct("node", "n", "own", "sketch")
+    inside = F.col("own") == F.col("main")
+    of_band = parts.join(main.hint("merge"), key).groupBy(*key, "main", "band").agg(blocks(F.sum(F.when(~inside, F.col("bytes")).otherwise(0))).alias("odd_blocks"), blocks(F.sum("bytes")).alias("blocks"), F.max("most").alias("most"), F.min("n").alias("n"))
+    of_list = write_table(of_band.groupBy(*key, "main").agg(F.collect_list(F.struct("band", "odd_blocks", "blocks", "most", "n")).alias("bands")), "open_lists")
+    d = d.join(of_list.hint("merge"), key)
+    d = d.withColumn("mine", F.filter("bands", lambda b: b["band"] == F.col("band"))[0])
+    enough = lambda b: (NUM + DEN) * F.least(b["most"], F.col("mine.most")) >= NUM * (b["n"] + F.col("mine.n"))
+    near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= BANDS_APART) & enough(b))
+    d = d.withColumns({"odd_blocks": F.col("mine.odd_blocks"), "blocks": F.col("mine.blocks"), "near": near}).drop("bands", "mine")
+    member = F.struct("node", "n", "own", "most", "sketch")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    odd = d.filter("own <> main").groupBy("key", "single", at("odd_blocks").alias("ob"), "blocks").agg(F.collect_list(member).alias("odd"))
-    odd = odd.select("key", "single", "ob", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("xb"), "odd")
-    others = d.groupBy("key", "single", at("blocks").alias("xb"), "odd_blocks").agg(F.collect_list(member).alias("others"))
-    others = others.select("key", "single", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("ob"), "xb", "others")
-    return odd.join(others.hint("merge"), ["key", "single", "ob", "xb"]).select("odd", "others").mapInArrow(_close(nearest), "a long, b long").distinct()
+
+    def partners(g: DataFrame, count: str, block: str, band: str) -> DataFrame:
+        g = g.select("*", F.explode("near").alias("x")).filter(F.col(f"x.{count}") > 0)
+        return g.select("*", F.explode(F.sequence(F.lit(0), F.col(f"x.{count}") - 1)).alias(block), F.col("x.band").alias(band)).drop("near", "x")
+
+    odd = d.filter("own <> main").groupBy(*key, at("odd_blocks").alias("ob"), F.col("band").alias("obb")).agg(F.collect_list(member).alias("odd"), F.first("near").alias("near"))
+    others = d.groupBy(*key, at("blocks").alias("xb"), F.col("band").alias("xbb")).agg(F.collect_list(member).alias("others"), F.first("near").alias("near"))
+    return partners(odd, "blocks", "xb", "xbb"), partners(others, "odd_blocks", "ob", "obb")
 
 
 def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
