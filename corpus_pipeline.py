@@ -28,13 +28,16 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents one stays: the smallest doc_id (null last), of those the smallest text hash. Documents without shingles stay. A row with the doc_id and text of another stays once."""
+    """Of each component of linked documents one stays: the smallest doc_id (null last), of those the smallest text hash. Documents without shingles stay. Of rows with equal doc_id and text one stays, that of the smallest hash of the whole row."""
     d = packed(docs, "doc_id", own_th=F.xxhash64("text"))
     rows = jaccard.labelled_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"])
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
     stay = first.select("first.doc_id", "first.th").unionByName(rows.filter("label is null").select("doc_id", "th").distinct()).withColumnRenamed("doc_id", "stay")
     if not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        d = d.dropDuplicates(["doc_id", "own_th"])
+        d = d.withColumn("whole", F.xxhash64(F.to_json("row")))
+        least = write_table(d.groupBy(F.col("doc_id").alias("of_id"), F.col("own_th").alias("of_th")).agg(F.min("whole").alias("least")), "least")
+        d = d.join(least.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("own_th") == F.col("of_th")) & (F.col("whole") == F.col("least")), "left_semi")
+        d = d.dropDuplicates(["doc_id", "own_th", "whole"])
     return d.join(stay.hint("shuffle_hash"), d["doc_id"].eqNullSafe(F.col("stay")) & (d["own_th"] == F.col("th")), "left_semi").transform(unpacked, docs.columns)
 
 

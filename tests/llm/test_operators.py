@@ -305,6 +305,33 @@ def test_jaccard_long_lists(spark, monkeypatch, copies, n_words, changes):
     assert got == want and len(set(want.values())) > 5
 
 
+@pytest.mark.parametrize("sizes", [1, 12])
+def test_jaccard_templates_with_rare_fillings(spark, monkeypatch, sizes):
+    """Texts of one template that differ in their own words: none link, and what is compared in blocks grows with the texts at most. sizes: of how many lengths."""
+    compared = []
+    plain = jaccard.blocks_to_compare
+
+    def counted(hot, labels):
+        odd, others = plain(hot, labels)
+        compared[-1] += odd.count()
+        return odd, others
+
+    monkeypatch.setattr(jaccard, "blocks_to_compare", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1 << 13)
+    for n in (1000, 5000):
+        rows = []
+        for i in range(n):
+            t = [f"t{j}" for j in range(200 - 3 * (i % sizes))]
+            for j in range(6):
+                t[5 + 26 * j] = f"own{i}x{j}"
+            rows.append((i, " ".join(t)))
+        compared.append(0)
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.component_id for r in jaccard.link_components(d).collect()}
+        assert got == {i: i for i in range(n)}
+    assert compared[1] <= 6 * compared[0]
+
+
 def test_sketches_bound_differences():
     import numpy as np
 
@@ -416,6 +443,13 @@ def test_mixing_takes_seeded_epochs(spark, share, epochs):
     unchanged(mixing.mix(d), d)
 
 
+def test_mixing_domains_of_long_numbers(spark):
+    names = ["src1000000000", "src0", "x12345678901234567890123456789", "7", "", "a1b", None, "x002"]
+    got = spark.createDataFrame([(n,) for n in names], "source string").select("source", mixing.domain_of(F.coalesce("source", F.lit(""))).alias("d")).collect()
+    number = lambda n: int((re.search("[0-9]+$", n or "") or ["0"])[0])
+    assert [r.d for r in got] == [f"domain{number(n) % 3}" for n in names]
+
+
 def test_mixing_keeps_columns(docs):
     unchanged(mixing.mix(docs), docs)
 

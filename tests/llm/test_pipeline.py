@@ -47,6 +47,15 @@ def test_near_duplicates_tell_texts_apart_under_one_doc_id(spark):
     assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_near_duplicates_of_rows_that_differ_elsewhere(spark):
+    """Which of the rows with one doc_id and text stays doesn't depend on their order."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, lang, f"src{i}", i) for i, lang in enumerate(["en", "de", None, "en", "fr"])] + [(2, "other text", "en", "s", 1)] * 2
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [corpus_pipeline.near_duplicates(spark, spark.createDataFrame(r, kind).repartition(n), DIR).collect() for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == 2
+
+
 @pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES[:-1]])
 def test_stages_on_odd_rows(spark, docs, rows, none, stage):
     """Nulls, empty and very long texts, ties, repeated rows, an empty table, columns with the operators' names."""
