@@ -16,7 +16,8 @@ class KB:
     """entities(entity_id, name), concepts(concept_id, name), instance_of(child, parent),
     attrs(entity_id, fact_no, key, v), attr_quals(entity_id, fact_no, qkey, q_no, v),
     rels(entity_id, fact_no, predicate, direction, object), rel_quals like attr_quals.
-    Facts of an entity are ordered by fact_no (text)."""
+    Facts of an entity are ordered by fact_no (text). first_entity: least, one row, where it is
+    known already."""
 
     entities: DataFrame
     concepts: DataFrame
@@ -25,6 +26,7 @@ class KB:
     attr_quals: DataFrame
     rels: DataFrame
     rel_quals: DataFrame
+    first_entity: DataFrame | None = None
 
 
 def load(spark: SparkSession, d: str) -> KB:

@@ -70,14 +70,14 @@ def concept_closure(spark, d):
     return A.concept_closure(kbs.load(spark, d))
 
 
-@query(KB_SQL + "SELECT key, max(CASE vtype WHEN 'year' THEN 'date' ELSE vtype END) AS vtype FROM (SELECT key, vtype FROM attrs UNION ALL SELECT qkey, vtype FROM attr_quals UNION ALL SELECT qkey, vtype FROM rel_quals) GROUP BY key")
+@query(KB_SQL + "SELECT key, CASE arg_max(vtype, (entity_id, kind, fact_no, q)) WHEN 'year' THEN 'date' ELSE arg_max(vtype, (entity_id, kind, fact_no, q)) END AS vtype FROM (SELECT key, vtype, entity_id, 'attr' AS kind, fact_no, 0 AS q FROM attrs UNION ALL SELECT qkey, vtype, entity_id, 'attr', fact_no, 2 FROM attr_quals UNION ALL SELECT qkey, vtype, entity_id, 'rel', fact_no, 2 FROM rel_quals) GROUP BY key")
 def kb_key_types(spark, d):
     return A.key_types(kbs.load(spark, d))
 
 
 @query(KB_SQL + "SELECT 'all' AS program_id, entity_id FROM entities")
 def alg_find_all(spark, d):
-    return A.find_all(programs(spark, [("all",)]), kbs.load(spark, d)).select("program_id", "entity_id")
+    return A.expanded(A.find_all(programs(spark, [("all",)])), kbs.load(spark, d)).select("program_id", "entity_id")
 
 
 @query(KB_SQL + "SELECT name AS program_id, entity_id FROM entities WHERE entity_id LIKE 'P%' UNION ALL SELECT name, concept_id FROM concepts")
@@ -90,14 +90,14 @@ def alg_find(spark, d):
 def alg_filter_concept(spark, d):
     kb = kbs.load(spark, d)
     a = per_name(kb.concepts)
-    return A.filter_concept(A.find_all(a, kb), a, kb).select("program_id", "entity_id")
+    return A.filter_concept(A.find_all(a), a, kb).select("program_id", "entity_id")
 
 
 @query(KB_SQL + "SELECT s AS program_id, entity_id, fact_no FROM attrs WHERE key = 'brand'")
 def alg_filter_str(spark, d):
     kb = kbs.load(spark, d)
     names = per_name(kb.concepts.filter(F.col("concept_id").startswith("B:")))
-    return listed(A.filter_attr(A.find_all(names, kb), names.select("program_id", F.lit("brand").alias("a1"), F.col("a1").alias("a2"), "a3"), kb, "string"))
+    return listed(A.filter_attr(A.find_all(names), names.select("program_id", F.lit("brand").alias("a1"), F.col("a1").alias("a2"), "a3"), kb, "string"))
 
 
 OPS = ("=", "!=", "<", ">")
@@ -106,25 +106,25 @@ OPS = ("=", "!=", "<", ">")
 @query(KB_SQL + "SELECT op AS program_id, entity_id, fact_no FROM attrs, (VALUES ('='), ('!='), ('<'), ('>')) t(op) WHERE key = 'size' AND CASE op WHEN '=' THEN num = 30 WHEN '!=' THEN num <> 30 WHEN '<' THEN num < 30 ELSE num > 30 END")
 def alg_filter_num(spark, d):
     kb, a = kbs.load(spark, d), programs(spark, [(op, "size", "30 cm", op) for op in OPS])
-    return listed(A.filter_attr(A.find_all(a, kb), a, kb, "quantity"))
+    return listed(A.filter_attr(A.find_all(a), a, kb, "quantity"))
 
 
 @query(KB_SQL + "SELECT key || op AS program_id, entity_id, fact_no FROM attrs, (VALUES ('='), ('!='), ('<'), ('>')) t(op) WHERE key IN ('order date', 'order year') AND CASE op WHEN '=' THEN coalesce(y, year(d)) = 1996 WHEN '!=' THEN coalesce(y, year(d)) <> 1996 WHEN '<' THEN coalesce(y, year(d)) < 1996 ELSE coalesce(y, year(d)) > 1996 END")
 def alg_filter_year(spark, d):
     kb, a = kbs.load(spark, d), programs(spark, [(k + op, k, "1996", op) for op in OPS for k in ("order date", "order year")])
-    return listed(A.filter_attr(A.find_all(a, kb), a, kb, "year"))
+    return listed(A.filter_attr(A.find_all(a), a, kb, "year"))
 
 
 @query(KB_SQL + "SELECT key || op AS program_id, entity_id, fact_no FROM attrs, (VALUES ('='), ('!='), ('<'), ('>')) t(op) WHERE key IN ('order date', 'order year') AND CASE op WHEN '=' THEN coalesce(d = DATE '1996-07-01', false) WHEN '!=' THEN coalesce(d <> DATE '1996-07-01', true) WHEN '<' THEN coalesce(d < DATE '1996-07-01', y < 1996) ELSE coalesce(d > DATE '1996-07-01', y > 1996) END")
 def alg_filter_date(spark, d):
     kb, a = kbs.load(spark, d), programs(spark, [(k + op, k, "1996-07-01", op) for op in OPS for k in ("order date", "order year")])
-    return listed(A.filter_attr(A.find_all(a, kb), a, kb, "date"))
+    return listed(A.filter_attr(A.find_all(a), a, kb, "date"))
 
 
 def big_totals(spark, kb) -> DataFrame:
     """Customers with the facts of their order totals over 1000 usd."""
     a = programs(spark, [("big", "order total", "1000 usd", ">")])
-    return A.filter_attr(A.find_all(a, kb), a, kb, "quantity")
+    return A.filter_attr(A.find_all(a), a, kb, "quantity")
 
 
 BIG = "SELECT 'big' AS program_id, a.entity_id, a.fact_no FROM attrs a JOIN attr_quals q ON q.entity_id = a.entity_id AND q.fact_no = a.fact_no WHERE a.key = 'order total' AND a.num > 1000 AND "
@@ -164,7 +164,7 @@ def alg_relate(spark, d):
 
 def brand_and_size(spark, kb) -> tuple[DataFrame, DataFrame]:
     names = per_name(kb.concepts.filter(F.col("concept_id").startswith("B:")))
-    every = A.find_all(names, kb)
+    every = A.find_all(names)
     return A.filter_attr(every, names.select("program_id", F.lit("brand").alias("a1"), F.col("a1").alias("a2"), "a3"), kb, "string"), A.filter_attr(every, reprogram(names, "size", "20 cm", "<"), kb, "quantity")
 
 
@@ -337,3 +337,86 @@ def run_programs(spark, d):
 @query()
 def infer_deps(spark, d):
     return A.infer_deps(batch(kbs.load(spark, d))).select("program_id", "step_no", "fn", F.array_join(F.transform("deps", lambda x: x.cast("string")), ",").alias("deps"))
+
+
+#: fixed inputs of the programs that use every function
+KINDS_SQL = KB_SQL + """, t AS (SELECT * FROM attrs WHERE key = 'order total'), fq AS (SELECT f.entity_id, f.fact_no, f.num, q.qkey, q.s, q.d FROM t f JOIN attr_quals q ON q.entity_id = f.entity_id AND q.fact_no = f.fact_no),
+brands AS (SELECT name AS b FROM concepts WHERE concept_id LIKE 'B:%'), pb AS (SELECT s AS b, entity_id FROM attrs WHERE key = 'brand'),
+size AS (SELECT entity_id, num FROM attrs WHERE key = 'size'), price AS (SELECT entity_id, num FROM attrs WHERE key = 'retail price'),
+seg AS (SELECT c.name AS m, a.child AS entity_id FROM concepts c JOIN anc a ON a.parent = c.concept_id WHERE c.concept_id LIKE 'M:%'),
+ord AS (SELECT e.entity_id, e.name, p.s AS prio, y.y, d.d FROM entities e JOIN attrs p ON p.entity_id = e.entity_id AND p.key = 'priority' JOIN attrs y ON y.entity_id = e.entity_id AND y.key = 'order year' JOIN attrs d ON d.entity_id = e.entity_id AND d.key = 'order date'),
+cust AS (SELECT entity_id, name FROM entities WHERE entity_id LIKE 'C%'), home AS (SELECT r.entity_id, n.name FROM rels r JOIN entities n ON n.entity_id = r.object WHERE r.predicate = 'country' AND r.direction = 'forward'),
+sup AS (SELECT e.name AS a, p.name AS b, r.* FROM rels r JOIN entities e ON e.entity_id = r.entity_id JOIN entities p ON p.entity_id = r.object WHERE r.predicate = 'supplies' AND r.direction = 'forward'),
+firsts AS (SELECT name, min(entity_id) AS entity_id FROM entities WHERE entity_id LIKE 'P%' GROUP BY name), sold AS (SELECT s.a, s.b, min(s.fact_no) AS fact_no FROM sup s JOIN firsts f ON f.entity_id = s.object GROUP BY 1, 2),
+small AS (SELECT b.b, count(*) AS n FROM pb b JOIN size z USING (entity_id) WHERE z.num < 20 GROUP BY 1)
+SELECT 'brand:' || b AS program_id, 'ok' AS status, CAST(count(entity_id) AS VARCHAR) AS answer FROM brands LEFT JOIN pb USING (b) GROUP BY b
+UNION ALL SELECT 'small:' || b, 'ok', CAST(coalesce(n, 0) AS VARCHAR) FROM brands LEFT JOIN small USING (b)
+UNION ALL SELECT 'under:' || b, 'ok', CAST(count(entity_id) AS VARCHAR) FROM brands LEFT JOIN (SELECT DISTINCT b, entity_id FROM pb) USING (b) GROUP BY b
+UNION ALL SELECT 'either:' || b, 'ok', CAST((SELECT count(*) FROM entities) + 1 AS VARCHAR) FROM brands
+UNION ALL SELECT 'priciest:' || b, 'ok', arg_max(name, (num, entity_id)) FROM pb JOIN price USING (entity_id) JOIN entities USING (entity_id) GROUP BY b
+UNION ALL SELECT 'size:' || b, CASE WHEN x.num IS NULL THEN 'empty' ELSE 'ok' END, CASE WHEN x.num IS NULL THEN NULL ELSE CAST(CAST(x.num AS BIGINT) AS VARCHAR) || ' cm' END FROM (SELECT b, min(entity_id) AS entity_id FROM pb GROUP BY b) JOIN size x USING (entity_id)
+UNION ALL SELECT 'segment:' || m, 'ok', CAST(count(f.fact_no) AS VARCHAR) FROM seg LEFT JOIN fq f ON f.entity_id = seg.entity_id AND f.num > 1000 AND f.qkey = 'point in time' AND year(f.d) = 1996 GROUP BY m
+UNION ALL SELECT 'early:' || m, 'ok', CAST(count(f.fact_no) AS VARCHAR) FROM seg LEFT JOIN fq f ON f.entity_id = seg.entity_id AND f.num > 1000 AND f.qkey = 'point in time' AND f.d < DATE '1996-07-01' GROUP BY m
+UNION ALL SELECT 'year:' || name, 'ok', CASE WHEN y = 1996 THEN 'yes' ELSE 'no' END FROM ord
+UNION ALL SELECT 'date:' || name, 'ok', CASE WHEN d < DATE '1996-07-01' THEN 'yes' ELSE 'no' END FROM ord
+UNION ALL SELECT 'prio:' || name, 'ok', CASE WHEN prio = '1-URGENT' THEN 'yes' ELSE 'no' END FROM ord
+UNION ALL SELECT 'orders:1996', 'ok', CAST(count(*) AS VARCHAR) FROM ord WHERE y = 1996
+UNION ALL SELECT 'orders:late', 'ok', CAST(count(*) AS VARCHAR) FROM ord WHERE d > DATE '1996-07-01'
+UNION ALL SELECT 'rel:' || c.name, 'ok', 'country' FROM cust c JOIN home USING (entity_id)
+UNION ALL SELECT 'open:' || c.name, CASE WHEN count(f.num) = 0 THEN 'empty' ELSE 'ok' END, CASE WHEN count(f.num) > 0 THEN CASE WHEN arg_min(f.num, f.fact_no) > 1000 THEN 'yes' ELSE 'no' END END FROM cust c LEFT JOIN fq f ON f.entity_id = c.entity_id AND f.qkey = 'status' AND f.s = 'O' GROUP BY c.name
+UNION ALL SELECT 'sold:' || a || '/' || b, 'ok', CASE WHEN q.num = floor(q.num) THEN CAST(CAST(q.num AS BIGINT) AS VARCHAR) ELSE CAST(q.num AS VARCHAR) END FROM sold JOIN sup USING (a, b, fact_no) JOIN rel_quals q ON q.entity_id = sup.entity_id AND q.fact_no = sup.fact_no AND q.qkey = 'quantity'
+UNION ALL SELECT 'bigger:' || b, 'ok', CASE WHEN x.num > y.num THEN x.name ELSE y.name END FROM (SELECT b, f.entity_id, e.name, num FROM (SELECT b, min(entity_id) AS entity_id FROM pb GROUP BY b) f JOIN entities e USING (entity_id) JOIN price USING (entity_id)) x, (SELECT e.name, num FROM entities e JOIN price USING (entity_id) WHERE e.entity_id = (SELECT min(entity_id) FROM pb)) y
+UNION ALL SELECT 'many:' || e.name, 'ok', CAST(count(q.num) AS VARCHAR) FROM entities e LEFT JOIN sup s ON s.entity_id = e.entity_id LEFT JOIN rel_quals q ON q.entity_id = s.object AND q.fact_no = s.fact_no AND q.qkey = 'quantity' AND q.num > 30 WHERE e.entity_id LIKE 'S%' GROUP BY e.name
+UNION ALL SELECT 'flag:' || e.name, 'ok', CAST(count(q.s) AS VARCHAR) FROM entities e LEFT JOIN sup s ON s.entity_id = e.entity_id LEFT JOIN rel_quals q ON q.entity_id = s.object AND q.fact_no = s.fact_no AND q.qkey = 'return flag' AND q.s = 'R' WHERE e.entity_id LIKE 'S%' GROUP BY e.name
+UNION ALL SELECT 'when:' || c.name, 'ok', CAST(arg_min(f.d, f.fact_no) AS VARCHAR) FROM cust c JOIN fq f ON f.entity_id = c.entity_id AND f.qkey = 'point in time' AND f.num = (SELECT max(num) FROM t WHERE t.entity_id = c.entity_id) GROUP BY c.name
+UNION ALL SELECT 'first:all', 'ok', (SELECT name FROM entities WHERE entity_id = (SELECT min(entity_id) FROM entities))
+UNION ALL SELECT 'bad:dep', 'bad_dependency', NULL
+"""
+
+
+def every_function(kb) -> DataFrame:
+    """Programs of all functions: for every brand, segment, order, customer and sale, and a few over all entities."""
+    name = lambda prefix: kb.entities.filter(F.col("entity_id").startswith(prefix)).select("name").distinct()
+    brands, segments = (kb.concepts.filter(F.col("concept_id").startswith(x)).select("name") for x in ("B:", "M:"))
+    step = lambda no, fn, deps, *x: F.struct(F.lit(no).alias("step_no"), F.lit(fn).alias("fn"), F.array(*[F.lit(v) if isinstance(v, str) else v for v in x]).cast("array<string>").alias("inputs"), F.array(*map(F.lit, deps)).cast("array<int>").alias("deps"))
+    own = F.col("name")
+    of_brand = [step(0, "FindAll", []), step(1, "FilterStr", [0], "brand", own)]
+    big = [step(0, "FindAll", []), step(1, "FilterConcept", [0], own), step(2, "FilterNum", [1], "order total", "1000 usd", ">")]
+    first_brand = kb.attrs.filter("key = 'brand'").agg(F.min_by("v.s", "entity_id").alias("first"))
+
+    def made(rows: DataFrame, kinds: dict[str, list]) -> DataFrame:
+        parts = F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k, s in kinds.items() for x in s])
+        return rows.select("*", F.explode(parts).alias("p")).select(F.concat_ws(":", "p.k", "name").alias("program_id"), "p.x.*")
+
+    spark = kb.entities.sparkSession
+    home = kb.rels.filter("predicate = 'country' and direction = 'forward'").join(kb.entities, "entity_id").join(kb.entities.select(F.col("entity_id").alias("object"), F.col("name").alias("to")), "object").select("name", "to")
+    sales = kb.rels.filter("predicate = 'supplies' and direction = 'forward'").join(kb.entities.withColumnRenamed("name", "a"), "entity_id").join(kb.entities.select(F.col("entity_id").alias("object"), F.col("name").alias("b")), "object")
+    firsts = kb.entities.filter("entity_id like 'P%'").groupBy("name").agg(F.min("entity_id").alias("object"))
+    sales = sales.join(firsts.select("object").hint("merge"), "object", "left_semi").select("a", "b", F.concat_ws("/", "a", "b").alias("name")).distinct()
+    largest = kb.attrs.filter("key = 'order total'").groupBy("entity_id").agg(F.concat_ws(" ", F.max("v.num").cast("string"), F.lit("usd")).alias("most")).join(kb.entities, "entity_id").select("name", "most")
+    one = spark.createDataFrame([("1996",), ("late",), ("all",), ("dep",)], "name string")
+    union = [
+        made(brands, {"brand": [*of_brand, step(2, "Count", [1])], "small": [*of_brand, step(2, "FilterNum", [0], "size", "20 cm", "<"), step(3, "And", [1, 2]), step(4, "Count", [3])], "under": [step(0, "FindAll", []), step(1, "FilterConcept", [0], own), step(2, "And", [0, 1]), step(3, "Count", [2])], "either": [step(0, "FindAll", []), step(1, "Find", [], own), step(2, "Or", [0, 1]), step(3, "Count", [2])], "priciest": [*of_brand, step(2, "SelectAmong", [1], "retail price", "largest")], "size": [*of_brand, step(2, "QueryAttr", [1], "size")]}),
+        made(brands.crossJoin(F.broadcast(first_brand)), {"bigger": [*of_brand, step(2, "FindAll", []), step(3, "FilterStr", [2], "brand", F.col("first")), step(4, "SelectBetween", [1, 3], "retail price", "greater")]}).join(kb.attrs.filter("key = 'brand'").select(F.concat(F.lit("bigger:"), "v.s").alias("program_id")).distinct(), "program_id", "left_semi"),
+        made(segments, {"segment": [*big, step(3, "QFilterYear", [2], "point in time", "1996", "="), step(4, "Count", [3])], "early": [*big, step(3, "QFilterDate", [2], "point in time", "1996-07-01", "<"), step(4, "Count", [3])]}),
+        made(name("O"), {"year": [step(0, "Find", [], own), step(1, "QueryAttr", [0], "order year"), step(2, "VerifyYear", [1], "1996", "=")], "date": [step(0, "Find", [], own), step(1, "QueryAttr", [0], "order date"), step(2, "VerifyDate", [1], "1996-07-01", "<")], "prio": [step(0, "Find", [], own), step(1, "QueryAttr", [0], "priority"), step(2, "VerifyStr", [1], "1-URGENT", "=")]}),
+        made(name("C"), {"open": [step(0, "Find", [], own), step(1, "QueryAttrUnderCondition", [0], "order total", "status", "O"), step(2, "VerifyNum", [1], "1000 usd", ">")]}),
+        made(name("S"), {"many": [step(0, "Find", [], own), step(1, "Relate", [0], "supplies", "forward"), step(2, "QFilterNum", [1], "quantity", "30", ">"), step(3, "Count", [2])], "flag": [step(0, "Find", [], own), step(1, "Relate", [0], "supplies", "forward"), step(2, "QFilterStr", [1], "return flag", "R", "="), step(3, "Count", [2])]}),
+        made(largest, {"when": [step(0, "Find", [], own), step(1, "QueryAttrQualifier", [0], "order total", F.col("most"), "point in time")]}),
+        made(home, {"rel": [step(0, "Find", [], own), step(1, "Find", [], F.col("to")), step(2, "QueryRelation", [0, 1])]}),
+        made(sales, {"sold": [step(0, "Find", [], F.col("a")), step(1, "Find", [], F.col("b")), step(2, "QueryRelationQualifier", [0, 1], "supplies", "quantity")]}),
+        made(one.filter("name = '1996'"), {"orders": [step(0, "FindAll", []), step(1, "FilterYear", [0], "order year", "1996", "="), step(2, "Count", [1])]}),
+        made(one.filter("name = 'late'"), {"orders": [step(0, "FindAll", []), step(1, "FilterDate", [0], "order date", "1996-07-01", ">"), step(2, "Count", [1])]}),
+        made(one.filter("name = 'all'"), {"first": [step(0, "FindAll", []), step(1, "What", [0])]}),
+        made(one.filter("name = 'dep'"), {"bad": [step(0, "FindAll", []), step(1, "What", [7])]}),
+    ]
+    out = union[0]
+    for x in union[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query(KINDS_SQL)
+def run_programs_of_all_functions(spark, d):
+    kb = kbs.load(spark, d)
+    return A.run_programs(every_function(kb), kb)

@@ -81,7 +81,7 @@ MATCH_SQL = GRAPH_SQL + """, m1 AS (SELECT q.c_name AS query_id, x.name AS s0, e
   FROM customer q JOIN nodes x ON x.name = q.c_name JOIN bi e ON e.a_id = x.node_id AND e.rel IN ('LIVES_IN', 'PLACED_BY') JOIN nodes y ON y.node_id = e.b_id WHERE y.name <> x.name AND (list_contains(y.labels, 'Nation') OR list_contains(y.labels, 'Order'))),
 m2 AS MATERIALIZED (SELECT m.query_id, s0, r0, s1, e.rel AS r1, y.name AS s2, m.dist + CASE e.rel WHEN 'IN_REGION' THEN 0.2 ELSE 0.4 END + CASE WHEN list_contains(y.labels, 'Region') THEN 0.0 ELSE 0.5 END AS dist
   FROM (SELECT DISTINCT * FROM m1) m JOIN nodes x ON x.name = m.s1 JOIN bi e ON e.a_id = x.node_id AND e.rel IN ('IN_REGION', 'CONTAINS') JOIN nodes y ON y.node_id = e.b_id WHERE y.name NOT IN (s0, s1) AND (list_contains(y.labels, 'Region') OR list_contains(y.labels, 'Part'))),
-m AS MATERIALIZED (SELECT DISTINCT *, 'x' AS z FROM m2), t AS MATERIALIZED (SELECT *, concat_ws('|', s0, r0, s1, r1, s2) AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), concat_ws('|', s0, r0, s1, r1, s2)) AS rank FROM m QUALIFY rank <= 4)
+m AS MATERIALIZED (SELECT DISTINCT *, 'x' AS z FROM m2), t AS MATERIALIZED (SELECT *, concat_ws('|', s0, r0, s1, r1, s2) AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), '[{"src":"' || s0 || '","rel":"' || r0 || '","dst":"' || s1 || '"},{"src":"' || s1 || '","rel":"' || r1 || '","dst":"' || s2 || '"}]') AS rank FROM m QUALIFY rank <= 4)
 """
 
 
@@ -96,10 +96,11 @@ def matches(spark, d):
     return V.ranked_subgraph_match(starts, q, r, t, nodes(spark, d), edges(spark, d), 4)
 
 
-@query(MATCH_SQL + "SELECT query_id, round(dist, 6) AS distance, count(*) AS n FROM t GROUP BY 1, 2")
+@query(MATCH_SQL + "SELECT query_id, CAST(rank AS INT) AS rank, concat_ws(' ', s0 || '>' || r0 || '>' || s1, s1 || '>' || r1 || '>' || s2) AS edges, round(dist, 6) AS distance FROM t")
 def ranked_subgraph_match(spark, d):
-    """How many of the four best matches of each query lie at which distance; exact, without a beam."""
-    return matches(spark, d).groupBy("query_id", F.round("distance", 6).alias("distance")).agg(F.count("*").alias("n"))
+    """The four best matches of each query, whole; exact, without a beam."""
+    text = F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e["src"], e["rel"], e["dst"])), " ")
+    return matches(spark, d).select("query_id", "rank", text.alias("edges"), F.round("distance", 6).alias("distance"))
 
 
 @query(MATCH_SQL + "SELECT query_id, s2 AS name FROM t WHERE rank = 1")

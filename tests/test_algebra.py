@@ -69,6 +69,57 @@ def test_programs(spark, kb):
     assert run(spark, kb, ("Find", "Nobody"), ("What",)) == ("empty", None)
 
 
+def test_sets_of_all_entities(spark, kb):
+    assert run(spark, kb, ("FindAll",), ("Count",)) == ("ok", "3")
+    assert run(spark, kb, ("FindAll",)) == ("ok", "Ann|Bob")
+    assert run(spark, kb, ("FindAll",), ("What",)) == ("ok", "Ann")
+    assert run(spark, kb, ("FindAll",), ("QueryAttr", "height")) == ("ok", "7 m")
+    assert run(spark, kb, ("FindAll",), ("SelectAmong", "height", "largest")) == ("ok", "Bob")
+    assert run(spark, kb, ("FindAll",), ("Relate", "knows", "forward"), ("What",)) == ("ok", "Bob")
+    assert run(spark, kb, ("FindAll",), ("QFilterStr", "source", "X"), ("Count",)) == ("ok", "0")
+    # a concept is no entity: Or keeps it beside all, And leaves it out
+    assert run(spark, kb, ("FindAll",), ("Find", "person"), ("Or",), ("Count",)) == ("ok", "4")
+    assert run(spark, kb, ("FindAll",), ("Find", "person"), ("And",), ("Count",)) == ("ok", "0")
+    assert run(spark, kb, ("FindAll",), ("Find", "Ann"), ("Or",), ("Count",)) == ("ok", "3")
+    assert run(spark, kb, ("FindAll",), ("FindAll",), ("And",), ("FilterConcept", "person"), ("Count",)) == ("ok", "2")
+    every = A.find_all(spark.createDataFrame([("p",), ("q",)], "program_id string"))
+    assert every.count() == 2 and A.expanded(every, kb).count() == 6
+
+
+def test_equal_steps_run_once(spark, kb):
+    """Three programs, of which two share all but the last step; a dependency on a later step is none."""
+    steps = [("a", 0, "FindAll", [], []), ("a", 1, "FilterNum", ["height", "0 m", ">"], [0]), ("a", 2, "Count", [], [1]), ("b", 0, "Find", ["Ann"], []), ("b", 5, "FindAll", [], []), ("b", 6, "FilterNum", ["height", "0 m", ">"], [5]), ("b", 7, "What", [], [6]), ("c", 0, "Count", [], [3])]
+    p = spark.createDataFrame(steps, "program_id string, step_no int, fn string, inputs array<string>, deps array<int>")
+    shared = {(r.program_id, r.step_no): r.h for r in A.shared_steps(p).collect()}
+    assert shared["a", 0] == shared["b", 5] and shared["a", 1] == shared["b", 6] and len(set(shared.values())) == 6
+    assert {r.program_id: (r.status, r.answer) for r in A.run_programs(p, kb).collect()} == {"a": ("ok", "3"), "b": ("ok", "Ann"), "c": ("bad_dependency", None)}
+
+
+def test_filters_make_no_product(spark, kb, capsys):
+    every = A.find_all(spark.createDataFrame([("p",)], "program_id string"))
+    args = spark.createDataFrame([("p", "height", "0 m", ">")], "program_id string, a1 string, a2 string, a3 string")
+    A.filter_attr(every, args, kb, "quantity").explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_infer_deps(spark):
+    """The branch rule by hand: two branches, joined, filtered, joined with a third."""
+    fns = ["Find", "Relate", "Find", "FilterConcept", "And", "FindAll", "Or", "Count"]
+    p = spark.createDataFrame([("p", i, f, []) for i, f in enumerate(fns)] + [("q", 0, "FindAll", []), ("q", 1, "What", [])], "program_id string, step_no int, fn string, inputs array<string>")
+    got = {(r.program_id, r.step_no): list(r.deps) for r in A.infer_deps(p).collect()}
+    assert got == {("p", 0): [], ("p", 1): [0], ("p", 2): [], ("p", 3): [2], ("p", 4): [1, 3], ("p", 5): [], ("p", 6): [4, 5], ("p", 7): [6], ("q", 0): [], ("q", 1): [0]}
+
+
+def test_key_type_is_that_of_the_last_fact(spark):
+    v = lambda k: (k, "x", None, None, None, None)
+    make = spark.createDataFrame
+    attrs = make([("e1", "1", "k", v("string")), ("e2", "1", "k", v("year")), ("e2", "2", "m", v("date")), ("e3", "1", "m", v("quantity"))], f"entity_id string, fact_no string, key string, v {VALUE}")
+    quals = make([("e1", "1", "k", 1, v("quantity")), ("e3", "1", "m", 1, v("string"))], f"entity_id string, fact_no string, qkey string, q_no int, v {VALUE}")
+    kb = KB(None, None, None, attrs, quals, None, quals.limit(0))
+    assert {r.key: r.vtype for r in A.key_types(kb).collect()} == {"k": "date", "m": "string"}
+
+
 def test_closure_ends_on_cycles(kb):
     got = {(r.child, r.parent) for r in A.concept_closure(kb).collect()}
     assert ("e1", "c3") in got and ("c2", "c2") in got and len(got) == 12
