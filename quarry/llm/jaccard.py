@@ -56,7 +56,7 @@ MOST_FREQUENT = 1 << 20
 #: step of the size bands that blocks keep to, and how many bands apart linked sizes can be
 BLOCK_BAND, BANDS_APART = 1.05, 5
 #: flags of shingles met, a byte each, in a task
-MET_BITS = 1 << 25
+MET_BITS = 1 << 24
 
 
 def sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -223,13 +223,13 @@ def fits(x, y):
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """key, single, node, n, leader, leader_n, size for every entry of a list with two nodes or more.
+    """key, single, node, n, leader, leader_n, size, least (smallest n) for every entry of a list with two nodes or more.
 
     A list may be as long as a group of copies: leaders are pre-aggregated and joined.
     """
     entries = nodes.select(F.explode("singles").alias("key"), "node", "n", F.lit(True).alias("single")).unionByName(nodes.select(F.explode("combos").alias("key"), "node", "n", F.lit(False).alias("single")))
-    lead = entries.groupBy("key", "single").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    lead = write_table(lead.select("key", "single", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), "size"), "leaders")
+    lead = entries.groupBy("key", "single").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1")
+    lead = write_table(lead.select("key", "single", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), "size", "least"), "leaders")
     lists = write_table(entries.join(lead.hint("merge"), ["key", "single"]), "lists")
     drop_table(lead)
     return lists
@@ -258,7 +258,8 @@ def labelled_rows(docs: DataFrame, keep: list[str], words: int = WORDS) -> DataF
     led = lists.filter(fits(F.col("n"), F.col("leader_n")) & (F.col("node") != F.col("leader"))).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.when(F.col("single"), 1)).alias("v"), F.count("*").alias("votes"))
     best = may_link(led, info).groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     best = write_table(best, "leader_pairs")
-    hot = write_table(lists.filter(F.col("size") > HOT_LIST).select("key", "single", "node").join(info.select("node", "n", "p", "sketch").hint("merge"), "node"), "hot_lists")
+    hot = lists.filter(F.col("size") > HOT_LIST).select("key", "single", "node", "least").join(info.select("node", "n", "p", "sketch").hint("merge"), "node")
+    hot = write_table(hot.filter(can_meet_here(F.col("n"), F.col("p"), F.col("single"), F.col("least"))).drop("least"), "hot_lists")
     sets = sets_for(docs, [best.select(F.col("a").alias("h")), best.select(F.col("b").alias("h")), hot.select(F.col("node").alias("h"))], words)
     links = write_table(verified(best, sets), "leader_links")
     labels = components(links)
@@ -379,9 +380,7 @@ def near_in_blocks(hot: DataFrame, labels: DataFrame, nearest: int) -> DataFrame
 def blocks_to_compare(hot: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(odd, others): blocks by key, single, ob and obb, xb and xbb (number and band of either), a row for each partner."""
     key = ["key", "single"]
-    least = hot.groupBy(*key).agg(F.min("n").alias("least"))
-    d = hot.join(least.hint("merge"), key).filter(can_meet_here(F.col("n"), F.col("p"), F.col("single"), F.col("least"))).drop("least")
-    d = d.withColumns({"most": F.when(F.col("single"), F.col("n")).otherwise(F.col("n") - F.col("p")), "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK_BAND))).cast("int")}).drop("p")
+    d = hot.withColumns({"most": F.when(F.col("single"), F.col("n")).otherwise(F.col("n") - F.col("p")), "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK_BAND))).cast("int")}).drop("p")
     d = d.join(labels.select("node", F.col("label").alias("own")).hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     d = write_table(d, "hot_members")
     parts = write_table(d.groupBy(*key, "own", "band").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("c"), F.max("most").alias("most"), F.min("n").alias("n")), "hot_parts")
