@@ -124,8 +124,15 @@ def path_per_source_type(paths: DataFrame, needed: DataFrame, few: int = 3) -> D
 
 def relaxed_sequences(anchors: DataFrame, types: list[str], generic: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, rels, tier: relation sequences along the types; without any, along one generic type; without any, along any."""
-    tiers = [relation_sequences(anchors, len(types), nodes, edges, t) for t in (types, [generic] * len(types), None)]
-    return first_tier(tiers, ["query_id"])
+    parts, left = [], anchors
+    for no, t in enumerate((types, [generic] * len(types), None), 1):
+        got = write_table(relation_sequences(left, len(types), nodes, edges, t), "sequences")
+        parts.append(got.withColumn("tier", F.lit(no)))
+        # the next tier is for queries that are still empty
+        left = write_table(left.join(got.select("query_id").distinct().hint("merge"), "query_id", "left_anti"), "left_over")
+        if left.isEmpty():
+            break
+    return union(parts)
 
 
 def best_path_answers(anchors: DataFrame, ranked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

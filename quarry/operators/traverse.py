@@ -149,14 +149,25 @@ def reachable(anchors: DataFrame, rels: list[str], nodes: DataFrame, edges: Data
 
 
 def relation_sequences(anchors: DataFrame, hops: int, nodes: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """query_id, rels: distinct relation sequences of all simple paths of exactly `hops` hops."""
-    links = edges_bi(edges)
-    f = start(anchor_nodes(anchors, nodes, "exact")).select("query_id", "at", "ids", "eids").withColumn("rels", F.array().cast("array<string>"))
-    for i in range(hops):
-        f = hop(f, links, unique_edges=False, keep_rel="rels").filter(~F.array_contains(F.slice("ids", 1, i + 1), F.col("at")))
-        if types:
-            f = labelled(f, nodes, types[i])
-    return f.select("query_id", "rels").distinct()
+    """query_id, rels: distinct relation sequences of all simple paths of exactly `hops` hops.
+
+    Only whether a sequence has a path counts, so few paths stand for all. Those that end at a
+    node after the same two relations differ in one inner node; of these as many are kept as
+    there are nodes to come, and one more, so one always avoids them. For the last hop a node
+    needs just one neighbour more than the path has nodes.
+    """
+    links = edges_bi(edges).filter("a_id <> b_id").select("a_id", "rel", "b_id").distinct()
+    met = lambda d, i: labelled(d.withColumn("at", F.col("b_id")), nodes, types[i]).drop("at") if types else d
+    f = anchor_nodes(anchors, nodes, "exact").select("query_id", F.col("node_id").alias("at"), F.array("node_id").alias("ids"), F.array().cast("array<string>").alias("rels")).distinct()
+    for i in range(hops - 1):
+        f = met(f.join(links, F.col("at") == F.col("a_id")).filter(~F.array_contains("ids", F.col("b_id"))), i)
+        f = f.select("query_id", F.col("b_id").alias("at"), F.array_append("ids", F.col("b_id")).alias("ids"), F.array_append("rels", F.col("rel")).alias("rels"))
+        if i == 1:
+            f = top_k(f.withColumn("first", F.get("ids", F.lit(0))), ["query_id", "first", "rels", "at"], [F.get("ids", F.lit(1))], hops - 1).drop("first")
+    last = met(links.join(f.select(F.col("at").alias("a_id")).distinct(), "a_id", "left_semi"), hops - 1)
+    last = top_k(last, ["a_id", "rel"], ["b_id"], hops + 1)
+    d = f.join(last, F.col("at") == F.col("a_id")).filter(~F.array_contains("ids", F.col("b_id")))
+    return d.select("query_id", F.array_append("rels", F.col("rel")).alias("rels")).distinct()
 
 
 def paths_via_hub(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

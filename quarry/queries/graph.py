@@ -146,6 +146,19 @@ def relation_sequences(spark, d):
     return got.select("query_id", F.array_join("rels", "|").alias("rels"))
 
 
+@query(
+    GRAPH_SQL
+    + """SELECT DISTINCT q.r_name AS query_id, concat_ws('|', e0.rel, e1.rel, e2.rel) AS rels FROM (SELECT c_name AS r_name FROM customer UNION ALL SELECT n_name FROM nation) q JOIN nodes n0 ON n0.name = q.r_name
+JOIN bi e0 ON e0.a_id = n0.node_id JOIN bi e1 ON e1.a_id = e0.b_id JOIN bi e2 ON e2.a_id = e1.b_id
+WHERE e0.b_id <> n0.node_id AND e1.b_id NOT IN (n0.node_id, e0.b_id) AND e2.b_id NOT IN (n0.node_id, e0.b_id, e1.b_id)"""
+)
+def relation_sequences_of_customers(spark, d):
+    """Three hops from every customer and nation."""
+    a = anchors(table(spark, d, "customer"), "c_name").unionByName(anchors(table(spark, d, "nation"), "n_name"))
+    got = traverse.relation_sequences(a, 3, nodes(spark, d), edges(spark, d))
+    return got.select("query_id", F.array_join("rels", "|").alias("rels"))
+
+
 @query(
     GRAPH_SQL
     + """SELECT DISTINCT q.anchor AS query_id, 'order_part' AS path_id, p.name FROM (SELECT DISTINCT 'Order#' || o_orderkey AS anchor FROM orders) q JOIN nodes o ON lower(o.name) = lower(q.anchor)

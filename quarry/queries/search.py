@@ -129,9 +129,14 @@ def nearest_exact_first(spark, d):
     return V.nearest_exact_first(q, vectors(spark, d), 10).select("query_id", "name", F.round("dist", 6).alias("dist"), "rank")
 
 
-@query(VEC + "SELECT query_id || '/' || name AS id, round(greatest(0, cos), 6) AS similarity FROM d")
+@query(VEC + "SELECT a.name AS id, CASE WHEN b.name IS NULL OR a.vec_id % 7 = 3 THEN 0 ELSE round(greatest(0, list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) + 1e-12)), 6) END AS similarity FROM v a LEFT JOIN v b ON b.vec_id = a.vec_id + 1")
 def similar_text_pairs(spark, d):
-    p = V.pairs(query_vectors(spark, d), vectors(spark, d)).select(F.concat_ws("/", F.col("query_id").cast("string"), "name").alias("id"), F.col("qvec").alias("gold_vec"), F.col("vec").alias("pred_vec"))
+    """Each vector with the next one; some pairs lack a vector, some have an empty one."""
+    e = table(spark, d, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("pred_vec"))
+    p = e.join(nxt.hint("merge"), "vec_id", "left")
+    none = F.array().cast("array<float>")
+    p = p.select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("id"), F.col("embedding").alias("gold_vec"), F.when(F.col("vec_id") % 7 == 3, none).otherwise(F.col("pred_vec")).alias("pred_vec"))
     return V.similar_pairs(p).select("id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -143,9 +148,18 @@ def prune_by_hint(spark, d):
     return V.prune_by_hint(o, 5).select("query_id", "rel", F.round("score", 6).alias("score"))
 
 
-@query(VEC + ", r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.3 * cos DESC, name) AS k FROM d), c1 AS (SELECT query_id, name, 0.3 * cos AS score FROM r1 WHERE k = 1), n2 AS (SELECT d.query_id, d.name, 0.3 * d.cos - 0.7 * list_dot_product(v.vec, w.vec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(w.vec, w.vec)) + 1e-12) AS score FROM d JOIN c1 ON c1.query_id = d.query_id AND c1.name <> d.name JOIN v ON v.name = d.name JOIN v w ON w.name = c1.name) SELECT query_id, 1 AS rank, name, round(score, 6) AS score FROM c1 UNION ALL SELECT query_id, 2, name, round(score, 6) FROM n2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) = 1")
+def _mmr_round(r: int) -> str:
+    return f"""n{r} AS (SELECT d.query_id, d.name, 0.3 * d.cos - 0.7 * max(list_dot_product(v.vec, w.vec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(w.vec, w.vec)) + 1e-12)) AS score
+  FROM d JOIN a{r - 1} c ON c.query_id = d.query_id JOIN v ON v.name = d.name JOIN v w ON w.name = c.name WHERE NOT EXISTS (SELECT 1 FROM a{r - 1} x WHERE x.query_id = d.query_id AND x.name = d.name) GROUP BY d.query_id, d.name, d.cos),
+a{r} AS MATERIALIZED (SELECT * FROM a{r - 1} UNION ALL SELECT query_id, {r}, name, score FROM n{r} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, name) = 1)"""
+
+
+MMR_K = 5
+
+
+@query(VEC + ", a1 AS MATERIALIZED (SELECT query_id, 1 AS rank, name, 0.3 * cos AS score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.3 * cos, 12) DESC, name) = 1), " + ", ".join(map(_mmr_round, range(2, MMR_K + 1))) + f" SELECT query_id, rank, name, round(score, 6) AS score FROM a{MMR_K}")
 def mmr_select(spark, d):
-    return V.mmr_select(query_vectors(spark, d).drop("qname"), vectors(spark, d).drop("label"), 2).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
+    return V.mmr_select(query_vectors(spark, d).drop("qname"), vectors(spark, d).drop("label"), MMR_K).select("query_id", "rank", "name", F.round("score", 6).alias("score"))
 
 
 #: triples with the labels of both ends; the number of the relation by name
