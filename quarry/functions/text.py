@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,23 +195,47 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.select("id").join(s.select("id", f.alias("f")), "id", "left").select("id", F.coalesce("f", F.lit(0.0)).alias("f"))
 
 
+def _numbered(side: pa.ListArray, other: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Lengths and word numbers (equal words have one number) of two columns of word lists."""
+    lens = [np.diff(x.offsets.to_numpy()) for x in (side, other)]
+    words = pa.concat_arrays([side.flatten(), other.flatten()]).dictionary_encode().indices.to_numpy()
+    return *lens, words[: len(side.flatten())], words[len(side.flatten()) :]
+
+
+def lcs_lengths(g: pa.ListArray, p: pa.ListArray, cells: int = 1 << 21) -> np.ndarray:
+    """Longest common subsequence of each pair of word lists. Pairs of like lengths go together: a row of all their tables is one array step."""
+    n_g, n_p, w_g, w_p = _numbered(g, p)
+    at_g, at_p = np.concatenate([[0], np.cumsum(n_g)]), np.concatenate([[0], np.cumsum(n_p)])
+    out = np.zeros(len(n_g), dtype=np.int64)
+    order = np.lexsort((n_g, n_p))
+    i = 0
+    while i < len(order):
+        # lengths rise, so the last pair of a group is the widest
+        j = i + max(1, int(np.searchsorted(np.arange(1, len(order) - i + 1) * (n_p[order[i:]] + 1), cells, side="right")))
+        rows = order[i:j]
+        wide, deep = int(n_p[rows].max()), int(n_g[rows].max())
+        cols, steps = np.arange(wide), np.arange(deep)
+        padded = lambda w, at, n, k, fill: np.where(k < n[rows][:, None], w[np.minimum(at[rows][:, None] + k, max(len(w) - 1, 0))] if len(w) else fill, fill)
+        pred, gold = padded(w_p, at_p, n_p, cols, -1), padded(w_g, at_g, n_g, steps, -2)
+        row = np.zeros((len(rows), wide + 1), dtype=np.int32)
+        for t in range(deep):
+            row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (pred == gold[:, t : t + 1])), axis=1)
+        out[rows] = row[:, -1]
+        i = j
+    return out
+
+
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    """id, r, p, f by longest common subsequence of case-folded tokens of whole texts; a row of the table of lengths is one array step inside the tasks."""
+    """id, r, p, f by longest common subsequence of case-folded tokens of whole texts, whole batches of pairs at a time inside the tasks."""
 
     def lengths(batches):
         for b in batches:
-            out = []
-            for g, p in zip(b["g"], b["p"], strict=True):
-                ids = {w: i for i, w in enumerate({*g, *p})}
-                p = np.array([ids[w] for w in p], dtype=np.int64)
-                row = np.zeros(len(p) + 1, dtype=np.int64)
-                for w in g:
-                    row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (p == ids[w])))
-                out.append(int(row[-1]))
-            yield b[["id"]].assign(lcs=np.array(out, dtype=np.int64), ng=b["g"].map(len).astype("int64"), np=b["p"].map(len).astype("int64"))
-
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+            g, p = b.column("g"), b.column("p")
+            n = [pa.array(np.diff(x.offsets.to_numpy()).astype(np.int64)) for x in (g, p)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lcs_lengths(g, p)), *n], ["id", "lcs", "ng", "np"])
+
+    words = lambda c: F.coalesce(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""), F.array().cast("array<string>"))
     kind = pairs.schema["id"].dataType.simpleString()
-    d = pairs.select("id", words("gold").alias("g"), words("pred").alias("p")).mapInPandas(lengths, f"id {kind}, lcs long, ng long, np long")
+    d = pairs.select("id", words("gold").alias("g"), words("pred").alias("p")).mapInArrow(lengths, f"id {kind}, lcs long, ng long, np long")
     r, p = F.col("lcs") / F.greatest(F.col("ng"), F.lit(1)), F.col("lcs") / F.greatest(F.col("np"), F.lit(1))
     return d.select("id", r.alias("r"), p.alias("p"), F.when(F.col("lcs") > 0, 2 * r * p / (r + p)).otherwise(F.lit(0.0)).alias("f"))
