@@ -267,20 +267,50 @@ def triples_around(anchors: DataFrame, rels: list[str], nodes: DataFrame, edges:
     return top_k(t, ["query_id"], ["hop", "src", "rel", "dst"], most)
 
 
-def hub_fallback(anchors: DataFrame, labels: list[str], nodes: DataFrame, edges: DataFrame, most: int = 30) -> DataFrame:
-    """query_id, label, name: neighbours of the anchor, over any relation, that bear one of the labels; at most `most` per label."""
-    f = hop(start(anchor_nodes(anchors, nodes, "ci")), edges_bi(edges)).select("query_id", "at").distinct()
-    got = f.join(nodes.select(F.col("node_id").alias("at"), "name", F.explode("labels").alias("label")), "at").filter(F.col("label").isin(labels))
+def hubs_of(anchors: DataFrame, hub: str, nodes: DataFrame, edges: DataFrame, via: tuple[str, str] | None = None) -> DataFrame:
+    """query_id, node_id of nodes labelled hub: those whose name contains the anchor, or with via (relation, label) those that the relation leads from to a node of the label with the anchor's name, case-folded."""
+    of_hub = nodes.filter(F.array_contains("labels", hub))
+    if via is None:
+        return anchor_nodes(anchors, of_hub, "contains").select("query_id", "node_id").distinct()
+    rel, label = via
+    variants = anchor_nodes(anchors, nodes.filter(F.array_contains("labels", label)), "ci").select("query_id", F.col("node_id").alias("dst_id"))
+    met = variants.join(edges.filter(F.col("rel") == rel).select("src_id", "dst_id").hint("merge"), "dst_id")
+    return met.join(of_hub.select(F.col("node_id").alias("src_id")).hint("merge"), "src_id").select("query_id", F.col("src_id").alias("node_id")).distinct()
+
+
+def hub_fallback(anchors: DataFrame, labels: list[str], nodes: DataFrame, edges: DataFrame, most: int = 30, hub: str | None = None, via: tuple[str, str] | None = None) -> DataFrame:
+    """query_id, label, name: neighbours, over any relation, that bear one of the labels; at most `most` per label. Of the nodes of the anchor's name, or with hub of hubs_of."""
+    s = anchor_nodes(anchors, nodes, "ci").select("query_id", "node_id") if hub is None else hubs_of(anchors, hub, nodes, edges, via)
+    f = s.join(edges_bi(edges).filter("a_id <> b_id").select(F.col("a_id").alias("node_id"), F.col("b_id").alias("at")).hint("merge"), "node_id").select("query_id", "at").distinct()
+    got = f.join(nodes.filter("name is not null").select(F.col("node_id").alias("at"), "name", F.explode("labels").alias("label")).hint("merge"), "at").filter(F.col("label").isin(labels))
     return top_k(got.select("query_id", "label", "name").distinct(), ["query_id", "label"], ["name"], most)
 
 
+#: fixed values: types whose names are values, and collide with names of other things
+VALUE_TYPES = ["Date", "Number", "Text", "Language"]
+
+
 def terminal_type_check(answers: DataFrame, expected: DataFrame, nodes: DataFrame, sample: int = 10) -> DataFrame:
-    """answers: query_id, name; expected: query_id, label. query_id, mismatch: none of the first `sample` answers bears the expected label."""
+    """answers: query_id, name; expected: query_id, label. query_id, mismatch: none of the first `sample` answers bears the expected label, though they have labels. Value types are not checked."""
+    checked = expected.filter(~F.col("label").isin(VALUE_TYPES))
     few = top_k(answers.select("query_id", "name").distinct(), ["query_id"], ["name"], sample)
-    got = few.join(nodes.select("name", "labels"), "name").join(expected, "query_id")
+    got = few.join(nodes.select("name", "labels").hint("merge"), "name").filter("size(labels) > 0").join(checked.hint("merge"), "query_id")
     return got.groupBy("query_id").agg((~F.bool_or(F.array_contains("labels", F.col("label")))).alias("mismatch"))
 
 
+def type_checked(answers: DataFrame, expected: DataFrame, nodes: DataFrame, sample: int = 10) -> DataFrame:
+    """answers without those of queries whose type doesn't match."""
+    wrong = terminal_type_check(answers, expected, nodes, sample).filter("mismatch").select("query_id")
+    return answers.join(wrong.hint("merge"), "query_id", "left_anti")
+
+
+def folded_types(plans: DataFrame) -> DataFrame:
+    """plans: query_id, path_id, anchor_type, schema_edges (array of struct src_type, rel, tgt_type). query_id, path_id, types, rels: from the anchor's type each edge leads to its other end; to its source, if it doesn't start at the type at hand."""
+    step = "if(lower(element_at(a, -1)) = lower(e.src_type), e.tgt_type, e.src_type)"
+    types = F.expr(f"aggregate(schema_edges, array(anchor_type), (a, e) -> array_append(a, {step}))")
+    return plans.select("query_id", "path_id", types.alias("types"), F.transform("schema_edges", lambda e: e["rel"]).alias("rels"))
+
+
 def orient(paths: DataFrame, anchor_labels: DataFrame) -> DataFrame:
     """Reverse paths of which only the last type is a label of the anchor. anchor_labels: query_id, labels."""
     p = paths.join(anchor_labels, "query_id")

@@ -95,6 +95,15 @@ def typed_path_bound(spark, d):
     return traverse.bound_paths(anchors(table(spark, d, "part"), "p_name"), paths(spark, "nations_of_part_buyers"), nodes(spark, d, kind=True), edges(spark, d))
 
 
+@query(GRAPH_SQL + "SELECT * FROM " + path_sql("part", "p_name", "nations_of_part_buyers", traverse.BOUND_APART, match="exact"))
+def typed_path_folded(spark, d):
+    """As typed_path_bound, for schema edges of which some are written against the way."""
+    a = anchors(table(spark, d, "part"), "p_name")
+    edge = lambda s, r, t: F.struct(F.lit(s).alias("src_type"), F.lit(r).alias("rel"), F.lit(t).alias("tgt_type"))
+    plans = a.select("query_id", F.lit("nations_of_part_buyers").alias("path_id"), F.lit("Part").alias("anchor_type"), F.array(edge("Order", "CONTAINS", "PART"), edge("order", "PLACED_BY", "Customer"), edge("Customer", "LIVES_IN", "Nation")).alias("schema_edges"))
+    return traverse.bound_paths(a.drop("plan"), traverse.folded_types(plans), nodes(spark, d, kind=True), edges(spark, d))
+
+
 @query(GRAPH_SQL + f"SELECT * FROM (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region', None, match='exact', directed=True, unique=False)} UNION ALL SELECT * FROM {path_sql('customer', 'c_name', 'regions_of_customer', None, match='exact', directed=True, unique=False)}) QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 50")
 def typed_path_directed(spark, d):
     a = anchors(table(spark, d, "region"), "r_name").unionByName(anchors(table(spark, d, "customer"), "c_name"))
@@ -294,11 +303,38 @@ def hub_fallback(spark, d):
     return traverse.hub_fallback(anchors(table(spark, d, "nation"), "n_name"), ["Customer", "Region"], nodes(spark, d), edges(spark, d))
 
 
-@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')}), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 10) SELECT query_id, NOT bool_or(list_contains(n.labels, 'Supplier')) AS mismatch FROM f JOIN nodes n ON n.name = f.name GROUP BY query_id")
-def terminal_type_check(spark, d):
+@query(GRAPH_SQL + ", q AS (SELECT DISTINCT substr(lower(n_name), 2) AS anchor FROM nation), f AS (SELECT DISTINCT q.anchor AS query_id, l.label, t.name FROM q JOIN nodes h ON list_contains(h.labels, 'Nation') AND contains(lower(h.name), q.anchor) JOIN bi ON bi.a_id = h.node_id JOIN (SELECT node_id, name, unnest(labels) AS label FROM nodes) t ON t.node_id = bi.b_id JOIN (VALUES ('Customer'), ('Region')) l(label) ON l.label = t.label) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY name) <= 30")
+def hub_fallback_by_name(spark, d):
+    """Nations that contain the ends of nations' names, and what they link to."""
+    n = table(spark, d, "nation").select(F.lower(F.expr("substring(n_name, 2)")).alias("a"))
+    return traverse.hub_fallback(anchors(n, "a"), ["Customer", "Region"], nodes(spark, d), edges(spark, d), hub="Nation")
+
+
+@query(GRAPH_SQL + ", f AS (SELECT DISTINCT q.anchor AS query_id, 'Customer' AS label, c.name FROM (SELECT DISTINCT upper(p_name) AS anchor FROM part) q JOIN nodes p ON list_contains(p.labels, 'Part') AND lower(p.name) = lower(q.anchor) JOIN edges e ON e.dst_id = p.node_id AND e.rel = 'CONTAINS' JOIN bi ON bi.a_id = e.src_id JOIN nodes c ON c.node_id = bi.b_id AND list_contains(c.labels, 'Customer')) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 30")
+def hub_fallback_via_variant(spark, d):
+    """Orders that contain a part of the name, and whose they are."""
+    a = anchors(table(spark, d, "part").select(F.upper("p_name").alias("a")), "a")
+    return traverse.hub_fallback(a, ["Customer"], nodes(spark, d), edges(spark, d), hub="Order", via=("CONTAINS", "Part"))
+
+
+TYPE_CHECK_SQL = GRAPH_SQL + f", a AS MATERIALIZED (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')}), x AS (SELECT r_name AS query_id, CASE r_regionkey % 3 WHEN 0 THEN 'Supplier' WHEN 1 THEN 'Customer' ELSE 'Date' END AS label FROM region), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 10), m AS MATERIALIZED (SELECT x.query_id, NOT bool_or(list_contains(n.labels, x.label)) AS mismatch FROM f JOIN nodes n ON n.name = f.name JOIN x ON x.query_id = f.query_id WHERE x.label <> 'Date' GROUP BY x.query_id) "
+
+
+def type_checks(spark, d):
     got = traverse.typed_paths(anchors(table(spark, d, "region"), "r_name"), paths(spark, "customers_of_region"), nodes(spark, d), edges(spark, d))
-    want = table(spark, d, "region").select(F.col("r_name").alias("query_id"), F.lit("Supplier").alias("label"))
-    return traverse.terminal_type_check(got, want, nodes(spark, d))
+    k = F.col("r_regionkey") % 3
+    return got, table(spark, d, "region").select(F.col("r_name").alias("query_id"), F.when(k == 0, "Supplier").when(k == 1, "Customer").otherwise("Date").alias("label"))
+
+
+@query(TYPE_CHECK_SQL + "SELECT * FROM m")
+def terminal_type_check(spark, d):
+    """Regions that expect suppliers, customers, or a value type, which isn't checked."""
+    return traverse.terminal_type_check(*type_checks(spark, d), nodes(spark, d))
+
+
+@query(TYPE_CHECK_SQL + "SELECT query_id, name FROM a WHERE query_id NOT IN (SELECT query_id FROM m WHERE mismatch)")
+def terminal_type_cleared(spark, d):
+    return traverse.type_checked(*type_checks(spark, d), nodes(spark, d)).select("query_id", "name")
 
 
 @query(GRAPH_SQL + "SELECT DISTINCT c.name AS query_id, 'customers_of_region' AS path_id, 'Customer|Nation|Region' AS types, 'LIVES_IN|IN_REGION' AS rels, 'out|out' AS dirs, true AS turned FROM nodes c WHERE list_contains(c.labels, 'Customer')")
