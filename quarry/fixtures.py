@@ -79,12 +79,20 @@ def derive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_LOADED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables were last written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in _SOURCES]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph as tables: loaded once a session, nodes by kind (their labels, joined by +) and edges by relation, so that scans are pruned."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph as tables: loaded once a session and state of the tables, nodes by kind (their labels, joined by +) and edges by relation, so that scans are pruned."""
+    key = (spark.sparkContext.applicationId, sf_dir, _changed(spark, sf_dir))
     if key not in _LOADED:
         n = derive_nodes(spark, sf_dir).withColumn("kind", F.array_join("labels", "+"))
         _LOADED[key] = (write_table(n, "nodes", ["kind"]), write_table(derive_edges(spark, sf_dir), "edges", ["rel"]))

@@ -90,6 +90,7 @@ def answers_from_text(responses: DataFrame, anchors: DataFrame | None = None, kn
     whole lines. anchors: query_id, anchor: never an answer.
     """
     bare = lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")
+    # fixed values: the patterns of answer groups, bullets, numbering and lead-in quotes
     groups = F.regexp_extract_all("text", F.lit(r"\{([^}]+)\}"), F.lit(1))
     braced = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), bare)))
     if anchors is not None:
@@ -108,28 +109,29 @@ def answers_from_text(responses: DataFrame, anchors: DataFrame | None = None, kn
     tiers = [out(d.filter("n_groups > 0"), "braced")]
     rest = d.filter("n_groups = 0")
     if known is not None:
-        met = rest.join(known, "query_id").filter(F.expr("contains(text, name)"))
+        met = rest.join(known.hint("merge"), "query_id").filter(F.expr("contains(text, name)"))
         if anchors is not None:
-            met = met.join(anchors.select("query_id", F.col("anchor").alias("name")), ["query_id", "name"], "left_anti")
+            met = met.join(anchors.select("query_id", F.col("anchor").alias("name")).hint("merge"), ["query_id", "name"], "left_anti")
         met = met.select("query_id", "name").distinct()
-        tiers += [met, out(rest.join(met.select("query_id").distinct(), "query_id", "left_anti"), "lines")]
+        tiers += [met, out(rest.join(met.select("query_id").distinct().hint("merge"), "query_id", "left_anti"), "lines")]
     else:
         tiers.append(out(rest, "lines"))
     got = tiers[0]
     for t in tiers[1:]:
         got = got.unionByName(t)
     got = got.distinct()
-    return got if anchors is None else got.join(anchors.select("query_id", F.col("anchor").alias("name")), ["query_id", "name"], "left_anti")
+    return got if anchors is None else got.join(anchors.select("query_id", F.col("anchor").alias("name")).hint("merge"), ["query_id", "name"], "left_anti")
 
 
 def scores_from_text(responses: DataFrame, allowed: DataFrame) -> DataFrame:
     """responses: query_id, text; allowed: query_id, name. query_id, name, score from `{name (Score: x)}` of allowed names; without any, the allowed names that the text holds, with 0."""
+    # fixed value: the pattern of a scored name
     rx = F.lit(r"\{([^(}]+?)\s*\(Score:\s*([0-9.]+)\)\}")
     z = F.arrays_zip(F.regexp_extract_all("text", rx, F.lit(1)).alias("name"), F.regexp_extract_all("text", rx, F.lit(2)).alias("score"))
     said = responses.select("query_id", F.explode(z).alias("z")).select("query_id", F.trim("z.name").alias("name"), F.expr("try_cast(z.score as double)").alias("score"))
-    said = said.join(allowed.select("query_id", "name").distinct(), ["query_id", "name"], "left_semi")
-    rest = responses.join(said.select("query_id").distinct(), "query_id", "left_anti")
-    held = rest.join(allowed, "query_id").filter(F.expr("contains(text, name)")).select("query_id", "name", F.lit(0.0).alias("score"))
+    said = said.join(allowed.select("query_id", "name").distinct().hint("merge"), ["query_id", "name"], "left_semi")
+    rest = responses.join(said.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
+    held = rest.join(allowed.hint("merge"), "query_id").filter(F.expr("contains(text, name)")).select("query_id", "name", F.lit(0.0).alias("score"))
     return said.unionByName(held.distinct())
 
 
@@ -137,7 +139,7 @@ def list_scores_from_text(responses: DataFrame, entities: DataFrame) -> DataFram
     """responses: query_id, text; entities: query_id, names (array). query_id, name, score: a list of numbers is paired with the names if there are as many; else names that the text holds score 0.5, and if there are none all score 0."""
     found = F.regexp_extract("text", r"([0-9.]+(?:\s*,\s*[0-9.]+)+)", 1)
     numbers = F.transform(F.split(found, ","), lambda x: F.trim(x).try_cast("double"))
-    d = responses.join(entities, "query_id").select("query_id", "text", "names", numbers.alias("numbers"))
+    d = responses.join(entities.hint("merge"), "query_id").select("query_id", "text", "names", numbers.alias("numbers"))
     fits = (F.size("numbers") == F.size("names")) & (F.size("names") > 1) & ~F.exists("numbers", lambda x: x.isNull())
     held = F.filter("names", lambda n: F.col("text").contains(n))
     score = F.when(fits, F.arrays_zip(F.col("names").alias("name"), F.col("numbers").alias("score"))).when(F.size(held) > 0, F.transform(held, lambda n: F.struct(n.alias("name"), F.lit(0.5).alias("score")))).otherwise(F.transform("names", lambda n: F.struct(n.alias("name"), F.lit(0.0).alias("score"))))
@@ -150,7 +152,7 @@ def relations_from_text(responses: DataFrame, vocabulary: DataFrame) -> DataFram
     inner = F.regexp_extract("text", r"\[([^\]]+)\]", 1)
     parts = F.transform(F.split("text", "[,\n]"), lambda x: F.trim(F.regexp_replace(bare(x), r"^[0-9]+[.)]\s*", "")))
     d = responses.select("query_id", F.explode(F.when(inner != "", F.transform(F.split(inner, ","), bare)).otherwise(parts)).alias("rel"))
-    return d.distinct().join(vocabulary.select("rel").distinct(), "rel", "left_semi").select("query_id", "rel")
+    return d.distinct().join(vocabulary.select("rel").distinct().hint("merge"), "rel", "left_semi").select("query_id", "rel")
 
 
 def mentioned_entities(questions: DataFrame, names: DataFrame, n: int) -> DataFrame:
@@ -189,10 +191,10 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
         g = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
         return pairs.select("id", F.explode(g).alias("g")).groupBy("id", "g").agg(F.count("*").alias(c))
 
-    both = grams("gold").join(grams("pred"), ["id", "g"], "full")
+    both = grams("gold").join(grams("pred").hint("merge"), ["id", "g"], "full")
     s = both.groupBy("id").agg(F.sum(F.least(F.coalesce("gold", F.lit(0)), F.coalesce("pred", F.lit(0)))).alias("hit"), F.sum("gold").alias("ng"), F.sum("pred").alias("np"))
     f = F.when(F.col("hit") > 0, 2 * F.col("hit") / (F.col("ng") + F.col("np"))).otherwise(F.lit(0.0))
-    return pairs.select("id").join(s.select("id", f.alias("f")), "id", "left").select("id", F.coalesce("f", F.lit(0.0)).alias("f"))
+    return pairs.select("id").join(s.select("id", f.alias("f")).hint("merge"), "id", "left").select("id", F.coalesce("f", F.lit(0.0)).alias("f"))
 
 
 def _numbered(side: pa.ListArray, other: pa.ListArray) -> tuple[np.ndarray, ...]:

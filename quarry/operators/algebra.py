@@ -62,7 +62,7 @@ def find_all(args: DataFrame) -> DataFrame:
 
 def find(args: DataFrame, kb: KB) -> DataFrame:
     named = kb.entities.unionByName(kb.concepts.select(F.col("concept_id").alias("entity_id"), "name"))
-    return _plain(args.join(named, F.col("a1") == F.col("name")))
+    return _plain(args.join(named.hint("merge"), F.col("a1") == F.col("name")))
 
 
 def concept_closure(kb: KB) -> DataFrame:
@@ -112,7 +112,7 @@ def quals(kb: KB) -> DataFrame:
 def filter_qualifier(sets: DataFrame, args: DataFrame, kb: KB, vtype: str) -> DataFrame:
     """a1 key, a2 value, a3 op: facts with such a qualifier, one row per value. Relation facts belong to the source, whose id qualifies them; both ends carry them."""
     t = args.select("program_id", F.col("a1").alias("qkey"), parse_value(F.col("a2"), vtype).alias("t"), F.coalesce("a3", F.lit("=")).alias("op"))
-    met = sets.join(t, "program_id").join(quals(kb), ["entity_id", "fact_kind", "fact_no", "qkey"])
+    met = sets.join(t, "program_id").join(quals(kb).hint("merge"), ["entity_id", "fact_kind", "fact_no", "qkey"])
     return met.filter(compare(F.col("v"), F.col("t"), F.col("op"))).select(*SET)
 
 
@@ -254,7 +254,7 @@ def query_attr_qualifier(sets: DataFrame, args: DataFrame, kb: KB) -> DataFrame:
 def query_relation_qualifier(left: DataFrame, right: DataFrame, args: DataFrame, kb: KB) -> DataFrame:
     """a1 predicate, a2 qualifier key: first such qualifier of the first forward fact."""
     a = args.select("program_id", F.col("a1").alias("predicate"), F.col("a2").alias("qkey"))
-    met = _pairs(left, right, kb).join(a, "program_id").join(kb.rels.filter("direction = 'forward'"), ["entity_id", "object", "predicate"]).join(kb.rel_quals, ["entity_id", "fact_no", "qkey"])
+    met = _pairs(left, right, kb).join(a, "program_id").join(kb.rels.filter("direction = 'forward'"), ["entity_id", "object", "predicate"]).join(kb.rel_quals.hint("merge"), ["entity_id", "fact_no", "qkey"])
     return met.groupBy("program_id").agg(F.min_by("v", F.struct("fact_no", "q_no")).alias("v"))
 
 
@@ -284,7 +284,7 @@ def infer_deps(programs: DataFrame) -> DataFrame:
                           else slice(a.stack, greatest(size(a.stack), 1), 1) end)), a -> a.deps)"""
     )
     d = steps.select("program_id", F.explode(F.arrays_zip("steps", folded.alias("deps"))).alias("z")).select("program_id", F.col("z.steps.step_no").alias("step_no"), F.col("z.deps").alias("deps"))
-    return programs.drop("deps").join(d, ["program_id", "step_no"])
+    return programs.drop("deps").join(d.hint("merge"), ["program_id", "step_no"])
 
 
 def shared_steps(programs: DataFrame) -> DataFrame:

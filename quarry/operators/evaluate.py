@@ -18,6 +18,7 @@ ALIASES = {
     "absent_gene": "expression_absent",
     "absent gene": "expression_absent",
 }
+#: fixed values: outcome categories
 CATEGORIES = ["success", "error", "path_mismatch", "no_match", "partial_match", "over_prediction"]
 
 
@@ -74,7 +75,7 @@ def failure_summary(evals: DataFrame, by: list[str]) -> DataFrame:
     n = c.unionByName(wrong.withColumn("category", F.lit("path_mismatch"))).groupBy(*by, "category").agg(F.count("*").alias("n"))
     total = evals.groupBy(*by).agg(F.count("*").alias("total"))
     every = total.select(*by, "total", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
-    d = every.join(n, [*by, "category"], "left")
+    d = every.join(n.hint("merge"), [*by, "category"], "left")
     return d.select(*by, "category", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total") * 100).alias("rate"))
 
 

@@ -21,6 +21,9 @@ from .names import containing
 TEMPLATE_APART = {1: [(0, 1)], 2: [(0, 1), (1, 2), (0, 2)], 3: [(0, 1), (1, 2), (2, 3), (0, 3)]}
 BOUND_APART = {1: [(0, 1)], 2: [(0, 1), (1, 2), (0, 2)], 3: [(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)]}
 
+#: shared paths that are broadcast
+MOST_SHARED = 10_000
+
 
 def anchor_nodes(anchors: DataFrame, nodes: DataFrame, match: str = "ci") -> DataFrame:
     """anchors with node_id of every node of that name. match: exact, ci (case-folded), contains (case-folded substring)."""
@@ -39,7 +42,10 @@ def listed_anchors(anchors: DataFrame) -> DataFrame:
 
 def planned(anchors: DataFrame, paths: DataFrame) -> DataFrame:
     """Anchors with their paths: by query_id, by plan (many queries sharing a set of paths), or both."""
-    return anchors.join(paths, [c for c in ("query_id", "plan") if c in paths.columns and c in anchors.columns])
+    by = [c for c in ("query_id", "plan") if c in paths.columns and c in anchors.columns]
+    # a set of paths that queries share goes to all tasks while it is small; paths of queries meet them by key
+    few = "query_id" not in by and paths.limit(MOST_SHARED + 1).count() <= MOST_SHARED
+    return anchors.join(F.broadcast(paths) if few else paths.hint("merge"), by)
 
 
 def plan_words(paths: DataFrame, most: int = 1000) -> tuple[list[int] | None, list[str] | None, list[str] | None]:

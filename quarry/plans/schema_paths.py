@@ -125,7 +125,7 @@ def plan_score(plans: DataFrame, schema: DataFrame, plain: bool = False) -> Data
     g = h.groupBy("plan_id").agg(F.avg(pair).alias("valid"), F.coalesce(F.avg("threaded"), F.lit(1.0)).alias("threaded"), F.max_by(F.struct("tgt"), "pos").alias("last"), F.max("answer_type").alias("answer_type"), F.max("in_schema").alias("in_schema"))
     off = F.col("in_schema") & (F.col("last.tgt") != "") & (F.col("last.tgt") != F.col("answer_type"))
     score = F.col("valid") if plain else 0.5 * F.col("valid") + 0.3 * F.col("threaded") + 0.2 * F.when(off, 0.5).otherwise(1.0)
-    return plans.select("plan_id").join(g.select("plan_id", score.alias("score")), "plan_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return plans.select("plan_id").join(g.select("plan_id", score.alias("score")).hint("merge"), "plan_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def transition_map(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -283,6 +283,7 @@ def path_phrases(spark, d):
 
 
 #: the stop words again, so that the SQL stands for itself
+#: fixed values: the stop words of functions/text.py as one text, for the SQL
 STOP = "a an and are as at be by do does for from has have how i in is it its many of on or that the this to was were what when where which who whom whose why will with you your"
 TOKENS = f"list_distinct([lower(x) FOR x IN regexp_extract_all({{t}}, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*') IF length(x) > 1 AND NOT list_contains(string_split('{STOP}', ' '), lower(x))])"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 EXAMPLE = "struct<question:string,operations:array<struct<src_type:string,tgt_type:string,relation:string,anchor_name:string>>,final_operation:string,entity_name:string,entity_type:string,target_type:string,hop_count:int,operation_type:string,notes:string>"
 
 
@@ -60,9 +62,19 @@ def join_gold_by_original_index(samples: DataFrame, gold: DataFrame) -> DataFram
 
 
 def slice_dataset(rows: DataFrame, order: list[str], start: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows from `start` on in the given order, at most `limit`."""
-    out = rows.orderBy(*order).offset(start)
-    return out if limit is None else out.limit(limit)
+    """Rows from `start` on in the given order, at most `limit`.
+
+    A range sort numbers the rows of its partitions; where the partitions begin tells which rows to keep, so none is gathered for the rest.
+    """
+    at = F.monotonically_increasing_id()
+    placed = write_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "placed")
+    before, keep = 0, F.lit(False)
+    for r in sorted(placed.groupBy("part").count().collect()):  # a row a partition
+        first, last = start - before, (start + limit - before) if limit is not None else r["count"]
+        if first < r["count"] and last > 0:
+            keep = keep | ((F.col("part") == r["part"]) & (F.col("at") >= first) & (F.col("at") < last))
+        before += r["count"]
+    return placed.filter(keep).select("row.*").orderBy(*order)
 
 
 def sample_dataset(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
