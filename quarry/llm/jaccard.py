@@ -396,7 +396,8 @@ def blocks_to_compare(hot: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= BANDS_APART) & enough(b))
     d = d.withColumns({"odd_blocks": F.col("mine.odd_blocks"), "blocks": F.col("mine.blocks"), "near": near}).drop("bands", "mine")
     member = F.struct("node", "n", "own", "most", "sketch")
-    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    # members of the main component may be asked too before they are filtered out, and have no odd block
+    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
 
     def partners(g: DataFrame, count: str, block: str, band: str) -> DataFrame:
         g = g.select("*", F.explode("near").alias("x")).filter(F.col(f"x.{count}") > 0)
