@@ -95,10 +95,11 @@ def repeat_stats(spark, d):
     return E.repeat_stats(runs.drop("least"), ["dataset"], ["recall", "precision"])
 
 
-@query(OUT_SQL + ", a AS (SELECT pipeline, dataset, avg(recall) * 100 AS recall FROM evals GROUP BY ALL) SELECT pipeline, " + ", ".join(f"round(max(recall) FILTER (dataset = '{x}'), 6) AS {x.lower().replace(' ', '_')}" for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + ", round(avg(recall), 6) AS average FROM a GROUP BY pipeline")
+@query(OUT_SQL + ", a AS (SELECT pipeline, dataset, avg(recall) * 100 AS recall FROM (SELECT * REPLACE ('late' AS pipeline) FROM evals WHERE idx % 3 = 0 UNION ALL SELECT * FROM evals) GROUP BY ALL) SELECT pipeline, " + ", ".join(f"round(max(recall) FILTER (dataset = '{x}'), 6) AS {x.lower().replace(' ', '_')}" for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + ", round(avg(recall), 6) AS average FROM a GROUP BY pipeline")
 def comparison_table(spark, d):
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    m = E.aggregate_metrics(evals(spark, d), ["pipeline", "dataset"])
+    e = evals(spark, d)
+    m = E.aggregate_metrics(e.unionByName(e.filter("idx % 3 = 0").withColumn("pipeline", F.lit("late"))), ["pipeline", "dataset"])
     t = E.comparison_table(m, names, "recall")
     return t.select("pipeline", *[F.round(F.col(f"`{n}`"), 6).alias(n.lower().replace(" ", "_")) for n in names], F.round("average", 6).alias("average"))
 
@@ -115,10 +116,11 @@ def splice_reruns(spark, d):
     return E.splice_reruns(o, again).select("idx", F.round("latency_ms", 6).alias("latency_ms"), "error")
 
 
-@query(OUT_SQL + "SELECT idx, CASE WHEN latency_ms > 150 THEN 'timeout' ELSE error END AS error, least(latency_ms, 150.0) AS latency_ms, len(gold) AS n_gold, CASE WHEN latency_ms > 150 THEN 0 ELSE len(pred) END AS n_pred FROM outputs")
+@query(OUT_SQL + "SELECT idx, CASE WHEN latency_ms > 150 OR idx % 7 = 2 THEN 'timeout' ELSE error END AS error, CASE WHEN idx % 7 = 2 THEN 150.0 ELSE least(latency_ms, 150.0) END AS latency_ms, len(gold) AS n_gold, CASE WHEN latency_ms > 150 OR idx % 7 = 2 THEN 0 ELSE len(pred) END AS n_pred FROM outputs")
 def timeout_rows(spark, d):
+    """Some rows are late, some never came back."""
     o = outputs(spark, d)
-    got = E.timeout_rows(o.select("idx", "gold_answers"), o.drop("gold_answers", "dataset", "pipeline"), 150.0)
+    got = E.timeout_rows(o.select("idx", "gold_answers"), o.filter("idx % 7 <> 2").drop("gold_answers", "dataset", "pipeline"), 150.0)
     return got.select("idx", "error", "latency_ms", F.size("gold_answers").cast("long").alias("n_gold"), F.size("predicted_entities").cast("long").alias("n_pred"))
 
 

@@ -222,9 +222,12 @@ def combine_intersection(spark, d):
     return setops.combine_intersection(brand_answers(spark, d), brand_pairs(spark, d))
 
 
-@query(GRAPH_SQL + BRAND_PAIRS_SQL + "SELECT query_id, name FROM ba WHERE anchor_no = 1 EXCEPT SELECT query_id, name FROM ba WHERE anchor_no = 2")
+@query("SELECT DISTINCT o_orderpriority AS query_id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' EXCEPT SELECT o_orderpriority, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F'")
 def combine_exclude(spark, d):
-    return setops.combine_exclude(brand_answers(spark, d))
+    """For each priority, who has filled orders, without those who have orders of another status."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    no = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return setops.combine_exclude(o.select(F.col("o_orderpriority").alias("query_id"), no.alias("anchor_no"), F.lit("orders").alias("path_id"), F.col("c_name").alias("name")))
 
 
 @query(GRAPH_SQL + BRAND_PAIRS_SQL + "SELECT query_id, name FROM (SELECT query_id, name FROM (SELECT ba.*, (SELECT count(DISTINCT anchor_no) FROM ba b WHERE b.query_id = ba.query_id) AS n FROM ba) GROUP BY query_id, name HAVING count(DISTINCT anchor_no) = max(n)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 50")
@@ -259,11 +262,12 @@ def resolve_cvt_answers(spark, d):
     return traverse.resolve_hubs(got, nodes(spark, d), edges(spark, d))
 
 
-@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')} UNION ALL SELECT * FROM {path_sql('region', 'r_name', 'suppliers_of_region')}) SELECT query_id, path_id, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 5) GROUP BY ALL")
+@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')} UNION ALL SELECT * FROM {path_sql('region', 'r_name', 'suppliers_of_region')}) SELECT query_id, path_id, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id, path_id ORDER BY name) <= 5) GROUP BY ALL UNION ALL SELECT r_name, 'brand_mates', '' FROM region")
 def trial_paths(spark, d):
+    """Empty paths are kept."""
     a, p = anchors(table(spark, d, "region"), "r_name"), paths(spark, "customers_of_region", "suppliers_of_region", "brand_mates")
     got = traverse.typed_paths(a, p, nodes(spark, d), edges(spark, d))
-    return traverse.trial(got, a.join(p, "plan")).select("query_id", "path_id", join_list("names").alias("names"))
+    return traverse.trial(got, a.join(p, "plan"), keep_empty=True).select("query_id", "path_id", join_list("names").alias("names"))
 
 
 @query(GRAPH_SQL + "SELECT query_id, rel, replace(rel, '_', ' ') AS phrase FROM (SELECT DISTINCT c.name || '>' || n.name AS query_id, x.rel FROM nodes c JOIN bi x ON x.a_id = c.node_id JOIN nodes n ON n.node_id = x.b_id WHERE list_contains(c.labels, 'Party') AND list_contains(n.labels, 'Nation')) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel) <= 5")
@@ -278,11 +282,12 @@ def entities_via_relation(spark, d):
     return traverse.entities_via(anchors(table(spark, d, "supplier"), "s_name"), "SUPPLIES", nodes(spark, d), edges(spark, d))
 
 
-@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')}) SELECT query_id, path_id, name, 2 AS tier FROM a")
+@query(GRAPH_SQL + f", a AS (SELECT * FROM {path_sql('region', 'r_name', 'customers_of_region')}) SELECT query_id, path_id, name, CASE WHEN r_regionkey % 2 = 0 THEN 2 ELSE 1 END AS tier FROM a JOIN region ON r_name = query_id")
 def first_nonempty_path(spark, d):
-    """The chosen path gives nothing for a region, the spare one does."""
+    """For half of the regions the chosen path gives nothing and the spare one does; for the others the chosen one does."""
     a, p = anchors(table(spark, d, "region"), "r_name"), paths(spark, "brand_mates", "customers_of_region")
-    ranks = a.join(p, "plan").select("query_id", "path_id", (F.col("path_id") == "brand_mates").alias("chosen"), F.lit(1).alias("rank"))
+    even = table(spark, d, "region").select(F.col("r_name").alias("query_id"), (F.col("r_regionkey") % 2 == 0).alias("even"))
+    ranks = a.join(p, "plan").join(even, "query_id").select("query_id", "path_id", ((F.col("path_id") == "brand_mates") == F.col("even")).alias("chosen"), F.lit(1).alias("rank"))
     return traverse.first_nonempty(traverse.typed_paths(a, p, nodes(spark, d), edges(spark, d)), ranks)
 
 
@@ -337,10 +342,11 @@ def terminal_type_cleared(spark, d):
     return traverse.type_checked(*type_checks(spark, d), nodes(spark, d)).select("query_id", "name")
 
 
-@query(GRAPH_SQL + "SELECT DISTINCT c.name AS query_id, 'customers_of_region' AS path_id, 'Customer|Nation|Region' AS types, 'LIVES_IN|IN_REGION' AS rels, 'out|out' AS dirs, true AS turned FROM nodes c WHERE list_contains(c.labels, 'Customer')")
+@query(GRAPH_SQL + "SELECT DISTINCT c.name AS query_id, x.* FROM nodes c, (VALUES ('customers_of_region', 'Customer|Nation|Region', 'LIVES_IN|IN_REGION', 'out|out', true), ('regions_of_customer', 'Customer|Nation|Region', 'LIVES_IN|IN_REGION', 'out|out', false), ('suppliers_of_region', 'Region|Nation|Supplier', 'IN_REGION|BASED_IN', 'in|in', false)) x(path_id, types, rels, dirs, turned) WHERE list_contains(c.labels, 'Customer')")
 def orient_path(spark, d):
+    """A path that ends at the anchor's type, one that starts there, and one that does neither."""
     a = anchors(table(spark, d, "customer"), "c_name")
-    p = a.join(paths(spark, "customers_of_region"), "plan").drop("plan", "anchor")
+    p = a.join(paths(spark, "customers_of_region", "regions_of_customer", "suppliers_of_region"), "plan").drop("plan", "anchor")
     got = traverse.orient(p, lookup.node_labels_ci(a, nodes(spark, d)))
     return got.select("query_id", "path_id", *[F.array_join(c, "|").alias(c) for c in ("types", "rels", "dirs")], "turned")
 
@@ -394,9 +400,12 @@ def all_entity_names(spark, d):
     return lookup.all_entity_names(nodes(spark, d))
 
 
-@query(GRAPH_SQL + "SELECT q.anchor AS query_id, arg_min(n.node_id, n.node_id) AS node_id, arg_min(n.name, n.node_id) AS name, 2 AS tier FROM (SELECT DISTINCT p_brand || ' ' || p_name AS anchor FROM part) q JOIN nodes n ON lower(n.name_en) = lower(q.anchor) GROUP BY 1")
+@query(GRAPH_SQL + "SELECT q.anchor AS query_id, arg_min(n.node_id, n.node_id) AS node_id, arg_min(n.name, n.node_id) AS name, 2 AS tier FROM (SELECT DISTINCT upper(p_brand || ' ' || p_name) AS anchor FROM part) q JOIN nodes n ON lower(n.name_en) = lower(q.anchor) GROUP BY 1 UNION ALL SELECT name, min(node_id), name, 1 FROM nodes WHERE name IN (SELECT p_name FROM part UNION SELECT c_name FROM customer) GROUP BY name")
 def resolve_entity_exact_then_en(spark, d):
-    a = anchors(table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("a")), "a")
+    """Names as they are, and second names of parts in capitals."""
+    part = table(spark, d, "part")
+    a = part.select(F.upper(F.concat_ws(" ", "p_brand", "p_name")).alias("a")).unionByName(part.select(F.col("p_name").alias("a"))).unionByName(table(spark, d, "customer").select(F.col("c_name").alias("a")))
+    a = anchors(a, "a")
     return lookup.resolve_exact_then_en(a, nodes(spark, d))
 
 
