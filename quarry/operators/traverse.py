@@ -57,6 +57,12 @@ def plan_words(paths: DataFrame, most: int = 1000) -> tuple[list[int] | None, li
     return sorted({len(r["rels"]) for r in got}), words("rels"), words("types")
 
 
+def repeats_relation(paths: DataFrame, most_hops: int) -> bool:
+    """Whether a path of up to most_hops hops has a relation twice."""
+    rels = F.slice("rels", 1, most_hops)
+    return not paths.filter(F.size(F.array_distinct(rels)) < F.size(rels)).isEmpty()
+
+
 def of_types(nodes: DataFrame, types: list[str] | None) -> DataFrame:
     """Nodes that bear one of the types; by kind, where nodes are stored by it."""
     if not types:
@@ -84,6 +90,8 @@ def follow(
     lengths, rels, types = plan_words(paths)
     lengths = [n for n in (lengths if lengths is not None else range(1, most_hops + 1)) if 0 < n <= most_hops]
     links = edges_bi(edges.filter(F.col("rel").isin(rels)) if rels else edges)
+    # an edge has one relation: it can only be met again by paths that repeat one, and edge ids are read for these alone
+    unique_edges = unique_edges and repeats_relation(paths, most_hops)
     nodes = of_types(nodes, types if labels else None)
     f = start(planned(anchor_nodes(anchors, nodes, match), paths))
     f = f.filter(F.size("rels") <= most_hops)

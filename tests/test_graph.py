@@ -98,3 +98,26 @@ def test_metrics_bounds(spark):
     d = spark.createDataFrame([(["a", "B"], ["A"], None), ([], ["A"], None), (["a"], [], None), (["a"], ["A", "a"], None), (["a"], ["a"], "boom")], kind)
     got = [(r.accuracy, r.recall, r.precision, round(r.f1, 3)) for r in evaluate.set_metrics(d).collect()]
     assert got == [(False, 0.5, 1.0, 0.667), (False, 0.0, 0.0, 0.0), (False, 0.0, 0.0, 0.0), (True, 1.0, 1.0, 1.0), (False, 0.0, 0.0, 0.0)]
+
+
+def test_edge_ids_are_read_for_paths_that_repeat_a_relation_only(spark, graph, tmp_path):
+    n, e = graph
+    e.write.parquet(str(tmp_path / "edges"))
+    e = spark.read.parquet(str(tmp_path / "edges"))
+    a = anchors(spark, "Ann")
+    one, two = paths(spark, ("p", ["P", "P", "C"], ["knows", "lives"], ["out", "out"])), paths(spark, ("p", ["P", "P", "P"], ["knows", "knows"], ["out", "out"]))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = traverse.typed_paths(a, one, n, e)
+    assert "_e#" not in plan(got) and [r.name for r in got.collect()] == ["City"]
+    # parallel edges lead there and back, though no edge twice; the ends must differ
+    assert "_e#" in plan(traverse.typed_paths(a, two, n, e))
+    assert traverse.follow(a, two, n, e, inequalities=None).filter("eids[0] = eids[1]").count() == 0
+
+
+def test_few_anchors_of_a_local_schema_shuffle_no_edges(spark, graph, monkeypatch):
+    n, e = graph
+    plans, write = [], lookup.write_table
+    monkeypatch.setattr(lookup, "write_table", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or write(df, name))
+    got = {(r.src, r.rel, r.tgt, r.is_1hop): r.freq for r in lookup.local_schema_edges(anchors(spark, "City"), n, e).collect()}
+    assert got[("P", "lives", "C", True)] == 2 and got[("CVT", "of", "C", True)] == 1 and got[("P", "has", "CVT", False)] == 1
+    assert "BroadcastHashJoin" in dict(plans)["first_hop"]
