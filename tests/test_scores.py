@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import rouge_l
 from quarry.operators import benchmark, traverse, vectors
+from quarry.queries import search
 from quarry.sources import qa
 
 
@@ -95,6 +96,29 @@ def test_mmr_equals_plain_python(cloud):
     assert len({(r.query_id, r.name) for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_hints_and_cosines_equal_the_join_of_all_pairs(spark, cloud, block):
+    """Ties, a name that is the hint, vectors missing, empty or of another length."""
+    _, v, q = cloud
+    v = v.unionByName(spark.createDataFrame([("none", None), ("empty", []), ("short", [1.0])], v.schema))
+    q = q.withColumn("hint", F.when(F.col("query_id") < "v0004", F.upper("query_id")).otherwise("x")).unionByName(spark.createDataFrame([("blind", None, "x")], "query_id string, qvec array<float>, hint string"))
+    options = q.crossJoin(v).select("query_id", F.col("name").alias("rel"), "hint", F.col("vec").alias("rvec"), F.col("qvec").alias("hvec"))
+    seen = lambda d: sorted((r.query_id, r.rel, r.score is None or round(r.score, 9)) for r in d.collect())
+    assert seen(vectors.prune_by_hints(q, v, 5, block)) == seen(vectors.prune_by_hint(options, 5))
+    every = {(r.query_id, r.name): r.cos for r in vectors.every_cosine(q, v, block).collect()}
+    assert len(every) == q.count() * v.count()
+    for r in options.select("query_id", "rel", vectors.cosine(F.col("rvec"), F.col("hvec")).alias("c")).collect():
+        have = every[r.query_id, r.rel]
+        assert (have is None) == (r.c is None) and (have is None or abs(have - r.c) < 1e-9)
+
+
+def test_similar_text_pairs_takes_every_query_vector_with_all(spark):
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    q = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    assert search.similar_text_pairs(spark, d).count() == q * n + n
+
+
 @pytest.mark.parametrize("hops", [1, 2, 3, 4])
 def test_sequences_equal_all_simple_paths(spark, hops):
     """Few paths stand for all: on dense random graphs with hubs and few nodes, where avoiding a node matters."""
