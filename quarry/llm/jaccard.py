@@ -20,8 +20,8 @@ band, and only blocks of bands that can link are compared. What decides that a p
 is near is a parity sketch of each set: its bits differ in at most as many places as the sets
 do, so a pair with more differences than 0.8 allows is out for certain; the rest are verified
 on the whole sets. In the first round over long lists each node brings forward its nearest
-NEAREST of each block, which joins up groups of near copies; the second round brings
-forward all that are still apart, so no link between components is left out.
+NEAREST of each block of one list, the longest in which it is apart, which joins up groups of
+near copies; the second round takes all lists and brings forward all that are still apart, so no link between components is left out.
 
 Shingles and sets are held as 64-bit hashes. The table of frequent shingles (found by
 tasks that meet them twice) is bounded and just sets the order, which any order would do
@@ -373,22 +373,32 @@ def near_in_blocks(hot: DataFrame, labels: DataFrame, nearest: int) -> DataFrame
     BLOCK_BYTES by size band and hash; each pair of blocks of bands that can link is one row,
     and these rows spread over the tasks.
     """
-    odd, others = blocks_to_compare(hot, labels)
+    odd, others = blocks_to_compare(hot.withColumn("once", F.lit(True)) if nearest else hot, labels)
     return odd.join(others.hint("merge"), ["key", "single", "ob", "obb", "xb", "xbb"]).select("odd", "others").mapInArrow(_close(nearest), "a long, b long").distinct()
 
 
 def blocks_to_compare(hot: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(odd, others): blocks by key, single, ob and obb, xb and xbb (number and band of either), a row for each partner."""
+    """(odd, others): blocks by key, single, ob and obb, xb and xbb (number and band of either), a row for each partner.
+
+    Where hot has a column once, a member is odd in one list only, the longest in which it is outside the largest component.
+    """
+    once, hot = "once" in hot.columns, hot.drop("once")
     key = ["key", "single"]
     d = hot.withColumns({"most": F.when(F.col("single"), F.col("n")).otherwise(F.col("n") - F.col("p")), "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK_BAND))).cast("int")}).drop("p")
     d = d.join(labels.select("node", F.col("label").alias("own")).hint("merge"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     d = write_table(d, "hot_members")
     parts = write_table(d.groupBy(*key, "own", "band").agg(F.sum(F.octet_length("sketch")).alias("bytes"), F.count("*").alias("c"), F.max("most").alias("most"), F.min("n").alias("n")), "hot_parts")
     whole = parts.groupBy(*key, "own").agg(F.sum("c").alias("c"))
-    main = whole.groupBy(*key).agg(F.max(F.struct("c", "own")).alias("main"), F.count("*").alias("k")).filter("k > 1").select(*key, F.col("main.own").alias("main"))
+    main = whole.groupBy(*key).agg(F.max(F.struct("c", "own")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("size")).filter("k > 1").select(*key, F.col("main.own").alias("main"), "size")
+    asking = d.select(*key, "node", "own", "band", F.octet_length("sketch").alias("asked")).join(main.hint("merge"), key).filter("own <> main")
+    if once:
+        asking = asking.groupBy("node").agg(F.max(F.struct("size", *key, "band", "asked")).alias("x")).select("node", "x.*")
+    asking = write_table(asking.select(*key, "node", "band", "asked"), "hot_asking")
+    main = main.drop("size")
     blocks = lambda size: F.ceil(size / F.lit(BLOCK_BYTES)).cast("int")
-    inside = F.col("own") == F.col("main")
-    of_band = parts.join(main.hint("merge"), key).groupBy(*key, "main", "band").agg(blocks(F.sum(F.when(~inside, F.col("bytes")).otherwise(0))).alias("odd_blocks"), blocks(F.sum("bytes")).alias("blocks"), F.max("most").alias("most"), F.min("n").alias("n"))
+    of_band = parts.join(main.hint("merge"), key).groupBy(*key, "main", "band").agg(blocks(F.sum("bytes")).alias("blocks"), F.max("most").alias("most"), F.min("n").alias("n"))
+    asked = asking.groupBy(*key, "band").agg(blocks(F.sum("asked")).alias("odd_blocks"))
+    of_band = of_band.join(asked.hint("merge"), [*key, "band"], "left").withColumn("odd_blocks", F.coalesce("odd_blocks", F.lit(0)))
     of_list = write_table(of_band.groupBy(*key, "main").agg(F.collect_list(F.struct("band", "odd_blocks", "blocks", "most", "n")).alias("bands")), "open_lists")
     d = d.join(of_list.hint("merge"), key)
     d = d.withColumn("mine", F.filter("bands", lambda b: b["band"] == F.col("band"))[0])
@@ -403,7 +413,10 @@ def blocks_to_compare(hot: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
         g = g.select("*", F.explode("near").alias("x")).filter(F.col(f"x.{count}") > 0)
         return g.select("*", F.explode(F.sequence(F.lit(0), F.col(f"x.{count}") - 1)).alias(block), F.col("x.band").alias(band)).drop("near", "x")
 
-    odd = d.filter("own <> main").groupBy(*key, at("odd_blocks").alias("ob"), F.col("band").alias("obb")).agg(F.collect_list(member).alias("odd"), F.first("near").alias("near"))
+    odd = d.filter("own <> main")
+    if once:
+        odd = odd.join(asking.select(*key, "node").hint("merge"), [*key, "node"], "left_semi")
+    odd = odd.groupBy(*key, at("odd_blocks").alias("ob"), F.col("band").alias("obb")).agg(F.collect_list(member).alias("odd"), F.first("near").alias("near"))
     others = d.groupBy(*key, at("blocks").alias("xb"), F.col("band").alias("xbb")).agg(F.collect_list(member).alias("others"), F.first("near").alias("near"))
     return partners(odd, "blocks", "xb", "xbb"), partners(others, "odd_blocks", "ob", "obb")
 

@@ -332,6 +332,25 @@ def test_jaccard_templates_with_rare_fillings(spark, monkeypatch, sizes):
     assert compared[1] <= 6 * compared[0]
 
 
+def test_jaccard_first_round_asks_in_one_list(spark):
+    """Members of many long lists bring forward their nearest of one list: pairs don't come once for each list."""
+    import numpy as np
+
+    members, lists = 60, 20
+    sketch = jaccard.sketch(np.arange(1, 50, dtype=np.uint64) << np.uint64(17))
+    rows = [(k, True, i, 49, 10, bytearray(sketch)) for k in range(lists) for i in range(members) if (i + k) % 7]
+    hot = spark.createDataFrame(rows, "key long, single boolean, node long, n long, p int, sketch binary")
+    labels = spark.createDataFrame([], "node long, label long")
+    odd, _ = jaccard.blocks_to_compare(hot.withColumn("once", F.lit(True)), labels)
+    asked = odd.select("key", "single", F.explode("odd.node").alias("node")).distinct()
+    assert asked.count() == asked.select("node").distinct().count() >= members - 1
+    every, _ = jaccard.blocks_to_compare(hot, labels)
+    assert every.select("key", "single", F.explode("odd.node").alias("node")).distinct().count() == len(rows) - lists
+    got = {(r.a, r.b) for r in jaccard.near_in_blocks(hot, labels, 0).collect()}
+    want = {(a, b) for a in range(members) for b in range(a + 1, members) if any((a + k) % 7 and (b + k) % 7 for k in range(lists))}
+    assert got == want
+
+
 def test_sketches_bound_differences():
     import numpy as np
 
