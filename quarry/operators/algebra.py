@@ -60,8 +60,11 @@ def find_all(args: DataFrame) -> DataFrame:
     return args.select("program_id", F.lit(None).cast("string").alias("entity_id"), F.lit(ALL).alias("fact_kind"), F.lit(None).cast("string").alias("fact_no"))
 
 
-def find(args: DataFrame, kb: KB) -> DataFrame:
+def find(args: DataFrame, kb: KB, first: bool = False) -> DataFrame:
+    """first: only the first entity of each name, for functions that read no other; a name may have as many as the graph."""
     named = kb.entities.unionByName(kb.concepts.select(F.col("concept_id").alias("entity_id"), "name"))
+    if first:
+        named = named.groupBy("name").agg(F.min("entity_id").alias("entity_id"))
     return _plain(args.join(named.hint("merge"), F.col("a1") == F.col("name")))
 
 

@@ -302,7 +302,7 @@ def alg_query_relation_qualifier(spark, d):
     met = kb.rels.filter("predicate = 'supplies' and direction = 'forward'").select("entity_id", "object").distinct()
     pairs = met.join(kb.entities.withColumnRenamed("name", "x"), "entity_id").join(kb.entities.select(F.col("entity_id").alias("object"), F.col("name").alias("y")), "object").select("x", "y").distinct().join(s, "x", "left_semi").join(p, "y", "left_semi")
     a = pairs.select(F.concat_ws("/", "x", "y").alias("program_id"), "x", "y")
-    left, right = (A.find(a.select("program_id", F.col(c).alias("a1")), kb) for c in "xy")
+    left, right = (A.find(a.select("program_id", F.col(c).alias("a1")), kb, first=True) for c in "xy")
     return valued(A.query_relation_qualifier(left, right, a.select("program_id", F.lit("supplies").alias("a1"), F.lit("quantity").alias("a2")), kb))
 
 

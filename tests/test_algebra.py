@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.kb import KB
+from quarry.kb import KB, load
 from quarry.model import VALUE, compare, parse_value, text_of
 from quarry.operators import algebra as A
 
@@ -123,3 +123,12 @@ def test_key_type_is_that_of_the_last_fact(spark):
 def test_closure_ends_on_cycles(kb):
     got = {(r.child, r.parent) for r in A.concept_closure(kb).collect()}
     assert ("e1", "c3") in got and ("c2", "c2") in got and len(got) == 12
+
+
+def test_find_first_reads_one_entity_of_each_name(spark):
+    """A name of many entities gives one row where only the first is read, and the same first entity."""
+    kb = load(spark, "/root/testdata/sf0.001")
+    a = kb.entities.filter("entity_id like 'P%'").select(F.col("name").alias("program_id"), F.col("name").alias("a1")).distinct()
+    one, every = A.find(a, kb, first=True), A.find(a, kb)
+    assert one.count() == a.count() < every.count()
+    assert sorted(map(tuple, A.first_of(one, kb).collect())) == sorted(map(tuple, A.first_of(every, kb).collect()))
