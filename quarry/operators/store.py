@@ -93,13 +93,14 @@ def relation_qualifier(asks: DataFrame, kb: KB) -> DataFrame:
     keys = known_keys(kb)
     d = resolve_key(resolve_key(asks, keys, "qkey"), keys, "predicate").drop("vtype")
     n = name_index(kb)
-    for x in "ab":
-        d = d.join(n.select(F.col("name").alias(f"_{x}"), F.col("id").alias(f"{x}_id")).hint("merge"), F.lower(x) == F.col(f"_{x}")).drop(f"_{x}")
     r = kb.rels.select("entity_id", "fact_no", "predicate", "object")
+    # names meet the facts, not the asks: the pairs of all entities of two names may be many more than the facts between them
+    for x, end in (("from", "entity_id"), ("to", "object")):
+        r = r.join(n.select(F.col("name").alias(x), F.col("id").alias(end)).hint("merge"), end)
     q = kb.rel_quals.select("entity_id", "fact_no", "qkey", "q_no", F.col("v").alias("qv"))
 
     def way(x: str, y: str) -> DataFrame:
-        e = d.withColumnsRenamed({f"{x}_id": "entity_id", f"{y}_id": "object"}).join(r.hint("merge"), ["entity_id", "object", "predicate"])
+        e = d.select("query_id", "predicate", "qkey", F.lower(x).alias("from"), F.lower(y).alias("to")).join(r.hint("merge"), ["from", "to", "predicate"])
         return e.join(q.hint("merge"), ["entity_id", "fact_no", "qkey"]).select("query_id", "entity_id", "fact_no", "q_no", "qv")
 
     got = first_tier([way("a", "b"), way("b", "a")], ["query_id"])
