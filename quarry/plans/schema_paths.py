@@ -132,7 +132,12 @@ def transition_map(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """rel, src_type, targets: which types a relation leads to."""
     from ..operators.lookup import schema_edges
 
-    return schema_edges(edges, nodes).groupBy("rel", "src_type").agg(F.array_sort(F.collect_set("tgt_type")).alias("targets"))
+    return transitions_of(schema_edges(edges, nodes))
+
+
+def transitions_of(schema: DataFrame) -> DataFrame:
+    """transition_map of schema edges."""
+    return schema.groupBy("rel", "src_type").agg(F.array_sort(F.collect_set("tgt_type")).alias("targets"))
 
 
 def pair_relations(transitions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import edges, nodes, table
 from ..plans import candidates as C
 from ..plans import schema_paths as H
+from ..session import shuffle_partitions
 from . import registry
 from .graph import SCHEMA_SQL
 from .search import DIRECTED, TWO_WAY, WALKS, joined, schema
@@ -107,15 +108,20 @@ def normalise_types(spark, d):
 def filter_by_type_schema(spark, d):
     s = schema(spark, d)
     o = s.select("src_type", "rel").distinct().select("src_type", "rel", F.explode(F.array(F.lit("NATION"), F.lit("part"), F.lit("Moon"))).alias("type")).withColumn("query_id", F.concat_ws("/", "src_type", "type"))
-    return C.filter_by_type_schema(o.select("query_id", "src_type", "rel"), o.select("query_id", "type").distinct(), H.transition_map(edges(spark, d), nodes(spark, d)))
+    return C.filter_by_type_schema(o.select("query_id", "src_type", "rel"), o.select("query_id", "type").distinct(), H.transitions_of(s))
 
 
 LOCAL_SQL = SCHEMA_SQL + ", l AS MATERIALIZED (SELECT c_name AS query_id, src_type AS src, rel, tgt_type AS tgt, src_type = 'Customer' AS near, freq FROM customer, sch UNION ALL SELECT c_name, src_type, rel, tgt_type, false, freq + 1 FROM customer, sch WHERE src_type = 'Part'), k AS (SELECT query_id, src, rel, tgt, max(near::INT) AS near, max(freq) FILTER (near) AS f1, max(freq) AS freq FROM l GROUP BY ALL), p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, coalesce(f1, freq) DESC, src, rel, tgt) AS pos FROM k)\n"
 
 
+def spread(queries):
+    """queries over all tasks by query_id, before each becomes many rows: a small file is read by one task."""
+    return queries.repartition(shuffle_partitions(queries.sparkSession), "query_id")
+
+
 def local_edges(spark, d):
     """Schema edges as each customer's local schema (a stated list for every query), some twice."""
-    c, s = table(spark, d, "customer").select(F.col("c_name").alias("query_id")), schema(spark, d)
+    c, s = spread(table(spark, d, "customer").select(F.col("c_name").alias("query_id"))), schema(spark, d)
     l = c.crossJoin(F.broadcast(s.select(F.col("src_type").alias("src"), "rel", F.col("tgt_type").alias("tgt"), (F.col("src_type") == "Customer").alias("is_1hop"), "freq")))
     return l.unionByName(l.filter("src = 'Part'").withColumns({"is_1hop": F.lit(False), "freq": F.col("freq") + 1}))
 
@@ -136,7 +142,8 @@ def local_schema_by_frequency(spark, d):
 def schema_relevance_list(spark, d):
     s = schema(spark, d)
     rels = s.select("rel").distinct()
-    sc = table(spark, d, "customer").crossJoin(F.broadcast(rels)).select(F.col("c_name").alias("query_id"), "rel", ((F.char_length("rel") + F.col("c_custkey")) % 7).cast("double").alias("score"))
+    c = spread(table(spark, d, "customer").select(F.col("c_name").alias("query_id"), "c_custkey"))
+    sc = c.crossJoin(F.broadcast(rels)).select("query_id", "rel", ((F.char_length("rel") + F.col("c_custkey")) % 7).cast("double").alias("score"))
     return C.schema_relevance_list(s, sc, rels.withColumn("noun", F.translate("rel", "_", " ")), 4)
 
 
@@ -149,7 +156,8 @@ def match_schema_edges(spark, d):
     from ..operators.hops import top_k
 
     s = schema(spark, d).select("src_type", "rel", "tgt_type").distinct()
-    c = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("edge_no")).crossJoin(F.broadcast(s))
+    p = spread(table(spark, d, "part").select(F.col("p_partkey").alias("query_id")))
+    c = p.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("edge_no")).crossJoin(F.broadcast(s))
     c = c.withColumn("dist", ((F.char_length("rel") * 7 + F.char_length("src_type") + F.col("query_id") * (F.col("edge_no") + 1)) % 11) / 10)
     near = top_k(c, ["query_id", "edge_no"], ["dist", "src_type", "rel", "tgt_type"], 3)
     got = C.match_schema_edges(near, H.type_distances(schema(spark, d)), 1, 100)
