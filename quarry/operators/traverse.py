@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..fixtures import union
-from .hops import apart, edges_bi, first_tier, hop, labelled, named, start, top_k
+from .hops import apart, between, edges_bi, first_tier, hop, labelled, leaving, named, start, top_k
 from .names import containing
 
 #: fixed values: positions that must differ, by number of hops
@@ -48,13 +48,23 @@ def planned(anchors: DataFrame, paths: DataFrame) -> DataFrame:
     return anchors.join(F.broadcast(paths) if few else paths.hint("merge"), by)
 
 
-def plan_words(paths: DataFrame, most: int = 1000) -> tuple[list[int] | None, list[str] | None, list[str] | None]:
-    """(lengths, relation names, type names) of a plan table of few distinct paths; they let Spark leave out whole edge and node sources, and hops that no path has."""
+def plan_rows(paths: DataFrame, most: int = 1000) -> list | None:
+    """The distinct rels and types of a plan table, if they are few; they let Spark leave out whole edge and node sources, and hops that no path has."""
     got = paths.select("rels", "types" if "types" in paths.columns else F.lit(None).alias("types")).distinct().limit(most + 1).collect()
-    if len(got) > most:
-        return None, None, None
-    words = lambda c: sorted({w for r in got for w in r[c] or []})
-    return sorted({len(r["rels"]) for r in got}), words("rels"), words("types")
+    return got if len(got) <= most else None
+
+
+def words_at(got: list | None, column: str, i: int | None) -> list[str] | None:
+    """Words that the paths have at a place (None: the type at the path's end); None, if that isn't known."""
+    if got is None:
+        return None
+    at = lambda r: len(r["rels"]) if i is None else i
+    return sorted({r[column][at(r)] for r in got if r[column] and len(r[column]) > at(r)}) or None
+
+
+def path_ends(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of the types that the paths end at."""
+    return of_types(nodes, words_at(plan_rows(paths), "types", None))
 
 
 def repeats_relation(paths: DataFrame, most_hops: int) -> bool:
@@ -87,21 +97,23 @@ def follow(
     check: Callable | None = None,
 ) -> DataFrame:
     """Frontier rows at the ends of all paths of up to most_hops hops; longer paths give nothing."""
-    lengths, rels, types = plan_words(paths)
-    lengths = [n for n in (lengths if lengths is not None else range(1, most_hops + 1)) if 0 < n <= most_hops]
-    links = edges_bi(edges.filter(F.col("rel").isin(rels)) if rels else edges)
+    got = plan_rows(paths)
+    lengths = [n for n in (sorted({len(r["rels"]) for r in got}) if got is not None else range(1, most_hops + 1)) if 0 < n <= most_hops]
     # an edge has one relation: it can only be met again by paths that repeat one, and edge ids are read for these alone
     unique_edges = unique_edges and repeats_relation(paths, most_hops)
-    nodes = of_types(nodes, types if labels else None)
-    f = start(planned(anchor_nodes(anchors, nodes, match), paths))
+    # each step reads the relations and types alone that paths have there
+    of_step = lambda i: of_types(nodes, words_at(got, "types", i) if labels else None)
+    f = start(planned(anchor_nodes(anchors, of_step(0), match), paths))
     f = f.filter(F.size("rels") <= most_hops)
     if labels:
-        f = labelled(f, nodes, F.get("types", F.lit(0)))
+        f = labelled(f, of_step(0), F.get("types", F.lit(0)))
     done = []
     for i in range(max(lengths, default=1)):
+        rels = words_at(got, "rels", i)
+        links = edges_bi(edges.filter(F.col("rel").isin(rels)) if rels else edges)
         f = hop(f, links, F.get("rels", F.lit(i)), F.get("dirs", F.lit(i)) if directed else None, unique_edges)
         if labels:
-            f = labelled(f, nodes, F.get("types", F.lit(i + 1)))
+            f = labelled(f, of_step(i + 1), F.get("types", F.lit(i + 1)))
         if check is not None:
             f = check(f, i)
         if i + 1 in lengths or not lengths:
@@ -114,7 +126,7 @@ def follow(
 def typed_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
     """query_id, path_id, name: distinct names that the typed paths reach, in either edge direction."""
     how.setdefault("inequalities", TEMPLATE_APART)
-    ends = of_types(nodes, plan_words(paths)[2] if how.get("labels", True) else None)
+    ends = path_ends(paths, nodes) if how.get("labels", True) else nodes
     return named(follow(anchors, paths, nodes, edges, **how), ends).select("query_id", "path_id", "name").distinct()
 
 
@@ -138,12 +150,12 @@ def directed_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges
     if isinstance(anchors.schema["anchor"].dataType, ArrayType):
         anchors = listed_anchors(anchors)
     got = follow(anchors, paths, nodes, edges, match=match, directed=True, unique_edges=False)
-    return limited(named(got, nodes).select("query_id", "path_id", "name").distinct(), most)
+    return limited(named(got, path_ends(paths, nodes)).select("query_id", "path_id", "name").distinct(), most)
 
 
 def unchecked_paths(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """Undirected typed paths without node inequalities."""
-    return limited(named(follow(anchors, paths, nodes, edges, match="exact"), nodes).select("query_id", "path_id", "name").distinct(), most)
+    return limited(named(follow(anchors, paths, nodes, edges, match="exact"), path_ends(paths, nodes)).select("query_id", "path_id", "name").distinct(), most)
 
 
 def reachable(anchors: DataFrame, rels: list[str], nodes: DataFrame, edges: DataFrame, distinct: bool = True) -> DataFrame:
@@ -233,8 +245,12 @@ def bound_subgraphs(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edge
 def resolve_hubs(answers: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """answers: query_id, name. Names that start with m. give way to the named neighbours of their nodes, if any answer of the query then has a name."""
     hubs = answers.filter(F.col("name").startswith("m."))
-    near = named(hop(start(hubs.withColumnRenamed("name", "hub").join(nodes.select("node_id", F.col("name").alias("hub")), "hub")), edges_bi(edges)), nodes)
-    plain = answers.filter(~F.col("name").startswith("m.")).select("query_id", "name").unionByName(near.filter(~F.col("name").startswith("m.")).select("query_id", "name"))
+    of_hubs = nodes.filter(F.col("name").startswith("m."))
+    links = leaving(edges_bi(edges), of_hubs).select("a_id", "b_id")
+    # one step uses no edge twice, so edge ids don't matter
+    at = hubs.join(of_hubs.select("node_id", "name"), "name").select("query_id", F.col("node_id").alias("a_id"))
+    near = named(at.join(links, "a_id").select("query_id", F.col("b_id").alias("at")), nodes.filter(~F.col("name").startswith("m.")))
+    plain = answers.filter(~F.col("name").startswith("m.")).select("query_id", "name").unionByName(near.select("query_id", "name"))
     return first_tier([plain.distinct(), hubs.select("query_id", "name").distinct()], ["query_id"]).drop("tier")
 
 
@@ -247,7 +263,7 @@ def trial(answers: DataFrame, candidates: DataFrame, n: int = 5, keep_empty: boo
 
 def relation_between(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """pairs: query_id, a, b (names). rel and its readable form, either direction, at most `most` per query."""
-    links = edges_bi(edges).select("a_id", "rel", "b_id")
+    links = leaving(edges_bi(edges), pairs.select(F.col("a").alias("name")).distinct().join(nodes, "name")).select("a_id", "rel", "b_id")
     n = nodes.select("node_id", "name")
     p = pairs.join(n.select(F.col("node_id").alias("a_id"), F.col("name").alias("a")), "a").join(n.select(F.col("node_id").alias("b_id"), F.col("name").alias("b")), "b")
     got = p.join(links, ["a_id", "b_id"]).select("query_id", "rel").distinct()
@@ -295,7 +311,8 @@ def hubs_of(anchors: DataFrame, hub: str, nodes: DataFrame, edges: DataFrame, vi
 def hub_fallback(anchors: DataFrame, labels: list[str], nodes: DataFrame, edges: DataFrame, most: int = 30, hub: str | None = None, via: tuple[str, str] | None = None) -> DataFrame:
     """query_id, label, name: neighbours, over any relation, that bear one of the labels; at most `most` per label. Of the nodes of the anchor's name, or with hub of hubs_of."""
     s = anchor_nodes(anchors, nodes, "ci").select("query_id", "node_id") if hub is None else hubs_of(anchors, hub, nodes, edges, via)
-    f = s.join(edges_bi(edges).filter("a_id <> b_id").select(F.col("a_id").alias("node_id"), F.col("b_id").alias("at")).hint("merge"), "node_id").select("query_id", "at").distinct()
+    links = between(edges_bi(edges), [hub] if hub else None, labels)
+    f = s.join(links.filter("a_id <> b_id").select(F.col("a_id").alias("node_id"), F.col("b_id").alias("at")).hint("merge"), "node_id").select("query_id", "at").distinct()
     got = f.join(nodes.filter("name is not null").select(F.col("node_id").alias("at"), "name", F.explode("labels").alias("label")).hint("merge"), "at").filter(F.col("label").isin(labels))
     return top_k(got.select("query_id", "label", "name").distinct(), ["query_id", "label"], ["name"], most)
 

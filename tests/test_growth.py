@@ -1,7 +1,9 @@
 """What is read, made and dealt out of the derived graph does not grow faster than the tables."""
 
 from quarry.fixtures import edges, nodes
-from quarry.queries import candidates, search
+from quarry.operators import hops, lookup, traverse
+from quarry.queries import candidates, graph, search
+from tests.test_graph import EDGE, NODE
 
 DIR = "/root/testdata/sf0.001"
 
@@ -22,3 +24,22 @@ def test_schema_is_counted_once(spark):
 
 def test_queries_are_dealt_out_before_they_become_many_rows(spark):
     assert candidates.local_edges(spark, DIR).rdd.getNumPartitions() >= 4
+
+
+def test_links_are_left_out_by_the_kinds_of_their_ends(spark):
+    both = hops.edges_bi(edges(spark, DIR, kind=True))
+    assert sources(hops.between(both, ["Order"], ["Customer"])) == {"orders"}
+    assert sources(hops.leaving(both, nodes(spark, DIR, kind=True).filter("name = 'ASIA'"))) == {"nation"}
+
+
+def test_steps_read_the_relations_of_their_place(spark):
+    a = graph.anchors(spark.createDataFrame([("ASIA",)], "x string"), "x")
+    got = traverse.follow(a, graph.paths(spark, "customers_of_region"), nodes(spark, DIR, kind=True), edges(spark, DIR))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LIVES_IN AS rel") <= 2
+
+
+def test_collapsed_schema_takes_parallel_edges_for_two(spark):
+    n = spark.createDataFrame([("p", "p", None, ["Part"], None), ("m", "m.1", None, ["CVT"], None), ("o", "o", None, ["Order"], None)], NODE)
+    e = spark.createDataFrame([("e1", "m", "L", "p"), ("e2", "m", "L", "p"), ("e3", "o", "H", "m")], EDGE)
+    got = lookup.local_schema_edges_collapsed(spark.createDataFrame([("q", "p")], "query_id string, anchor string"), n, e)
+    assert sorted(tuple(r) for r in got.select("src", "rel", "tgt", "freq").collect()) == [("Order", "H..L", "Part", 2), ("Part", "L..L", "Part", 2)]
