@@ -11,7 +11,7 @@ from ..session import write_table
 from .hops import edges_bi, first_tier, hop, named, start, top_k
 from .lookup import find_compound, find_compound_via_hub
 from .names import containing
-from .traverse import anchor_nodes, follow, limited, relation_sequences
+from .traverse import anchor_nodes, follow, limited, plan_rows, relation_sequences, words_at
 
 #: fixed values: pattern, first labels, seed match, then relations and directions from the seed to the answer, last labels, and a property of the answer
 PATTERNS = [
@@ -60,14 +60,18 @@ def pattern_queries(asks: DataFrame, patterns: DataFrame, nodes: DataFrame, edge
 
     A null label fits all nodes; yes_prop: a property of the answer that must be YES.
     """
+    # patterns are few: what none of those that are asked for has is neither looked up nor read
+    asked = patterns.join(asks.select("pattern").distinct().hint("merge"), "pattern", "left_semi").select("match", "rels").collect()
     p = asks.select("query_id", "pattern", F.lower(F.trim("seed")).alias("seed")).join(patterns.withColumnRenamed("labels", "stops").hint("merge"), "pattern")
     n = nodes.select("node_id", "labels", F.lower("name").alias("low_name"))
     fits = lambda label: F.coalesce(F.array_contains("labels", label), F.lit(True))
     equal = p.filter("match = 'ci'").join(n, F.col("seed") == F.col("low_name"))
-    within = containing(p.filter("match <> 'ci'"), n, "seed", "low_name").select(*equal.columns)
-    f = start(equal.unionByName(within).filter(fits(F.col("seed_label"))).drop("labels", "low_name"))
-    links, done = edges_bi(edges), []
-    for i in range(patterns.select(F.max(F.size("rels"))).first()[0] or 0):
+    if any(r["match"] != "ci" for r in asked):
+        equal = equal.unionByName(containing(p.filter("match <> 'ci'"), n, "seed", "low_name").select(*equal.columns))
+    f = start(equal.filter(fits(F.col("seed_label"))).drop("labels", "low_name"))
+    done = []
+    for i in range(max([len(r["rels"]) for r in asked], default=1)):
+        links = edges_bi(edges.filter(F.col("rel").isin(sorted({r["rels"][i] for r in asked if len(r["rels"]) > i}))))
         f = hop(f, links, F.get("rels", F.lit(i)), F.get("dirs", F.lit(i))).join(nodes.select(F.col("node_id").alias("at"), "labels", "props"), "at")
         f = f.filter(fits(F.get("stops", F.lit(i))))
         done.append(f.filter((F.size("rels") == i + 1) & (F.col("yes_prop").isNull() | F.coalesce(F.element_at("props", F.col("yes_prop")) == "YES", F.lit(False)))).drop("labels", "props"))
@@ -142,11 +146,13 @@ def best_path_answers(anchors: DataFrame, ranked: DataFrame, nodes: DataFrame, e
     done = [a.filter(F.size("rels") == 0).select("query_id", F.col("anchor").alias("name"))]
     longest = _longest(first)
     if longest > 0:
-        used = first.select(F.explode("rels").alias("rel")).distinct()
-        step = edges_bi(edges.join(used.hint("merge"), "rel", "left_semi")).select("a_id", F.col("rel").alias("step_rel"), "b_id")
+        got = plan_rows(first)
         name = nodes.select(F.col("node_id").alias("b_id"), "name").filter("name <> ''")
         f = anchor_nodes(a.filter(F.size("rels") > 0), nodes, "exact").select("query_id", "anchor", "rels", F.col("node_id").alias("at")).distinct()
         for i in range(longest):
+            # relations are few, and known before edges are read: none are dealt out by relation
+            rels = words_at(got, "rels", i)
+            step = edges_bi(edges.filter(F.col("rel").isin(rels)) if rels else edges).select("a_id", F.col("rel").alias("step_rel"), "b_id")
             # how a node was reached doesn't matter: paths count as nodes
             f = f.join(step.hint("merge"), (F.col("at") == F.col("a_id")) & (F.get("rels", F.lit(i)) == F.col("step_rel"))).select("query_id", "anchor", "rels", "b_id").distinct()
             f = f.join(name.hint("merge"), "b_id").filter("name <> anchor")

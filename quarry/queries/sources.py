@@ -28,15 +28,15 @@ def read_triples_jsonl(spark, d):
     one, two = F.size("source_type") == 1, F.size("target_type") == 1
     line = F.when(one & two, forms[0]).when(one, forms[1]).when(two, forms[2]).otherwise(forms[3])
     # a blank line and a broken one here and there
-    triples(spark, d).select(F.explode(F.when(F.col("relation") == "LIVES_IN", F.array(line, F.lit(""), F.lit("{broken"))).otherwise(F.array(line))).alias("value")).write.text(at)
+    triples(spark, d).select(F.explode(F.when(F.col("relation") == "LIVES_IN", F.array(line, F.lit(""), F.lit("{broken"))).otherwise(F.array(line))).alias("value")).write.option("compression", "gzip").text(at)
     return G.read_triples_jsonl(spark, at).withColumns({c: F.array_join(c, "|") for c in ("source_type", "target_type")})
 
 
 def _graph_csv(spark, d):
     at = scratch_path(spark, "graph")
     n, e = derive_nodes(spark, d), derive_edges(spark, d)
-    n.select(F.col("node_id").alias(":ID"), F.array_join("labels", ";").alias(":LABEL"), "name", "name_en", F.col("props")["segment"].alias("segment"), F.col("props")["brand"].alias("brand")).write.option("header", True).csv(f"{at}/nodes")
-    e.select(F.col("src_id").alias(":START_ID"), F.col("dst_id").alias(":END_ID"), F.col("rel").alias(":TYPE")).write.option("header", True).csv(f"{at}/rels")
+    n.select(F.col("node_id").alias(":ID"), F.array_join("labels", ";").alias(":LABEL"), "name", "name_en", F.col("props")["segment"].alias("segment"), F.col("props")["brand"].alias("brand")).write.option("compression", "gzip").option("header", True).csv(f"{at}/nodes")
+    e.select(F.col("src_id").alias(":START_ID"), F.col("dst_id").alias(":END_ID"), F.col("rel").alias(":TYPE")).write.option("compression", "gzip").option("header", True).csv(f"{at}/rels")
     return G.read_graph_csv(spark, f"{at}/nodes", f"{at}/rels")
 
 

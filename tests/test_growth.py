@@ -1,8 +1,10 @@
 """What is read, made and dealt out of the derived graph does not grow faster than the tables."""
 
 from quarry.fixtures import edges, nodes
-from quarry.operators import hops, lookup, traverse
+from quarry.operators import explore, hops, lookup, traverse
 from quarry.queries import candidates, graph, search
+from quarry.queries import explore as explore_queries
+from quarry.queries import sources as source_queries
 from tests.test_graph import EDGE, NODE
 
 DIR = "/root/testdata/sf0.001"
@@ -43,3 +45,21 @@ def test_collapsed_schema_takes_parallel_edges_for_two(spark):
     e = spark.createDataFrame([("e1", "m", "L", "p"), ("e2", "m", "L", "p"), ("e3", "o", "H", "m")], EDGE)
     got = lookup.local_schema_edges_collapsed(spark.createDataFrame([("q", "p")], "query_id string, anchor string"), n, e)
     assert sorted(tuple(r) for r in got.select("src", "rel", "tgt", "freq").collect()) == [("Order", "H..L", "Part", 2), ("Part", "L..L", "Part", 2)]
+
+
+def test_best_paths_read_the_relations_of_the_first_paths_alone(spark):
+    n = spark.createDataFrame([("C1", "c", None, ["Customer"], None), ("N1", "n", None, ["Nation"], None)], NODE)
+    a = spark.createDataFrame([("q", "c")], "query_id string, anchor string")
+    ranked = spark.createDataFrame([("q", "x", ["LIVES_IN"], 1), ("q", "y", ["CONTAINS"], 2)], "query_id string, path_id string, rels array<string>, rank int")
+    read = sources(explore.best_path_answers(a, ranked, n, edges(spark, DIR)))
+    assert "customer" in read and not read & {"lineitem", "orders"}
+
+
+def test_patterns_that_are_not_asked_for_are_not_read(spark):
+    n = spark.createDataFrame([("C1", "c", None, ["Customer"], None), ("N1", "n", None, ["Nation"], None)], NODE)
+    asks = spark.createDataFrame([("q", "nation_of_customer", "C")], "query_id string, pattern string, seed string")
+    assert sources(explore.pattern_queries(asks, explore_queries.own_patterns(spark), n, edges(spark, DIR))) == {"customer"}
+
+
+def test_graph_files_are_compressed(spark):
+    assert all(f.endswith(".csv.gz") for f in source_queries._graph_csv(spark, DIR)[1].inputFiles())
