@@ -126,11 +126,11 @@ def path_per_source_type(paths: DataFrame, needed: DataFrame, few: int = 3) -> D
     return by_type.unionByName(plain).select("query_id", "path_id")
 
 
-def relaxed_sequences(anchors: DataFrame, types: list[str], generic: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """query_id, rels, tier: relation sequences along the types; without any, along one generic type; without any, along any."""
+def relaxed_sequences(anchors: DataFrame, types: list[str], generic: str, nodes: DataFrame, edges: DataFrame, ends: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """query_id, rels, tier: relation sequences along the types; without any, along one generic type; without any, along any. ends as in relation_sequences."""
     parts, left = [], anchors
     for no, t in enumerate((types, [generic] * len(types), None), 1):
-        got = write_table(relation_sequences(left, len(types), nodes, edges, t), "sequences")
+        got = write_table(relation_sequences(left, len(types), nodes, edges, t, ends), "sequences")
         parts.append(got.withColumn("tier", F.lit(no)))
         # the next tier is for queries that are still empty
         left = write_table(left.join(got.select("query_id").distinct().hint("merge"), "query_id", "left_anti"), "left_over")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import GRAPH_SQL, edges, nodes, table
+from ..fixtures import ENDS, GRAPH_SQL, edges, nodes, table
 from ..operators import explore as X
 from . import registry
 from .graph import anchors
@@ -98,11 +98,11 @@ def path_per_source_type(spark, d):
 def relation_sequences_relaxed(spark, d):
     """Customers have sequences along Nation and Region; suppliers none along these but for any types."""
     a = anchors(table(spark, d, "customer"), "c_name").unionByName(anchors(table(spark, d, "supplier"), "s_name"))
-    n = nodes(spark, d).withColumn("labels", F.when(F.array_contains("labels", "Region"), F.array(F.lit("Region"))).otherwise(F.col("labels")))
+    n = nodes(spark, d, kind=True).withColumn("labels", F.when(F.array_contains("labels", "Region"), F.array(F.lit("Region"))).otherwise(F.col("labels")))
     e = edges(spark, d)
     own = a.filter(F.col("query_id").startswith("Customer"))
     rest = a.join(own.select("query_id"), "query_id", "left_anti")
-    got = X.relaxed_sequences(own, ["Nation", "Region"], "Moon", n, e).unionByName(X.relaxed_sequences(rest, ["Moon", "Region"], "Star", n, e))
+    got = X.relaxed_sequences(own, ["Nation", "Region"], "Moon", n, e, ENDS).unionByName(X.relaxed_sequences(rest, ["Moon", "Region"], "Star", n, e, ENDS))
     return got.select("query_id", F.array_join("rels", "|").alias("rels"), "tier")
 
 

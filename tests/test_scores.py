@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import fixtures
 from quarry.functions.text import rouge_l
 from quarry.operators import benchmark, traverse, vectors
-from quarry.queries import search
+from quarry.queries import graph, search
 from quarry.sources import qa
 
 
@@ -144,3 +145,21 @@ def test_sequences_equal_all_simple_paths(spark, hops):
         got = [(r.query_id, tuple(r.rels)) for r in traverse.relation_sequences(a, hops, n, e, types).collect()]
         assert set(got) == want and len(got) == len(want)
     assert list(itertools.islice(want, 1))
+
+
+def test_sequences_are_the_same_where_kinds_of_ends_are_known(spark):
+    """Three hops from all customers and nations of the derived graph, in which most relations can't follow each other."""
+    d = "/root/testdata/sf0.001"
+    a = graph.anchors(spark.read.parquet(f"{d}/customer.parquet"), "c_name").unionByName(graph.anchors(spark.read.parquet(f"{d}/nation.parquet"), "n_name"))
+    n, e = fixtures.nodes(spark, d, kind=True), fixtures.edges(spark, d)
+    seen = lambda **how: sorted((r.query_id, tuple(r.rels)) for r in traverse.relation_sequences(a, 3, n, e, **how).collect())
+    got = seen(ends=fixtures.ENDS)
+    assert got and got == seen()
+    assert traverse.steps_of({"Region"}, 2, fixtures.ENDS)[1] == ({"Nation"}, ["IN_REGION"], ["BASED_IN", "LIVES_IN"])
+
+
+def test_few_paths_avoid_what_any_path_avoids(spark):
+    """A hub that all paths but one pass is avoided by the one kept for it."""
+    rows = [("g", ["hub", f"x{i}"]) for i in range(50)] + [("g", ["z", "y"])]
+    got = {tuple(r.ids) for r in traverse.few_that_avoid(spark.createDataFrame(rows, "g string, ids array<string>"), ["g"], 1).collect()}
+    assert ("z", "y") in got and len(got) <= 3
