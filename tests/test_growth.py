@@ -1,7 +1,9 @@
 """What is read, made and dealt out of the derived graph does not grow faster than the tables."""
 
+import re
+
 from quarry.fixtures import edges, nodes
-from quarry.operators import explore, hops, lookup, traverse
+from quarry.operators import explore, hops, lookup, traverse, vectors
 from quarry.queries import candidates, graph, search
 from quarry.queries import explore as explore_queries
 from quarry.queries import sources as source_queries
@@ -88,3 +90,12 @@ def test_relationship_csv_makes_rows_behind_the_last_shuffle(spark, tmp_path):
     got = []
     moved = shuffled(spark, lambda: got.append(graph_files.read_relationship_csv(spark, str(tmp_path / "rels"), n).groupBy().count().first()[0]))
     assert got == [60_000] and moved < 5_000
+
+
+def test_matcher_takes_links_of_a_hub_by_relation(spark):
+    """Links meet partial matches by name and relation, so a hub's other links don't meet them at all."""
+    n = spark.createDataFrame([("a", "a", ["X"]), ("h", "h", ["X"])], "node_id string, name string, labels array<string>")
+    e = spark.createDataFrame([("1", "a", "r", "h")], "edge_id string, src_id string, rel string, dst_id string")
+    m = vectors._Matcher(spark.createDataFrame([("q", "x", "a", 0.0)], "query_id string, var string, name string, dist double"), spark.createDataFrame([("q", 0, "x", "?")], "query_id string, edge_no int, src_var string, tgt_var string"), spark.createDataFrame([("q", 0, "r", 0.1)], "query_id string, edge_no int, rel string, dist double"), spark.createDataFrame([("q", 0, "X", 0.0, True)], "query_id string, edge_no int, label string, dist double, similar boolean"), n, e)
+    got = m._grown(m.starts, 0)
+    assert got.count() == 1 and re.search(r"SortMergeJoin \[src#\d+, rel#\d+\]", got._jdf.queryExecution().executedPlan().toString())
