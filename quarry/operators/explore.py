@@ -11,7 +11,7 @@ from ..session import write_table
 from .hops import edges_bi, first_tier, hop, named, start, top_k
 from .lookup import find_compound, find_compound_via_hub
 from .names import containing
-from .traverse import anchor_nodes, follow, limited, plan_rows, relation_sequences, words_at
+from .traverse import anchor_nodes, beginning_alike, follow, limited, links_of, plan_rows, relation_sequences, steps_of, words_at
 
 #: fixed values: pattern, first labels, seed match, then relations and directions from the seed to the answer, last labels, and a property of the answer
 PATTERNS = [
@@ -84,27 +84,39 @@ def pattern_answers(answers: DataFrame) -> DataFrame:
     return answers.filter((F.col("name") != "") & ~has_cjk(F.col("name"))).select("query_id", F.lower("name").alias("name")).distinct()
 
 
-def beam_explore(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, rel_scores: DataFrame | None = None, entity_scores: DataFrame | None = None, enough: DataFrame | None = None, depth: int = 3, width: int = 3, rels: int = 3, wide: int = 30) -> DataFrame:
+def beam_explore(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, rel_scores: DataFrame | None = None, entity_scores: DataFrame | None = None, enough: DataFrame | None = None, depth: int = 3, width: int = 3, rels: int = 3, wide: int = 30, ends: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """query_id, depth, rank, src, rel, dst, score: the best `width` steps of each depth.
 
     From each of the entities so far: its `rels` best relations, of each the `width` best of
     its first `wide` neighbours, scored half by relation and half by entity. rel_scores
     (query_id, rel, score) and entity_scores (query_id, rel, name, score) default to 1 over
     the number of relations, and 1 over that of neighbours (0 if there are more than `width`).
-    enough: query_id, depth: stop after it.
+    enough: query_id, depth: stop after it. ends (with nodes that have a kind) as in
+    relation_sequences.
+
+    What can be taken from an entity is the same for all queries: it is looked up once an
+    entity, and of each relation its first neighbours alone go to the queries.
     """
-    links = edges_bi(edges).select(F.col("a_id"), "rel", "b_id")
-    name = nodes.select("node_id", "name").filter("name <> ''")
+    known = ends is not None and "kind" in nodes.columns
+    name = nodes.select("node_id", "name", *(["kind"] if known else [])).filter("name <> ''")
     beam = anchors.select("query_id", F.col("anchor").alias("src")).distinct()
     steps = None
+    # without scores of entities all neighbours by a relation are equal, and the first by name are the best
+    most = wide if entity_scores is not None else min(width, wide)
     for no in range(1, depth + 1):
-        near = beam.join(name.select(F.col("name").alias("src"), F.col("node_id").alias("a_id")), "src").join(links, "a_id").join(name.select(F.col("node_id").alias("b_id"), F.col("name").alias("dst")), "b_id")
-        near = write_table(near.select("query_id", "src", "rel", "dst").distinct(), "near")
-        r = near.select("query_id", "src", "rel").distinct().withColumn("n", F.count("*").over(Window.partitionBy("query_id", "src")))
+        own = beam.select(F.col("src").alias("anchor")).distinct()
+        at = own.withColumnRenamed("anchor", "src").join(beginning_alike(own, name).withColumnsRenamed({"name": "src", "node_id": "a_id"}), "src")
+        links, there = edges_bi(edges), name
+        if known:
+            at = write_table(at, "beam_nodes")
+            here, after = steps_of({r["kind"] for r in at.select("kind").distinct().collect()}, 2, ends)
+            links, there, at = links_of(edges, here, ends), name.filter(F.col("kind").isin(sorted(after[0]))).drop("kind"), at.drop("kind")
+        near = at.join(links.select("a_id", "rel", "b_id"), "a_id").join(there.withColumnsRenamed({"node_id": "b_id", "name": "dst"}), "b_id").select("src", "rel", "dst").distinct()
+        near = top_k(near.withColumn("m", F.count("*").over(Window.partitionBy("src", "rel"))), ["src", "rel"], ["dst"], most)
+        near = write_table(near.groupBy("src", "rel").agg(F.max("m").alias("m"), F.collect_list("dst").alias("dsts")).withColumn("n", F.count("*").over(Window.partitionBy("src"))), "near")
+        r = beam.join(near.hint("merge"), "src")
         r = r.withColumn("rs", 1 / F.col("n")) if rel_scores is None else r.join(rel_scores.select("query_id", "rel", "score").hint("merge"), ["query_id", "rel"], "left").withColumn("rs", F.coalesce("score", 1 / F.col("n"))).drop("score")
-        r = top_k(r, ["query_id", "src"], [F.desc("rs"), "rel"], rels).select("query_id", "src", "rel", "rs")
-        few = near.join(r.hint("merge"), ["query_id", "src", "rel"]).withColumn("m", F.count("*").over(Window.partitionBy("query_id", "src", "rel")))
-        few = top_k(few, ["query_id", "src", "rel"], ["dst"], wide)
+        few = top_k(r, ["query_id", "src"], [F.desc("rs"), "rel"], rels).select("query_id", "src", "rel", "rs", "m", F.explode("dsts").alias("dst"))
         plain = F.when(F.col("m") <= width, 1 / F.col("m")).otherwise(F.lit(0.0))
         few = few.withColumn("es", plain) if entity_scores is None else few.join(entity_scores.select("query_id", "rel", F.col("name").alias("dst"), "score").hint("merge"), ["query_id", "rel", "dst"], "left").withColumn("es", F.coalesce("score", plain)).drop("score")
         few = top_k(few, ["query_id", "src", "rel"], [F.desc("es"), "dst"], width)

@@ -192,6 +192,12 @@ def steps_of(kinds: set[str], hops: int, ends: dict[str, tuple[str, str]], types
     return steps
 
 
+def links_of(edges: DataFrame, step: tuple[set[str], list[str], list[str]], ends: dict[str, tuple[str, str]]) -> DataFrame:
+    """Links (with the kind of b) of a step of steps_of."""
+    kind = lambda end: F.element_at(F.create_map(*[F.lit(x) for r, k in ends.items() for x in (r, k[end])]), F.col("rel"))
+    return union([turned(edges.filter(F.col("rel").isin(r)), way).withColumn("kind", kind(end)) for r, way, end in zip(step[1:], ("out", "in"), (1, 0))])
+
+
 def few_that_avoid(paths: DataFrame, by: list[str], n: int) -> DataFrame:
     """Few paths of each group: one of them has none of any n given nodes in ids, if any path of the group does.
 
@@ -227,14 +233,13 @@ def relation_sequences(anchors: DataFrame, hops: int, nodes: DataFrame, edges: D
     if known:
         starts = write_table(starts, "sequence_starts")
         steps = steps_of({r["kind"] for r in starts.select("kind").distinct().collect()}, hops, ends, types)
-    kind_of = lambda end: F.element_at(F.create_map(*[F.lit(x) for r, k in ends.items() for x in (r, k[end])]), F.col("rel"))
 
     def links(i: int) -> DataFrame:
         """a_id, rel, b_id, kind (of b) that hop i may take; some more than once."""
         if steps is None:
             both = edges_bi(edges).withColumn("kind", F.lit(None).cast("string"))
         else:
-            both = union([turned(edges.filter(F.col("rel").isin(r)), way).withColumn("kind", kind_of(end)) for r, way, end in zip(steps[i][1:], ("out", "in"), (1, 0))])
+            both = links_of(edges, steps[i], ends)
         d = both.filter("a_id <> b_id").select("a_id", "rel", "b_id", "kind")
         return labelled(d.withColumn("at", F.col("b_id")), of_types(nodes, [types[i]]), types[i]).drop("at") if types else d
 

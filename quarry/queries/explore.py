@@ -82,7 +82,7 @@ def beam_explore(spark, d):
     a = anchors(table(spark, d, "customer"), "c_name")
     scores = a.select("query_id", F.lit("LIVES_IN").alias("rel"), F.lit(0.9).alias("score"))
     enough = a.filter(F.col("query_id").endswith("1")).select("query_id", F.lit(2).alias("depth"))
-    return X.beam_explore(a, nodes(spark, d), edges(spark, d), scores, None, enough).withColumn("score", F.round("score", 6))
+    return X.beam_explore(a, nodes(spark, d, kind=True), edges(spark, d), scores, None, enough, ends=ENDS).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT p_brand AS query_id, 'P' || arg_max(p_partkey, (p_size, -p_partkey)) AS path_id FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand, p_type UNION ALL SELECT p_brand, 'P' || p_partkey FROM part WHERE p_brand NOT LIKE '%1' QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3")

@@ -7,6 +7,7 @@ from quarry.operators import explore, hops, lookup, traverse, vectors
 from quarry.queries import candidates, graph, search
 from quarry.queries import explore as explore_queries
 from quarry.queries import sources as source_queries
+from quarry.session import write_table
 from quarry.sources import graph as graph_files
 from tests.test_graph import EDGE, NODE
 
@@ -99,3 +100,20 @@ def test_matcher_takes_links_of_a_hub_by_relation(spark):
     m = vectors._Matcher(spark.createDataFrame([("q", "x", "a", 0.0)], "query_id string, var string, name string, dist double"), spark.createDataFrame([("q", 0, "x", "?")], "query_id string, edge_no int, src_var string, tgt_var string"), spark.createDataFrame([("q", 0, "r", 0.1)], "query_id string, edge_no int, rel string, dist double"), spark.createDataFrame([("q", 0, "X", 0.0, True)], "query_id string, edge_no int, label string, dist double, similar boolean"), n, e)
     got = m._grown(m.starts, 0)
     assert got.count() == 1 and re.search(r"SortMergeJoin \[src#\d+, rel#\d+\]", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_beam_looks_an_entity_up_once_for_all_queries(spark, monkeypatch):
+    """120 queries at one hub with 120 leaves: no table has a row for each query and leaf."""
+    n = spark.createDataFrame([("h", "hub")] + [(f"l{i}", f"leaf {i:03}") for i in range(120)], "node_id string, name string")
+    e = spark.createDataFrame([(f"e{i}", f"l{i}", "r", "h") for i in range(120)], "edge_id string, src_id string, rel string, dst_id string")
+    a = spark.createDataFrame([(f"leaf {i:03}", f"leaf {i:03}") for i in range(120)], "query_id string, anchor string")
+    sizes = []
+
+    def written(df, name):
+        out = write_table(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(explore, "write_table", written)
+    got = explore.beam_explore(a, n, e, depth=2).filter("depth = 2").collect()
+    assert len(got) == 360 and {r.dst for r in got} == {"leaf 000", "leaf 001", "leaf 002"} and max(sizes) <= 360
