@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from quarry import kb as kbs
 from quarry.fixtures import edges, nodes
-from quarry.operators import explore, hops, lookup, traverse, vectors
+from quarry.operators import algebra, explore, hops, lookup, traverse, vectors
 from quarry.queries import candidates, graph, search
 from quarry.queries import explore as explore_queries
 from quarry.queries import sources as source_queries
@@ -117,3 +120,13 @@ def test_beam_looks_an_entity_up_once_for_all_queries(spark, monkeypatch):
     monkeypatch.setattr(explore, "write_table", written)
     got = explore.beam_explore(a, n, e, depth=2).filter("depth = 2").collect()
     assert len(got) == 360 and {r.dst for r in got} == {"leaf 000", "leaf 001", "leaf 002"} and max(sizes) <= 360
+
+
+def test_programs_read_the_qualifiers_they_name(spark):
+    """Of 6000 facts with three qualifiers at both ends, those of one qualifier meet the program's set."""
+    kb, steps = kbs.load(spark, DIR), [("Find", ["Supplier#000000001"]), ("Relate", ["supplies", "forward"]), ("QFilterNum", ["quantity", "30", ">"]), ("Count", [])]
+    p = spark.createDataFrame([("p", i, fn, x, [i - 1] if i else []) for i, (fn, x) in enumerate(steps)], "program_id string, step_no int, fn string, inputs array<string>, deps array<int>")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(algebra.run_programs(p, kb).collect()))
+    lines = kb.rels.filter("entity_id = 'S1' and predicate = 'supplies'").join(kb.rel_quals.filter("qkey = 'quantity' and v.num > 30").select(F.col("entity_id").alias("object"), "fact_no"), ["object", "fact_no"])
+    assert [(r.status, r.answer) for r in got] == [("ok", str(lines.count()))] and moved < 30_000
