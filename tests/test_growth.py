@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import kb as kbs
 from quarry.fixtures import edges, nodes
-from quarry.operators import algebra, explore, hops, lookup, traverse, vectors
+from quarry.operators import algebra, build, explore, hops, lookup, traverse, vectors
 from quarry.queries import candidates, graph, search
 from quarry.queries import explore as explore_queries
 from quarry.queries import sources as source_queries
@@ -130,3 +130,32 @@ def test_programs_read_the_qualifiers_they_name(spark):
     moved = shuffled(spark, lambda: got.extend(algebra.run_programs(p, kb).collect()))
     lines = kb.rels.filter("entity_id = 'S1' and predicate = 'supplies'").join(kb.rel_quals.filter("qkey = 'quantity' and v.num > 30").select(F.col("entity_id").alias("object"), "fact_no"), ["object", "fact_no"])
     assert [(r.status, r.answer) for r in got] == [("ok", str(lines.count()))] and moved < 30_000
+
+
+def test_triples_meet_by_the_tables_keys(spark):
+    plan = search.triples(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(src_id|dst_id|node_id)#\d+", plan) and re.search(r"l_orderkey#\d+L?\]", plan)
+
+
+def test_triples_of_equal_lines_and_of_missing_ends(spark, tmp_path):
+    """As edges and nodes joined by ids: a row for each pair of equal lines, none where an end is missing."""
+    for t in ("region", "nation", "customer", "supplier", "part", "orders"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DIR}/{t}.parquet")
+    line = spark.read.parquet(f"{DIR}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(40).localCheckpoint()
+    gone = line.limit(4)
+    line.unionByName(line.limit(5)).unionByName(line.limit(2)).unionByName(gone.withColumn("l_orderkey", F.lit(-1).cast("long"))).unionByName(gone.withColumn("l_partkey", F.lit(-1).cast("long"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = str(tmp_path)
+    n = nodes(spark, d)
+    end = lambda i, name, kind: n.select(F.col("node_id").alias(i), F.col("name").alias(name), F.col("labels").alias(kind))
+    want = edges(spark, d).join(end("src_id", "source", "source_type"), "src_id").join(end("dst_id", "target", "target_type"), "dst_id").select("edge_id", "source", "source_type", F.col("rel").alias("relation"), "target", "target_type")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(search.triples(spark, d)) == rows(want) and len(rows(want)) > 200
+
+
+def test_upsert_takes_stored_rows_as_they_are(spark):
+    """Rows that are stored twice are one relation; a task sends on one row of each."""
+    stored = spark.createDataFrame([("a", ["Old"], "r", "b", ["T"])] * 3, build.TRIPLE)
+    batch = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("c").alias("source"), F.array(F.concat(F.lit("N"), "id")).alias("source_type"), F.lit("r").alias("relation"), F.lit("b").alias("target"), F.array(F.lit("T")).alias("target_type"), (-F.col("id")).alias("ord"))
+    got = []
+    moved = shuffled(spark, lambda: got.extend(build.upsert_relations(stored, batch).collect()))
+    assert sorted((r.source, r.source_type) for r in got) == [("a", ["Old"]), ("c", ["N3999"])] and moved < 50
