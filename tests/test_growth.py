@@ -159,3 +159,10 @@ def test_upsert_takes_stored_rows_as_they_are(spark):
     got = []
     moved = shuffled(spark, lambda: got.extend(build.upsert_relations(stored, batch).collect()))
     assert sorted((r.source, r.source_type) for r in got) == [("a", ["Old"]), ("c", ["N3999"])] and moved < 50
+
+
+def test_lines_of_triples_are_parsed_once(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"source":"a","source_type":["X","Y"],"relation":"r","target":"b","target_type":"Z"}\n\n{broken\n{"source":"c"}\n')
+    got = graph_files.read_triples_jsonl(spark, str(tmp_path))
+    assert [(r.source, r.source_type, r.target_type) for r in got.collect()] == [("a", ["X", "Y"], ["Z"])]
+    assert len(re.findall(r"from_json\(StructField\(source,", got._jdf.queryExecution().optimizedPlan().toString())) == 1
