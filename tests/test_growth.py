@@ -9,6 +9,7 @@ from quarry.fixtures import edges, nodes
 from quarry.operators import algebra, build, explore, hops, lookup, traverse, vectors
 from quarry.queries import candidates, graph, search
 from quarry.queries import explore as explore_queries
+from quarry.queries import ranking as ranking_queries
 from quarry.queries import sources as source_queries
 from quarry.session import write_table
 from quarry.sources import graph as graph_files
@@ -166,3 +167,53 @@ def test_lines_of_triples_are_parsed_once(spark, tmp_path):
     got = graph_files.read_triples_jsonl(spark, str(tmp_path))
     assert [(r.source, r.source_type, r.target_type) for r in got.collect()] == [("a", ["X", "Y"], ["Z"])]
     assert len(re.findall(r"from_json\(StructField\(source,", got._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def shared_paths(spark):
+    """Queries and paths of two plans: ties, relations without a vector, vectors that are missing or of another length, hints that are missing."""
+    vec = lambda i: [float((i * 7) % 5 - 2), float(i % 3), 0.5]
+    v = spark.createDataFrame([(f"r{i}", vec(i)) for i in range(12)] + [("short", [1.0]), ("none", None)], "name string, vec array<double>")
+    rels = lambda i: [f"r{i % 12}", ["lost", "short", "none", "r3", "r4"][i % 5], f"r{(i * 5) % 12}"]
+    p = spark.createDataFrame([("xy"[i % 2], f"p{i:03}", rels(i), None if i == 9 else [1.0] if i == 10 else vec(i)) for i in range(40)] + [("x", "q", [], vec(1))], "plan string, path_id string, rels array<string>, vec array<double>")
+    q = spark.createDataFrame([(i, "xyz"[i % 3], None if i == 4 else vec(i + 1), [[vec(i), vec(i + 2)], [None, vec(i), vec(1)], []][i % 3]) for i in range(9)], "query_id long, plan string, qvec array<double>, hints array<array<double>>")
+    return q, p, v
+
+
+def test_shared_paths_rank_as_paths_of_queries(spark):
+    q, p, v = shared_paths(spark)
+    own = q.select("query_id", "plan").join(p, "plan").repartition(3)
+    hints = q.select("query_id", F.posexplode("hints").alias("pos", "hvec")).filter("hvec is not null")
+    rows = lambda df: sorted((r.query_id, r.rank, r.path_id, None if r.score is None else round(r.score, 12)) for r in df.collect())
+    want = rows(vectors.rank_paths(own.select("query_id", "path_id", "rels"), q.select("query_id", "qvec"), own.select("query_id", "path_id", "vec"), hints, v, 6))
+    moved = shuffled(spark, lambda: rows(vectors.rank_shared_paths(q, p, v, 6)))
+    assert rows(vectors.rank_shared_paths(q, p, v, 6, block=2)) == rows(vectors.rank_shared_paths(q, p.repartition(4), v, 6)) == want and any(r[3] is None for r in want)
+    filled = q.withColumn("hints", F.filter("hints", lambda x: x.isNotNull()))
+    want = rows(vectors.score_paths(own.select("query_id", "path_id", "rels"), filled.select("query_id", "hints"), v, 6))
+    assert rows(vectors.score_shared_paths(filled, p, v, 6, block=2)) == rows(vectors.score_shared_paths(filled, p.repartition(4), v, 6)) == want
+    # vectors of 41 paths of up to three relations are shuffled, and six rows of each query and task
+    assert moved < 900
+
+
+def test_shared_texts_rank_as_texts_of_queries(spark):
+    q, p, _ = shared_paths(spark)
+    texts = p.select("plan", F.concat(F.lit("A -["), "path_id", F.lit("]-> B")).alias("text"), "vec")
+    paths = q.select("query_id", "plan").join(p, "plan").select("query_id", F.array(F.lit("A"), F.lit("B")).alias("types"), F.array("path_id").alias("rels"), F.array(F.lit("out")).alias("dirs"))
+    rows = lambda df: sorted((r.query_id, r.rank, r.text, None if r.score is None else round(r.score, 12)) for r in df.collect())
+    want = rows(vectors.rank_path_texts(paths, q.select("query_id", "qvec"), texts.select("text", "vec")))
+    assert rows(vectors.rank_shared_texts(q.select("query_id", "plan", "qvec"), texts)) == rows(vectors.rank_shared_texts(q.select("query_id", "plan", "qvec"), texts, most=25)) == want and len(want) == 123
+
+
+def test_path_queries_shuffle_no_row_of_a_query_and_a_path(spark):
+    """500 vectors: 25 queries with about 50 paths each."""
+    for name, most in (("rank_path_texts", 1300), ("apply_selection", 900)):
+        assert shuffled(spark, lambda name=name: ranking_queries.QUERIES[name](spark, DIR).collect()) < most
+
+
+def test_a_chosen_path_may_be_any_of_the_plan(spark):
+    q, p, v = shared_paths(spark)
+    chosen = spark.createDataFrame([(0, 15), (3, 10_000), (1, None)], "query_id long, idx int")
+    assert vectors.needed_ranks(chosen, p, 4) == 21 and vectors.needed_ranks(chosen.filter("idx is null"), p, 4) == 4
+    full = vectors.rank_shared_paths(q, p, v, 100)
+    few = vectors.rank_shared_paths(q, p, v, vectors.needed_ranks(chosen, p, 4))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(vectors.apply_selection(few, chosen, 4)) == rows(vectors.apply_selection(full, chosen, 4))
