@@ -268,20 +268,31 @@ def relation_sequences(anchors: DataFrame, hops: int, nodes: DataFrame, edges: D
 
 
 def paths_via_hub(anchors: DataFrame, paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """query_id, path_id, name: steps written r1..r2 pass through a CVT node; only the ends must differ."""
-    links = edges_bi(edges)
+    """query_id, path_id, name: steps written r1..r2 pass through a CVT node; only the ends must differ.
+
+    Each step reads the relations alone that paths have there, between kinds of nodes that
+    paths have there; rows carry edge ids only for paths that repeat a relation.
+    """
     p = paths.withColumn("steps", F.flatten(F.transform("rels", lambda r: F.split(r, r"\.\."))))
     p = p.withColumn("stops", F.flatten(F.zip_with(F.slice("types", 2, F.size("types")), "rels", lambda t, r: F.when(r.contains(".."), F.array(F.lit("CVT"), t)).otherwise(F.array(t)))))
-    f = labelled(start(planned(anchor_nodes(anchors, nodes), p)), nodes, F.get("types", F.lit(0)))
+    most = how_long(paths)
+    plan = p.select(F.col("steps").alias("rels"), F.concat(F.slice("types", 1, 1), "stops").alias("types"))
+    got, again = plan_rows(plan), repeats_relation(plan, most)
+    types = lambda i: words_at(got, "types", i)
+    carried = ["query_id", "path_id", "steps", "stops"]
+    f = labelled(start(planned(anchor_nodes(anchors, of_types(nodes, types(0))), p)), of_types(nodes, types(0)), F.get("types", F.lit(0)))
+    f = f.select(*carried, "at", F.array("at").alias("ids"), "eids")
     done = []
-    for i in range(how_long(paths)):
+    for i in range(most):
         f = f.filter(F.size("steps") > i)
-        f = labelled(hop(f, links, F.get("steps", F.lit(i))), nodes, F.get("stops", F.lit(i)))
-        done.append(f.filter((F.size("steps") == i + 1) & (F.get("ids", F.lit(0)) != F.col("at"))))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return named(out, nodes).select("query_id", "path_id", "name").distinct()
+        rels = words_at(got, "rels", i)
+        links = between(edges_bi(edges.filter(F.col("rel").isin(rels)) if rels else edges), types(i), types(i + 1))
+        f = hop(f, links, F.get("steps", F.lit(i)), unique_edges=again)
+        # of the nodes only the first is compared, and edges only where they may be met again
+        f = f.select(*carried, "at", F.slice("ids", 1, 1).alias("ids"), "eids" if again else F.array().cast("array<string>").alias("eids"))
+        f = labelled(f, of_types(nodes, types(i + 1)), F.get("stops", F.lit(i)))
+        done.append(f.filter((F.size("steps") == i + 1) & (F.get("ids", F.lit(0)) != F.col("at"))).select("query_id", "path_id", "at"))
+    return named(union(done), of_types(nodes, words_at(got, "types", None))).select("query_id", "path_id", "name").distinct()
 
 
 def how_long(paths: DataFrame) -> int:

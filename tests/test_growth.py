@@ -217,3 +217,16 @@ def test_a_chosen_path_may_be_any_of_the_plan(spark):
     few = vectors.rank_shared_paths(q, p, v, vectors.needed_ranks(chosen, p, 4))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(vectors.apply_selection(few, chosen, 4)) == rows(vectors.apply_selection(full, chosen, 4))
+
+
+def test_hub_paths_read_the_relations_of_their_steps(spark):
+    got = graph.QUERIES["typed_path_via_cvt"](spark, DIR)
+    assert sources(got) == {"orders", "lineitem", "part"}
+
+
+def test_hub_paths_that_repeat_a_relation_use_no_edge_twice(spark):
+    n = spark.createDataFrame([("p", "p", None, ["Part"], None), ("m", "m.1", None, ["CVT"], None), ("q", "q", None, ["Part"], None)], NODE)
+    e = spark.createDataFrame([("e1", "m", "L", "p"), ("e2", "m", "L", "q")], EDGE)
+    plan = spark.createDataFrame([("all", "mates", ["Part", "Part"], ["L..L"]), ("all", "back", ["Part", "CVT", "Part"], ["L", "L"])], "plan string, path_id string, types array<string>, rels array<string>")
+    got = traverse.paths_via_hub(spark.createDataFrame([("x", "P", "all")], "query_id string, anchor string, plan string"), plan, n, e)
+    assert sorted(map(tuple, got.collect())) == [("x", "back", "q"), ("x", "mates", "q")]
