@@ -230,3 +230,11 @@ def test_hub_paths_that_repeat_a_relation_use_no_edge_twice(spark):
     plan = spark.createDataFrame([("all", "mates", ["Part", "Part"], ["L..L"]), ("all", "back", ["Part", "CVT", "Part"], ["L", "L"])], "plan string, path_id string, types array<string>, rels array<string>")
     got = traverse.paths_via_hub(spark.createDataFrame([("x", "P", "all")], "query_id string, anchor string, plan string"), plan, n, e)
     assert sorted(map(tuple, got.collect())) == [("x", "back", "q"), ("x", "mates", "q")]
+
+
+def test_relationship_csv_deals_out_the_rows_of_one_name(spark, tmp_path):
+    """A name of 200 nodes on 300 equal lines: no task makes more than a small part of the rows."""
+    spark.createDataFrame([("part", "MADE_AS", "brand")] * 300, "a string, b string, c string").write.csv(str(tmp_path / "rels"))
+    n = spark.createDataFrame([(f"P{i}", "part") for i in range(200)] + [("B", "brand")], "node_id string, name string")
+    got = graph_files.read_relationship_csv(spark, str(tmp_path / "rels"), n).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) < 15_000
