@@ -13,6 +13,7 @@ from quarry.queries import ranking as ranking_queries
 from quarry.queries import sources as source_queries
 from quarry.session import write_table
 from quarry.sources import graph as graph_files
+from quarry.streaming.ingest import TripleStore
 from tests.test_graph import EDGE, NODE
 
 DIR = "/root/testdata/sf0.001"
@@ -238,3 +239,11 @@ def test_relationship_csv_deals_out_the_rows_of_one_name(spark, tmp_path):
     n = spark.createDataFrame([(f"P{i}", "part") for i in range(200)] + [("B", "brand")], "node_id string, name string")
     got = graph_files.read_relationship_csv(spark, str(tmp_path / "rels"), n).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) < 15_000
+
+
+def test_a_batch_is_shuffled_once_for_its_runs(spark, tmp_path):
+    """3000 relations of 3001 entities are grouped by key and written from there."""
+    batch = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("source"), F.array(F.lit("A")).alias("source_type"), F.lit("r").alias("relation"), F.lit("t").alias("target"), F.array(F.lit("B")).alias("target_type"), F.col("id").alias("ord"))
+    store = TripleStore(spark, str(tmp_path / "store"), 4)
+    moved = shuffled(spark, lambda: store.add(batch, 0))
+    assert moved < 8_000 and store.relations().count() == 3000 and store.entities().count() == 3001
