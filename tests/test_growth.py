@@ -247,3 +247,16 @@ def test_a_batch_is_shuffled_once_for_its_runs(spark, tmp_path):
     store = TripleStore(spark, str(tmp_path / "store"), 4)
     moved = shuffled(spark, lambda: store.add(batch, 0))
     assert moved < 8_000 and store.relations().count() == 3000 and store.entities().count() == 3001
+
+
+def test_matcher_takes_links_that_an_edge_can_have(spark):
+    """Of a hub's links those of the edge's relation to a similar label, and all of the relation where a query takes any label."""
+    n = spark.createDataFrame([("a", "a", ["X"]), ("h", "h", ["H"]), ("b", "b", ["Y"]), ("c", "c", [])], "node_id string, name string, labels array<string>")
+    e = spark.createDataFrame([("1", "a", "r", "h"), ("2", "b", "r", "h"), ("3", "c", "r", "h"), ("4", "h", "s", "b")], "edge_id string, src_id string, rel string, dst_id string")
+    starts = spark.createDataFrame([("q", "x", "h", 0.0)], "query_id string, var string, name string, dist double")
+    asked = spark.createDataFrame([("q", 0, "x", "?"), ("q", 1, "?", "z")], "query_id string, edge_no int, src_var string, tgt_var string")
+    near = spark.createDataFrame([("q", 0, "r", 0.1), ("q", 1, "s", 0.1)], "query_id string, edge_no int, rel string, dist double")
+    types = spark.createDataFrame([("q", 0, "X", 0.0, True), ("q", 0, "Y", 0.9, False)], "query_id string, edge_no int, label string, dist double, similar boolean")
+    m = vectors._Matcher(starts, asked, near, types, n, e)
+    links = lambda i: sorted((r.src, r.rel, r.dst) for r in m._links(i).collect())
+    assert links(0) == [("h", "r", "a"), ("h", "r", "c")] and links(1) == [("b", "s", "h"), ("h", "s", "b")] and m.links.count() == 4
